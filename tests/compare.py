@@ -1,19 +1,22 @@
 """Run registered queries on Spark and their SQL on DuckDB and compare: row counts, column names, values."""
 import datetime as dt
 import math
+import os
 import sys
+import threading
 import time
 
 import duckdb
 from pyspark.sql import SparkSession
 
+LIMIT = float(os.environ.get("QUERY_LIMIT", "40"))
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
 
 def session():
     spark = (SparkSession.builder.master("local[8]").appName("tocsin-tests")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.extraJavaOptions", "-Xss16m").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,6 +45,8 @@ def norm(v):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
         return v.isoformat()
+    if isinstance(v, dict):
+        return tuple(norm(x) for x in v.values())
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if hasattr(v, "asDict"):
@@ -56,7 +61,7 @@ def compare(spark, con, sf, name, fn, sql):
     t0 = time.time()
     df = fn(spark, sf)
     cols = sorted(df.columns)
-    rows = [tuple(norm(r[c]) for c in cols) for r in df.collect()]
+    rows = [tuple(norm(r[c]) for c in cols) for r in df.toArrow().to_pylist()]
     t1 = time.time()
     if sql is None:
         return f"rows-only {len(rows)}", t1 - t0, 0.0, len(rows) > 0
@@ -87,10 +92,13 @@ def main(patterns, sf):
     for name, fn in e.queries().items():
         if patterns and not any(p in name for p in patterns):
             continue
+        guard = threading.Timer(LIMIT, lambda: (spark.sparkContext.cancelAllJobs(), con.interrupt()))
+        guard.start()
         try:
             msg, a, b, ok = compare(spark, con, sf, name, fn, oracle.get(name))
         except Exception as ex:  # report and go on
-            msg, a, b, ok = f"ERROR {type(ex).__name__}: {str(ex)[:1500]}", 0, 0, False
+            msg, a, b, ok = f"ERROR {type(ex).__name__}: {str(ex)[:700]}", 0, 0, False
+        guard.cancel()
         bad += not ok
         print(f"{'  ' if ok else '!!'} {name:45s} spark {a:6.2f}s duck {b:6.2f}s  {msg}", flush=True)
     print("FAILED", bad)

@@ -2,6 +2,21 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def by_series(df: DataFrame, keys) -> DataFrame:
+    """Hash the rows by series once, on the session's full shuffle width.
+
+    Scoring is heavy per byte, so the adaptive coalescing of small partitions would leave most cores idle; a stated
+    width is kept as is, and every window over the same keys reuses it.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys)
+
+
+def bind(df: DataFrame, **named) -> DataFrame:
+    """Add columns through a generator, which the optimizer does not inline into later expressions or filters."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in named.items()]))))
+
+
 def span(points: DataFrame, keys, day="day", step="1 day") -> DataFrame:
     """One row per key and calendar step between the key's first and last point."""
     return (points.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
@@ -15,7 +30,7 @@ def fill(points: DataFrame, keys=("series_id",), day="day", value="value", max_c
     last_day = F.last(F.when(F.col("_v").isNotNull(), F.col(day)), ignorenulls=True).over(past)
     carried = F.when(F.datediff(F.col(day), last_day) <= max_carry, F.last("_v", ignorenulls=True).over(past))
     src = points.select(*keys, day, F.col(value).alias("_v"))
-    return (span(points, keys, day).join(src, [*keys, day], "left")
+    return (by_series(span(points, keys, day).join(src, [*keys, day], "left"), keys)
             .select(*keys, day, carried.alias(value), F.col("_v").isNotNull().alias("observed"),
                     (F.col("_v").isNull() & carried.isNotNull()).alias("filled")))
 

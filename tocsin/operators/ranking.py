@@ -6,6 +6,8 @@ starting offset, and the scan inside each range runs in parallel. Results are ex
 """
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tocsin.operators.lineage import stable
+
 RANGES = 64
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -17,7 +19,7 @@ def ordered_scan(df: DataFrame, order: str, measures: dict, by=(), reverse=False
     A NULL `_before` (nothing ahead) becomes 0 for sums.
     """
     by = list(by)
-    compact = df.groupBy(*by, order).agg(*[_AGG[k](c).alias(n) for n, (k, c) in measures.items()])
+    compact = stable(df.groupBy(*by, order).agg(*[_AGG[k](c).alias(n) for n, (k, c) in measures.items()]))
     cuts = compact.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10000).alias("c")).scalar()
     cut = compact.withColumn("_cuts", cuts).withColumn(
         "_r", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
@@ -41,8 +43,8 @@ def ordered_scan(df: DataFrame, order: str, measures: dict, by=(), reverse=False
 def average_ranks(df: DataFrame, value: str, by=(), ranges=RANGES) -> DataFrame:
     """Distinct values with their tie-averaged rank (1-based), count and group size."""
     s = ordered_scan(df.where(F.col(value).isNotNull()), value, {"n": ("sum", F.lit(1))}, by, ranges=ranges)
-    size = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("group_n"))
-    s = s.join(size, list(by)) if by else s.withColumn("group_n", size.scalar())
+    size = F.max(F.col("n_before") + F.col("n")).alias("group_n")
+    s = s.join(s.groupBy(*by).agg(size), list(by)) if by else s.withColumn("group_n", s.agg(size).scalar())
     return s.select(*by, value, "n", "group_n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 

@@ -24,17 +24,14 @@ def weekly_means(filled: DataFrame, keys=("series_id",)) -> DataFrame:
     return filled.withColumn("m7", F.avg("value").over(w)).withColumn("c7", F.count("value").over(w))
 
 
-def _summary(df, arr, prefix=""):
-    s = F.sort_array(F.col(arr))
-    df = df.withColumn("_s", s).withColumn("base_med", S.sorted_median(F.col("_s")))
-    df = df.withColumn("_d", F.sort_array(S.abs_deviations(F.col("_s"), F.col("base_med"))))
-    return (df.withColumn("_mad", S.sorted_median(F.col("_d")))
-            .withColumn("_mean_ad", F.when(F.col("_mad") == 0, S.mean(F.col("_d")))))
+def _summary(df, arr):
+    """Adds base_med, mad and mean_ad of an array column. The generator keeps later filters from re-evaluating them."""
+    return df.select("*", F.inline(F.array(S.spread(F.col(arr)))))
 
 
 def _finish(df, value, scale, share_point):
-    raw = S.modified_z_raw(value, F.col("base_med"), F.col("_mad"), F.col("_mean_ad"))
-    sd = S.base_spread(F.col("_mad"), F.col("_mean_ad"))
+    raw = S.modified_z_raw(value, F.col("base_med"), F.col("mad"), F.col("mean_ad"))
+    sd = S.base_spread(F.col("mad"), F.col("mean_ad"))
     floor = S.noise_floor(scale, F.col("base_med"), share_point)
     low = floor > sd
     return (df.withColumn("z_raw", F.when(low, (value - F.col("base_med")) / floor).otherwise(raw))
@@ -99,14 +96,14 @@ def score_monthly(points: DataFrame, keys=("series_id",), min_points=40, base=36
     w = Window.partitionBy(*keys).orderBy("month")
     p = points.select(*keys, "month", F.log1p(F.greatest(F.col("value"), F.lit(0.0))).alias("l"), "value")
     p = p.withColumn("i", F.row_number().over(w) - 1)
-    hist = p.withColumn("_ls", F.collect_list("l").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hist = calendar.by_series(p, keys).withColumn("_ls", F.collect_list("l").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     hist = hist.where(F.size("_ls") >= min_points)
     n = F.size("_ls")
     # centred annual deviations of the copy that ends at this month
-    hist = hist.withColumn("_dev", F.transform("_ls", lambda x, j: x - S.mean(F.slice(
+    hist = calendar.bind(hist, _dev=F.transform("_ls", lambda x, j: x - S.mean(F.slice(
         F.col("_ls"), F.greatest(j - 6, F.lit(0)) + 1, F.least(j + 7, F.size("_ls")) - F.greatest(j - 6, F.lit(0))))))
     only = F.filter(F.sequence(F.lit(0), n - 1), lambda j: j >= n - 1 - base)
-    hist = hist.withColumn("_res", F.transform(only, lambda j: F.get(F.col("_ls"), j) - F.coalesce(S.median(F.transform(
+    hist = calendar.bind(hist, _res=F.transform(only, lambda j: F.get(F.col("_ls"), j) - F.coalesce(S.median(F.transform(
         F.filter(F.sequence(F.lit(0), F.size("_ls") - 2), lambda q: (q % 12 == j % 12) & (q != j)),
         lambda q: F.get(F.col("_dev"), q))), F.lit(0.0))))
     hist = hist.withColumn("_x", F.element_at("_res", -1)).withColumn("_arr", F.slice("_res", 1, base))
@@ -149,8 +146,8 @@ def slow_z(points: DataFrame, keys=("series_id",), mean_days=30, base_from=760,
     df = df.withColumn("m", F.when(F.count("value").over(w) >= min_days, F.avg("value").over(w)))
     df = df.withColumn("_arr", F.collect_list("m").over(_rows(keys, -base_from, -base_to)))
     df = df.where(F.col("m").isNotNull() & (F.size("_arr") >= min_base)).select(*keys, "day", "m", "_arr")
-    df = _summary(df, "_arr").where(F.col("_mad") > 0)
-    z = S.MAD_TO_SD * (F.col("m") - F.col("base_med")) / F.col("_mad")
+    df = _summary(df, "_arr").where(F.col("mad") > 0)
+    z = S.MAD_TO_SD * (F.col("m") - F.col("base_med")) / F.col("mad")
     return df.select(*keys, "day", S.clip(z, -S.WINSOR, S.WINSOR).alias("z"))
 
 
@@ -169,7 +166,7 @@ def weekly_block_score(points: DataFrame, keys=("series_id",), weeks=26) -> Data
     agg = blocks.groupBy(*keys).agg(F.max(F.when(F.col("_blk") == -1, F.col("m"))).alias("recent"), F.max("d").alias("day"),
                                     F.collect_list(F.when(F.col("_blk") >= 0, F.col("m"))).alias("_arr"))
     agg = _summary(agg, "_arr").where(F.size("_arr") >= S.MIN_BASE)
-    scale = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_mean_ad"))
+    scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("mean_ad"))
     flat = F.when(F.col("recent") == F.col("base_med"), 0.0).when(F.col("recent") > F.col("base_med"), 6.0).otherwise(-6.0)
     z = F.when(scale == 0, flat).otherwise(S.clip((F.col("recent") - F.col("base_med")) / scale, -12.0, 12.0))
     return agg.select(*keys, "day", F.col("recent").alias("value"), "base_med", scale.alias("base_sd"),

@@ -157,10 +157,10 @@ def expanding_level(points: DataFrame, keys, need=365) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("day")
     m = w.rowsBetween(-29, 0)
     d = points.withColumn("x", F.when(F.count("value").over(m) >= 20, F.log1p(F.avg("value").over(m))))
-    d = d.withColumn("_s", F.sort_array(F.collect_list("x").over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    d = d.where((F.size("_s") >= need) & F.col("x").isNotNull()).withColumn("med", S.sorted_median(F.col("_s")))
-    d = d.withColumn("mad", S.median(S.abs_deviations(F.col("_s"), F.col("med")))).where(F.col("mad") > 0)
-    return d.select(*keys, "day", S.clip(S.MAD_TO_SD * (F.col("x") - F.col("med")) / F.col("mad"), 0.0, 5.0).alias("e"))
+    d = d.withColumn("_s", F.collect_list("x").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.where((F.size("_s") >= need) & F.col("x").isNotNull()).select(*keys, "day", "x", "_s")
+    d = d.select("*", F.inline(F.array(S.spread(F.col("_s"))))).where(F.col("mad") > 0)
+    return d.select(*keys, "day", S.clip(S.MAD_TO_SD * (F.col("x") - F.col("base_med")) / F.col("mad"), 0.0, 5.0).alias("e"))
 
 
 def short_acceleration(points: DataFrame, keys, base=60, need=40) -> DataFrame:
@@ -168,10 +168,10 @@ def short_acceleration(points: DataFrame, keys, base=60, need=40) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("day")
     m = w.rowsBetween(-6, 0)
     d = points.withColumn("x", F.when(F.count("value").over(m) >= 4, F.avg("value").over(m)))
-    d = d.withColumn("_s", F.sort_array(F.collect_list("value").over(w.rowsBetween(-(base + 6), -7))))
-    d = d.where((F.size("_s") >= need) & F.col("x").isNotNull()).withColumn("med", S.sorted_median(F.col("_s")))
-    d = d.withColumn("mad", S.median(S.abs_deviations(F.col("_s"), F.col("med")))).where(F.col("mad") > 0)
-    return d.select(*keys, "day", S.clip(S.MAD_TO_SD * (F.col("x") - F.col("med")) / F.col("mad"), 0.0, 5.0).alias("e"))
+    d = d.withColumn("_s", F.collect_list("value").over(w.rowsBetween(-(base + 6), -7)))
+    d = d.where((F.size("_s") >= need) & F.col("x").isNotNull()).select(*keys, "day", "x", "_s")
+    d = d.select("*", F.inline(F.array(S.spread(F.col("_s"))))).where(F.col("mad") > 0)
+    return d.select(*keys, "day", S.clip(S.MAD_TO_SD * (F.col("x") - F.col("base_med")) / F.col("mad"), 0.0, 5.0).alias("e"))
 
 
 def trade_z(monthly: DataFrame, keys) -> DataFrame:

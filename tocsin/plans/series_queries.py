@@ -162,7 +162,7 @@ def noise_floors(spark, sf):
         SELECT nation, month, x, r, median(r) OVER (PARTITION BY nation, month) AS med FROM (
           SELECT a.nation, a.month, a.i, a.r, m.r AS x FROM res a JOIN res m ON a.nation = m.nation AND a.month = m.month AND m.i = m.n - 1
           WHERE a.i BETWEEN a.n - 37 AND a.n - 2))
-      GROUP BY nation, month, x, med)))""", [
+      GROUP BY nation, month, x, med))""", [
     ("pts", "SELECT nation, month, ln(1 + value) AS l, row_number() OVER (PARTITION BY nation ORDER BY month) - 1 AS i FROM monthly"),
     ("copies", "SELECT p.nation, e.month, e.i + 1 AS n, p.i, p.l FROM pts p JOIN pts e ON p.nation = e.nation AND p.i <= e.i WHERE e.i >= 39"),
     ("devs", "SELECT *, l - avg(l) OVER (PARTITION BY nation, month ORDER BY i ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS dev FROM copies"),
@@ -248,7 +248,7 @@ def slow_scores(spark, sf):
     return robust.slow_z(p, ["nation"]).select("nation", "day", *rnd("z"))
 
 
-@query("share_scores", with_ctes(["ship_daily"], SLOW.format(k="nation", lo=395, need=120), [
+@query("share_scores", with_ctes(["ship_daily"], SLOW.format(k="nation", lo=395, need=120).replace(", 6)", ", 10)"), [
     ("s7", """SELECT nation, day, sum(n) OVER (PARTITION BY nation ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS s,
        count(n) OVER (PARTITION BY nation ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS c FROM ship_daily"""),
     ("m30", """SELECT nation, day, s / total AS m FROM (SELECT *, sum(s) OVER (PARTITION BY day) AS total FROM s7 WHERE c >= 4) WHERE total > 0""")]))
@@ -259,7 +259,7 @@ def share_scores(spark, sf):
     s = s.withColumn("i", F.row_number().over(Window.partitionBy("nation").orderBy("day"))).where("i >= 4")
     total = s.groupBy("day").agg(F.sum("s").alias("total"))
     p = s.join(total, "day").where("total > 0").select("nation", "day", (F.col("s") / F.col("total")).alias("value"))
-    return robust.slow_z(p, ["nation"], mean_days=1, base_from=395, min_days=1, min_base=120).select("nation", "day", *rnd("z"))
+    return robust.slow_z(p, ["nation"], mean_days=1, base_from=395, min_days=1, min_base=120).select("nation", "day", *rnd("z", digits=10))
 
 
 @query("expanding_level_evidence", with_ctes(["monthly", "daily"], """
@@ -287,7 +287,7 @@ def expanding_level_evidence(spark, sf):
       WHERE x IS NOT NULL AND len(arr) >= 40)) WHERE mad > 0"""))
 def short_acceleration_evidence(spark, sf):
     p = B.ship_daily(spark, sf).select("nation", "day", F.col("n").cast("double").alias("value"))
-    return windows.short_acceleration(p, ["nation"]).select("nation", "day", *rnd("e"))
+    return windows.short_acceleration(calendar.by_series(p, ["nation"]), ["nation"]).select("nation", "day", *rnd("e"))
 
 
 @query("trade_scores", with_ctes(["monthly"], """
@@ -449,7 +449,7 @@ def rolling_maximum(spark, sf):
   WHERE cut IS NOT NULL AND c = 30"""))
 def forward_exceedance_label(spark, sf):
     p = B.ship_daily(spark, sf).select("nation", "day", F.col("n").cast("double").alias("value"))
-    return labels.forward_exceeds(p, "nation").select("nation", "day", "c7", *rnd("cut"), "y")
+    return labels.forward_exceeds(calendar.by_series(p, ["nation"]), "nation").select("nation", "day", "c7", *rnd("cut"), "y")
 
 
 @query("alert_rule_readings", with_ctes(["forecast"], """
@@ -459,7 +459,7 @@ def forward_exceedance_label(spark, sf):
                max(p) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS max_7, list(p) OVER (w ROWS BETWEEN 364 PRECEDING AND 1 PRECEDING) AS q
         FROM forecast WINDOW w AS (PARTITION BY nation ORDER BY day))"""))
 def alert_rule_readings(spark, sf):
-    return windows.alert_rules(B.forecast(spark, sf), "nation").select("nation", "day", "p", *rnd("over_median", "rise_14"), "max_7", *rnd("own_pct"))
+    return windows.alert_rules(calendar.by_series(B.forecast(spark, sf), ["nation"]), "nation").select("nation", "day", "p", *rnd("over_median", "rise_14"), "max_7", *rnd("own_pct"))
 
 
 @query("value_steps", with_ctes(["daily"], """
