@@ -37,8 +37,8 @@ def correlated_pairs(points: DataFrame, meta: DataFrame, last=31, group=("theatr
     ch = ch.join(meta, "series_id").select(*group, "series_id", "day", (F.col("ch") * F.col("sign")).alias("ch"))
     b = ch.select(*group, "day", F.col("series_id").alias("other"), F.col("ch").alias("ch2"))
     p = ch.join(b, [*group, "day"]).where("series_id < other")
-    return (p.groupBy(*group, "series_id", "other").agg(F.count(F.lit(1)).alias("n"), F.corr("ch", "ch2").alias("r"))
-            .where((F.col("n") >= 10) & (F.col("r") > CORR_MIN) & ~F.isnan("r")))
+    return (p.groupBy(*group, "series_id", "other").agg(F.count(F.lit(1)).alias("n"), S.pearson("ch", "ch2").alias("r"))
+            .where((F.col("n") >= 10) & (F.col("r") > CORR_MIN)))
 
 
 def components(nodes: DataFrame, edges: DataFrame, node="series_id", other="other") -> DataFrame:

@@ -5,7 +5,7 @@ compact cluster or cell tables and is seeded by hashes, so results do not change
 """
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tocsin.functions import tails
+from tocsin.functions import scoring as S, tails
 from tocsin.operators import ranking
 from tocsin.operators.lineage import stable
 
@@ -313,4 +313,4 @@ def spearman_no_ties(df: DataFrame, a, b, by=()) -> DataFrame:
     wa = Window.partitionBy(*by).orderBy(a, "tie")
     wb = Window.partitionBy(*by).orderBy(b, "tie")
     return df.select(*by, F.row_number().over(wa).alias("_ra"), F.row_number().over(wb).alias("_rb")).groupBy(*by).agg(
-        F.corr("_ra", "_rb").alias("spearman"))
+        S.pearson("_ra", "_rb").alias("spearman"))
