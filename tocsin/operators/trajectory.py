@@ -84,13 +84,13 @@ def judge(legs_: DataFrame, routes: DataFrame, airports: DataFrame) -> DataFrame
 def airport_day(judged: DataFrame, t="t1") -> DataFrame:
     """Counters per airport and day over judged legs: departures, arrivals, diversions away and in, turnbacks, holding."""
     d = judged.withColumn("day", F.to_date(F.timestamp_seconds(F.col(t))))
+    def side(airport, what, on):
+        return F.struct(F.col(airport).alias("airport"), F.lit(what).alias("what"), F.coalesce(on, F.lit(False)).alias("on"))
     sides = F.array(
-        F.struct(F.col("dep").alias("airport"), F.lit("dep").alias("what"), F.lit(True).alias("on")),
-        F.struct(F.col("arr"), F.lit("arr"), F.lit(True)),
-        F.struct(F.col("planned"), F.lit("div_away"), F.coalesce(F.col("verdict") == "diversion", F.lit(False))),
-        F.struct(F.col("arr"), F.lit("div_in"), F.coalesce(F.col("verdict") == "diversion", F.lit(False))),
-        F.struct(F.col("dep"), F.lit("turnback"), F.coalesce(F.col("verdict") == "turnback", F.lit(False))),
-        F.struct(F.col("arr"), F.lit("hold"), F.col("verdict").isNotNull() & (F.col("hold") >= HOLD_DEG)))
+        side("dep", "dep", F.lit(True)), side("arr", "arr", F.lit(True)),
+        side("planned", "div_away", F.col("verdict") == "diversion"), side("arr", "div_in", F.col("verdict") == "diversion"),
+        side("dep", "turnback", F.col("verdict") == "turnback"),
+        side("arr", "hold", F.col("verdict").isNotNull() & (F.col("hold") >= HOLD_DEG)))
     r = d.select("day", F.inline(sides)).where(F.col("on") & F.col("airport").isNotNull())
     return r.groupBy("day", "airport").agg(*[F.count_if(F.col("what") == x).alias(x) for x in ("dep", "arr", "div_away", "div_in", "turnback", "hold")])
 

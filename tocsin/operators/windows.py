@@ -139,9 +139,12 @@ def downsample(points: DataFrame, keys, n) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, group, order, n) -> DataFrame:
-    """At most n rows in all, taken in turn from each group in order (the cap is the feature)."""
+    """At most n rows in all, taken in turn from each group in order (the cap is the feature).
+
+    No group can give more than n rows, so the rank filter lets every task keep only its own first n per group.
+    """
     rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("turn", rn).orderBy("turn", group).limit(n)
+    return rows.withColumn("turn", rn).where(F.col("turn") <= n).orderBy("turn", group).limit(n)
 
 
 def weekly_first(rows: DataFrame, keys, ts="ts", digest="digest") -> DataFrame:

@@ -47,6 +47,7 @@ def items(spark, sf):
     """Newest scored item of every catalogue series."""
     hi = B.bounds(spark, sf).select("hi").scalar()
     p = B.points(spark, sf).where(F.col("day") > F.date_sub(hi, 450)).join(F.broadcast(B.catalog(spark)), "family")
+    p = p.withColumn("scale", F.coalesce("scale", F.lit("none")))
     keys = ["series_id", "nation", "domain", "direction", "late", "scale"]
     s = robust.score_daily(p, keys, scale=F.col("scale"), newest_only=True)
     return stable(C.items(s.withColumnRenamed("nation", "theatre")))
@@ -84,7 +85,7 @@ def levels(spark, sf):
     return its, c.join(B.nations(spark, sf).withColumnRenamed("nation", "theatre"), "theatre")
 
 
-@query("composite_items", with_ctes(NEED, "SELECT series_id, nation AS theatre, domain, round(ze, 6) AS ze, round(zfull, 6) AS zfull, k, sign, "both" FROM items", ITEMS))
+@query("composite_items", with_ctes(NEED, "SELECT series_id, nation AS theatre, domain, round(ze, 6) AS ze, round(zfull, 6) AS zfull, k, sign, \"both\" FROM items", ITEMS))
 def composite_items(spark, sf):
     return items(spark, sf).select("series_id", "theatre", "domain", *rnd("ze", "zfull"), "k", "sign", "both")
 
