@@ -15,7 +15,7 @@ def chain(rows: DataFrame, order, fields, by=(), start=None) -> DataFrame:
     entity. start: Column with the last hash already logged (the zero hash where nothing is).
     """
     body = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    packed = F.struct(F.col(order).alias("o"), body.alias("body"), F.struct(*[F.col(f) for f in fields]).alias("row"))
+    packed = F.struct(F.col(order).alias("o"), body.alias("body"), F.struct(*[F.col(f) for f in fields if f not in by]).alias("row"))
     g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(packed)).alias("a"))
     start = F.lit(GENESIS) if start is None else start
     zero = F.struct(start.alias("prev"), F.array().cast("array<struct<p:string,h:string>>").alias("out"))
