@@ -55,16 +55,28 @@ def score_daily(points: DataFrame, keys=("series_id",), scale=None, share_point=
         points = points.join(newest, keys).where(F.col("day") > F.date_sub("_newest", KEEP)).drop("_newest")
     df = weekly_means(calendar.fill(points, keys), keys)
     df = df.withColumn("_b", F.when(F.col("c7") >= 5, F.col("m7")))
-    df = df.withColumn("_n", F.sum(F.col("observed").cast("int")).over(_rows(keys, -KEEP + 1, 0)))
     short = base_days or SHORT
-    if base_days is None:
-        n_win = YEAR + 7 + GUARD
-        df = df.withColumn("_year", F.collect_list("_b").over(_rows(keys, -(n_win - 7), -GUARD)))
-    df = df.withColumn("_short", F.collect_list("_b").over(_rows(keys, -short, 0)))
-    df = df.withColumn("_have", F.sum((F.col("observed") | F.col("filled")).cast("int")).over(_rows(keys, -(short + 6), 0)))
+    n_win = YEAR + 7 + GUARD
+    have = (F.col("observed") | F.col("filled")).cast("int")
+    if newest_only:
+        # only the last row is asked for: one hash aggregate over days-back ranges instead of a frame per day
+        df = df.join(newest, keys).withColumn("_k", F.datediff("_newest", "day"))
+        def back(lo, hi, c):
+            return F.when(F.col("_k").between(lo, hi), c)
+        df = df.groupBy(*keys).agg(
+            F.max("day").alias("day"), F.max(back(0, 0, F.col("m7"))).alias("m7"), F.max(back(0, 0, F.col("c7"))).alias("c7"),
+            F.collect_list(back(GUARD, n_win - 7, F.col("_b"))).alias("_year"), F.collect_list(back(0, short, F.col("_b"))).alias("_short"),
+            F.sum(F.col("observed").cast("int")).alias("_n"), F.sum(back(0, short + 6, have)).alias("_have"),
+            F.sum(back(0, n_win - 1, have)).alias("_have_y"), F.lit(True).alias("observed"))
+    else:
+        df = df.withColumn("_n", F.sum(F.col("observed").cast("int")).over(_rows(keys, -KEEP + 1, 0)))
+        if base_days is None:
+            df = df.withColumn("_year", F.collect_list("_b").over(_rows(keys, -(n_win - 7), -GUARD)))
+            df = df.withColumn("_have_y", F.sum(have).over(_rows(keys, -(n_win - 1), 0)))
+        df = df.withColumn("_short", F.collect_list("_b").over(_rows(keys, -short, 0)))
+        df = df.withColumn("_have", F.sum(have).over(_rows(keys, -(short + 6), 0)))
     if base_days is None:
         use_year = (F.col("_n") >= YEAR_MIN) & (F.size("_year") >= YEAR_MIN)
-        df = df.withColumn("_have_y", F.sum((F.col("observed") | F.col("filled")).cast("int")).over(_rows(keys, -(n_win - 1), 0)))
         df = df.withColumn("frame", F.when(use_year, F.lit("year")).otherwise(F.lit("short")))
         df = df.withColumn("_arr", F.when(use_year, F.col("_year")).otherwise(F.col("_short")))
         df = df.withColumn("miss", F.round(1 - F.when(use_year, F.col("_have_y") / n_win).otherwise(F.col("_have") / (short + 7)), 3))
@@ -74,9 +86,6 @@ def score_daily(points: DataFrame, keys=("series_id",), scale=None, share_point=
     enough = F.when(F.col("frame") == "year", True).otherwise(
         (F.size("_arr") >= short // 2) & (F.col("_n") >= short // 2 + 7))
     df = df.where(F.col("observed") & (F.col("c7") >= 4) & enough & (F.size("_arr") >= S.MIN_BASE))
-    if newest_only:
-        w = Window.partitionBy(*keys)
-        df = df.withColumn("_last", F.max("day").over(w)).where(F.col("day") == F.col("_last"))
     if since is not None:
         df = df.where(F.col("day") >= F.lit(since).cast("date"))
     df = df.select(*keys, "day", "m7", "frame", "miss", "_arr")

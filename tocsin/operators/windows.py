@@ -91,10 +91,10 @@ def trailing_count(events: DataFrame, keys, days, calendar_days: DataFrame, incl
             .select(*keys, "day", "n"))
 
 
-def window_max(z: DataFrame, keys, lead=30, value="z") -> DataFrame:
-    """Highest z in the `lead` days before each day; NULL when fewer than half of them are scored."""
+def window_max(z: DataFrame, keys, lead=30, value="z", need=None) -> DataFrame:
+    """Highest z in the `lead` days before each day; NULL when fewer than `need` of them (half, if not given) are scored."""
     w = _range(keys, -lead, -1)
-    return z.withColumn("wmax", F.when(F.count(value).over(w) >= lead // 2, F.max(value).over(w)))
+    return z.withColumn("wmax", F.when(F.count(value).over(w) >= (lead // 2 if need is None else need), F.max(value).over(w)))
 
 
 def rolling_max(z: DataFrame, keys, days=30, need=15, value="z") -> DataFrame:

@@ -65,14 +65,16 @@ def catalog(spark):
 def points(spark, sf, families=None):
     """Long form of every family: series_id, family, nation, day, value."""
     want = [f for f in FAMILIES if families is None or f[0] in families]
-    src = {"ord": daily, "urg": daily, "shi": ship_daily, "ret": ship_daily}
-    parts, made = [], {}
-    for fam, *_, col in want:
-        fn = src[fam[:3]]
-        base = made.setdefault(fn, fn(spark, sf))
-        parts.append(base.select(F.concat(F.lit(fam + "_nation_"), F.col("nation")).alias("series_id"),
-                                 F.lit(fam).alias("family"), "nation", "day", F.col(col).cast("double").alias("value")))
-    return reduce(DataFrame.unionByName, parts)
+    parts = []
+    for source, marks in ((daily, ("ord", "urg")), (ship_daily, ("shi", "ret"))):
+        fams = [f for f in want if f[0][:3] in marks]
+        if not fams:
+            continue
+        # every family of one source comes out of one pass over its daily table
+        rows = F.array(*[F.struct(F.lit(f[0]).alias("family"), F.col(f[-1]).cast("double").alias("value")) for f in fams])
+        parts.append(source(spark, sf).select("nation", "day", F.inline(rows)))
+    u = reduce(DataFrame.unionByName, parts)
+    return u.select(F.concat("family", F.lit("_nation_"), "nation").alias("series_id"), "family", "nation", "day", "value")
 
 
 def raw_points(spark, sf):

@@ -3,7 +3,7 @@ import importlib
 
 from tocsin.plans import registry
 
-MODULES = ["series_queries", "label_queries", "composite_queries", "spatial_queries", "ingest_queries", "stream_queries"]
+MODULES = ["series_queries", "label_queries", "composite_queries", "spatial_queries", "ingest_queries", "stream_queries", "study_queries"]
 
 
 def _load():
