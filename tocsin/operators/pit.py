@@ -31,10 +31,6 @@ def next_after(asks: DataFrame, states: DataFrame, keys, ask="day", at="day", na
     return u.withColumn(name, F.min(F.when(F.col("_ask") == 0, F.col("_t"))).over(w)).where("_ask = 1").drop("_t", "_ask")
 
 
-def replay_days(lo, hi, step) -> str:
-    return f"sequence({lo}, {hi}, interval {step} days)"
-
-
 def replay(scores: DataFrame, calendar_days: DataFrame, keys, lag_days, cols=("z",)) -> DataFrame:
     """Every series' newest public score on each replay day."""
     return as_of(calendar_days, available(scores, lag_days), keys, cols=cols)
