@@ -3,13 +3,14 @@ import datetime as dt
 import math
 import os
 import sys
+import tempfile
 import threading
 import time
 
 import duckdb
 from pyspark.sql import SparkSession
 
-LIMIT = float(os.environ.get("QUERY_LIMIT", "40"))
+LIMIT = float(os.environ.get("QUERY_LIMIT", "400"))
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -17,6 +18,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session():
     spark = (SparkSession.builder.master("local[8]").appName("tocsin-tests")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.extraJavaOptions", "-Xss16m").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
