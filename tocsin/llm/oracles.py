@@ -31,4 +31,61 @@ SELECT source, lang, 'words/2', count(*) FILTER (WHERE same IS NULL OR doc_id IS
        coalesce(sum(two) FILTER (WHERE same IS NULL OR doc_id IS NULL OR doc_id = first), 0)::BIGINT FROM f GROUP BY source, lang
 """
 
-ORACLES = {"op1_mixing": OP1, "op10_token_counts": OP10}
+OP5 = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+g AS (SELECT doc_id, p, n, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS x FROM v
+      WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT DISTINCT doc_id, x FROM g WHERE p = 1 OR p <= n - 4),
+t AS MATERIALIZED (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+      FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * c >= 75 * (na + nb - c)),
+r AS (SELECT DISTINCT a AS node, a AS far FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.far),
+m AS (SELECT node, min(far) AS low FROM r GROUP BY node),
+c AS (SELECT doc_id, any_value(n) AS n FROM t GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, least(coalesce(m.low, d.doc_id), d.doc_id) AS component_id
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.node = d.doc_id
+"""
+
+OP7 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT item_id, least(10, len(w)) AS size, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS p, w FROM i WHERE len(w) > 0),
+x AS MATERIALIZED (SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS q FROM k),
+v AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+z AS (SELECT doc_id, p, n, list(x) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM v),
+e AS (SELECT doc_id, p, size, array_to_string(ten[1:size], ' ') AS q FROM z, (SELECT DISTINCT size FROM x) WHERE p + size - 1 <= n),
+h AS MATERIALIZED (SELECT e.doc_id, e.p, e.size, x.item_id FROM e JOIN x ON x.size = e.size AND x.q = e.q),
+c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(p, p + size - 1)) AS at FROM h) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(s.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+OP9 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+v AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+g AS (SELECT doc_id, p, n, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS x FROM v
+      WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+q AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, x) AS k FROM g WHERE p <= n - 4),
+r AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 4)) AS at FROM q WHERE k > 1) GROUP BY doc_id),
+m AS MATERIALIZED (SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+      len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+      coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM f GROUP BY source),
+y AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM h),
+z AS (SELECT m, least(greatest(m * (1 - m) / greatest(v, 1e-12) - 1, 1), 1e4) AS k FROM y),
+b AS (SELECT source, (bad + m * k) / (n + k) AS rate FROM h, z)
+SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, NOT f.base_failed AND b.rate <= 0.5 AS kept
+FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source
+"""
+
+ORACLES = {"op1_mixing": OP1, "op5_near": OP5, "op7_leaks": OP7, "op9_rules": OP9, "op10_token_counts": OP10}

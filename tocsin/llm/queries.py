@@ -3,7 +3,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tocsin.llm import counts, mixing, sharding
+from tocsin.llm import counts, leaks, mixing, near, rules, sharding
 from tocsin.llm.oracles import ORACLES
 from tocsin.llm.shared import documents, keep, shared_folder
 
@@ -21,6 +21,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near(documents(spark, sf_dir))
+
+
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.searched(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"]).drop("spans")
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads all documents in four batches, re-counts all with the next tokenizer version, deletes all but one of equal texts, and
     applies one batch twice, as a retry does."""
@@ -42,4 +54,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_sharding, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_sharding, op5_near, op7_leaks, op9_rules, op10_token_counts)}
