@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tocsin.llm.words import LETTER_OR_DIGIT, Texts, slices, texts, words
 
@@ -236,3 +236,11 @@ def searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], keep_tex
         schema = [*fields, end, *(["_text string"] if keep_text else [])] if last else [*fields, "_text string, _hit binary, _names array<string>"]
         df = df.mapInArrow(run, ", ".join(schema))
     return df
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All columns of the rows that hold no window of an item."""
+    names = docs.columns
+    rest = [c for c in names if c != "text"]
+    out = searched(docs, benchmark, rest, keep_text=True).filter(~F.col("contaminated"))
+    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names])

@@ -191,3 +191,19 @@ def near(docs: DataFrame) -> DataFrame:
     one = rows.select("doc_id", "n", "node").filter("n > 0").join(of, "node")
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return one.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One whole row of each component, that of the least doc_id; texts without words all stay.
+
+    Of rows equal in id and text one stays: only ids that repeat are looked at a second time."""
+    found = keep(near(docs), "near-found")
+    alone, stands = F.col("n_shingles") == 0, F.col("component_id").eqNullSafe(F.col("doc_id"))
+    drop = found.filter(~alone & ~stands).select("doc_id").join(found.filter(alone | stands).select("doc_id"), "doc_id", "left_anti").distinct()
+    left = docs.join(drop, "doc_id", "left_anti")
+    twice = found.filter(~alone).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = keep(twice, "near-twice")
+    if twice.isEmpty():
+        return left
+    same = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(same)

@@ -3,11 +3,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tocsin.llm import counts, leaks, mixing, near, rules, sharding
+from tocsin.llm import classlm, counts, language, leaks, lines, mixing, near, rules, sharding, surrogates
 from tocsin.llm.oracles import ORACLES
 from tocsin.llm.shared import documents, keep, shared_folder
 
 SHARDS = 24
+LEAST_QUALITY = 0.3
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,20 +16,41 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.by_code_point((5, 2, 1)), budget=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(documents(spark, sf_dir), fold=2, of=7)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.sizes(documents(spark, sf_dir))
     out = sharding.shard(rows, SHARDS, ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", language.held_out(0, 5).alias("held_out"), "text")
+    return language.identified(rows, language.fit(docs), ["doc_id", "held_out"])
+
+
 def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near(documents(spark, sf_dir))
 
 
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    field = lines.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = docs.select("doc_id", lines.held_out(0, 5).alias("held_out"), "text")
+    return lines.scored(rows, field, ["doc_id", "held_out"]).withColumn("predicted", F.when(F.col("score") >= LEAST_QUALITY, 1).otherwise(0))
+
+
 def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.searched(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"]).drop("spans")
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(documents(spark, sf_dir)).select("doc_id", "n_pii", "pii_kinds", "text")
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(documents(spark, sf_dir))
 
@@ -54,4 +76,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_sharding, op5_near, op7_leaks, op9_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_class_bigrams, op3_sharding, op4_language, op5_near, op6_line_quality, op7_leaks, op8_surrogates, op9_rules, op10_token_counts)}

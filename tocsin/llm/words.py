@@ -31,8 +31,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(STEP))
-_UP, _DOWN = _powers(STEP, SPAN), _powers(pow(STEP, -1, 1 << 64), SPAN)
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(STEP))
+POWERS, _DOWN = _powers(STEP, SPAN), _powers(pow(STEP, -1, 1 << 64), SPAN)
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -89,12 +89,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
     """Hash of every data[start:end]; spans are in order and don't overlap."""
-    out, values = np.empty(len(start), np.uint64), _BYTES[FOLD] if fold else _BYTES
+    out, values = np.empty(len(start), np.uint64), BYTE_VALUES[FOLD] if fold else BYTE_VALUES
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + SPAN, "right")))
         base, top = int(start[i]), int(end[j - 1])
-        up, down = (_UP, _DOWN) if top - base <= SPAN else (_powers(STEP, top - base), np.ones(1, np.uint64))
+        up, down = (POWERS, _DOWN) if top - base <= SPAN else (_powers(STEP, top - base), np.ones(1, np.uint64))
         total = np.zeros(top - base + 1, np.uint64)
         np.cumsum(values[data[base:top]] * up[:top - base], out=total[1:])
         s, e = start[i:j] - base, end[i:j] - base
