@@ -138,7 +138,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             g[a] -= out
             g[:, a] -= inn
             g[a, a] -= own
-            left, right = g.sum(1), g.sum(0)
+            left, right = g.sum(1) + inn, g.sum(0) + out  # the word's neighbours keep their own sums
             gain = (_xlogx(g + out) - _xlogx(g)).sum(1) + (_xlogx(g + inn[:, None]) - _xlogx(g)).sum(0)
             d = np.diagonal(g)
             gain += _xlogx(d + out + inn + own) - _xlogx(d + out) - _xlogx(d + inn) + _xlogx(d)

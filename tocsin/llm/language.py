@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tocsin.llm.shared import Carried
 from tocsin.llm.words import BYTE_VALUES, PLACES, POWERS, Texts, mix, slices, span_hashes, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -73,7 +74,7 @@ class Lattice:
         return self.begin[:int(np.searchsorted(-self.size, -step, "right"))]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """p: pieces x languages (scaled), a row of zeros last. Sums over all segmentations of the first bytes of each word: a row
+        """p: pieces x languages (scaled). Sums over all segmentations of the first bytes of each word: a row
         per byte, and one before the first byte of each word (place + word number)."""
         out = np.zeros((len(self.data) + len(self.n), p.shape[1]))
         shift = np.repeat(np.arange(len(self.n)), self.n)
@@ -128,7 +129,7 @@ def _window_hashes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarr
 class Model:
     names: list[str]
     known: np.ndarray       # sorted hashes of pieces
-    log_p: np.ndarray       # pieces x languages, scaled, with a last row of zeros: probabilities
+    p: np.ndarray           # pieces x languages: probabilities, scaled
     longest: int
 
 
@@ -160,7 +161,7 @@ def likelihoods(t: Texts, m: Model) -> np.ndarray:
     if not len(number):
         return np.zeros((len(t), len(m.names)))
     lattice = Lattice(data, bounds, m.known, m.longest)
-    word = np.log(np.maximum(lattice.whole(lattice.forward(m.log_p)), 1e-300)) - (np.diff(bounds) * np.log(SCALE))[:, None]
+    word = np.log(np.maximum(lattice.whole(lattice.forward(m.p)), 1e-300)) - (np.diff(bounds) * np.log(SCALE))[:, None]
     total = np.concatenate([np.zeros((1, word.shape[1])), np.cumsum(word[number], 0)])
     return total[at[1:]] - total[at[:-1]]
 
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, fold: int = 0, of: int = 5) ->
 
 
 def _scaled(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.concatenate([p * (SCALE ** size)[:, None], np.zeros((1, p.shape[1]))])
+    return p * (SCALE ** size)[:, None]
 
 
 def identified(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
@@ -227,12 +228,11 @@ def identified(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     Null texts and texts without a letter get `und` and 0, as do all rows where no language was learned. Texts of any length are read whole;
     repeated rows alike; an empty table gives no rows. Only the named columns and text are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    df = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
+    own = Carried(docs, columns)
 
     def run(batches):
         m = shared.value
-        for batch, t in slices(batches, "_text", 8 << 20):
+        for batch, t in slices(batches, "t", 8 << 20):
             ascii_ = np.flatnonzero(LETTERS[t.data] & (t.data < 128))
             real = np.diff(np.searchsorted(ascii_, t.at)) > 0
             for i in np.flatnonzero(~real):
@@ -247,4 +247,4 @@ def identified(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
                 real = np.zeros(len(t), bool)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(real, score, 0.0))],
                                              [*batch.schema.names[:-1], "lang_pred", "score"])
-    return df.mapInArrow(run, fields + ", lang_pred string, score double")
+    return own.back(own.df.mapInArrow(run, f"{own.schema}, lang_pred string, score double"), "lang_pred", "score")

@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tocsin.llm.shared import Carried
 from tocsin.llm.words import LETTER_OR_DIGIT, Texts, slices, texts, words
 
 WINDOW = 10
 SHARD = 16 << 20
 SAMPLE = 16
 BLOCK = 4_000_000  # item words sent to the tasks at a time (8 bytes each)
+FOUND = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -191,56 +193,57 @@ def _spans(w, hit: np.ndarray, row: int) -> np.ndarray:
     return np.stack([w.start[first], w.end[last]], 1)
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], keep_text: bool = False) -> DataFrame:
-    """The named columns of every row with n_words, n_hit, n_items, items_sha256, contaminated, spans (bytes from, to, merged), and
-    the text under `_text` if asked for.
-
-    A null or empty text has no words and no hits; a text longer than a shard is one shard; repeated rows are searched each; an empty
-    benchmark hits nothing and an empty table gives no rows. Names of other columns can't clash, as only the named ones are read."""
-    spark, found = docs.sparkSession, blocks(benchmark)
-    df = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]
-    n = len(fields)
+def _searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], keep_text: bool) -> tuple[Carried, DataFrame]:
+    """The carried columns under their place names with what was found, and the text as `t` if it is kept."""
+    own, found = Carried(docs, columns), blocks(benchmark)
+    df, n = own.df, len(columns)
     for k, block in enumerate(found):
-        shared, last = spark.sparkContext.broadcast(block), k == len(found) - 1
+        shared, last = docs.sparkSession.sparkContext.broadcast(block), k == len(found) - 1
 
         def run(batches, shared=shared, k=k, last=last):
             p = shared.value
-            for batch, t in slices(batches, "_text", SHARD):
+            for batch, t in slices(batches, "t", SHARD):
                 w, hit, pairs = search(t, p)
                 names = [[] for _ in range(len(t))]
                 for row, item in pairs.tolist():
                     names[row].append(p.names[item])
-                if k:
-                    old = batch.column(n + 1).to_pylist()
+                if k:  # hits of the passes before
                     names = [sorted({*a, *b}) for a, b in zip(names, batch.column(n + 2).to_pylist())]
-                    for row, bits in enumerate(old):
-                        own = hit[w.at[row]:w.at[row + 1]]
-                        own |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-                head = batch.columns[:n]
+                    for row, bits in enumerate(batch.column(n + 1).to_pylist()):
+                        own_hits = hit[w.at[row]:w.at[row + 1]]
+                        own_hits |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own_hits)).astype(bool)
+                head, heads = batch.columns[:n], batch.schema.names[:n]
                 if not last:
                     bits = [np.packbits(hit[w.at[i]:w.at[i + 1]]).tobytes() for i in range(len(t))]
                     yield pa.RecordBatch.from_arrays([*head, batch.column(n), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))],
-                                                     [*batch.schema.names[:n], "_text", "_hit", "_names"])
+                                                     [*heads, "t", "hit", "names"])
                     continue
                 count = np.diff(np.concatenate([[0], np.cumsum(hit)])[w.at])
                 where = [_spans(w, hit, i) - t.at[i] if count[i] else [] for i in range(len(t))]
                 cols = [pa.array(np.diff(w.at)), pa.array(count.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]), pa.array(count > 0),
+                        pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names], pa.string()), pa.array(count > 0),
                         pa.array([[{"start": int(a), "end": int(b)} for a, b in x] for x in where],
                                  pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays(
-                    [*head, *cols, *([batch.column(n)] if keep_text else [])],
-                    [*batch.schema.names[:n], "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *(["_text"] if keep_text else [])])
+                yield pa.RecordBatch.from_arrays([*head, *cols, *([batch.column(n)] if keep_text else [])],
+                                                 [*heads, *FOUND, *(["t"] if keep_text else [])])
         end = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
-        schema = [*fields, end, *(["_text string"] if keep_text else [])] if last else [*fields, "_text string, _hit binary, _names array<string>"]
-        df = df.mapInArrow(run, ", ".join(schema))
-    return df
+        fields = [own.schema, end, *(["t string"] if keep_text else [])] if last else [own.schema, "t string, hit binary, names array<string>"]
+        df = df.mapInArrow(run, ", ".join(f for f in fields if f))
+    return own, df
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of every row with n_words, n_hit, n_items, items_sha256, contaminated, spans (bytes from, to, merged).
+
+    A null or empty text has no words and no hits; a text longer than a shard is one shard; repeated rows are searched each; an empty
+    benchmark hits nothing and an empty table gives no rows. Only the named columns are read, and they travel under place names."""
+    own, df = _searched(docs, benchmark, columns, False)
+    return own.back(df, *FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of the rows that hold no window of an item."""
-    names = docs.columns
-    rest = [c for c in names if c != "text"]
-    out = searched(docs, benchmark, rest, keep_text=True).filter(~F.col("contaminated"))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    names = [c for c in docs.columns if c != "text"]
+    _, df = _searched(docs, benchmark, names, True)
+    place = {c: f"c{i}" for i, c in enumerate(names)} | {"text": "t"}
+    return df.filter(~F.col("contaminated")).select(*[F.col(place[c]).alias(c) for c in docs.columns])

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tocsin.llm.shared import Carried
 from tocsin.llm.words import NOT_SPACE, slices, words
 
 MOST_TEXTS, MOST_LINES = 3000, 400
@@ -221,14 +222,15 @@ def scored(docs: DataFrame, field: Field, columns: list[str], least: float | Non
     A null or empty text scores what the labels give on the whole; texts of any length are scored whole; repeated rows alike; an empty table
     gives no rows. Only the named columns and text are read, so other names can't clash."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    df = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
+    own = Carried(docs, columns)
 
     def run(batches):
-        for batch, t in slices(batches, "_text"):
+        for batch, t in slices(batches, "t"):
             p = probability(lines(t), shared.value)
             if least is None:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "score"])
             else:
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(p >= least))
-    return df.mapInArrow(run, fields + (", score double" if least is None else ""))
+    if least is None:
+        return own.back(own.df.mapInArrow(run, f"{own.schema}, score double"), "score")
+    return own.back(own.df.mapInArrow(run, own.schema))

@@ -5,11 +5,13 @@ their prefixes: the first n - ceil(0.75 n) + 1 shingles in one global order. The
 passage shared by many texts rarely stands in a prefix; which shingles count as frequent is estimated on a part of the texts and only
 moves work, never results, as any common order is right.
 
-Round 1 takes the easy links: each set names its four least re-hashed shingles, and the sets that share one are compared with the least
-of them. Components of these links shrink large groups of near copies to one label. Round 2 is the product: prefix columns that
+Round 1 takes the easy links: each set names KEYS pairs of its least re-hashed shingles, and the sets that share one are compared with the
+least of them. Components of these links shrink large groups of near copies to one label. Round 2 is the product: prefix columns that
 hold more than one label are multiplied by themselves across labels, overlap counts are summed per pair, and pairs whose count plus what can
-follow stays below the bound given by both sizes are dropped. What is left is compared in full. A link inside a component changes
-nothing, so leaving those pairs out loses none. Sets are read again from the texts for the compared rows only.
+follow stays below the bound given by both sizes are dropped. A link inside a component changes nothing, so leaving those pairs out loses none.
+
+Possible pairs of both rounds then meet a second bound: sets differ in at least as many shingles as the parities of their hashes
+on PARITY_BITS places do. What is left is compared in full; those sets alone are read again from the texts and moved.
 """
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tocsin.llm.graph import components
 from tocsin.llm.shared import keep
-from tocsin.llm.words import NOT_SPACE, mix, signed, slices, windows, words
+from tocsin.llm.words import NOT_SPACE, Texts, mix, signed, slices, windows, words
 
 WORDS, PERCENT = 5, 75
-KEYS = 4                  # least re-hashed shingles of round 1
+KEYS = 6                  # pairs of least re-hashed shingles of round 1
+PARITY_BITS = 2048        # places of the parity bound, in longs of 64
 PART = 16                 # frequent shingles are looked for in one of so many texts
 FREQUENT, MOST_FREQUENT = 4, 200_000  # seen so often there; so many of them at most are sent to the tasks (8 bytes each)
-BITS = (20, 27)           # least and most bits, as powers of two, of a filter sent to the tasks
+FILTER_BITS = (20, 27)    # least and most bits, as powers of two, of a filter sent to the tasks
 
 
 def prefix(n):
@@ -31,10 +34,12 @@ def prefix(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _sets(t):
-    """For each row, its sorted distinct shingle hashes."""
+def _sets(t: Texts, use: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each row, its sorted distinct shingle hashes; none for rows not to be used."""
+    if use is not None and not use.any():
+        return [np.zeros(0, np.uint64)] * len(t)
     w = words(t, NOT_SPACE)
-    return [np.unique(windows(w.hash[w.at[i]:w.at[i + 1]], WORDS)) for i in range(len(t))]
+    return [np.unique(windows(w.hash[w.at[i]:w.at[i + 1]], WORDS)) if use is None or use[i] else np.zeros(0, np.uint64) for i in range(len(t))]
 
 
 def _identity(s: np.ndarray) -> int:
@@ -60,29 +65,47 @@ def frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """doc_id, n, node (identity of the set; equal sets are equal nodes), prefix and keys of every row."""
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, n, node (identity of the set; equal sets are equal nodes), keys and parities of every row."""
+    salts = mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64))
+
+    def run(batches):
+        for batch, t in slices(batches):
+            found = _sets(t)
+            keys, bits = [], []
+            for s in found:
+                least = np.array([mix(s ^ salt).min() for salt in salts], np.uint64) if len(s) else s
+                keys.append(mix(least[::2] * np.uint64(3) + least[1::2] + np.arange(KEYS, dtype=np.uint64)) if len(s) else s)
+                odd = np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+                bits.append(np.packbits(odd.astype(bool)).view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in found], pa.int64()),
+                 pa.array(signed(np.array([_identity(s) for s in found], np.uint64))), _lists(keys), _lists(bits)],
+                ["doc_id", "n", "node", "keys", "bits"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_kind(docs)}, n long, node long, keys array<long>, bits array<long>")
+
+
+def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """node, doc_id and prefix of every row with shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
         often = shared.value
         for batch, t in slices(batches):
             found = _sets(t)
-            first, keys = [], []
+            first = []
             for s in found:
                 if len(often) and len(s):
                     hot = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    first.append(np.concatenate([s[~hot], s[hot]])[:prefix(len(s))])
-                else:
-                    first.append(s[:prefix(len(s))] if len(s) else s)
-                again = mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                keys.append(np.partition(again, KEYS - 1)[:KEYS] if len(again) > KEYS else again)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()),
-                 pa.array(signed(np.array([_identity(s) for s in found], np.uint64))), _lists(first), _lists(keys)],
-                ["doc_id", "n", "node", "prefix", "keys"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, prefix array<long>, keys array<long>")
+                    s = np.concatenate([s[~hot], s[hot]])
+                first.append(s[:prefix(len(s))] if len(s) else s)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([_identity(s) for s in found], np.uint64))), batch.column(0), _lists(first)],
+                                             ["node", "doc_id", "prefix"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"node long, doc_id {_kind(docs)}, prefix array<long>").filter(F.size("prefix") > 0)
 
 
 class Filter:
@@ -90,11 +113,11 @@ class Filter:
 
     def __init__(self, values: DataFrame, count: int):
         column = values.columns[0]
-        self.bits = 1 << min(max((16 * max(count, 1)).bit_length(), BITS[0]), BITS[1])
+        self.bits = 1 << min(max((16 * max(count, 1)).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
         place = F.pmod(F.col(column), F.lit(self.bits)) + 1
         maps = values.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
         packed = np.zeros(self.bits // 8, np.uint8)
-        for r in maps.toLocalIterator():  # at most 2**BITS[1] bits
+        for r in maps.toLocalIterator():  # at most 2**FILTER_BITS[1] bits
             at = (r["k"] - 1) * 4096
             packed[at:at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)[:len(packed) - at]
         self.shared = values.sparkSession.sparkContext.broadcast(packed)
@@ -105,35 +128,40 @@ class Filter:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles of the named nodes, read again from the texts."""
-    wanted = Filter(nodes, nodes.count())
+    """node, shingles of the named nodes (node, least doc_id), read again from the texts that stand for them. A filter drops the other texts
+    before the shuffle; the few that pass it wrongly, or rows that repeat, meet no pair or the same pair again."""
+    count = nodes.count()
+    wanted, ids = Filter(nodes.select("node"), count), Filter(nodes.select(F.xxhash64("least").alias("i")), count)
 
     def run(batches):
-        seen = set()
-        for _, t in slices(batches):
-            found = [(i, s) for s in _sets(t) if len(s) and (i := _identity(s)) not in seen]
-            node = np.array([i for i, _ in found], np.uint64).view(np.int64)
-            out = {int(node[k]): found[k][1] for k in np.flatnonzero(wanted.may_hold(node))}
-            seen.update(int(np.uint64(k & (1 << 64) - 1)) for k in out)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), _lists(list(out.values()))], ["node", "shingles"])
-    rows = docs.select("text").mapInArrow(run, "node long, shingles array<long>")
-    return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        for batch, t in slices(batches):
+            may = ids.may_hold(batch.column(1).to_numpy())
+            found = _sets(t, may)
+            node = np.array([_identity(s) for s in found], np.uint64).view(np.int64)
+            use = np.flatnonzero(may & wanted.may_hold(node))
+            yield pa.RecordBatch.from_arrays([pa.array(node[use]), _lists([found[i] for i in use])], ["node", "shingles"])
+    return docs.select("text", F.xxhash64("doc_id").alias("_i")).mapInArrow(run, "node long, shingles array<long>").filter(F.size("shingles") > 0)
 
 
 def _near(na: Column, nb: Column) -> Column:
     return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na)
 
 
-def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs a, b of nodes whose sets reach the limit, compared in full."""
-    pairs = keep(pairs, "near-pairs")
-    nodes = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-nodes")
-    s = keep(sets_of(docs, nodes), "near-sets")
-    both = pairs.join(s.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
+def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs a, b of nodes whose sets reach the limit: first the parity bound, then the sets in full."""
+    own = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("bits").alias(f"_{x}"), F.col("least").alias(f"_i{x}"))
+    met = pairs.join(own("a"), "a").join(own("b"), "b")
+    differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = (F.col("_na") + F.col("_nb") - differ) / 2
+    met = met.filter((100 + PERCENT) * most >= PERCENT * (F.col("_na") + F.col("_nb")))
+    met = keep(met.select("a", "b", "_ia", "_ib"), "near-pairs")
+    nodes = keep(met.select(F.col("a").alias("node"), F.col("_ia").alias("least")).union(met.select("b", "_ib")).distinct(), "near-nodes")
+    s = sets_of(docs, nodes)
+    both = s.select(F.col("node").alias("a"), F.col("shingles").alias("_a")).join(met.select("a", "b"), "a")
     both = both.join(s.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
     common = F.size(F.array_intersect("_a", "_b"))
     return both.select("a", "b", common.alias("_c"), (F.size("_a") + F.size("_b")).alias("_n")).filter(
-        100 * F.col("_c") >= PERCENT * (F.col("_n") - F.col("_c"))).select("a", "b")
+        100 * F.col("_c") >= PERCENT * (F.col("_n") - F.col("_c"))).select("a", "b").distinct()
 
 
 def easy_pairs(classes: DataFrame) -> DataFrame:
@@ -144,23 +172,24 @@ def easy_pairs(classes: DataFrame) -> DataFrame:
     return met.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def product_pairs(classes: DataFrame) -> DataFrame:
-    """Round 2: classes with their label; pairs of nodes of different labels that the product leaves possible."""
-    narrow = classes.select(F.explode("prefix").alias("s"), F.col("label").alias("l"))
+def product_pairs(rows: DataFrame) -> DataFrame:
+    """Round 2: node, label, n, prefix of every class; pairs of nodes of different labels that the product leaves possible."""
+    narrow = rows.select(F.explode("prefix").alias("s"), F.col("label").alias("l"))
     mixed = keep(narrow.groupBy("s").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("s"), "near-columns")
     held = Filter(mixed, mixed.count())
 
     def run(batches):
         for b in batches:
-            p = b.column(3).combine_chunks() if isinstance(b.column(3), pa.ChunkedArray) else b.column(3)
-            flat, at = p.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(p.value_lengths().to_numpy(zero_copy_only=False))])
-            row = np.repeat(np.arange(len(p)), np.diff(at))
+            p = b.column(3)
+            flat, size = p.flatten().to_numpy(zero_copy_only=False), p.value_lengths().to_numpy(zero_copy_only=False)
+            begin = np.concatenate([[0], np.cumsum(size)])
+            row = np.repeat(np.arange(len(p)), size)
             got = np.flatnonzero(held.may_hold(flat))
             cut = pa.array(row[got])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[got]), b.column(0).take(cut), b.column(1).take(cut), b.column(2).take(cut), pa.array((got - at[row[got]]).astype(np.int64))],
+                [pa.array(flat[got]), b.column(0).take(cut), b.column(1).take(cut), b.column(2).take(cut), pa.array((got - begin[row[got]]).astype(np.int64))],
                 ["s", "node", "label", "n", "at"])
-    cells = classes.select("node", "label", "n", "prefix").mapInArrow(run, "s long, node long, label long, n long, at long")
+    cells = rows.select("node", "label", "n", "prefix").mapInArrow(run, "s long, node long, label long, n long, at long")
     cells = keep(cells.join(mixed, "s", "left_semi"), "near-cells")
     a = cells.select("s", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "at")])
     b = cells.select("s", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "at")])
@@ -177,13 +206,14 @@ def near(docs: DataFrame) -> DataFrame:
     component_id is the least doc_id that links reach, the row's own included. Texts that are null or have no word have no shingles
     and stay alone; equal texts share a component, also under one id; a null id is passed on and is no id of a component; an
     empty table gives no rows."""
-    rows = keep(sets(docs, frequent(docs)), "near-rows")
-    classes = keep(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"),
-                                                            F.first("prefix").alias("prefix"), F.first("keys").alias("keys")), "near-classes")
-    links = keep(linked(docs, easy_pairs(classes)), "near-links")
+    rows = keep(sketches(docs), "near-rows")
+    classes = keep(rows.filter("n > 0").groupBy("node").agg(*[F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")]]), "near-classes")
+    links = keep(linked(docs, easy_pairs(classes), classes), "near-links")
     labels = components(links)
-    labelled = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n", "prefix")
-    more = keep(linked(docs, product_pairs(labelled)), "near-links")
+    labelled = classes.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label"))
+    first = prefixes(docs, frequent(docs)).withColumnRenamed("node", "_node")
+    columns = labelled.join(first, (F.col("node") == F.col("_node")) & F.col("least").eqNullSafe(F.col("doc_id"))).select("node", "label", "n", "prefix")
+    more = keep(linked(docs, product_pairs(keep(columns, "near-prefixes")), classes), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
     of = classes.select("node", "least").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tocsin.llm.shared import keep
+from tocsin.llm.shared import Carried, keep
 from tocsin.llm.words import NOT_SPACE, mix, slices, span_hashes, windows, words
 
 # Limits of the base rules.
@@ -64,12 +64,12 @@ def measures(t) -> dict[str, np.ndarray]:
 def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns of every row with its measures; texts may be null or empty (all measures 0) or of any length."""
     def run(batches):
-        for batch, t in slices(batches, "_text"):
+        for batch, t in slices(batches, "t"):
             found = measures(t)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(v.astype(np.int64)) for v in found.values()]],
                                              [*batch.schema.names[:-1], *found])
-    plain = docs.select(*columns, F.col("text").alias("_text"))
-    return plain.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]) + ", " + MEASURES)
+    own = Carried(docs, columns)
+    return own.back(own.df.mapInArrow(run, f"{own.schema}, {MEASURES}"), *[m.split()[0] for m in MEASURES.split(", ")])
 
 
 def hosts(rows: DataFrame, host: str = "source") -> DataFrame:

@@ -26,3 +26,17 @@ def word_count(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+class Carried:
+    """Columns that travel through a Python stage under place names, so that none can clash; the text comes last."""
+
+    def __init__(self, docs: DataFrame, columns: list[str]):
+        self.columns = columns
+        self.df = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("t"))
+        self.schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(self.df.schema.fields[:-1]))
+
+    def back(self, out: DataFrame, *new: str) -> DataFrame:
+        """The columns under their names, then the stage's own; one of the columns that has such a name gives way to it."""
+        taken = {n.lower() for n in new}
+        return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(self.columns) if c.lower() not in taken], *new)
