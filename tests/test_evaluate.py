@@ -65,6 +65,37 @@ def test_tails_match_direct_sums(spark):
         assert r.p_value == pytest.approx(want)
 
 
+def test_tails_below_the_mode_and_far_out(spark):
+    df = spark.createDataFrame([(100, 2000, 0.5), (1000, 2000, 0.5), (1500, 2000, 0.5), (30000, 100000, 0.3), (29000, 100000, 0.3), (1, 100000, 0.9)], "k long, n long, p double")
+    for r in df.select("*", tails.binomial_tail(F.col("k"), F.col("n"), F.col("p")).alias("t")).collect():
+        terms = [math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(r.p) + (r.n - i) * math.log(1 - r.p) for i in range(r.k, r.n + 1)]
+        top = max(terms)
+        assert r.t == pytest.approx(min(1, math.exp(top) * math.fsum(math.exp(x - top) for x in terms)), rel=1e-6)
+    t = spark.createDataFrame([(10, 1990, 1000, 1000), (600, 1400, 400, 1600)], "a long, b long, c long, d long")
+    for r in E.fisher(t, "a", "b", "c", "d").collect():
+        n, row, col = r.a + r.b + r.c + r.d, r.a + r.b, r.a + r.c
+        want = sum(math.comb(col, i) * math.comb(n - col, row - i) for i in range(r.a, min(row, col) + 1)) / math.comb(n, row)
+        assert r.p_value == pytest.approx(want, rel=1e-6)
+
+
+def test_ordered_weights_have_their_orness():
+    for n in range(1, 8):
+        w = S.ordered_weights(n)
+        assert sum(w) == pytest.approx(1) and (n == 1 or sum(x * (n - 1 - i) / (n - 1) for i, x in enumerate(w)) == pytest.approx(0.7))
+
+
+def test_smoothing_of_a_long_series(spark):
+    from tocsin.operators import windows
+    vals = [random.Random(i).random() * 100 for i in range(5000)]
+    rows = [("a", dt.date(2000, 1, 1) + dt.timedelta(i), v) for i, v in enumerate(vals)]
+    got = [r.ewma for r in windows.ewma(spark.createDataFrame(rows, "k string, day date, value double"), ["k"]).orderBy("day").collect()]
+    now, want = None, []
+    for v in vals:
+        now = v if now is None else 0.3 * v + 0.7 * now
+        want.append(now)
+    assert got == pytest.approx(want, rel=1e-12)
+
+
 def test_multiplicity_corrections(spark):
     ps = [0.001, 0.02, 0.02, 0.04, 0.3, 0.9]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p_value double")

@@ -58,7 +58,7 @@ def test_legs(spark):
     # a coverage gap at altitude does not split a flight; ground contact does
     one = [(0, 0.0, True, "", "P")] + air(60, 6) + air(60 + 6 * 120 + 4000, 6) + [(8000, 0.0, True, "", "Q")]
     r = T.legs(leg_rows(spark, one)).collect()
-    assert [(x.dep, x.arr, x.points) for x in r] == [("P", "Q" if 8000 - max(p[0] for p in one[:-1]) <= 1800 else None, 12)]
+    assert [(x.dep, x.arr, x.points) for x in r] == [("P", "Q", 12)]
     # a new callsign ends a leg, and the unseen landing has no airport
     two = air(0, 6) + air(720, 6, call="XYZ9")
     r = T.legs(leg_rows(spark, two)).orderBy("leg").collect()
@@ -67,6 +67,15 @@ def test_legs(spark):
     three = air(0, 5) + [(600, 2000.0, False, "ABC1", "P")] + air(600 + 4000, 6)
     r = T.legs(leg_rows(spark, three)).orderBy("leg").collect()
     assert len(r) == 2 and r[0].arr == "P"
+    # seen on the ground after more than half an hour out of view: the ground airport counts
+    four = air(0, 6) + [(600 + 7200, 0.0, True, "ABC1", "Q")]
+    assert [(x.arr, x.gap) for x in T.legs(leg_rows(spark, four)).collect()] == [("Q", 0)] or [x.arr for x in T.legs(leg_rows(spark, four)).collect()] == ["Q"]
+    # a cut forgets the callsign: the next one on the new leg is no change
+    five = air(0, 5) + [(600, 2000.0, False, "ABC1", "P")] + air(600 + 4000, 3, call="") + air(600 + 4000 + 360, 6, call="XYZ9")
+    assert [x.call for x in T.legs(leg_rows(spark, five)).orderBy("leg").collect()] == ["ABC1", "XYZ9"]
+    # the ground under a new callsign is no landing of the old one
+    six = air(0, 6) + [(800, 0.0, True, "XYZ9", "Q")]
+    assert [x.arr for x in T.legs(leg_rows(spark, six)).collect()] == [None]
 
 
 def test_verdicts(spark):
@@ -113,3 +122,27 @@ def test_restating_stream_rewrites_only_its_days(spark, tmp_path):
     q = spark.readStream.schema("day date, n int").parquet(src).writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(J.restate_sink(out)).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 20]
+
+
+def test_nearest_at_high_latitude_and_across_the_date_line(spark):
+    pts = spark.createDataFrame([(1, 60.0, 10.0), (2, 80.0, 10.0), (3, 10.0, 179.999), (4, 89.99, 0.0)], "k int, lat double, lon double")
+    sites = spark.createDataFrame([(1, 60.0, 10.063), (2, 80.0, 10.18), (3, 10.0, -179.99), (4, 89.99, 120.0)], "site_id int, lat double, lon double")
+    got = {r.k: r.site_id for r in G.nearest(pts, sites, "k", 4.0, 0.05).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    both = pts.withColumn("pass_id", F.lit("p")).select("k", "lat", "lon", "pass_id").union(sites.selectExpr("site_id + 10", "lat", "lon", "'p'"))
+    n = {r.k: r.near_n for r in G.same_pass_counts(both, "k", radius_km=4.0).collect()}
+    assert set(n.values()) == {2}
+
+
+def test_crossings_count_each_direction(spark):
+    ts = "2024-01-01 0{}:00:00"
+    rows = [("v", ts.format(h), 30.5, lon) for h, lon in ((0, 40.4), (1, 40.6), (2, 40.4))] + [("far", ts.format(0), 33.0, 40.4), ("far", ts.format(1), 33.0, 40.6)]
+    f = spark.createDataFrame(rows, "vessel string, s string, lat double, lon double").withColumn("ts", F.to_timestamp("s"))
+    got = sorted((r.vessel, r.dir) for r in T.crossings(f, [("g", 30.0, 40.5, 31.0, 40.5, "west", "east")]).collect())
+    assert got == [("v", "east"), ("v", "west")]
+
+
+def test_heading_by_great_circle(spark):
+    d = spark.createDataFrame([(1, 0.0, 0.0, 90.0), (2, 0.0, 0.0, 0.0), (3, 0.0, 9.9, 90.0)], "k int, lat double, lon double, track double")
+    got = {r.k: r.base for r in G.heading_base(d, [("e", 0.0, 10.0), ("far", 0.0, 20.0), ("n", 40.0, 0.0)]).collect()}
+    assert got == {1: "e", 2: None, 3: "far"}  # 40 degrees north is 2,400 miles; 0.1 degrees are 6

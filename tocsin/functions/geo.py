@@ -13,8 +13,8 @@ def haversine(lat1, lon1, lat2, lon2, radius=EARTH_KM) -> Column:
 
 
 def flat_km(lat1, lon1, lat2, lon2) -> Column:
-    """Flat-earth distance, good to a few percent within a grid cell."""
-    dx = (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
+    """Flat-earth distance, good to a few percent within a grid cell; the shorter way round."""
+    dx = turn(lon2, lon1) * F.cos(F.radians((lat1 + lat2) / 2))
     return KM_PER_DEGREE * F.sqrt(F.pow(lat2 - lat1, 2) + F.pow(dx, 2))
 
 
@@ -40,6 +40,11 @@ def cell(x, size) -> Column:
     return F.floor(x / size).cast("int")
 
 
+def ring_cell(lon, size, step=0) -> Column:
+    """Cell of a longitude on the closed ring of cells, or the one `step` cells on."""
+    return F.pmod(cell(lon, size) + step, F.lit(round(360 / size)))
+
+
 def in_box(lat, lon, lat_min, lat_max, lon_min, lon_max) -> Column:
     return lat.between(lat_min, lat_max) & lon.between(lon_min, lon_max)
 
@@ -48,9 +53,6 @@ def month_bit(day) -> Column:
     return F.expr(f"shiftleft(1, month({day}) - 1)") if isinstance(day, str) else F.pow(F.lit(2), F.month(day) - 1).cast("int")
 
 
-def crosses(alat, alon, blat, blon, clat, clon, dlat, dlon) -> Column:
-    """True when segment a-b properly crosses segment c-d."""
-    def side(plat, plon, qlat, qlon, rlat, rlon):
-        return (qlon - plon) * (rlat - plat) - (qlat - plat) * (rlon - plon)
-    return ((side(clat, clon, dlat, dlon, alat, alon) * side(clat, clon, dlat, dlon, blat, blon) < 0)
-            & (side(alat, alon, blat, blon, clat, clon) * side(alat, alon, blat, blon, dlat, dlon) < 0))
+def side(lat1, lon1, lat2, lon2, lat, lon) -> Column:
+    """Positive on one side of the line through two places, negative on the other."""
+    return (lon2 - lon1) * (lat - lat1) - (lat2 - lat1) * (lon - lon1)

@@ -1,4 +1,5 @@
-"""Exact tail probabilities as column expressions (log factorials are summed, never multiplied)."""
+"""Exact tail probabilities as column expressions. Terms are carried as logarithms and summed from the largest seen, so that neither a
+far tail nor a sum from below the mode leaves the range of a double."""
 from pyspark.sql import Column, functions as F
 
 
@@ -8,27 +9,28 @@ def log_choose(n, k) -> Column:
     return F.coalesce(F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.log((n - k + i) / i)), F.lit(0.0))
 
 
+def _sum_of_terms(lo, hi, first, ratio) -> Column:
+    """Sum of terms lo..hi: the logarithm of the first, and of each next over the one before."""
+    def add(a, i):
+        top = F.greatest(a["top"], a["term"])
+        return F.struct((a["term"] + ratio(i)).alias("term"), top.alias("top"),
+                        (a["sum"] * F.exp(a["top"] - top) + F.exp(a["term"] - top)).alias("sum"))
+    start = F.struct(first.alias("term"), first.alias("top"), F.lit(0.0).alias("sum"))
+    total = F.aggregate(F.sequence(lo.cast("long"), F.greatest(hi, lo).cast("long")), start, add, lambda a: F.exp(a["top"] + F.log(a["sum"])))
+    return F.least(F.lit(1.0), total)
+
+
 def binomial_tail(k, n, p) -> Column:
     """P(X >= k) for X ~ Binomial(n, p). The terms follow from one another, so only the first needs factorials."""
-    first = F.exp(log_choose(n, k) + k * F.log(p) + (n - k) * F.log(1 - p))
-    grow = p / (1 - p)
-    acc = F.struct(first.alias("t"), F.lit(0.0).alias("s"))
-    total = F.aggregate(
-        F.sequence(k.cast("long"), F.greatest(n, k).cast("long")), acc,
-        lambda a, i: F.struct((a["t"] * (n - i) / (i + 1) * grow).alias("t"), (a["s"] + a["t"]).alias("s")),
-        lambda a: a["s"])
-    return (F.when(k <= 0, 1.0).when(p <= 0, 0.0).when(p >= 1, 1.0)
-            .otherwise(F.least(F.lit(1.0), total)))
+    first = log_choose(n, k) + k * F.log(p) + (n - k) * F.log(1 - p)
+    odds = F.log(p) - F.log(1 - p)
+    total = _sum_of_terms(k, n, first, lambda i: F.log(F.greatest(n - i, F.lit(1)) / (i + 1)) + odds)
+    return (F.when(k <= 0, 1.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(total))
 
 
 def fisher_upper(a, b, c, d) -> Column:
     """One-sided Fisher exact p for a 2x2 table: chance of `a` or more in the first cell with the margins held."""
     row, col, n = a + b, a + c, a + b + c + d
-    top = F.least(row, col)
-    first = F.exp(log_choose(col, a) + log_choose(n - col, row - a) - log_choose(n, row))
-    acc = F.struct(first.alias("t"), F.lit(0.0).alias("s"))
-    return F.least(F.lit(1.0), F.aggregate(
-        F.sequence(a.cast("long"), top.cast("long")), acc,
-        lambda s, i: F.struct((s["t"] * ((col - i) * (row - i)) / ((i + 1) * (n - col - row + i + 1))).alias("t"),
-                              (s["s"] + s["t"]).alias("s")),
-        lambda s: s["s"]))
+    first = log_choose(col, a) + log_choose(n - col, row - a) - log_choose(n, row)
+    return _sum_of_terms(a, F.least(row, col), first, lambda i: F.log(
+        F.greatest((col - i) * (row - i), F.lit(1)) / ((i + 1) * (n - col - row + i + 1))))

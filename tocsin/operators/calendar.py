@@ -41,8 +41,9 @@ def zero_fill(counts: DataFrame, key_rows: DataFrame, keys, bounds: DataFrame, m
     `bounds` has one row with `lo` and `hi`; the calendar is generated per key, so no cross join is planned.
     """
     keys = list(keys)
+    ends = bounds.select(F.struct("lo", "hi").alias("ends")).scalar()  # one pass for both
     grid = key_rows.select(*keys).withColumn(
-        day, F.explode(F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar(), F.expr(f"interval {step}"))))
+        day, F.explode(F.sequence(ends.getField("lo"), ends.getField("hi"), F.expr(f"interval {step}"))))
     return (grid.join(counts, [*keys, day], "left")
             .select(*keys, day, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures]))
 

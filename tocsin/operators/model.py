@@ -87,8 +87,8 @@ def shrink_grid(oos: DataFrame, by=(), raw="raw", base="base", y="y") -> DataFra
 def nested_publish(oos: DataFrame, first_year: int, year="year") -> DataFrame:
     """Published probability with (gamma, phi) fitted on earlier test years only; the defaults for the first two."""
     years = oos.select(year).distinct()
-    past = oos.withColumn("target", F.explode(F.sequence(F.col(year) + 1, F.col(year) + 50))).join(
-        years.withColumnRenamed(year, "target"), "target")
+    all_years = years.select(F.array_sort(F.collect_set(year))).scalar()  # one number per year
+    past = oos.withColumn("_years", all_years).withColumn("target", F.explode(F.filter("_years", lambda t: t > F.col(year)))).drop("_years")
     fitted = shrink_grid(past, ["target"]).select(F.col("target").alias(year), "gamma", "phi")
     d = oos.join(fitted, year, "left")
     own = F.col(year) >= first_year + 2
@@ -224,19 +224,3 @@ def boosted(train: DataFrame, test: DataFrame, cols, y="y", trees=20, depth=3) -
     va = VectorAssembler(inputCols=list(cols), outputCol="features")
     m = GBTClassifier(labelCol=y, maxIter=trees, maxDepth=depth, seed=1).fit(va.transform(train.withColumn(y, F.col(y).cast("double"))))
     return m.transform(va.transform(test)).withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
-def merge_duplicate_families(pairs):
-    """Greedy one-to-one merge of (corr, a, b) pairs, strongest first; a catalogue-sized list on the driver."""
-    used, out = set(), []
-    for r, a, b in sorted(pairs, reverse=True):
-        if a not in used and b not in used:
-            used |= {a, b}
-            out.append((a, b, r))
-    return out
-
-
-def support_weighted_lambda(counts, lam):
-    """Ridge per family scaled by how much data backs it (more data, less shrinkage)."""
-    top = max(counts.values())
-    return {f: lam * top / max(n, 1) for f, n in counts.items()}

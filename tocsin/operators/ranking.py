@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tocsin.operators.lineage import stable
 
-RANGES = 64
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def ordered_scan(df: DataFrame, order: str, measures: dict, by=(), reverse=False, ranges=RANGES) -> DataFrame:
+def ordered_scan(df: DataFrame, order: str, measures: dict, by=(), reverse=False, ranges=None) -> DataFrame:
     """Totals per distinct (by, order) value plus, as `<name>_before`, the running total of all values ahead of it.
 
     measures: name -> (kind, Column) with kind one of sum / min / max. reverse scans from the largest value down.
-    A NULL `_before` (nothing ahead) becomes 0 for sums.
+    A NULL `_before` (nothing ahead) becomes 0 for sums. There are as many ranges as the session has shuffle partitions, if not told.
     """
     by = list(by)
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     compact = stable(df.groupBy(*by, order).agg(*[_AGG[k](c).alias(n) for n, (k, c) in measures.items()]))
     cuts = compact.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10000).alias("c")).scalar()
     cut = compact.withColumn("_cuts", cuts).withColumn(
@@ -40,7 +40,7 @@ def ordered_scan(df: DataFrame, order: str, measures: dict, by=(), reverse=False
     return out.select(*by, order, *measures, *[before(n, k).alias(f"{n}_before") for n, (k, _) in measures.items()])
 
 
-def average_ranks(df: DataFrame, value: str, by=(), ranges=RANGES) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by=(), ranges=None) -> DataFrame:
     """Distinct values with their tie-averaged rank (1-based), count and group size."""
     s = ordered_scan(df.where(F.col(value).isNotNull()), value, {"n": ("sum", F.lit(1))}, by, ranges=ranges)
     size = F.max(F.col("n_before") + F.col("n")).alias("group_n")
@@ -48,7 +48,7 @@ def average_ranks(df: DataFrame, value: str, by=(), ranges=RANGES) -> DataFrame:
     return s.select(*by, value, "n", "group_n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs, by=(), method="linear", ranges=RANGES) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs, by=(), method="linear", ranges=None) -> DataFrame:
     """Exact quantiles per group, one column q0, q1, ... per entry of probs.
 
     method 'linear' interpolates between order statistics; 'index' takes the value at floor(p * n), capped at the last.

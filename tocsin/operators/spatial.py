@@ -1,12 +1,14 @@
 """Spatial joins on grids, heat-detection classing against an archive, scene scoring and site states."""
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tocsin.functions import geo, scoring as S
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, lat="lat", lon="lon") -> DataFrame:
-    """Every (point, box) match. Boxes are a fixed dimension of a few dozen rows, so they are broadcast."""
-    return points.join(F.broadcast(boxes), F.col(lat).between(F.col("lat_min"), F.col("lat_max")) & F.col(lon).between(F.col("lon_min"), F.col("lon_max")))
+    """Every (point, box) match. The side of the boxes is broadcast by the caller if it is a fixed list."""
+    return points.join(boxes, F.col(lat).between(F.col("lat_min"), F.col("lat_max")) & F.col(lon).between(F.col("lon_min"), F.col("lon_max")))
 
 
 def first_box(points: DataFrame, boxes: DataFrame, key) -> DataFrame:
@@ -15,31 +17,43 @@ def first_box(points: DataFrame, boxes: DataFrame, key) -> DataFrame:
     return points.join(hit, key, "left")
 
 
-def neighbours(df: DataFrame, size, lat="lat", lon="lon", lat_reach=1, lon_reach=1) -> DataFrame:
-    """Each row copied to its own and the surrounding grid cells, as join keys _ci, _cj."""
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
-                     for a in range(-lat_reach, lat_reach + 1) for b in range(-lon_reach, lon_reach + 1)])
-    return (df.withColumn("_nb", F.explode(near))
-            .withColumn("_ci", geo.cell(F.col(lat), size) + F.col("_nb.a")).withColumn("_cj", geo.cell(F.col(lon), size) + F.col("_nb.b")).drop("_nb"))
-
-
-def nearest(points: DataFrame, sites: DataFrame, key, radius_km, size, extra=None, tie="site_id") -> DataFrame:
-    """Nearest site within `radius_km` of each point (left join). Sites are copied to the neighbouring cells and the large
-    side only gets a cell id, so a busy cell stays splittable; the cell must be wider than the radius."""
-    s = neighbours(sites.withColumnRenamed("lat", "s_lat").withColumnRenamed("lon", "s_lon"), size, "s_lat", "s_lon")
-    p = points.withColumn("_ci", geo.cell(F.col("lat"), size)).withColumn("_cj", geo.cell(F.col("lon"), size))
-    j = p.join(s, ["_ci", "_cj"]).withColumn("km", geo.flat_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
-    j = j.where(F.col("km") <= radius_km)
-    if extra is not None:
-        j = j.where(extra)
-    best = j.groupBy(key).agg(F.min(F.struct("km", tie)).alias("_b"))
+def neighbours(df: DataFrame, size, radius_km, lat="lat", lon="lon") -> DataFrame:
+    """Each row copied to every grid cell that its radius can reach, as join keys _ci, _cj.
+
+    Degrees of longitude shrink with the cosine of the latitude, taken at the poleward edge of the reach; cells close round the globe."""
+    ring = round(360 / size)
+    edge = F.abs(F.col(lat)) + radius_km / geo.KM_PER_DEGREE
+    wide = F.when(edge >= 89.9, ring).otherwise(F.ceil(radius_km / (geo.KM_PER_DEGREE * size * F.cos(F.radians(edge)))))
+    reach = F.least(wide, F.lit((ring - 1) // 2)).cast("int")
+    up = math.ceil(radius_km / (geo.KM_PER_DEGREE * size))
+    return (df.withColumn("_a", F.explode(F.sequence(F.lit(-up), F.lit(up)))).withColumn("_b", F.explode(F.sequence(-reach, reach)))
+            .withColumn("_ci", geo.cell(F.col(lat), size) + F.col("_a")).withColumn("_cj", geo.ring_cell(F.col(lon), size, F.col("_b"))).drop("_a", "_b"))
+
+
+def in_cells(df: DataFrame, size, lat="lat", lon="lon") -> DataFrame:
+    """Each row with its own cell, to meet `neighbours`."""
+    return df.withColumn("_ci", geo.cell(F.col(lat), size)).withColumn("_cj", geo.ring_cell(F.col(lon), size))
+
+
+def nearest(points: DataFrame, sites: DataFrame, key, radius_km, size, tie="site_id") -> DataFrame:
+    """Nearest site within `radius_km` of each point (left join), at any latitude. Sites are copied to the cells they reach and the
+    large side only gets a cell id, so a busy cell stays splittable."""
+    s = neighbours(sites.withColumnRenamed("lat", "s_lat").withColumnRenamed("lon", "s_lon"), size, radius_km, "s_lat", "s_lon")
+    j = in_cells(points, size).join(s, ["_ci", "_cj"]).withColumn("km", geo.flat_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
+    best = j.where(F.col("km") <= radius_km).groupBy(key).agg(F.min(F.struct("km", tie)).alias("_b"))
     return points.join(best, key, "left").select(*points.columns, F.col(f"_b.{tie}").alias(tie), F.col("_b.km").alias("km"))
 
 
-def heading_base(tracks: DataFrame, bases: DataFrame, key, radius_km, size, within=20) -> DataFrame:
-    """Nearest base that lies within `within` degrees of the track."""
-    off = F.abs(geo.turn(geo.bearing(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")), F.col("track")))
-    return nearest(tracks, bases, key, radius_km, size, extra=off <= within)
+def heading_base(tracks: DataFrame, bases, within=20, least_nm=25, most_nm=1400) -> DataFrame:
+    """Nearest base of a fixed list of (base, lat, lon) that lies within `within` degrees of the track, by great circle."""
+    lat, lon = F.col("lat"), F.col("lon")
+
+    def one(base, b_lat, b_lon):
+        nm = geo.haversine(lat, lon, F.lit(b_lat), F.lit(b_lon), geo.EARTH_NM)
+        off = F.abs(geo.turn(geo.bearing(lat, lon, F.lit(b_lat), F.lit(b_lon)), F.col("track")))
+        return F.when(nm.between(least_nm, most_nm) & (off <= within), F.struct(nm.alias("nm"), F.lit(base).alias("base")))
+    best = F.array_min(F.array_compact(F.array(*[one(*b) for b in bases])))
+    return tracks.withColumn("_b", best).select(*tracks.columns, "_b.base", "_b.nm")
 
 
 def same_pass_counts(points: DataFrame, key, pass_col="pass_id", radius_km=2.0, size=0.02) -> DataFrame:
@@ -48,19 +62,17 @@ def same_pass_counts(points: DataFrame, key, pass_col="pass_id", radius_km=2.0,
     Positions are reduced to distinct places with a count first, so copies of one place never pair with each other.
     """
     places = points.groupBy(pass_col, "lat", "lon").agg(F.count(F.lit(1)).alias("_k"))
-    a = places.withColumn("_ci", geo.cell(F.col("lat"), size)).withColumn("_cj", geo.cell(F.col("lon"), size))
-    b = neighbours(places.select(pass_col, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("_k").alias("_k2")), size, "lat2", "lon2", 1, 2)
-    near = a.join(b, [pass_col, "_ci", "_cj"]).where(geo.flat_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= radius_km)
+    b = neighbours(places.select(pass_col, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("_k").alias("_k2")), size, radius_km, "lat2", "lon2")
+    near = in_cells(places, size).join(b, [pass_col, "_ci", "_cj"]).where(geo.flat_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= radius_km)
     n = near.groupBy(pass_col, "lat", "lon").agg(F.sum("_k2").alias("near_n"))
     return points.join(n, [pass_col, "lat", "lon"])
 
 
 def near_listed(points: DataFrame, listed: DataFrame, key, radius_km=1.0, days=1, size=0.05) -> DataFrame:
     """Flag points within the radius and `days` of a listed one (second opinion)."""
-    l = neighbours(listed.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("day").alias("day2")), size, "lat2", "lon2")
+    l = neighbours(listed.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("day").alias("day2")), size, radius_km, "lat2", "lon2")
     l = l.withColumn("day", F.explode(F.sequence(F.date_sub("day2", days), F.date_add("day2", days))))
-    p = points.withColumn("_ci", geo.cell(F.col("lat"), size)).withColumn("_cj", geo.cell(F.col("lon"), size))
-    hit = p.join(l, ["_ci", "_cj", "day"]).where(geo.flat_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= radius_km)
+    hit = in_cells(points, size).join(l, ["_ci", "_cj", "day"]).where(geo.flat_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= radius_km)
     return points.join(hit.select(key).distinct().withColumn("listed", F.lit(True)), key, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 

@@ -58,9 +58,8 @@ def feed_table(ev: DataFrame, by="family", key="theatre", zmin=2.0) -> DataFrame
 
 def case_detection(cases: DataFrame, det: DataFrame, settings, radius_km=3.0, size=0.05) -> DataFrame:
     """Per score setting: cases with a detection at or above it within the radius on the day, and detections flagged in all."""
-    c = G.neighbours(cases.select("case_id", "day", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), size, "lat2", "lon2")
-    d = det.withColumn("_ci", geo.cell(F.col("lat"), size)).withColumn("_cj", geo.cell(F.col("lon"), size))
-    near = d.join(c, ["_ci", "_cj", "day"]).where(geo.flat_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= radius_km)
+    c = G.neighbours(cases.select("case_id", "day", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), size, radius_km, "lat2", "lon2")
+    near = G.in_cells(det, size).join(c, ["_ci", "_cj", "day"]).where(geo.flat_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= radius_km)
     best = near.groupBy("case_id").agg(F.max("score").alias("best"))
     caught = best.agg(*[F.count_if(F.col("best") >= s).alias(f"c{i}") for i, s in enumerate(settings)])
     flagged = det.agg(*[F.count_if(F.col("score") >= s).alias(f"f{i}") for i, s in enumerate(settings)])

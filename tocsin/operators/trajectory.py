@@ -10,6 +10,7 @@ TURNBACK_S, TURNBACK_MAX_S, SEEN_GAP_S = 1200, 4 * 3600, 600
 HOLD_FT, HOLD_KM, HOLD_DEG = 20000, 60, 720
 APPROACH_KM, APPROACH_FT, DIVERT_KM = 150, 20000, 50
 BLOCK_S = 86400
+GATE_KM = 30
 
 
 def legs(trace: DataFrame, key="icao", gap=GAP_S, max_gap=MAX_GAP_S, least_s=MIN_AIR_S, least_n=MIN_POINTS) -> DataFrame:
@@ -22,21 +23,23 @@ def legs(trace: DataFrame, key="icao", gap=GAP_S, max_gap=MAX_GAP_S, least_s=MIN
     its points are bounded by one transponder's report rate.
     """
     w = Window.partitionBy(key).orderBy("t")
+    low_at, call = F.when(F.col("low"), F.col("near")), F.nullif(F.col("call"), F.lit(""))
     d = trace.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    d = d.withColumn("_pt", F.lag("t").over(w)).withColumn("_pg", F.lag("on_ground").over(w)).withColumn("_pnear", F.lag("near").over(w)).withColumn("_plow", F.lag("low").over(w))
-    d = d.withColumn("_dt", F.col("t") - F.col("_pt"))
-    d = d.withColumn("_seg0", F.sum(F.when(F.coalesce("_pg", F.lit(True)) | F.col("on_ground"), 1).otherwise(0)).over(w))
-    carried = F.last(F.nullif(F.col("call"), F.lit("")), ignorenulls=True).over(Window.partitionBy(key, "_seg0").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
-    newcall = carried.isNotNull() & (F.coalesce("call", F.lit("")) != "") & (F.col("call") != carried)
-    gapcut = (F.col("_dt") > gap) & ((F.coalesce("_plow", F.lit(False)) & F.col("_pnear").isNotNull()) | (F.col("_dt") > max_gap))
-    start = ~F.col("on_ground") & (F.col("_pt").isNull() | F.coalesce("_pg", F.lit(False)) | newcall | gapcut)
+    d = d.withColumn("_dt", F.col("t") - F.lag("t").over(w)).withColumn("_pg", F.lag("on_ground").over(w)).withColumn("_pnear", F.lag("near").over(w))
+    d = d.withColumn("_cut", F.coalesce((F.col("_dt") > gap) & (F.lag(low_at).over(w).isNotNull() | (F.col("_dt") > max_gap)), F.lit(False)))
+    # the callsign a point leaves behind: the last one heard since the ground or a cut, none after the ground
+    d = d.withColumn("_seg", F.sum(F.when(F.coalesce("_pg", F.lit(True)) | F.col("_cut"), 1).otherwise(0)).over(w))
+    heard = F.last(call, ignorenulls=True).over(Window.partitionBy(key, "_seg").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_heard", F.when(~F.col("on_ground"), heard))
+    d = d.withColumn("_new", F.coalesce(F.lag("_heard").over(w) != call, F.lit(False)))
+    start = ~F.col("on_ground") & (F.coalesce("_pg", F.lit(True)) | F.col("_new") | F.col("_cut"))
     d = d.withColumn("_start", start).withColumn("leg", F.sum(F.col("_start").cast("int")).over(w))
-    d = d.withColumn("_ng", F.lead("on_ground").over(w)).withColumn("_nnear", F.lead("near").over(w)).withColumn("_ndt", F.lead("t").over(w) - F.col("t"))
-    d = d.withColumn("_ncallcut", F.lead(newcall).over(w))
+    nxt = {c: F.lead(c).over(w) for c in ("_new", "_cut", "on_ground", "near")}
+    arr = (F.when(F.coalesce(nxt["_new"], F.lit(False)), F.lit(None)).when(F.coalesce(nxt["_cut"], F.lit(False)), low_at)
+           .when(F.coalesce(nxt["on_ground"], F.lit(False)), nxt["near"]).otherwise(low_at))
+    d = d.withColumn("_arr", arr)
     air = d.where(~F.col("on_ground"))
-    dep = F.when(F.col("_pg") & (F.col("_dt") <= gap), F.col("_pnear")).when(F.col("low"), F.col("near"))
-    arr = (F.when(F.coalesce("_ncallcut", F.lit(False)), F.lit(None)).when(F.coalesce("_ng", F.lit(False)) & (F.col("_ndt") <= gap), F.col("_nnear"))
-           .when(F.col("low"), F.col("near")))
+    dep, arr = F.when(F.col("_pg") & (F.col("_dt") <= gap), F.col("_pnear")).otherwise(low_at), F.col("_arr")
     g = air.groupBy(key, "leg").agg(
         F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("points"), F.mode(F.nullif(F.col("call"), F.lit("")), True).alias("call"),
         F.min_by(dep, "t").alias("dep"), F.max_by(arr, "t").alias("arr"), F.coalesce(F.max(F.when(~F.col("_start"), F.col("_dt"))), F.lit(0)).alias("gap"))
@@ -104,17 +107,23 @@ def newest_vs_usual(daily: DataFrame, keys, days=28) -> DataFrame:
     return d.withColumn("_l", last).where(F.col("day") == F.col("_l")).select(*keys, "day", "n", S.median(F.col("_a")).alias("usual"), "week")
 
 
-def crossings(fixes: DataFrame, gates: DataFrame, key="vessel", max_gap_s=3 * 3600) -> DataFrame:
-    """Gate crossings between consecutive fixes at most three hours apart: one per vessel and gate and day, with direction.
+def crossings(fixes: DataFrame, gates, key="vessel", max_gap_s=3 * 3600, reach_km=GATE_KM) -> DataFrame:
+    """Gate crossings between consecutive fixes at most three hours apart: vessel, gate, day, direction and the first time, so that
+    a way out and back in a day count as two.
 
-    gates is a fixed handful of lines (gate, lat1, lon1, lat2, lon2) and is broadcast.
+    gates is a fixed list of (gate, lat1, lon1, lat2, lon2, to, back): the fixes lie on different sides of its line and both within reach of its
+    middle; `to` names the direction towards the positive side. The list becomes an array, so there is no join.
     """
     w = Window.partitionBy(key).orderBy("ts")
     d = fixes.withColumn("_pla", F.lag("lat").over(w)).withColumn("_plo", F.lag("lon").over(w)).withColumn("_pt", F.lag("ts").over(w))
     d = d.where(F.col("_pt").isNotNull() & (F.timestamp_diff("SECOND", F.col("_pt"), F.col("ts")) <= max_gap_s))
-    x = d.join(F.broadcast(gates), geo.crosses(F.col("_pla"), F.col("_plo"), F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
-    x = x.withColumn("day", F.to_date("ts")).withColumn("dir", F.when(F.col("lon") > F.col("_plo"), "east").otherwise("west"))
-    return x.groupBy(key, "gate", "day").agg(F.min_by("dir", "ts").alias("dir"), F.min("ts").alias("first_ts"))
+
+    def at(gate, la1, lo1, la2, lo2, to, back):
+        before, after = (geo.side(F.lit(la1), F.lit(lo1), F.lit(la2), F.lit(lo2), F.col(la), F.col(lo)) for la, lo in (("_pla", "_plo"), ("lat", "lon")))
+        km = [geo.flat_km(F.col(la), F.col(lo), F.lit((la1 + la2) / 2), F.lit((lo1 + lo2) / 2)) for la, lo in (("_pla", "_plo"), ("lat", "lon"))]
+        return F.when((before * after < 0) & (F.greatest(*km) <= reach_km), F.struct(F.lit(gate).alias("gate"), F.when(after > 0, to).otherwise(back).alias("dir")))
+    x = d.select(key, "ts", F.to_date("ts").alias("day"), F.inline(F.array_compact(F.array(*[at(*g) for g in gates]))))
+    return x.groupBy(key, "gate", "day", "dir").agg(F.min("ts").alias("first_ts"))
 
 
 def presence(fixes: DataFrame, regions: DataFrame, key="vessel") -> DataFrame:

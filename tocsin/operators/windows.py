@@ -1,4 +1,6 @@
 """Window operators over daily series: runs, onsets, trailing counts, tell primitives, smoothing, thresholds."""
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tocsin.functions import scoring as S
@@ -103,11 +105,14 @@ def rolling_max(z: DataFrame, keys, days=30, need=15, value="z") -> DataFrame:
 
 
 def ewma(points: DataFrame, keys, alpha=0.3, value="value") -> DataFrame:
-    """Exponentially weighted mean, seeded with the first value. Folded over each series' own array, in order."""
-    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    arr = F.collect_list(value).over(w)
+    """Exponentially weighted mean, seeded with the first value.
+
+    A fold over a frame of fixed length: points before it weigh less than a double can tell (exp(-40)), so the seed matters only
+    where it is inside the frame."""
+    frame = math.ceil(-40 / math.log(1 - alpha))
+    arr = F.collect_list(value).over(Window.partitionBy(*keys).orderBy("day").rowsBetween(-frame, 0))
     return (points.withColumn("_a", arr)
-            .withColumn("ewma", F.aggregate(F.slice("_a", 2, 1000000), F.element_at("_a", 1).cast("double"),
+            .withColumn("ewma", F.aggregate(F.slice("_a", 2, frame), F.element_at("_a", 1).cast("double"),
                                             lambda s, v: alpha * v + (1 - alpha) * s)).drop("_a"))
 
 

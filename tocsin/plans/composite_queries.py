@@ -46,7 +46,7 @@ NEED = ["points", "catalog", "bounds", "nat"]
 def items(spark, sf):
     """Newest scored item of every catalogue series."""
     hi = B.bounds(spark, sf).select("hi").scalar()
-    p = B.points(spark, sf).where(F.col("day") > F.date_sub(hi, 450)).join(F.broadcast(B.catalog(spark)), "family")
+    p = B.points(spark, sf).where(F.col("day") > F.date_sub(hi, 450)).join(B.catalog(spark), "family")
     p = p.withColumn("scale", F.coalesce("scale", F.lit("none")))
     keys = ["series_id", "nation", "domain", "direction", "late", "scale"]
     s = robust.score_daily(p, keys, scale=F.col("scale"), newest_only=True)
@@ -205,7 +205,7 @@ REPLAY = [("src", "SELECT series_id, nation, domain, direction, late, day, value
              SELECT series_id, nation, domain, direction, late, day, avg(value) OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m7, avg(value) OVER b AS mu, stddev_pop(value) OVER b AS sd,
                     row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM src WINDOW b AS (PARTITION BY series_id ORDER BY day ROWS BETWEEN 180 PRECEDING AND 31 PRECEDING)) WHERE i > 180"""),
           ("it", """SELECT nation, domain, d.day, z.series_id, z.late, greatest(0, CASE direction WHEN 'up' THEN z WHEN 'down' THEN -z ELSE abs(z) END) * CASE WHEN late THEN 0.25 ELSE 1 END AS ze
-             FROM (SELECT DISTINCT day FROM daily WHERE (day - DATE '1995-01-01') % 30 = 0) d JOIN zz z ON z.day = d.day - 1"""),
+             FROM (SELECT DISTINCT day FROM daily WHERE (day - DATE '1995-01-01') % 2 = 0) d JOIN zz z ON z.day = d.day - 1"""),
           ("doms", """SELECT nation, domain, day, sum(ze * CASE WHEN n = 1 THEN 0.7 WHEN rn = 1 THEN 0.7 ELSE 0.3 END) AS score FROM (
              SELECT *, row_number() OVER (PARTITION BY nation, domain, day ORDER BY ze DESC, series_id) AS rn, count(*) OVER (PARTITION BY nation, domain, day) AS n FROM it) GROUP BY 1, 2, 3""")]
 
@@ -215,7 +215,7 @@ REPLAY = [("src", "SELECT series_id, nation, domain, direction, late, day, value
     SELECT nation, day, sum(w * x) / sum(w) AS m, sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2 AS v FROM (
       SELECT *, 100 + 10 * score AS x, CASE domain WHEN 'demand' THEN 0.5 WHEN 'alarm' THEN 0.3 ELSE 0.2 END AS w FROM doms) GROUP BY 1, 2)""", REPLAY))
 def composite_replay(spark, sf):
-    """The composite replayed every thirty days, one day of publication lag, all theatres in one plan."""
+    """The composite replayed every second day, one day of publication lag, all theatres in one plan."""
     it = replay_items(spark, sf)
     g = it.select("theatre", "day", "domain", F.col("series_id").alias("grp"), F.col("ze").alias("z"), F.lit(1).alias("members"),
                   (~F.col("late")).alias("fast"), F.col("series_id").alias("best"))
@@ -223,11 +223,14 @@ def composite_replay(spark, sf):
     return C.composite(C.domain_scores(g, by), weights(spark), by).select("theatre", "day", *rnd("zc"))
 
 
+REPLAY_STEP = 2  # days; a fixed value of the replay
+
+
 def replay_items(spark, sf):
-    p = B.points(spark, sf).join(F.broadcast(B.catalog(spark)), "family")
+    p = B.points(spark, sf).join(B.catalog(spark), "family")
     keys = ["series_id", "nation", "domain", "direction", "late"]
     z = robust.lead_z(p.select(*keys, "day", "value"), keys)
-    z = z.withColumn("day", F.date_add("day", 1)).where(F.datediff("day", F.lit("1995-01-01").cast("date")) % 30 == 0)
+    z = z.withColumn("day", F.date_add("day", 1)).where(F.datediff("day", F.lit("1995-01-01").cast("date")) % REPLAY_STEP == 0)
     z = z.where(F.col("day") <= B.bounds(spark, sf).select("hi").scalar())
     return C.items(z.withColumnRenamed("nation", "theatre"))
 
@@ -242,16 +245,16 @@ def domain_strips(spark, sf):
 # ------------------------------------------------------------------ panel
 PANEL = [("fz", """SELECT series_id, family, nation, direction, day, (m7 - mu) / greatest(sd, 0.25 * abs(mu), 0.5) AS z FROM (
             SELECT series_id, family, nation, direction, day, avg(value) OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m7, avg(value) OVER b AS mu, stddev_pop(value) OVER b AS sd,
-                   row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM points JOIN catalog USING (family) WHERE family IN ('ord_n', 'ship_n', 'urgent_n')
+                   row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM points JOIN catalog USING (family)
             WINDOW b AS (PARTITION BY series_id ORDER BY day ROWS BETWEEN 180 PRECEDING AND 31 PRECEDING)) WHERE i > 180"""),
          ("ev", "SELECT nation, day, family, max(least(greatest(0, CASE direction WHEN 'up' THEN z WHEN 'down' THEN -z ELSE abs(z) END), 5)) AS e FROM fz GROUP BY 1, 2, 3"),
          ("par", "SELECT nation, (nation + 24) % 25 AS parent FROM nat WHERE nation % 5 = 4 UNION ALL SELECT nation, (nation + 23) % 25 FROM nat WHERE nation % 5 = 4"),
          ("pan", "SELECT nation, day, family, max(e) AS e FROM (SELECT nation, day, family, e FROM ev UNION ALL SELECT par.nation, day, family, e FROM ev JOIN par ON ev.nation = par.parent) GROUP BY 1, 2, 3")]
-FAMS = ["ord_n", "ship_n", "urgent_n"]
+FAMS = [f[0] for f in B.FAMILIES]
 
 
 def evidence(spark, sf):
-    p = B.points(spark, sf, FAMS).join(F.broadcast(B.catalog(spark)), "family")
+    p = B.points(spark, sf, FAMS).join(B.catalog(spark), "family")
     keys = ["series_id", "family", "nation", "direction"]
     z = robust.lead_z(p.select(*keys, "day", "value"), keys)
     return P.evidence(z.withColumnRenamed("nation", "theatre"))
@@ -268,9 +271,8 @@ def evidence_panel(spark, sf):
     return P.with_parents(evidence(spark, sf), parents(spark, sf)).select("theatre", "day", "family", *rnd("e"))
 
 
-@query("evidence_panel_wide", with_ctes(["points", "catalog", "nat"], """
-  SELECT nation AS theatre, day, round(max(e) FILTER (WHERE family = 'ord_n'), 6) AS ord_n, round(max(e) FILTER (WHERE family = 'ship_n'), 6) AS ship_n, round(max(e) FILTER (WHERE family = 'urgent_n'), 6) AS urgent_n
-  FROM pan GROUP BY 1, 2""", PANEL))
+@query("evidence_panel_wide", with_ctes(["points", "catalog", "nat"], "SELECT nation AS theatre, day, " + ", ".join(
+    f"round(max(e) FILTER (WHERE family = '{f}'), 6) AS {f}" for f in FAMS) + " FROM pan GROUP BY 1, 2", PANEL))
 def evidence_panel_wide(spark, sf):
     return P.wide(P.with_parents(evidence(spark, sf), parents(spark, sf)), FAMS).select("theatre", "day", *rnd(*FAMS))
 
@@ -282,14 +284,16 @@ def family_names(spark, sf):
 
 
 @query("cross_domain_features", with_ctes(["points", "catalog", "nat"], """
-  SELECT nation AS theatre, day, round(max(z), 6) AS "any", count(*) FILTER (WHERE z >= 1.5) AS domains_up, round(avg(least(greatest(z, 0), 5)), 6) AS mean_z,
-         round(least(max(z) FILTER (WHERE family = 'ord_n'), greatest(max(z) FILTER (WHERE family = 'ship_n'), max(z) FILTER (WHERE family = 'urgent_n'))), 6) AS together
-  FROM fz GROUP BY 1, 2 HAVING count(*) = 3""", PANEL[:1]))
+  SELECT theatre, day, "any", domains_up, mean_z, together FROM (
+    SELECT nation AS theatre, day, round(max(z), 6) AS "any", count(*) FILTER (WHERE z >= 1.5) AS domains_up, round(avg(least(greatest(z, 0), 5)), 6) AS mean_z
+    FROM (SELECT nation, day, domain, max(z) AS z FROM fz JOIN catalog USING (family) WHERE z IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(*) = 3)
+  JOIN (SELECT nation AS theatre, day, round(least(max(z) FILTER (WHERE family = 'ord_n'), greatest(max(z) FILTER (WHERE family = 'ship_n'), max(z) FILTER (WHERE family = 'urgent_n'))), 6) AS together
+    FROM fz GROUP BY 1, 2) USING (theatre, day)""", PANEL[:1]))
 def cross_domain_features(spark, sf):
     """Domains that are up together, mean clipped z, and the co-occurrence feature."""
     p = B.points(spark, sf, FAMS)
     z = robust.lead_z(p.select("series_id", "family", "nation", "day", "value"), ["series_id", "family", "nation"]).withColumnRenamed("nation", "theatre")
-    f = P.domain_features(z.withColumnRenamed("family", "domain"))
+    f = P.domain_features(z.where(F.col("z").isNotNull()).join(B.catalog(spark).select("family", "domain"), "family"))
     w = z.groupBy("theatre", "day").agg(*[F.max(F.when(F.col("family") == c, F.col("z"))).alias(c) for c in FAMS])
     w = w.select("theatre", "day", P.co_occurrence(w, "ord_n", "ship_n", "urgent_n").alias("together"))
     return f.join(w, ["theatre", "day"]).select("theatre", "day", *rnd("any"), "domains_up", *rnd("mean_z", "together"))
@@ -311,7 +315,18 @@ OFFSETS_T = [str(i) for i in range(25)]
 OFFSETS = [f"t_{t}" for t in OFFSETS_T]
 HIST = ["h1", "h3", "hs"]
 W = [f"w_{f}" for f in FAMS]
-YEARS = (1999, 2000, 2001)
+TRAINING_YEARS = 4
+
+
+def test_years(rows):
+    """Years that are judged: all but the first few, which only train. One number per year comes to the driver."""
+    return sorted(r["y"] for r in rows.select(F.year("day").alias("y")).distinct().collect())[TRAINING_YEARS:]
+
+
+def before_and_after(rows):
+    """Rows before the last two test years, and those of them and later."""
+    cut = F.make_date(F.lit(test_years(rows)[-2]), F.lit(1), F.lit(1))
+    return rows.where(F.col("day") < cut), rows.where(F.col("day") >= cut)
 
 
 @query("design_matrix", with_ctes(["points", "catalog", "nat", "labels", "hits"], """
@@ -379,13 +394,15 @@ def market_blend(spark, sf):
 @query("rolling_origin_forecast")
 def rolling_origin_forecast(spark, sf):
     """Penalised fits on earlier years, judged on each test year."""
-    r = M.rolling(model_rows(spark, sf), OFFSETS, HIST, W, 3.0, YEARS)
+    rows = model_rows(spark, sf)
+    r = M.rolling(rows, OFFSETS, HIST, W, 3.0, test_years(rows))
     return r.select("theatre", "day", "y", "year", *rnd("raw", "base"))
 
 
 @query("history_only_forecast")
 def history_only_forecast(spark, sf):
-    r = M.rolling(model_rows(spark, sf), OFFSETS, HIST, [], 3.0, YEARS[-1:])
+    rows = model_rows(spark, sf)
+    r = M.rolling(rows, OFFSETS, HIST, [], 3.0, test_years(rows))
     return r.select("theatre", "day", "y", "year", *rnd("raw", "base"))
 
 
@@ -402,7 +419,7 @@ def bootstrap_intervals(spark, sf):
     rows = model_rows(spark, sf)
     newest = rows.where(F.col("day") == rows.agg(F.max("day").alias("d")).scalar())
     parts = None
-    for theta in M.bootstrap(rows.where("lab"), OFFSETS, HIST, W, 3.0, reps=4):
+    for theta in M.bootstrap(rows.where("lab"), OFFSETS, HIST, W, 3.0, reps=40):
         p = newest.select("theatre", M.raw_probability(theta).alias("p"))
         parts = p if parts is None else parts.unionByName(p)
     return M.interval(parts, ["theatre"]).select("theatre", *rnd("lo", "hi"))
@@ -417,9 +434,9 @@ def sub_theatre_offsets(spark, sf):
 
 @query("recalibrated_probability")
 def recalibrated_probability(spark, sf):
-    """Isotonic and two-parameter logistic maps fitted before 2000, applied from 2000 on."""
+    """Isotonic and two-parameter logistic maps fitted on the years before the last two, applied to those."""
     f = stable(B.forecast(spark, sf).where("lab").select("nation", "day", "p", "y"))
-    train, test = f.where("day < '2000-01-01'"), f.where("day >= '2000-01-01'")
+    train, test = before_and_after(f)
     c, b = M.platt(train)
     iso = M.isotonic(train, test)
     return iso.select("nation", "day", "p", F.round("q", 6).alias("isotonic"), F.round(S.sigmoid(c + b * S.logit(F.col("p"))), 6).alias("platt"))
@@ -428,7 +445,7 @@ def recalibrated_probability(spark, sf):
 @query("boosted_trees_candidate")
 def boosted_trees_candidate(spark, sf):
     rows = model_rows(spark, sf).where("lab")
-    g = M.boosted(rows.where("day < '2000-01-01'"), rows.where("day >= '2000-01-01'"), W + HIST, trees=5)
+    g = M.boosted(*before_and_after(rows), W + HIST)
     return g.select("theatre", "day", "y", *rnd("raw"))
 
 
@@ -450,7 +467,7 @@ def model_predictions(spark, sf):
     hist = L.history(B.daily(spark, sf).select("nation", "day"), B.hits(spark, sf), "nation").withColumnRenamed("nation", "theatre")
     n = B.nations(spark, sf)
     theta = n.select(F.col("nation").alias("theatre"), (-2.5 + 0.1 * F.col("nation")).alias("intercept"), F.lit(0.5).alias("c1"), F.lit(0.4).alias("c2"), F.lit(-0.3).alias("c3"))
-    fam = spark.createDataFrame([("ord_n", 0.8, False), ("ship_n", 0.3, True), ("urgent_n", 0.5, False)], "family string, w double, is_global boolean")
+    fam = spark.createDataFrame([(f, {"ord_n": 0.8, "ship_n": 0.3}.get(f, 0.5), f == "ship_n") for f in FAMS], "family string, w double, is_global boolean")
     base = n.select(F.col("nation").alias("theatre"), (0.06 + 0.002 * F.col("nation")).alias("base"))
     return M.predict(evidence(spark, sf), hist, base, theta, fam, 0.6, 0.5).select("theatre", "day", *rnd("p", "raw"))
 

@@ -46,10 +46,15 @@ def event_root_counts(spark, sf):
 WIDE = ("we", "SELECT l_shipdate::DATE AS day, s_nationkey AS country, c_nationkey AS actor1, s_nationkey AS actor2, l_linenumber AS quad, l_quantity AS tone FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey")
 
 
-@query("location_and_dyad_sums", with_ctes(["nat"], """
-  SELECT coalesce(l.theatre, d.theatre) AS theatre, coalesce(l.day, d.day) AS day, coalesce(loc_all, 0) AS loc_all, coalesce(loc_q4, 0) AS loc_q4, coalesce(dyad_all, 0) AS dyad_all, coalesce(dyad_q4, 0) AS dyad_q4 FROM
-   (SELECT region AS theatre, day, count(*) AS loc_all, count(*) FILTER (WHERE quad = 4) AS loc_q4 FROM we JOIN nat ON nation = country GROUP BY 1, 2) l FULL JOIN
-   (SELECT least(actor1, actor2) % 5 AS theatre, day, count(*) AS dyad_all, count(*) FILTER (WHERE quad = 4) AS dyad_q4 FROM we WHERE abs(actor1 - actor2) = 1 GROUP BY 1, 2) d ON l.theatre = d.theatre AND l.day = d.day""", [WIDE]))
+def _side(side, theatre, source):
+    return (f"SELECT {theatre} AS theatre, day, count(*) AS {side}_all, count(*) FILTER (WHERE quad = 3) AS {side}_q3, "
+            f"count(*) FILTER (WHERE quad = 4) AS {side}_q4, sum(tone) AS {side}_tone FROM {source} GROUP BY 1, 2")
+
+
+@query("location_and_dyad_sums", with_ctes(["nat"], "SELECT coalesce(l.theatre, d.theatre) AS theatre, coalesce(l.day, d.day) AS day, " + ", ".join(
+    f"coalesce({s}_{c}, 0) AS {s}_{c}" for s in ("loc", "dyad") for c in ("all", "q3", "q4", "tone")) + f""" FROM
+   ({_side('loc', 'region', 'we JOIN nat ON nation = country')}) l FULL JOIN
+   ({_side('dyad', 'least(actor1, actor2) % 5', 'we WHERE abs(actor1 - actor2) = 1')}) d ON l.theatre = d.theatre AND l.day = d.day""", [WIDE]))
 def location_and_dyad_sums(spark, sf):
     l = T(spark, sf, "lineitem").join(T(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(T(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     l = l.join(T(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.to_date("l_shipdate").alias("day"), F.col("s_nationkey").alias("country"),
@@ -57,7 +62,7 @@ def location_and_dyad_sums(spark, sf):
     n = B.nations(spark, sf)
     places = n.select(F.col("nation").alias("country"), F.col("region").alias("theatre"))
     dyads = n.where("nation < 24").select(F.col("nation").alias("a"), (F.col("nation") + 1).alias("b"), (F.col("nation") % 5).alias("theatre"))
-    return feeds.theatre_sums(l, places, dyads).drop("loc_tone")
+    return feeds.theatre_sums(l, places, dyads)
 
 
 @query("jsonstat_cube_decode", with_ctes([], """
@@ -329,9 +334,9 @@ def list_membership_score(spark, sf):
         (2 * F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")) + F.max((F.col("o_orderpriority") == "2-HIGH").cast("int"))).alias("score"))
 
 
-@query("title_dedupe", with_ctes([], "SELECT left(text, 20) AS prefix, min(doc_id) AS doc_id FROM documents GROUP BY 1"))
+@query("title_dedupe", with_ctes([], "SELECT left(text, 60) AS prefix, min(doc_id) AS doc_id FROM documents GROUP BY 1"))
 def title_dedupe(spark, sf):
-    return T(spark, sf, "documents").groupBy(F.left("text", F.lit(20)).alias("prefix")).agg(F.min("doc_id").alias("doc_id"))
+    return T(spark, sf, "documents").groupBy(F.left("text", F.lit(60)).alias("prefix")).agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("monthly_zero_fill", with_ctes(["monthly"], "SELECT nation, month, value FROM monthly"))
@@ -394,12 +399,13 @@ def emergency_codes(spark, sf):
 
 
 @query("news_feed", with_ctes(["hits"], """
-  SELECT kind, id, day FROM (SELECT DISTINCT 'event' AS kind, event_id AS id, day FROM hits UNION SELECT 'order', o_orderkey, o_orderdate::DATE FROM orders WHERE o_totalprice > 480000) WHERE day > DATE '2001-08-01' - 30"""))
+  SELECT kind, id, day FROM (SELECT DISTINCT 'event' AS kind, event_id AS id, day FROM hits UNION SELECT 'order', o_orderkey, o_orderdate::DATE FROM orders WHERE o_totalprice > 480000) WHERE day > (SELECT max(o_orderdate)::DATE FROM orders) - 30"""))
 def news_feed(spark, sf):
     """Several item kinds in one feed: repeats dropped, last thirty days."""
     a = B.hits(spark, sf).select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "day")
     b = T(spark, sf, "orders").where("o_totalprice > 480000").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"))
-    return a.unionByName(b).dropDuplicates(["kind", "id"]).where(F.col("day") > F.date_sub(F.lit("2001-08-01").cast("date"), 30)).orderBy(F.desc("day"))
+    return a.unionByName(b).dropDuplicates(["kind", "id"]).where(
+        F.col("day") > F.date_sub(B.bounds(spark, sf).select("hi").scalar(), 30)).orderBy(F.desc("day"))
 
 
 @query("family_union_fired", with_ctes(["daily", "ship_daily"], "SELECT nation, day, bool_or(f) AS fired, max(s) AS score FROM (SELECT nation, day, n >= 3 AS f, n AS s FROM daily UNION ALL SELECT nation, day, n >= 6, n FROM ship_daily) GROUP BY 1, 2"))
@@ -415,16 +421,23 @@ def candidates_not_listed(spark, sf):
     return B.daily(spark, sf).where("n >= 3").select("nation", "day").join(near, ["nation", "day"], "left_anti")
 
 
-@query("covered_days", with_ctes(["facts"], "SELECT day FROM facts WHERE nation = 0 INTERSECT SELECT day FROM facts WHERE nation = 1"))
+@query("covered_days", with_ctes(["facts", "nat"], """
+  SELECT c.region, c.day FROM (SELECT region, day, count(DISTINCT nation) AS k FROM facts JOIN nat USING (nation) GROUP BY 1, 2) c
+  JOIN (SELECT region, count(*) AS k FROM nat GROUP BY 1) a ON a.region = c.region AND a.k = c.k"""))
 def covered_days(spark, sf):
-    f = B.order_facts(spark, sf)
-    return f.where("nation = 0").select("day").intersect(f.where("nation = 1").select("day"))
+    """Days on which every nation of a region has an order."""
+    n = B.nations(spark, sf)
+    d = B.order_facts(spark, sf).select("nation", "day").distinct().join(n, "nation").groupBy("region", "day").agg(F.count(F.lit(1)).alias("_n"))
+    return d.join(n.groupBy("region").agg(F.count(F.lit(1)).alias("_all")), "region").where(F.col("_n") == F.col("_all")).select("region", "day")
 
 
-@query("event_ids_in_span", with_ctes(["hits"], "SELECT event_id, day FROM hits WHERE day BETWEEN DATE '1998-01-01' AND DATE '2001-06-30' ORDER BY day DESC, event_id DESC LIMIT 24"))
+@query("event_ids_in_span", with_ctes(["hits"], "SELECT event_id, day FROM hits WHERE day BETWEEN (SELECT min(o_orderdate)::DATE FROM orders) + 1096 AND (SELECT max(o_orderdate)::DATE FROM orders) - 32 ORDER BY day DESC, event_id DESC LIMIT 24"))
 def event_ids_in_span(spark, sf):
-    """Newest two dozen events inside the covered span (the length is the report's)."""
-    return B.hits(spark, sf).where("day between '1998-01-01' and '2001-06-30'").select("event_id", "day").orderBy(F.desc("day"), F.desc("event_id")).limit(24)
+    """Newest two dozen events inside the covered span, which starts three years in and ends a month before the newest day (the length
+    is the report's)."""
+    b = B.bounds(spark, sf)
+    inside = F.col("day").between(F.date_add(b.select("lo").scalar(), 1096), F.date_sub(b.select("hi").scalar(), 32))
+    return B.hits(spark, sf).where(inside).select("event_id", "day").orderBy(F.desc("day"), F.desc("event_id")).limit(24)
 
 
 @query("round_robin_headlines", with_ctes([], "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS turn FROM events) ORDER BY turn, event_type LIMIT 40"))
@@ -491,12 +504,11 @@ def advisory_levels(spark, sf):
     return lv.groupBy("region").agg(F.sum("lv").alias("level"), F.count_if(F.col("lv") == 4).alias("departures"))
 
 
-@query("market_filter", with_ctes([], "SELECT event_type AS theatre, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events WHERE value >= 20 AND json_extract(props, '$.k')::INT BETWEEN 5 AND 95) WHERE r <= 10"))
+@query("market_filter", with_ctes([], "SELECT event_type AS theatre, event_id, value FROM events WHERE value >= 20 AND json_extract(props, '$.k')::INT BETWEEN 5 AND 95"))
 def market_filter(spark, sf):
-    """Volume and price bounds, then the ten largest markets per theatre (the top list is the report)."""
+    """Markets inside the volume and price bounds."""
     e = T(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).where("value >= 20 and k between 5 and 95")
-    r = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))
-    return e.withColumn("r", r).where("r <= 10").select(F.col("event_type").alias("theatre"), "event_id", "value")
+    return e.select(F.col("event_type").alias("theatre"), "event_id", "value")
 
 
 @query("candidate_validation", with_ctes([], "SELECT conv_id, turn FROM conversations c WHERE turn + conv_id * 2 IN (SELECT doc_id FROM documents) AND role IN ('user', 'assistant') AND length(text) >= 20"))

@@ -7,7 +7,7 @@ from tocsin.operators import evaluate as E, labels as L, ranking, windows
 from tocsin.plans import bindings as B
 from tocsin.plans.bindings import with_ctes
 from tocsin.plans.registry import query
-from tocsin.plans.series_queries import rnd
+from tocsin.plans.series_queries import ALL_TELLS_SQL, TELL_SRC, all_tells, rnd
 
 
 def days(spark, sf):
@@ -394,18 +394,26 @@ def event_grouping_sets(spark, sf):
 
 
 @query("tell_replay_record", with_ctes(["ship_daily", "hits"], """
-  SELECT s.nation, count(*) AS episodes, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM hits h WHERE h.nation = s.nation AND h.day - s.day BETWEEN 1 AND 7)) AS hits FROM (
-    SELECT nation, day FROM (SELECT *, coalesce(max(fired::INT) OVER (PARTITION BY nation ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS was FROM fl
-      WHERE day >= (SELECT min(day) FROM ship_daily) + 59) WHERE fired AND was = 0) s GROUP BY 1""",
-       [("fl", """SELECT nation, day, coalesce(count(n) OVER r >= 1 AND count(n) OVER b >= 30 AND avg(n) OVER r >= 3 AND avg(n) OVER r >= 2 * median(n) OVER b, FALSE) AS fired FROM ship_daily
-          WINDOW r AS (PARTITION BY nation ORDER BY day RANGE BETWEEN INTERVAL 0 DAY PRECEDING AND CURRENT ROW), b AS (PARTITION BY nation ORDER BY day RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)""")]))
+  SELECT s.nation, s.tell, count(*) AS episodes, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM hits h WHERE h.nation = s.nation AND h.day - s.day BETWEEN 1 AND 7)) AS hits,
+         any_value(coalesce(e.events, 0)) AS events, any_value((SELECT count(*) FROM hits h WHERE h.nation = s.nation AND h.day >= (SELECT lo FROM seen)
+           AND EXISTS (SELECT 1 FROM st o WHERE o.nation = h.nation AND o.tell = s.tell AND h.day - o.day BETWEEN 1 AND 7))) AS caught
+  FROM st s LEFT JOIN (SELECT nation, count(*) AS events FROM hits WHERE day >= (SELECT lo FROM seen) GROUP BY 1) e USING (nation) GROUP BY 1, 2""",
+       [TELL_SRC, ALL_TELLS_SQL, ("seen", "SELECT min(day) + 59 AS lo FROM ship_daily"),
+        ("st", """SELECT nation, tell, day FROM (SELECT *, coalesce(max(fired::INT) OVER (PARTITION BY nation, tell ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS was FROM ft
+            WHERE day >= (SELECT lo FROM seen)) WHERE fired AND was = 0""")]))
 def tell_replay_record(spark, sf):
-    """A rule replayed over its history: episodes after seven quiet days, and how many had an event within a week."""
-    s = B.ship_daily(spark, sf).select("nation", "day", F.col("n").cast("double").alias("value"))
-    f = windows.fires(s, "sea", ["nation"]).where(F.col("day") >= F.date_add(B.bounds(spark, sf).select("lo").scalar(), 59))
-    starts = windows.fresh_onsets(f, ["nation"]).select("nation", "day")
-    near = B.hits(spark, sf).select("nation", F.explode(F.sequence(F.date_sub("day", 7), F.date_sub("day", 1))).alias("day")).distinct().withColumn("hit", F.lit(True))
-    return starts.join(near, ["nation", "day"], "left").groupBy("nation").agg(F.count(F.lit(1)).alias("episodes"), F.count_if("hit").alias("hits"))
+    """Every rule replayed over its history: episodes after seven quiet days, how many had an event within a week, and how many events were so announced."""
+    lo = F.date_add(B.bounds(spark, sf).select("lo").scalar(), 59)
+    starts = stable(windows.fresh_onsets(all_tells(spark, sf).where(F.col("day") >= lo), ["nation", "tell"]).select("nation", "tell", "day"))
+    h = stable(B.hits(spark, sf).select("nation", "day", "event_id"))
+    near = h.select("nation", F.explode(F.sequence(F.date_sub("day", 7), F.date_sub("day", 1))).alias("day")).distinct().withColumn("hit", F.lit(True))
+    record = starts.join(near, ["nation", "day"], "left").groupBy("nation", "tell").agg(F.count(F.lit(1)).alias("episodes"), F.count_if("hit").alias("hits"))
+    seen = h.where(F.col("day") >= lo)
+    after = starts.select("nation", "tell", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", 7))).alias("day")).distinct()
+    caught = seen.join(after, ["nation", "day"]).groupBy("nation", "tell").agg(F.count(F.lit(1)).alias("caught"))
+    events = seen.groupBy("nation").agg(F.count(F.lit(1)).alias("events"))
+    out = record.join(events, "nation", "left").join(caught, ["nation", "tell"], "left")
+    return out.select("nation", "tell", "episodes", "hits", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("events", "caught")])
 
 
 @query("forward_record_scores", with_ctes(["forecast"], """
@@ -441,6 +449,17 @@ def blocked_calm_windows(spark, sf):
         F.count(F.lit(1)).alias("days"), F.max("p").alias("peak")).where("days >= 4")
 
 
+@query("segment_tails", with_ctes([], """
+  SELECT segment, k, n, p, round(least(1, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))))), 6) AS p_value
+  FROM (SELECT c_mktsegment AS segment, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) t(p)"""))
+def segment_tails(spark, sf):
+    """The same chance on thousands of orders, below, at and above the mode."""
+    o = B.table(spark, sf, "orders").join(B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    c = o.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("k"), F.count(F.lit(1)).alias("n"))
+    c = c.withColumn("p", F.explode(F.array(*[F.lit(p) for p in (0.1, 0.2, 0.3)])))
+    return c.select("segment", "k", "n", "p", F.round(tails.binomial_tail(F.col("k"), F.col("n"), F.col("p")), 6).alias("p_value"))
+
+
 @query("binomial_tails", with_ctes([], """
   SELECT k, n, round(CASE WHEN k <= 0 THEN 1 ELSE least(1, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3) + (n - i) * ln(0.7))))) END, 6) AS p_value
   FROM (SELECT count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS k, count(*) AS n FROM orders GROUP BY o_custkey)"""))

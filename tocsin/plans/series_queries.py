@@ -308,7 +308,9 @@ def step_up_evidence(spark, sf):
     return transforms.step_up(p, ["nation"])
 
 
-@query("smoothed_counts")
+@query("smoothed_counts", with_ctes(["daily"], """
+  SELECT nation, day, round(list_reduce(list(n::DOUBLE) OVER (PARTITION BY nation ORDER BY day), lambda a, x: 0.3 * x + 0.7 * a), 6) AS ewma
+  FROM (SELECT nation, date_trunc('week', day)::DATE AS day, sum(n) AS n FROM daily GROUP BY 1, 2)"""))
 def smoothed_counts(spark, sf):
     """Exponentially weighted weekly order counts."""
     p = B.daily(spark, sf).groupBy("nation", F.to_date(F.date_trunc("week", "day")).alias("day")).agg(F.sum("n").alias("value"))
@@ -403,21 +405,27 @@ def strike_wave_onsets(spark, sf):
     return windows.fresh_onsets(f, ["nation"]).select("nation", "day")
 
 
+ALL_TELLS_SQL = ("ft", " UNION ALL ".join(f"SELECT '{name}' AS tell, * FROM ({tell_sql(cond)})" for name, cond in TELL_SQL.items()))
+
+
+def all_tells(spark, sf):
+    """Every rule on every nation's series in one pass: nation, day, tell, fired."""
+    d = tell_series(spark, sf)
+    d = d.select("nation", "day", *[rule(["nation"]).alias(f"_{name}") for name, rule in windows.TELLS.items()])
+    return d.select("nation", "day", F.inline(F.array(*[F.struct(F.lit(name).alias("tell"), F.col(f"_{name}").alias("fired")) for name in windows.TELLS])))
+
+
 @query("tell_last_fired", with_ctes(["ship_daily", "nat"], f"""
   SELECT k.nation, k.tell, max(f.day) FILTER (WHERE fired) AS last_day, CASE WHEN count(f.day) = 0 THEN NULL ELSE coalesce(bool_or(fired), FALSE) END AS is_on
-  FROM (SELECT nation, tell FROM nat CROSS JOIN (VALUES ('wave'), ('airlines'), ('civil')) v(tell)) k
-  LEFT JOIN (SELECT 'wave' AS tell, * FROM fw UNION ALL SELECT 'airlines', * FROM fa) f
-    ON f.nation = k.nation AND f.tell = k.tell AND f.day > (SELECT max(day) FROM ship_daily) - 7
-  GROUP BY 1, 2""", [TELL_SRC, ("fw", tell_sql(TELL_SQL["wave"])), ("fa", tell_sql(TELL_SQL["airlines"]))]))
+  FROM (SELECT nation, tell FROM nat CROSS JOIN (VALUES {', '.join(f"('{n}')" for n in [*TELL_SQL, 'civil'])}) v(tell)) k
+  LEFT JOIN ft f ON f.nation = k.nation AND f.tell = k.tell AND f.day > (SELECT max(day) FROM ship_daily) - 7
+  GROUP BY 1, 2""", [TELL_SRC, ALL_TELLS_SQL]))
 def tell_last_fired(spark, sf):
     """Whether each rule fired in the last seven days and when; NULL where no series watches the rule."""
-    s = tell_series(spark, sf)
-    f = windows.fires(s, "wave", ["nation"]).withColumn("tell", F.lit("wave")).unionByName(
-        windows.fires(s, "airlines", ["nation"]).withColumn("tell", F.lit("airlines")))
-    recent = f.where(F.col("day") > F.date_sub(B.bounds(spark, sf).select("hi").scalar(), 7))
+    recent = all_tells(spark, sf).where(F.col("day") > F.date_sub(B.bounds(spark, sf).select("hi").scalar(), 7))
     agg = recent.groupBy("nation", "tell").agg(F.max(F.when(F.col("fired"), F.col("day"))).alias("last_day"),
                                                F.bool_or("fired").alias("is_on"))
-    want = B.nations(spark, sf).select("nation", F.explode(F.array(F.lit("wave"), F.lit("airlines"), F.lit("civil"))).alias("tell"))
+    want = B.nations(spark, sf).select("nation", F.explode(F.array(*[F.lit(n) for n in [*windows.TELLS, "civil"]])).alias("tell"))
     return want.join(agg, ["nation", "tell"], "left")
 
 

@@ -13,7 +13,8 @@ BOXES = [("north", 1, 30.4, 31.2, 39.9, 40.8), ("south", 2, 29.9, 30.5, 39.9, 40
 
 
 def boxes(spark):
-    return spark.createDataFrame(BOXES, "box string, priority int, lat_min double, lat_max double, lon_min double, lon_max double")
+    """A fixed list of a few rows, so it is broadcast."""
+    return F.broadcast(spark.createDataFrame(BOXES, "box string, priority int, lat_min double, lat_max double, lon_min double, lon_max double"))
 
 
 def detections(spark, sf):
@@ -267,19 +268,19 @@ def grid_cells(spark, sf):
                                         geo.cell(F.col("lat"), 1.0).alias("tile"), geo.month_bit("day").alias("bit"))
 
 
-GATES = [("g1", 30.0, 40.5, 31.0, 40.5), ("g2", 30.5, 40.0, 30.5, 41.0)]
+GATES = [("g1", 30.0, 40.5, 31.0, 40.5, "west", "east"), ("g2", 30.5, 40.0, 30.5, 41.0, "north", "south")]
 
 
 @query("gate_crossings", with_ctes([], """
-  SELECT vessel, gate, day, arg_min(dir, ts) AS dir FROM (
-    SELECT vessel, gate, ts::DATE AS day, ts, CASE WHEN lon > plo THEN 'east' ELSE 'west' END AS dir,
-      (o2 - o1) * (pla - a1) - (a2 - a1) * (plo - o1) AS s1, (o2 - o1) * (lat - a1) - (a2 - a1) * (lon - o1) AS s2,
-      (lon - plo) * (a1 - pla) - (lat - pla) * (o1 - plo) AS s3, (lon - plo) * (a2 - pla) - (lat - pla) * (o2 - plo) AS s4
+  SELECT DISTINCT vessel, gate, day, dir FROM (
+    SELECT vessel, gate, ts::DATE AS day, (o2 - o1) * (pla - a1) - (a2 - a1) * (plo - o1) AS s1, (o2 - o1) * (lat - a1) - (a2 - a1) * (lon - o1) AS s2,
+      111.0 * sqrt((lat - 30.5) ** 2 + ((lon - 40.5) * cos(radians((lat + 30.5) / 2))) ** 2) AS k2,
+      111.0 * sqrt((pla - 30.5) ** 2 + ((plo - 40.5) * cos(radians((pla + 30.5) / 2))) ** 2) AS k1,
+      CASE WHEN gate = 'g1' THEN CASE WHEN lon < 40.5 THEN 'west' ELSE 'east' END WHEN lat > 30.5 THEN 'north' ELSE 'south' END AS dir
     FROM (SELECT *, lag(lat) OVER w AS pla, lag(lon) OVER w AS plo, lag(ts) OVER w AS pt FROM fix WINDOW w AS (PARTITION BY vessel ORDER BY ts)), (VALUES ('g1', 30.0, 40.5, 31.0, 40.5), ('g2', 30.5, 40.0, 30.5, 41.0)) g(gate, a1, o1, a2, o2)
-    WHERE date_diff('microsecond', pt, ts) < 86401000000) WHERE s1 * s2 < 0 AND s3 * s4 < 0 GROUP BY 1, 2, 3""", [FIX]))
+    WHERE date_diff('microsecond', pt, ts) < 86401000000) WHERE s1 * s2 < 0 AND k1 <= 30 AND k2 <= 30""", [FIX]))
 def gate_crossings(spark, sf):
-    g = spark.createDataFrame(GATES, "gate string, lat1 double, lon1 double, lat2 double, lon2 double")
-    return T.crossings(fixes(spark, sf), g, max_gap_s=86400).select("vessel", "gate", "day", "dir")
+    return T.crossings(fixes(spark, sf), GATES, max_gap_s=86400).select("vessel", "gate", "day", "dir")
 
 
 @query("vessel_presence", with_ctes([], "SELECT box, cls, ts::DATE AS day, count(DISTINCT vessel) AS vessels FROM fix JOIN boxes ON lat BETWEEN la0 AND la1 AND lon BETWEEN lo0 AND lo1 GROUP BY 1, 2, 3", [FIX, BOX]))
@@ -296,8 +297,20 @@ def trace(spark, sf):
                     (F.col("alt") < 3000).alias("low"))
 
 
-@query("flight_legs")
+LEGS = [("pts", """SELECT vessel AS icao, date_diff('second', TIMESTAMP '2024-01-01', ts) AS t, event_id % 8 = 0 AS g, 'ABC' || (vessel % 5) AS call, 'P' || (floor(lat * 4)::BIGINT % 7) AS near, alt < 3000 AS low FROM fix"""),
+        ("p1", """SELECT *, t - lag(t) OVER w AS dt, lag(g) OVER w AS pg, lag(near) OVER w AS pn, CASE WHEN lag(low) OVER w THEN lag(near) OVER w END AS pl, lead(g) OVER w AS ng, lead(near) OVER w AS nn
+                  FROM pts WINDOW w AS (PARTITION BY icao ORDER BY t)"""),
+        ("p2", "SELECT *, coalesce(dt > 43200 AND (pl IS NOT NULL OR dt > 432000), FALSE) AS cut FROM p1"),
+        ("p3", "SELECT *, coalesce(lead(cut) OVER w, FALSE) AS ncut, sum((NOT g AND (coalesce(pg, TRUE) OR cut))::INT) OVER w AS leg, NOT g AND (coalesce(pg, TRUE) OR cut) AS st FROM p2 WINDOW w AS (PARTITION BY icao ORDER BY t)"),
+        ("legs", """SELECT icao, leg, min(t) AS t0, max(t) AS t1, count(*) AS points, any_value(call) AS call,
+                  arg_min(CASE WHEN pg AND dt <= 43200 THEN [pn] WHEN low THEN [near] ELSE [NULL] END, t)[1] AS dep,
+                  arg_max(CASE WHEN ncut THEN CASE WHEN low THEN [near] ELSE [NULL] END WHEN ng THEN [nn] WHEN low THEN [near] ELSE [NULL] END, t)[1] AS arr,
+                  coalesce(max(dt) FILTER (WHERE NOT st), 0) AS gap FROM p3 WHERE NOT g GROUP BY 1, 2 HAVING max(t) - min(t) >= 300 AND count(*) >= 2""")]
+
+
+@query("flight_legs", with_ctes([], "SELECT icao, leg, t0, t1, points, call, dep, arr, gap FROM legs", [FIX, *LEGS]))
 def flight_legs(spark, sf):
+    """One callsign per aircraft here; changes of callsign are in the unit tests."""
     return T.legs(trace(spark, sf), gap=43200, max_gap=5 * 86400, least_n=2)
 
 
@@ -334,11 +347,23 @@ def airline_leg_filter(spark, sf):
     return c.where(T.airline(call, F.concat(F.lit("A"), F.col("conv_id") % 8))).select("conv_id", "turn")
 
 
-@query("heading_to_base")
+# A fixed list of places (base, lat, lon) on all sides of the detections.
+BASES = [("north", 52.0, 20.0), ("east", 30.0, 60.0), ("south", 5.0, 25.0), ("west", 36.0, -5.0), ("near", 25.0, 32.0)]
+BASE_SQL = ("bases", "SELECT * FROM (VALUES " + ", ".join(f"('{b}', {x}::DOUBLE, {y}::DOUBLE)" for b, x, y in BASES) + ") t(base, blat, blon)")
+
+
+@query("heading_to_base", with_ctes([], """
+  SELECT det_id, (min((nm, base)) FILTER (WHERE nm BETWEEN 25 AND 1400 AND off <= 20))[2] AS base,
+         round((min((nm, base)) FILTER (WHERE nm BETWEEN 25 AND 1400 AND off <= 20))[1], 6) AS nm
+  FROM (SELECT det_id, base, nm, abs(fmod(brg - track + 540 + 360, 360) - 180) AS off FROM (
+    SELECT det_id, base, (det_id * 17 % 360)::DOUBLE AS track,
+           2 * 3440.065 * asin(sqrt(least(1, sin(radians(blat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(blat)) * sin(radians(blon - lon) / 2) ** 2))) AS nm,
+           fmod(degrees(atan2(sin(radians(blon - lon)) * cos(radians(blat)), cos(radians(lat)) * sin(radians(blat)) - sin(radians(lat)) * cos(radians(blat)) * cos(radians(blon - lon)))) + 360, 360) AS brg
+    FROM det, bases)) GROUP BY det_id""", [DET, BASE_SQL]))
 def heading_to_base(spark, sf):
-    """Nearest base within reach that lies within twenty degrees of the track."""
+    """Nearest base of a fixed list within reach that lies within twenty degrees of the track."""
     d = detections(spark, sf).withColumn("track", (F.col("det_id") * 17 % 360).cast("double"))
-    return G.heading_base(d, sites(spark, sf), "det_id", 4.0, 0.05).select("det_id", "site_id", *rnd("km"))
+    return G.heading_base(d, BASES).select("det_id", "base", *rnd("nm"))
 
 
 @query("newest_day_vs_usual", with_ctes(["ship_daily"], """
@@ -365,13 +390,16 @@ def detections_per_area(spark, sf):
 
 
 @query("densest_newest_cells", with_ctes([], """
-  SELECT ci, cj, n FROM (SELECT floor(lat / 0.05)::INT AS ci, floor(lon / 0.05)::INT AS cj, count(*) AS n FROM fix WHERE ts::DATE = (SELECT max(ts::DATE) FROM fix) GROUP BY 1, 2) ORDER BY n DESC, ci, cj LIMIT 20""", [FIX]))
+  SELECT box, ci, cj, n FROM (SELECT *, row_number() OVER (PARTITION BY box ORDER BY n DESC, ci, cj) AS r FROM (
+    SELECT box, floor(lat / 0.05)::INT AS ci, floor(lon / 0.05)::INT AS cj, count(*) AS n FROM fix JOIN boxes ON lat BETWEEN la0 AND la1 AND lon BETWEEN lo0 AND lo1
+    WHERE ts::DATE = (SELECT max(ts::DATE) FROM fix) GROUP BY 1, 2, 3)) WHERE r <= 150""", [FIX, BOX]))
 def densest_newest_cells(spark, sf):
-    """Densest cells of the newest pass (top twenty is the report)."""
-    f = fixes(spark, sf)
-    last = f.agg(F.max(F.to_date("ts")).alias("d")).scalar()
-    c = f.where(F.to_date("ts") == last).groupBy(geo.cell(F.col("lat"), 0.05).alias("ci"), geo.cell(F.col("lon"), 0.05).alias("cj")).agg(F.count(F.lit(1)).alias("n"))
-    return c.orderBy(F.desc("n"), "ci", "cj").limit(20)
+    """Densest cells of the newest pass, the first 150 of each theatre (the length is the report's)."""
+    f = G.in_boxes(fixes(spark, sf), boxes(spark))
+    last = fixes(spark, sf).agg(F.max(F.to_date("ts")).alias("d")).scalar()
+    c = f.where(F.to_date("ts") == last).groupBy("box", geo.cell(F.col("lat"), 0.05).alias("ci"), geo.cell(F.col("lon"), 0.05).alias("cj")).agg(F.count(F.lit(1)).alias("n"))
+    r = F.row_number().over(Window.partitionBy("box").orderBy(F.desc("n"), "ci", "cj"))
+    return c.withColumn("_r", r).where(F.col("_r") <= 150).drop("_r")
 
 
 @query("loitering_durations", with_ctes([], """

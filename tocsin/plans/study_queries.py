@@ -6,10 +6,10 @@ from tocsin.operators import evaluate as E, labels as L, panel as P, studies as
 from tocsin.operators.lineage import stable
 from tocsin.plans import bindings as B
 from tocsin.plans.bindings import with_ctes
-from tocsin.plans.composite_queries import HIST, OFFSETS, PANEL, W, evidence, model_rows
+from tocsin.plans.composite_queries import HIST, OFFSETS, PANEL, W, evidence, model_rows, test_years
 from tocsin.plans.label_queries import days, with_cluster
 from tocsin.plans.registry import query
-from tocsin.plans.series_queries import rnd
+from tocsin.plans.series_queries import ALL_TELLS_SQL, TELL_SRC, all_tells, rnd
 from tocsin.plans.spatial_queries import DET, KM, detections
 
 CANDS = ("cands", "SELECT nation, day FROM daily WHERE n >= 2 AND day >= DATE '1997-01-01'")
@@ -151,7 +151,8 @@ def rolling_recalibration(spark, sf):
     """Shift-only recalibration of each year fitted on the years before it."""
     from tocsin.operators import model as M
     f = stable(B.forecast(spark, sf).where("lab").select("nation", "day", "p", "y", F.year("day").alias("year")))
-    past = f.withColumn("target", F.explode(F.sequence(F.col("year") + 1, F.lit(2001)))).withColumn("theatre", F.col("target").cast("string"))
+    years = f.select(F.collect_set("year")).scalar()  # one number per year
+    past = f.withColumn("_years", years).withColumn("target", F.explode(F.filter("_years", lambda t: t > F.col("year")))).withColumn("theatre", F.col("target").cast("string"))
     u = M.sub_offset(past, S.logit(F.col("p")), ridge=0.0).select(F.col("theatre").cast("int").alias("year"), "u")
     q = f.join(u, "year").withColumn("q", S.sigmoid(F.col("u") + S.logit(F.col("p"))))
     return q.groupBy("year").agg(F.avg("p").alias("mean_p"), F.avg("q").alias("mean_q"), F.avg("y").alias("rate"))
@@ -159,10 +160,13 @@ def rolling_recalibration(spark, sf):
 
 @query("weighting_schemes")
 def weighting_schemes(spark, sf):
-    """Brier score of one test year under several weighting schemes."""
+    """Brier score of the newest test year under the weighting schemes."""
     rows = model_rows(spark, sf)
-    doms = {"demand": W[:1] + W[2:], "supply": W[1:2]}
-    parts = [ST.scheme(rows, s, OFFSETS, HIST, W, 3.0, 2000, doms) for s in ("all", "equal", "domain", "improper")]
+    doms = {}
+    for f in B.FAMILIES:
+        doms.setdefault(f[1], []).append(f"w_{f[0]}")
+    year = test_years(rows)[-1]
+    parts = [ST.scheme(rows, s, OFFSETS, HIST, W, 3.0, year, doms) for s in ("all", "screened", "equal", "domain", "auc", "improper")]
     u = parts[0].select("scheme", "y", "raw")
     for p in parts[1:]:
         u = u.unionByName(p.select("scheme", "y", "raw"))
@@ -179,8 +183,36 @@ def training_by_event_kind(spark, sf):
     from tocsin.operators import model as M
     out = None
     for name, col in (("all", "y"), ("strike", "y_kind")):
-        r = M.rolling(rows.withColumn("y", F.col(col)), OFFSETS, HIST, W, 3.0, [2000]).select("theatre", "day", F.lit(name).alias("trained"), "raw")
+        r = M.rolling(rows.withColumn("y", F.col(col)), OFFSETS, HIST, W, 3.0, test_years(rows)[-1:]).select("theatre", "day", F.lit(name).alias("trained"), "raw")
         out = r if out is None else out.unionByName(r)
     j = out.join(rows.select("theatre", "day", "y", "y_kind"), ["theatre", "day"])
     j = j.select("trained", "raw", F.inline(F.array(F.struct(F.lit("all").alias("judged"), F.col("y").alias("yy")), F.struct(F.lit("strike").alias("judged"), F.col("y_kind").alias("yy")))))
     return E.auc(j, "raw", "yy", ["trained", "judged"]).select("trained", "judged", *rnd("auc"), "positives")
+
+
+@query("thirty_day_history", with_ctes(["forecast", "ship_daily"], """
+  SELECT f.nation, f.day, round(p / base, 2) AS usual, round(p, 4) AS p,
+         CASE WHEN p >= 0.25 THEN 'Critical' WHEN p >= 0.10 THEN 'Elevated' WHEN p >= 0.05 THEN 'Watch' ELSE 'Normal' END AS level, coalesce(lit, '') AS lit
+  FROM forecast f LEFT JOIN (SELECT nation, day, string_agg(tell, ',' ORDER BY tell) AS lit FROM ft WHERE fired GROUP BY 1, 2) l ON l.nation = f.nation AND l.day = f.day
+  WHERE f.day > (SELECT max(day) FROM forecast) - 30""", [TELL_SRC, ALL_TELLS_SQL]))
+def thirty_day_history(spark, sf):
+    """Per nation and day of the last thirty: the probability, times usual, level, and the rules lit that day."""
+    f = B.forecast(spark, sf)
+    since = F.date_sub(f.agg(F.max("day")).scalar(), 30)
+    lit = all_tells(spark, sf).where("fired").groupBy("nation", "day").agg(F.array_join(F.array_sort(F.collect_list("tell")), ",").alias("lit"))
+    return f.where(F.col("day") > since).join(lit, ["nation", "day"], "left").select(
+        "nation", "day", F.round(F.col("p") / F.col("base"), 2).alias("usual"), F.round("p", 4).alias("p"), S.level(F.col("p")).alias("level"), F.coalesce("lit", F.lit("")).alias("lit"))
+
+
+@query("aligned_histories", with_ctes(["facts", "nat"], """
+  SELECT n.nation, string_agg(coalesce(c.n::VARCHAR, '-'), ',' ORDER BY d.day) AS history FROM nat n CROSS JOIN (
+    SELECT unnest(generate_series((SELECT max(o_orderdate)::DATE FROM orders) - 59, (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY))::DATE AS day) d
+  LEFT JOIN (SELECT nation, day, count(*) AS n FROM facts GROUP BY 1, 2) c ON c.nation = n.nation AND c.day = d.day GROUP BY 1"""))
+def aligned_histories(spark, sf):
+    """Each nation's last sixty days aligned to one calendar, with a gap where there was no reading."""
+    hi = B.bounds(spark, sf).select("hi").scalar()
+    c = B.order_facts(spark, sf).where(F.col("day") > F.date_sub(hi, 60)).groupBy("nation", "day").agg(F.count(F.lit(1)).alias("n"))
+    c = c.groupBy("nation").agg(F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("by_day"))
+    at = F.transform("_days", lambda d: F.coalesce(F.try_element_at("by_day", d).cast("string"), F.lit("-")))
+    return B.nations(spark, sf).join(c, "nation", "left").withColumn("_days", F.sequence(F.date_sub(hi, 59), hi)).select("nation", F.array_join(
+        F.when(F.col("by_day").isNull(), F.array_repeat(F.lit("-"), 60)).otherwise(at), ",").alias("history"))

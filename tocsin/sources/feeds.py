@@ -16,16 +16,22 @@ def root_counts(events: DataFrame, keys=("day", "country")) -> DataFrame:
 
 
 def theatre_sums(events: DataFrame, places: DataFrame, dyads: DataFrame) -> DataFrame:
-    """Conditional sums per theatre by where the event was and, separately, by who the two actors were.
+    """Conditional sums per theatre by where the event was and, separately, by who the two actors were: events, those of quad class 3 and
+    4, and tone.
 
-    places: (country, theatre); dyads: (a, b, theatre), unordered and stored with a <= b.
+    places: (country, theatre); dyads: (a, b, theatre), unordered and stored with a <= b. The events are reduced once to (day, country, actors,
+    quad), and both sides read that.
     """
-    loc = events.join(places, "country").groupBy("theatre", "day").agg(
-        F.count(F.lit(1)).alias("loc_all"), F.count_if(F.col("quad") == 4).alias("loc_q4"), F.sum("tone").alias("loc_tone"))
-    pair = events.withColumn("a", F.least("actor1", "actor2")).withColumn("b", F.greatest("actor1", "actor2"))
-    dy = pair.join(dyads, ["a", "b"]).groupBy("theatre", "day").agg(
-        F.count(F.lit(1)).alias("dyad_all"), F.count_if(F.col("quad") == 4).alias("dyad_q4"))
-    return loc.join(dy, ["theatre", "day"], "full").na.fill(0, ["loc_all", "loc_q4", "dyad_all", "dyad_q4"])
+    each = events.groupBy("day", "country", F.least("actor1", "actor2").alias("a"), F.greatest("actor1", "actor2").alias("b"), "quad").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tone").alias("tone"))
+
+    def sums(joined, side):
+        n = F.col("n")
+        return joined.groupBy("theatre", "day").agg(
+            F.sum(n).alias(f"{side}_all"), F.sum(F.when(F.col("quad") == 3, n).otherwise(0)).alias(f"{side}_q3"),
+            F.sum(F.when(F.col("quad") == 4, n).otherwise(0)).alias(f"{side}_q4"), F.sum("tone").alias(f"{side}_tone"))
+    loc, dy = sums(each.join(places, "country"), "loc"), sums(each.join(dyads, ["a", "b"]), "dyad")
+    return loc.join(dy, ["theatre", "day"], "full").na.fill(0)
 
 
 def jsonstat(cubes: DataFrame, cube="cube") -> DataFrame:

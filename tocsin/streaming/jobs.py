@@ -3,12 +3,12 @@
 Each function takes a streaming (or static) DataFrame and returns one; `drain` runs a stream over what has arrived and
 hands back its output as a table.
 """
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tocsin.operators.lineage import shared_folder
+
 
 def source(spark: SparkSession, folder: str, name: str, files_per_trigger=None) -> DataFrame:
     """Parquet landing folder as a stream; the schema comes from the files already there."""
@@ -110,16 +110,18 @@ def restate_sink(path: str, day="day"):
     return write
 
 
-def drain(stream: DataFrame, mode="append", batch=None) -> DataFrame:
-    """Run a stream over everything that has arrived and return its output table, written to the cluster's shared folder."""
+def drain(stream: DataFrame, mode="append") -> DataFrame:
+    """Run a stream over everything that has arrived and return its output table, written to the cluster's shared folder.
+
+    In update mode each batch owns one folder, so a batch that is tried again replaces itself."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    home = os.path.join(base, f"stream-{uuid.uuid4().hex}")
-    out = f"{home}/out"
+    home = shared_folder(spark, f"stream-{uuid.uuid4().hex}")
+    out, schema = f"{home}/out", stream.schema
     w = stream.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
-    if mode == "append" and batch is None:
+    if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out).start()
     else:
-        q = w.outputMode(mode).foreachBatch(batch or (lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out))).start()
+        schema = schema.add("epoch", "long")
+        q = w.outputMode(mode).foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema if batch is None and mode == "append" else stream.schema.add("epoch", "long")).parquet(out)
+    return spark.read.schema(schema).parquet(out)
