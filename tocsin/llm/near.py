@@ -5,12 +5,13 @@ their prefixes: the first n - ceil(0.75 n) + 1 shingles in one global order. The
 passage shared by many texts rarely stands in a prefix; which shingles count as frequent is estimated on a part of the texts and only
 moves work, never results, as any common order is right.
 
-Round 1 takes the easy links: each set names KEYS pairs of its least re-hashed shingles, and the sets that share one are compared with the
-least of them. Components of these links shrink large groups of near copies to one label. Round 2 is the product: prefix columns that
-hold more than one label are multiplied by themselves across labels, overlap counts are summed per pair, and pairs whose count plus what can
-follow stays below the bound given by both sizes are dropped. A link inside a component changes nothing, so leaving those pairs out loses none.
+The first rounds take the easy links: each set names KEYS pairs of its least re-hashed shingles, and the sets that share one are compared with
+one of them, drawn anew for each key and round, as long as their labels differ. Components of these links shrink large groups of near copies to
+one label. The last round is the product: prefix columns that hold more than one label are multiplied by themselves across labels, overlap
+counts are summed per pair, and pairs whose count plus what can follow stays below the bound given by both sizes are dropped. A link inside
+a component changes nothing, so leaving those pairs out loses none.
 
-Possible pairs of both rounds then meet a second bound: sets differ in at least as many shingles as the parities of their hashes
+Possible pairs of all rounds then meet a second bound: sets differ in at least as many shingles as the parities of their hashes
 on PARITY_BITS places do. What is left is compared in full; those sets alone are read again from the texts and moved.
 """
 import numpy as np
@@ -22,10 +23,11 @@ from tocsin.llm.shared import keep
 from tocsin.llm.words import NOT_SPACE, Texts, mix, signed, slices, windows, words
 
 WORDS, PERCENT = 5, 75
-KEYS = 6                  # pairs of least re-hashed shingles of round 1
+KEYS = 8                  # pairs of least re-hashed shingles of the easy rounds
+EASY_ROUNDS = 3           # of them; more only save work later
 PARITY_BITS = 2048        # places of the parity bound, in longs of 64
-PART = 16                 # frequent shingles are looked for in one of so many texts
-FREQUENT, MOST_FREQUENT = 4, 200_000  # seen so often there; so many of them at most are sent to the tasks (8 bytes each)
+PART = 8                  # frequent shingles are looked for in one of so many texts
+FREQUENT, MOST_FREQUENT = 3, 500_000  # seen so often there; so many of them at most are sent to the tasks (8 bytes each)
 FILTER_BITS = (20, 27)    # least and most bits, as powers of two, of a filter sent to the tasks
 
 
@@ -147,33 +149,53 @@ def _near(na: Column, nb: Column) -> Column:
     return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na)
 
 
-def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs a, b of nodes whose sets reach the limit: first the parity bound, then the sets in full."""
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs a, b of nodes that the parity bound leaves, with the least doc_id of both."""
     own = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("bits").alias(f"_{x}"), F.col("least").alias(f"_i{x}"))
     met = pairs.join(own("a"), "a").join(own("b"), "b")
     differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = (F.col("_na") + F.col("_nb") - differ) / 2
-    met = met.filter((100 + PERCENT) * most >= PERCENT * (F.col("_na") + F.col("_nb")))
-    met = keep(met.select("a", "b", "_ia", "_ib"), "near-pairs")
-    nodes = keep(met.select(F.col("a").alias("node"), F.col("_ia").alias("least")).union(met.select("b", "_ib")).distinct(), "near-nodes")
-    s = sets_of(docs, nodes)
-    both = s.select(F.col("node").alias("a"), F.col("shingles").alias("_a")).join(met.select("a", "b"), "a")
+    return met.filter((100 + PERCENT) * most >= PERCENT * (F.col("_na") + F.col("_nb"))).select("a", "b", "_ia", "_ib")
+
+
+def compared(pairs: DataFrame, s: DataFrame) -> DataFrame:
+    """Those pairs a, b whose sets (node, shingles) reach the limit."""
+    both = s.select(F.col("node").alias("a"), F.col("shingles").alias("_a")).join(pairs.select("a", "b"), "a")
     both = both.join(s.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
     common = F.size(F.array_intersect("_a", "_b"))
     return both.select("a", "b", common.alias("_c"), (F.size("_a") + F.size("_b")).alias("_n")).filter(
         100 * F.col("_c") >= PERCENT * (F.col("_n") - F.col("_c"))).select("a", "b").distinct()
 
 
-def easy_pairs(classes: DataFrame) -> DataFrame:
-    """Round 1: every set with the least set of each of its keys."""
+def easy_links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links found by shared keys in a few rounds, and the labels of their components."""
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    met = keyed.join(least, "key").filter((F.col("node") != F.col("p.node")) & _near(F.col("n"), F.col("p.n")))
-    return met.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > 1).select("key")
+    keyed = keep(keyed.join(often, "key"), "near-keys")
+    nodes = keyed.select("node").distinct().join(classes.select("node", "least"), "node")
+    s = keep(sets_of(docs, keep(nodes, "near-nodes")), "near-sets")
+    links = keyed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    for turn in range(EASY_ROUNDS):
+        now = keyed.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+        drawn = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("p"))
+        met = now.join(drawn, "key").filter((F.col("label") != F.col("p.label")) & _near(F.col("n"), F.col("p.n")))
+        pairs = met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        new = keep(compared(possible(pairs, classes), s), "near-links")
+        links = keep(links.union(new), "near-links")
+        labels = components(links)
+    return links, labels
+
+
+def other_links(docs: DataFrame, columns: DataFrame, classes: DataFrame) -> DataFrame:
+    """All links between nodes of different labels."""
+    pairs = keep(possible(product_pairs(columns), classes), "near-pairs")
+    nodes = pairs.select(F.col("a").alias("node"), F.col("_ia").alias("least")).union(pairs.select("b", "_ib")).distinct()
+    return compared(pairs, sets_of(docs, keep(nodes, "near-nodes")))
 
 
 def product_pairs(rows: DataFrame) -> DataFrame:
-    """Round 2: node, label, n, prefix of every class; pairs of nodes of different labels that the product leaves possible."""
+    """The last round: node, label, n, prefix of every class; pairs of nodes of different labels that the product leaves possible."""
     narrow = rows.select(F.explode("prefix").alias("s"), F.col("label").alias("l"))
     mixed = keep(narrow.groupBy("s").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("s"), "near-columns")
     held = Filter(mixed, mixed.count())
@@ -208,12 +230,11 @@ def near(docs: DataFrame) -> DataFrame:
     empty table gives no rows."""
     rows = keep(sketches(docs), "near-rows")
     classes = keep(rows.filter("n > 0").groupBy("node").agg(*[F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")]]), "near-classes")
-    links = keep(linked(docs, easy_pairs(classes), classes), "near-links")
-    labels = components(links)
+    links, labels = easy_links(docs, classes)
     labelled = classes.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label"))
     first = prefixes(docs, frequent(docs)).withColumnRenamed("node", "_node")
     columns = labelled.join(first, (F.col("node") == F.col("_node")) & F.col("least").eqNullSafe(F.col("doc_id"))).select("node", "label", "n", "prefix")
-    more = keep(linked(docs, product_pairs(keep(columns, "near-prefixes")), classes), "near-links")
+    more = keep(other_links(docs, keep(columns, "near-prefixes"), classes), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
     of = classes.select("node", "least").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
