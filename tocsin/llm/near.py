@@ -14,6 +14,8 @@ a component changes nothing, so leaving those pairs out loses none.
 Possible pairs of all rounds then meet a second bound: sets differ in at least as many shingles as the parities of their hashes
 on PARITY_BITS places do. What is left is compared in full; those sets alone are read again from the texts and moved.
 """
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,8 +26,10 @@ from tocsin.llm.words import NOT_SPACE, Texts, mix, signed, slices, windows, wor
 
 WORDS, PERCENT = 5, 75
 KEYS = 8                  # pairs of least re-hashed shingles of the easy rounds
-EASY_ROUNDS = 3           # of them; more only save work later
+EASY_ROUNDS = 2           # of them; more only save work later
+COLUMN_ROUNDS = 1         # of the same kind over prefix columns
 PARITY_BITS = 2048        # places of the parity bound, in longs of 64
+FOLDED = [f"f{k}" for k in range(8)]  # the same bound on 512 places, carried by the cells of the product
 PART = 8                  # frequent shingles are looked for in one of so many texts
 FREQUENT, MOST_FREQUENT = 3, 500_000  # seen so often there; so many of them at most are sent to the tasks (8 bytes each)
 FILTER_BITS = (20, 27)    # least and most bits, as powers of two, of a filter sent to the tasks
@@ -171,31 +175,21 @@ def easy_links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFram
     """Links found by shared keys in a few rounds, and the labels of their components."""
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > 1).select("key")
-    keyed = keep(keyed.join(often, "key"), "near-keys")
+    keyed = keep(keyed.join(often, "key").withColumn("label", F.col("node")), "near-keys")
     nodes = keyed.select("node").distinct().join(classes.select("node", "least"), "node")
     s = keep(sets_of(docs, keep(nodes, "near-nodes")), "near-sets")
     links = keyed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     for turn in range(EASY_ROUNDS):
-        now = keyed.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        drawn = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("p"))
-        met = now.join(drawn, "key").filter((F.col("label") != F.col("p.label")) & _near(F.col("n"), F.col("p.n")))
-        pairs = met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        pairs = drawn_pairs(_labelled(keyed, labels), "key", turn)
         new = keep(compared(possible(pairs, classes), s), "near-links")
         links = keep(links.union(new), "near-links")
         labels = components(links)
     return links, labels
 
 
-def other_links(docs: DataFrame, columns: DataFrame, classes: DataFrame) -> DataFrame:
-    """All links between nodes of different labels."""
-    pairs = keep(possible(product_pairs(columns), classes), "near-pairs")
-    nodes = pairs.select(F.col("a").alias("node"), F.col("_ia").alias("least")).union(pairs.select("b", "_ib")).distinct()
-    return compared(pairs, sets_of(docs, keep(nodes, "near-nodes")))
-
-
-def product_pairs(rows: DataFrame) -> DataFrame:
-    """The last round: node, label, n, prefix of every class; pairs of nodes of different labels that the product leaves possible."""
+def prefix_cells(rows: DataFrame) -> DataFrame:
+    """node, label, n, prefix of every class; the cells s, node, label, n, at of all prefix columns that hold more than one label."""
     narrow = rows.select(F.explode("prefix").alias("s"), F.col("label").alias("l"))
     mixed = keep(narrow.groupBy("s").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("s"), "near-columns")
     held = Filter(mixed, mixed.count())
@@ -212,14 +206,56 @@ def product_pairs(rows: DataFrame) -> DataFrame:
                 [pa.array(flat[got]), b.column(0).take(cut), b.column(1).take(cut), b.column(2).take(cut), pa.array((got - begin[row[got]]).astype(np.int64))],
                 ["s", "node", "label", "n", "at"])
     cells = rows.select("node", "label", "n", "prefix").mapInArrow(run, "s long, node long, label long, n long, at long")
-    cells = keep(cells.join(mixed, "s", "left_semi"), "near-cells")
-    a = cells.select("s", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "at")])
-    b = cells.select("s", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "at")])
-    met = a.join(b, "s").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _near(F.col("n_a"), F.col("n_b")))
-    pairs = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("pa"), F.max("at_b").alias("pb"),
+    return keep(cells.join(mixed, "s", "left_semi"), "near-cells")
+
+
+def drawn_pairs(cells: DataFrame, key: str, turn: int) -> DataFrame:
+    """Every node with one drawn for each of its keys, where their labels differ and their sizes allow a link."""
+    drawn = cells.groupBy(key).agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", key, F.lit(turn))).alias("p"))
+    met = cells.join(drawn, key).filter((F.col("label") != F.col("p.label")) & _near(F.col("n"), F.col("p.n")))
+    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def _labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    return cells.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def product_pairs(cells: DataFrame) -> DataFrame:
+    """Pairs of nodes of different labels that the product of the cells leaves possible.
+
+    A common shingle at places i and j leaves room for at most min(i, j) common ones before it and for the shorter rest from it on; the count over
+    all common ones of both prefixes plus the rest after the last is the second bound. The folded parities bound each pair before it is made."""
+    a = cells.select("s", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "at", *FOLDED)])
+    b = cells.select("s", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "at", *FOLDED)])
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    need = PERCENT * (F.col("n_a") + F.col("n_b"))
+    differ = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in FOLDED), F.lit(0))
+    met = a.join(b, "s").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _near(F.col("n_a"), F.col("n_b"))
+                                & ((100 + PERCENT) * (F.least("at_a", "at_b") + rest) >= need)
+                                & ((100 + PERCENT) * (F.col("n_a") + F.col("n_b") - differ) >= 2 * need))
+    pairs = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"),
                                                  F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    most = F.col("c") + F.least(F.col("n_a") - F.col("pa"), F.col("n_b") - F.col("pb")) - 1
-    return pairs.filter((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return pairs.filter((100 + PERCENT) * (F.col("c") + rest - 1) >= need).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def other_links(docs: DataFrame, columns: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """links, and links between all nodes of different labels: first along drawn centres of the prefix columns, to join what is still
+    apart at the cost of one row a cell, then by the product of the columns that still hold several labels."""
+    cells = prefix_cells(columns)
+
+    def checked(pairs):
+        pairs = keep(possible(pairs, classes), "near-pairs")
+        nodes = pairs.select(F.col("a").alias("node"), F.col("_ia").alias("least")).union(pairs.select("b", "_ib")).distinct()
+        return keep(compared(pairs, sets_of(docs, keep(nodes, "near-nodes"))), "near-links")
+    for turn in range(COLUMN_ROUNDS):
+        links = keep(links.union(checked(drawn_pairs(cells, "s", turn))), "near-links")
+        cells = keep(_labelled(cells, components(links)), "near-cells")
+        several = cells.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("s")
+        cells = keep(cells.join(several, "s", "left_semi"), "near-cells")
+    words = len(FOLDED)
+    fold = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("bits", F.lit(k + words * j)) for j in range(PARITY_BITS // 64 // words)]).alias(f) for k, f in enumerate(FOLDED)]
+    cells = cells.join(classes.select("node", *fold), "node")
+    return keep(links.union(checked(product_pairs(cells))), "near-links")
 
 
 def near(docs: DataFrame) -> DataFrame:
@@ -234,9 +270,7 @@ def near(docs: DataFrame) -> DataFrame:
     labelled = classes.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label"))
     first = prefixes(docs, frequent(docs)).withColumnRenamed("node", "_node")
     columns = labelled.join(first, (F.col("node") == F.col("_node")) & F.col("least").eqNullSafe(F.col("doc_id"))).select("node", "label", "n", "prefix")
-    more = keep(other_links(docs, keep(columns, "near-prefixes"), classes), "near-links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    labels = components(other_links(docs, keep(columns, "near-prefixes"), classes, links))
     of = classes.select("node", "least").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     of = of.select("node", F.col("label")).join(of.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     one = rows.select("doc_id", "n", "node").filter("n > 0").join(of, "node")
