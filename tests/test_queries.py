@@ -5,7 +5,8 @@ import __spark_entry__ as entry
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["newest_daily_scores", "calendar_fill", "panel_labels", "event_root_counts", "nearest_site", "alert_waves_batch", "post_tally"]
+SAMPLE = ["newest_daily_scores", "calendar_fill", "panel_labels", "event_root_counts", "nearest_site", "alert_waves_batch", "post_tally",
+          "segment_tails", "flight_legs", "gate_crossings", "heading_to_base", "location_and_dyad_sums", "aligned_histories", "smoothed_counts", "densest_newest_cells"]
 
 
 def test_every_oracle_has_a_query():
