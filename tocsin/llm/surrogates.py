@@ -25,6 +25,7 @@ KINDS = {
     "card": r"(?<![0-9])[3-6](?:[0-9]{12,15}|[0-9]{3}(?:[ -][0-9]{4}){3})(?![0-9])",
     "name": r"(?:\b(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? |(?<![А-Яа-яё])(?:Господин|Госпожа) )\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+",
 }
+TITLES = ["Mr", "Ms", "Herr ", "Herr.", "Frau", "Monsieur", "Madame", "Señor", "Господин", "Госпожа"]
 FEMALE = "^(Mrs|Ms|Frau|Madame|Señora|Госпожа)"
 NAMES = {
     ("latin", "f"): "Anna Clara Diane Elena Emma Julia Laura Lucia Maria Nora Paula Rosa Sarah Sofia Teresa Vera".split(),
@@ -131,12 +132,17 @@ def table(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError("no distinct surrogates found; the space of some kind is too small")
 
 
+def _may_hold(text: Column) -> Column:
+    """False only where no pattern can match: every kind but two needs a digit or an @, a secret its sign, a name its title."""
+    signs = [F.contains(text, F.lit(x)) for x in (*"=:", *TITLES)]
+    return text.rlike("[0-9@]") | reduce(lambda a, b: a | b, signs)
+
+
 def replaced(docs: DataFrame, key: str = "corpus") -> DataFrame:
     """All columns of docs with text replaced, plus n_pii and pii_kinds (sorted). Null and empty texts stay as they are with 0; an empty
     table gives no rows; equal texts get equal results; a column named n_pii or pii_kinds is taken over by the new one."""
     names = [c for c in docs.columns if c.lower() not in ("n_pii", "pii_kinds")]
-    found = F.when(F.col("text").rlike(r"[0-9@]|(?i:pass|pwd|secret|token|key)|(?:Mr|Ms|Herr|Frau|Mon|Mad|Señor|Госп)"),
-                   F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0)))
+    found = F.when(_may_hold(F.col("text")), F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0)))
     base = docs.select(*names, found.alias("_found"))
     texts = keep(base.filter(F.size("_found") > 0).select("text", "_found").groupBy(F.md5("text").alias("_same")).agg(F.first("_found").alias("_found")), "pii-texts")
     mentions = texts.select("_same", F.posexplode("_found").alias("_at", "value")).withColumn("kind", kind_of(F.col("value")))
