@@ -133,8 +133,8 @@ def table(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _may_hold(text: Column) -> Column:
-    """False only where no pattern can match: every kind but two needs a digit or an @, a secret its sign, a name its title."""
-    signs = [F.contains(text, F.lit(x)) for x in (*"=:", *TITLES)]
+    """False only where no pattern can match: most kinds need a digit or an @, a secret its sign, a cloud key its prefix, a name its title."""
+    signs = [F.contains(text, F.lit(x)) for x in (*"=:", "AKIA", "ASIA", *TITLES)]
     return text.rlike("[0-9@]") | reduce(lambda a, b: a | b, signs)
 
 
