@@ -14,7 +14,7 @@ from tocsin.llm.shared import keep
 
 # Patterns of the kinds, in the order of the alternation, and name lists by script and gender.
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[ ]?[=:][ ]?\"?)[A-Za-z0-9+/_.-]{6,}",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -142,16 +142,22 @@ def replaced(docs: DataFrame, key: str = "corpus") -> DataFrame:
     """All columns of docs with text replaced, plus n_pii and pii_kinds (sorted). Null and empty texts stay as they are with 0; an empty
     table gives no rows; equal texts get equal results; a column named n_pii or pii_kinds is taken over by the new one."""
     names = [c for c in docs.columns if c.lower() not in ("n_pii", "pii_kinds")]
-    found = F.when(_may_hold(F.col("text")), F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0)))
-    base = docs.select(*names, found.alias("_found"))
-    texts = keep(base.filter(F.size("_found") > 0).select("text", "_found").groupBy(F.md5("text").alias("_same")).agg(F.first("_found").alias("_found")), "pii-texts")
+    may = F.coalesce(_may_hold(F.col("text")), F.lit(False))
+    found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
+    texts = docs.filter(may).groupBy(F.md5("text").alias("_same")).agg(F.first("text").alias("_text")).withColumn("text", F.col("_text"))
+    texts = keep(texts.select("_same", found.alias("_found")), "pii-texts").filter(F.size("_found") > 0)
     mentions = texts.select("_same", F.posexplode("_found").alias("_at", "value")).withColumn("kind", kind_of(F.col("value")))
     drawn = table(mentions.select("kind", "value").distinct(), key)
     maps = mentions.join(drawn, ["kind", "value"]).groupBy("_same").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "surrogate"))), lambda x: x["surrogate"]).alias("_new"), F.array_sort(F.collect_set("kind")).alias("_kinds"))
-    hit = base.filter(F.size("_found") > 0).withColumn("_same", F.md5("text")).join(maps, "_same")
+    # texts without an entity are told apart by the join alone, so the patterns run once to find and once to cut
+    hit = docs.filter(may).select(*[F.col(f"`{c}`") for c in names]).withColumn("_same", F.md5("text")).join(maps, "_same", "left")
     parts = F.split("text", PATTERN, -1)
-    text = F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size("_new")), F.col("_new"), lambda a, b: F.concat(a, b)), ""), F.element_at(parts, -1))
-    hit = hit.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.size("_new").cast("long").alias("n_pii"), F.col("_kinds").alias("pii_kinds"))
-    clean = base.filter(F.coalesce(F.size("_found"), F.lit(0)) <= 0).select(*names, F.lit(0).cast("long").alias("n_pii"), F.array().cast("array<string>").alias("pii_kinds"))
+    new = F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size("_new")), F.col("_new"), lambda a, b: F.concat(a, b)), ""), F.element_at(parts, -1))
+    text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(new)
+    none = F.array().cast("array<string>")
+    hit = hit.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
+                     F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_pii"), F.coalesce("_kinds", none).alias("pii_kinds"))
+    hit = hit.withColumn("n_pii", F.greatest("n_pii", F.lit(0).cast("long")))
+    clean = docs.filter(~may).select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias("n_pii"), none.alias("pii_kinds"))
     return hit.unionByName(clean)
