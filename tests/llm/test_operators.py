@@ -310,6 +310,49 @@ def test_exchange_finds_the_two_kinds():
     assert len(set(of[:20])) == 1 and len(set(of[20:40])) == 1 and of[0] != of[39]
 
 
+def test_all_repeated_words_are_clustered(odd, monkeypatch):
+    monkeypatch.setattr(classlm, "LISTED", 20)
+    m, _, _ = classlm.fit(odd.filter(classlm.training(odd, 2, 7)))
+    assert (m.count >= classlm.SEEN).sum() > 200
+    assert ((m.kind < classlm.CLASSES) == (m.count >= classlm.SEEN)).all()
+
+
+def test_words_that_are_not_held_are_clustered_alike(odd, monkeypatch):
+    monkeypatch.setattr(classlm, "LISTED", 20)
+    a = sorted((r["doc_id"] or 0, r["score"]) for r in classlm.score(odd).collect())
+    monkeypatch.setattr(classlm, "HELD", 30)
+    m, rare, _ = classlm.fit(odd.filter(classlm.training(odd, 2, 7)))
+    assert m.far and rare.filter("k < 48").count() > 200
+    b = sorted((r["doc_id"] or 0, r["score"]) for r in classlm.score(odd).collect())
+    assert [x[0] for x in a] == [x[0] for x in b]
+    assert [x[1] for x in a] == pytest.approx([x[1] for x in b])
+
+
+def test_a_word_moves_to_its_best_class():
+    import numpy as np
+    r = np.random.default_rng(3)
+    n, m = 40, classlm.CLASSES + 2
+    pairs = r.poisson(0.6, (n, n))
+    kind = np.concatenate([r.integers(0, 5, n - 2), [classlm.CLASSES, classlm.CLASSES + 1]])
+
+    def square(kind):
+        g = np.zeros((m, m))
+        np.add.at(g, (kind[:, None].repeat(n, 1), kind[None, :].repeat(n, 0)), pairs)
+        return g
+    at, s, c = [], [], []
+    for w in range(n - 2):
+        out, inn = pairs[w].copy(), pairs[:, w].copy()
+        out[w] = inn[w] = 0
+        row = np.concatenate([np.bincount(kind, out, m), np.bincount(kind, inn, m), [pairs[w, w]]])
+        at += [w] * np.count_nonzero(row)
+        s += list(np.flatnonzero(row))
+        c += list(row[row > 0])
+    got = classlm.best(np.array(at), kind[:-2], np.array(s), np.array(c), square(kind))
+    for w in range(n - 2):
+        value = [classlm._value(square(np.where(np.arange(n) == w, b, kind))) for b in range(classlm.CLASSES)]
+        assert value[got[w]] == pytest.approx(max(value))
+
+
 # language
 
 def test_all_segmentations_are_summed():

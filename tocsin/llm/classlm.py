@@ -1,14 +1,17 @@
 """Scoring by Brown's class-based bigrams.
 
-Words are counted over all training texts. The LISTED most frequent words are put into CLASSES classes by exchange clustering: each word in turn
-moves to the class that raises the likelihood of the class bigrams most, until no sweep gains enough. All other words are one more class, the
-tail, and the end of a text is one. A text's probability is the product, over its words and its end, of
-P(class | class before) from smoothed class bigrams and P(word | class) from counts; in the tail, counts are discounted and
+Words are counted over all training texts. Every word seen at least SEEN times is put into one of CLASSES classes, so their number grows with the
+corpus. The LISTED most frequent of them start from an exchange clustering on the driver: each word in turn moves to the class that raises the
+likelihood of the class bigrams most, until no sweep gains enough. Then sweeps over all words follow in the cluster (`spread`): the tasks sum, for
+each word, the classes before and after it, and move it to its best class under the class bigrams of the sweep's start. Words seen less often are
+one more class, the tail, which also stands for unknown words, and the end of a text is one. A text's probability is the product, over its words
+and its end, of P(class | class before) from smoothed class bigrams and P(word | class) from counts; in the tail, counts are discounted and
 what that frees goes to unknown words as one type.
 
 The counts of all words stay a distributed table. Words seen at least as often as a threshold (chosen from the histogram of counts, so that at most
-HELD words pass) are sent to the tasks; the other words of a text are joined to the table, as rows of the text's number and the
-word's hash. The class bigrams come to the driver as a square of (LISTED + 2) ** 2 sums at most.
+HELD words pass) are sent to the tasks with their classes; the others ("far" words, where that threshold is above SEEN) keep their classes in a
+distributed table, which is joined to their word pairs in each sweep and to the words of the scored texts. The driver sees the pairs of the LISTED
+words as a square of (LISTED + 2) ** 2 sums at most, class bigrams, and the classes of held words.
 """
 from dataclasses import dataclass
 
@@ -23,6 +26,8 @@ from tocsin.llm.words import NOT_SPACE, signed, slices, words
 LISTED, CLASSES = 1024, 48
 HELD = 1_000_000          # words with counts sent to the tasks at most (16 bytes each)
 SWEEPS, LEAST_GAIN = 12, 1e-6
+SEEN = 3                  # words seen less often are the tail
+SPREAD, SPREAD_GAIN = 4, 1e-4  # sweeps over all words at most
 KAPPA = 20.0              # weight of the class unigram in a class bigram
 MERGE_AT = 1 << 20        # hashes gathered in a task before they are merged
 
@@ -67,7 +72,8 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, dict]:
     w, c = got.column("w").to_numpy().astype(np.int64).view(np.uint64), got.column("c").to_numpy().astype(np.int64)
     order = np.argsort(w)
     ones, twos = (int(many[many[:, 0] == k, 1].sum()) for k in (1, 2))
-    return w[order], c[order], {"least": least, "tokens": int((many[:, 0] * many[:, 1]).sum()), "types": int(many[:, 1].sum()), "ones": ones, "twos": twos}
+    return w[order], c[order], {"least": least, "tokens": int((many[:, 0] * many[:, 1]).sum()), "types": int(many[:, 1].sum()), "ones": ones, "twos": twos,
+                               "tail_types": int(many[many[:, 0] < SEEN, 1].sum()), "tail_tokens": int(many[many[:, 0] < SEEN].prod(1).sum())}
 
 
 def pair_counts(train: DataFrame, listed: np.ndarray) -> np.ndarray:
@@ -155,6 +161,208 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+OUT, IN, OWN = 0, CLASSES + 2, 2 * (CLASSES + 2)  # neighbour s of a word: the class after it, IN + the class before it, OWN for the word itself
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+
+class _Neighbours:
+    """Counts of (word, its class, neighbour) gathered from word pairs and merged before they leave the task; with by_class, of classes only."""
+
+    def __init__(self, by_class: bool):
+        self.by_class, self.keys, self.counts = by_class, [], []
+
+    def add(self, a, b, ka, kb, c):
+        if not len(a):
+            return
+        own = a == b
+        # words may have numbers of 64 bits: those of this call are numbered again, and merged within it
+        if self.by_class:
+            rows = [(ka, ka, kb, c)]
+        else:
+            rows = [(a, ka, np.where(own, OWN, kb), c), (b[~own], kb[~own], IN + ka[~own], c[~own])]
+        w, k, s, c = (np.concatenate(x) for x in zip(*rows))
+        ids, at = np.unique(w, return_inverse=True)
+        kind = np.zeros(len(ids), np.int64)
+        kind[at] = k
+        key, c = _merged([at * (OWN + 1) + s], [c])
+        self.keys.append(np.stack([ids[key // (OWN + 1)], kind[key // (OWN + 1)], key % (OWN + 1)]))
+        self.counts.append(c)
+
+    def full(self) -> bool:
+        return sum(map(len, self.counts)) >= 2 * MERGE_AT
+
+    def merged(self):
+        """All rows so far as one batch."""
+        w, k, s = np.concatenate(self.keys, axis=1)
+        c = np.concatenate(self.counts)
+        order = np.lexsort((s, w))
+        w, k, s, c = w[order], k[order], s[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (s[1:] != s[:-1])]))
+        self.keys, self.counts = [np.stack([w[first], k[first], s[first]])], [np.add.reduceat(c, first)]
+        return self.batch() if len(first) >= MERGE_AT else None
+
+    def batch(self):
+        (w, k, s), c = self.keys[0], self.counts[0]
+        self.keys, self.counts = [], []
+        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(k), pa.array(s), pa.array(c)], ["w", "k", "s", "c"])
+
+    def rest(self):
+        if self.counts:
+            out = self.merged()
+            yield out if out is not None else self.batch()
+
+
+ROWS = "w long, k long, s long, c long"
+
+
+def _far_id(h: np.ndarray) -> np.ndarray:
+    """Numbers below 0 of words that aren't held."""
+    return -1 - (h >> np.uint64(1)).astype(np.int64)
+
+
+def far_pairs(train: DataFrame, held: np.ndarray) -> DataFrame:
+    """a, b, c: how often word b follows a where one of them isn't held; held words and the end (len(held) + 1) by their numbers."""
+    shared = train.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        n = len(shared.value)
+        for _, t in slices(batches):
+            w = words(t, NOT_SPACE)
+            at = _number(shared.value, w.hash)
+            a, b = _sequence(np.where(at < n, at, _far_id(w.hash)), w.at, n + 1)
+            far = (a < 0) | (b < 0)
+            if not far.any():
+                continue
+            pair, c = np.unique(np.stack([a[far], b[far]]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(c.astype(np.int64))], ["a", "b", "c"])
+    return train.select("text").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def neighbours(train: DataFrame, held: np.ndarray, kind: np.ndarray, pairs: DataFrame | None, far: DataFrame | None, by_class=False) -> DataFrame:
+    """w, k, near: how often each clustered word (number w, class k) has which neighbours (s, c); with by_class, the sums k, s, c of classes alone.
+    The tail is the word len(held), the end the next one.
+
+    kind: classes of held words. pairs, far: far_pairs and the far words (w, k) if there are any."""
+    shared = train.sparkSession.sparkContext.broadcast((held, kind))
+    tail, several = len(held), pairs is not None
+
+    def near(batches):
+        held, kind = shared.value
+        number = np.concatenate([np.where(kind < 0, tail, np.arange(tail)), [-1 if several else tail]])
+        kinds = np.concatenate([kind, [CLASSES, CLASSES + 1]])
+        out = _Neighbours(by_class)
+        for _, t in slices(batches):
+            w = words(t, NOT_SPACE)
+            a, b = _sequence(number[_number(held, w.hash)], w.at, tail + 1)
+            a, b = a[both := (a >= 0) & (b >= 0)], b[both]
+            out.add(a, b, kinds[a], kinds[b], np.ones(len(a), np.int64))
+            if out.full() and (batch := out.merged()) is not None:
+                yield batch
+        yield from out.rest()
+
+    def joined(batches):
+        kinds = np.concatenate([shared.value[1], [CLASSES, CLASSES + 1]])
+        out = _Neighbours(by_class)
+        for batch in batches:
+            a, b, c, ka, kb = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "c", "ka", "kb"))
+            a, b = np.where((a < 0) & (ka < 0), tail, a), np.where((b < 0) & (kb < 0), tail, b)
+            out.add(a, b, np.where(a < 0, ka, kinds[np.maximum(a, 0)]), np.where(b < 0, kb, kinds[np.maximum(b, 0)]), c)
+            if out.full() and (batch := out.merged()) is not None:
+                yield batch
+        yield from out.rest()
+    rows = train.select("text").mapInArrow(near, ROWS)
+    if several:
+        of = [far.select(F.col("w").alias(x), F.col("k").alias(f"k{x}")) for x in "ab"]
+        wide = pairs.join(of[0], "a", "left").join(of[1], "b", "left").select("a", "b", "c", *[F.coalesce(x, F.lit(-1)).cast("long").alias(x) for x in ("ka", "kb")])
+        rows = rows.unionByName(wide.mapInArrow(joined, ROWS))
+    if by_class:
+        return rows.groupBy("k", "s").agg(F.sum("c").alias("c"))
+    sums = rows.repartition("w").groupBy("w", "k", "s").agg(F.sum("c").alias("c"))  # one exchange, at most OWN + 1 rows a word
+    return sums.groupBy("w", "k").agg(F.collect_list(F.struct("s", "c")).alias("near"))
+
+
+def _square(rows: DataFrame) -> np.ndarray:
+    """Class bigrams from k, s, c, where s is the class after, or OWN."""
+    g = np.zeros((CLASSES + 2, CLASSES + 2))
+    for r in rows.collect():
+        g[r["k"], r["k"] if r["s"] == OWN else r["s"]] += r["c"]
+    return g
+
+
+def _value(g: np.ndarray) -> float:
+    return _xlogx(g).sum() - _xlogx(g.sum(1)).sum() - _xlogx(g.sum(0)).sum()
+
+
+def best(at: np.ndarray, k: np.ndarray, s: np.ndarray, c: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The class of the largest gain for each word, all others as they are. k: present classes; at, s, c: word number, neighbour, count."""
+    n, m = len(k), CLASSES + 2
+    dense = np.zeros((n, OWN + 1))
+    dense[at, s] = c
+    out, inn, own = dense[:, :IN], dense[:, IN:OWN], dense[:, OWN:]
+    mine = np.arange(m) == k[:, None]
+    gain = np.zeros((n, m))
+    for side, this, that, first in ((out, out, inn, 0), (inn, inn, out, IN)):
+        here = np.flatnonzero((s >= first) & (s < first + m))
+        for i in range(0, len(here), 1 << 14):
+            j = here[i:i + (1 << 14)]
+            w, d, x = at[j], s[j] - first, c[j][:, None]
+            base = (g.T if first == 0 else g)[d] - mine[w] * x - np.where((d == k[w])[:, None], that[w] + mine[w] * own[w], 0)
+            new = np.flatnonzero(np.diff(w, prepend=-1))  # rows of a word stand together
+            gain[w[new]] += np.add.reduceat(_xlogx(base + x) - _xlogx(base), new)
+    diagonal = np.diagonal(g) - mine * (out + inn + own)
+    gain += _xlogx(diagonal + out + inn + own) - _xlogx(diagonal + out) - _xlogx(diagonal + inn) + _xlogx(diagonal)
+    for margin, x in ((g.sum(1), out), (g.sum(0), inn)):
+        moved = x.sum(1, keepdims=True) + own
+        left = margin - mine * moved
+        gain -= _xlogx(left + moved) - _xlogx(left)
+    return np.argmax(gain[:, :CLASSES], axis=1)
+
+
+def moves(sums: DataFrame, held: np.ndarray, g: np.ndarray, sweep: int) -> DataFrame:
+    """w, k of every word after a sweep. In the first one the words outside the classes move in; later, one half of the words moves at a time."""
+    shared = sums.sparkSession.sparkContext.broadcast((held, g))
+    n = len(held)
+
+    def run(batches):
+        held, g = shared.value
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                part = batch.slice(i, 4096)
+                w, k = (part.column(x).to_numpy().astype(np.int64) for x in ("w", "k"))
+                near = part.column("near")
+                at = np.repeat(np.arange(len(w)), np.diff(near.offsets.to_numpy()))
+                s, c = (near.flatten().field(x).to_numpy().astype(np.int64) for x in ("s", "c"))
+                half = np.where(w < 0, -1 - w, (held[np.maximum(w, 0)] >> np.uint64(1)).astype(np.int64)) >> 7 & 1
+                go = k == CLASSES if sweep == 0 else half == sweep % 2
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.where(go, best(at, k, s, c, g), k))], ["w", "k"])
+    return sums.filter(~F.col("w").isin(n, n + 1)).mapInArrow(run, "w long, k long")
+
+
+def spread(train: DataFrame, held: np.ndarray, kind: np.ndarray, far: DataFrame | None) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+    """Classes of held words (-1: the tail) and of far words (w, k), and the class bigrams. kind: CLASSES for words that are in no class yet."""
+    pairs = keep(far_pairs(train, held), "lm-pairs") if far is not None else None
+    last = None
+    for sweep in range(SPREAD):
+        sums = keep(neighbours(train, held, kind, pairs, far), "lm-neighbours")
+        g = _square(sums.select("k", F.inline("near")).filter((F.col("s") < IN) | (F.col("s") == OWN)).groupBy("k", "s").agg(F.sum("c").alias("c")))
+        if sweep > 1 and _value(g) < _value(last[2]):
+            return last
+        if sweep > 1 and _value(g) - _value(last[2]) < SPREAD_GAIN * abs(_value(last[2])):
+            return kind, far, g
+        last = kind, far, g
+        new = keep(moves(sums, held, g, sweep), "lm-moves")
+        mine = new.filter("w >= 0").toArrow()
+        kind = kind.copy()
+        kind[mine.column("w").to_numpy()] = mine.column("k").to_numpy()
+        far = new.filter("w < 0") if far is not None else None
+    g = _square(neighbours(train, held, kind, pairs, far, by_class=True))
+    return last if SPREAD > 1 and _value(g) < _value(last[2]) else (kind, far, g)
+
+
 @dataclass
 class Model:
     """All that the tasks need: held words with counts, their class and log10 emission, log10 class bigrams, and the tail's rule."""
@@ -169,32 +377,40 @@ class Model:
     log_unknown: float
     train_tokens: int
     types: int
+    far: bool
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
+def fit(train: DataFrame) -> tuple[Model, DataFrame, int]:
+    """The model, the words that aren't held (w, c, k; k is null in the tail), and the number of texts."""
     counts = keep(word_counts(train), "lm-counts")
     texts = train.count()
     held, c, sums = frequent_words(counts)
-    top = np.sort(np.lexsort((held, -c))[:LISTED])
-    pairs = pair_counts(train, held[top])
-    of = exchange(pairs) if len(top) else np.array([CLASSES, CLASSES + 1])
+    rare = counts.filter(F.col("c") < sums["least"])
+    order = np.lexsort((held, -c))
+    top = np.sort(order[c[order] >= SEEN][:LISTED])
+    kind = np.where(c >= SEEN, CLASSES, -1)
+    if len(top):
+        kind[top] = exchange(pair_counts(train, held[top]))[:-2]
+    number = -1 - F.shiftrightunsigned("w", 1)
+    far = rare.filter(F.col("c") >= SEEN).select(number.alias("w"), F.lit(CLASSES).cast("long").alias("k")) if sums["least"] > SEEN else None
+    kind, far, by_class = spread(train, held, kind, far)
     k = CLASSES + 2
-    by_class = np.zeros((k, k))
-    np.add.at(by_class, (of[:, None].repeat(len(of), 1), of[None, :].repeat(len(of), 0)), pairs)
     right = by_class.sum(0)
     unigram = (right + 1) / (right.sum() + k)
     step = np.log10((by_class + KAPPA * unigram) / (by_class.sum(1, keepdims=True) + KAPPA))
-    tail_types, tail_tokens = sums["types"] - len(top), sums["tokens"] - int(c[top].sum())
+    tail_types, tail_tokens = sums["tail_types"], sums["tail_tokens"]
     discount = (sums["ones"] + 1) / (sums["ones"] + 1 + 2 * (sums["twos"] + 1))
-    kind = np.full(len(held), CLASSES, np.int64)
-    kind[top] = of[:-2]
-    inside = np.zeros(k)
-    np.add.at(inside, of[:-2], c[top])
-    emission = np.log10((c - discount) / (tail_tokens + 1)) if len(held) else np.zeros(0)
-    emission[top] = np.log10(c[top] / inside[of[:-2]])
-    model = Model(held, c, kind, emission, step, sums["least"], discount, tail_tokens, float(np.log10((discount * tail_types + 1) / (tail_tokens + 1))),
-                  sums["tokens"] + texts, sums["types"] + (texts > 0))
-    return model, counts.filter(F.col("c") < sums["least"]), texts
+    inside = by_class.sum(0)  # each word of a class is once the later one of a pair
+    emission = np.log10(np.where(kind < 0, (c - discount) / (tail_tokens + 1), c / np.maximum(inside[kind], 1)))
+    if far is not None:
+        rare = rare.withColumn("_id", number).join(far.select(F.col("w").alias("_id"), "k"), "_id", "left").select("w", "c", F.when(F.col("c") >= SEEN, F.col("k")).alias("k"))
+        inner = F.element_at(F.array(*[F.lit(float(x)) for x in inside]), (F.coalesce("k", F.lit(0)) + 1).cast("int"))
+        rare = rare.withColumn("e", F.when(F.col("k").isNotNull(), F.log10(F.col("c") / inner)))
+    else:
+        rare = rare.select("w", "c", F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("e"))
+    model = Model(held, c, np.where(kind < 0, CLASSES, kind), emission, step, sums["least"], discount, tail_tokens,
+                  float(np.log10((discount * tail_types + 1) / (tail_tokens + 1))), sums["tokens"] + texts, sums["types"] + (texts > 0), far is not None)
+    return model, rare, texts
 
 
 def scored(docs: DataFrame, model: Model, rare: DataFrame, texts: int) -> DataFrame:
@@ -210,33 +426,58 @@ def scored(docs: DataFrame, model: Model, rare: DataFrame, texts: int) -> DataFr
             at = _number(m.held, w.hash)
             found = at < len(m.held)
             kind = np.concatenate([m.kind, [CLASSES]])[at]
-            now, then = _sequence(kind, w.at, last)
-            of_step = np.repeat(np.arange(len(t)), np.diff(w.at) + 1)
             of_word = np.repeat(np.arange(len(t)), np.diff(w.at))
-            score = np.bincount(of_step, m.step[now, then], minlength=len(t)) + np.bincount(of_word, np.concatenate([m.emission, [0.0]])[at], minlength=len(t))
+            score = np.bincount(of_word, np.concatenate([m.emission, [0.0]])[at], minlength=len(t))
+            if not m.far:
+                score += _steps(m.step, kind, w.at, last)
             base = np.bincount(of_word, np.concatenate([np.log10((m.count + 1) / whole), [0.0]])[at], minlength=len(t)) + np.log10((texts + 1) / whole)
             known = np.bincount(of_word[found], minlength=len(t)) + (texts > 0)
             rest_at = np.concatenate([[0], np.cumsum(~found)])[w.at].astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(rest_at), pa.array(signed(w.hash[~found])))
+            # with far words, the classes of a row wait for the join: one byte a word, -1 where it is still open
+            kinds = pa.ListArray.from_arrays(pa.array(w.at.astype(np.int32)), pa.array(np.where(found, kind, -1).astype(np.int8))) if m.far else pa.nulls(len(t), pa.list_(pa.int8()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(row + np.arange(len(t))), pa.array(np.diff(w.at) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), rest],
-                [*batch.schema.names[:-1], "_row", "n_tokens", "_known", "_base", "_score", "_rest"])
+                [*batch.columns[:-1], pa.array(row + np.arange(len(t))), pa.array(np.diff(w.at) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), rest, kinds],
+                [*batch.schema.names[:-1], "_row", "n_tokens", "_known", "_base", "_score", "_rest", "_kinds"])
             row += len(t)
+
+    def stepped(batches):
+        m = shared.value
+        for batch in batches:
+            at = np.concatenate([[0], np.cumsum(batch.column("_size").to_numpy())]).astype(np.int64)
+            kind = batch.column("_kinds").flatten().to_numpy().astype(np.int64)
+            kind[kind < 0] = batch.column("_new").flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(_steps(m.step, kind, at, len(m.step) - 1))], [*batch.schema.names[:-3], "_steps"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    out = keep(docs.mapInArrow(run, f"{fields}, _row long, n_tokens long, _known long, _base double, _score double, _rest array<long>"), "lm-rows")
-    words_ = out.select("_row", F.explode("_rest").alias("w"))
+    out = keep(docs.mapInArrow(run, f"{fields}, _row long, n_tokens long, _known long, _base double, _score double, _rest array<long>, _kinds array<tinyint>"), "lm-rows")
+    words_ = out.select("_row", F.posexplode("_rest").alias("_at", "w"))
     c = F.coalesce(F.col("c"), F.lit(0))
-    log = F.log10(F.when(c > 0, (c - F.lit(model.discount)) / F.lit(model.tail_tokens + 1.0)))
-    rest = words_.join(rare, "w", "left").select("_row", (c > 0).cast("long").alias("k"), F.log10((c + 1) / F.lit(whole)).alias("b"),
-                                                 F.coalesce(log, F.lit(model.log_unknown)).alias("s"))
-    rest = rest.groupBy("_row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
+    log = F.coalesce("e", F.log10(F.when(c > 0, (c - F.lit(model.discount)) / F.lit(model.tail_tokens + 1.0))))
+    rest = words_.join(rare, "w", "left").select("_row", "_at", F.coalesce("k", F.lit(CLASSES)).alias("_k"), (c > 0).cast("long").alias("k"),
+                                                 F.log10((c + 1) / F.lit(whole)).alias("b"), F.coalesce(log, F.lit(model.log_unknown)).alias("s"))
+    new = [F.transform(F.array_sort(F.collect_list(F.struct("_at", "_k"))), lambda x: x["_k"]).alias("_new")] if model.far else []
+    rest = rest.groupBy("_row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"), *new)
     own = [f.name for f in docs.schema.fields[:-1]]
-    score = F.col("_score") + F.coalesce("s", F.lit(0.0))
-    return out.drop("_rest").join(rest, "_row", "left").select(
+    out = out.drop("_rest").join(rest, "_row", "left")
+    if model.far:
+        head = [*own, "n_tokens", "_known", "_base", "_score", "k", "b", "s"]
+        none = F.array().cast("array<bigint>")
+        out = out.select(*head, (F.col("n_tokens") - 1).alias("_size"), "_kinds", F.coalesce("_new", none).alias("_new"))
+        out = out.mapInArrow(stepped, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-3]) + ", _steps double")
+    else:
+        out = out.withColumn("_steps", F.lit(0.0))
+    score = F.col("_score") + F.col("_steps") + F.coalesce("s", F.lit(0.0))
+    return out.select(
         *own, "n_tokens", (F.col("_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
 
 
+def _steps(step: np.ndarray, kind: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
+    """Sum of the class steps of each text."""
+    now, then = _sequence(kind, at, end)
+    return np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at) + 1), step[now, then], minlength=len(at) - 1)
+
+
 def score(docs: DataFrame, fold: int = 2, of: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs (doc_id, text).
 
