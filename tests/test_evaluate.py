@@ -154,3 +154,22 @@ def test_components_close_a_long_chain(spark):
     e = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(30)], "series_id string, other string")
     lab = {r.series_id: r.label for r in C.components(n, e).collect()}
     assert all(lab[f"{i:03d}"] == "000" for i in range(31)) and lab["035"] == "035"
+
+
+def test_registered_resampling_takes_the_reference_counts(spark, monkeypatch):
+    from tocsin.plans import catalogue
+    q, sf, seen = catalogue.queries(), "/root/testdata/sf0.001", {}
+    draws, shift_control = E.draws, E.shift_control
+
+    def counted_draws(clusters, reps, *a, **b):
+        seen.setdefault("reps", []).append(reps)
+        return draws(clusters, reps, *a, **b)
+
+    def counted_shifts(df, key="theatre", shifts=300, **b):
+        seen.setdefault("shifts", []).append(shifts)
+        return shift_control(df, key, shifts, **b)
+    monkeypatch.setattr(E, "draws", counted_draws)
+    monkeypatch.setattr(E, "shift_control", counted_shifts)
+    for name in ("cluster_bootstrap_auc", "paired_brier_bootstrap", "shifted_timing_control", "shifted_timing_p_values", "release_gates", "single_family_timing_null"):
+        q[name](spark, sf)
+    assert seen == {"reps": [500] * 3, "shifts": [300] * 4}

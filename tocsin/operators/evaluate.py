@@ -162,7 +162,7 @@ def paired_bootstrap(df: DataFrame, cluster, a="p", b="base", y="y", reps=500, s
         F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("mid"), F.col("_q")[2].alias("hi"), "share_better")
 
 
-def gates(df: DataFrame, key="theatre", reps=200, shifts=100) -> DataFrame:
+def gates(df: DataFrame, key="theatre", reps=500, shifts=300) -> DataFrame:
     """The three release conditions on judged rows: skill above 0, interval above one half, shifted timing beaten.
 
     df: key, day, p, base, y, ok and cluster.

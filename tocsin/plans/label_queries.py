@@ -214,27 +214,27 @@ def with_cluster(f):
 
 @query("cluster_bootstrap_auc")
 def cluster_bootstrap_auc(spark, sf):
-    return E.cluster_bootstrap_auc(with_cluster(B.forecast(spark, sf)).where("ok"), "cluster", reps=40)
+    return E.cluster_bootstrap_auc(with_cluster(B.forecast(spark, sf)).where("ok"), "cluster")
 
 
 @query("shifted_timing_control")
 def shifted_timing_control(spark, sf):
-    return E.shift_control(with_cluster(B.forecast(spark, sf)), "nation", shifts=20)
+    return E.shift_control(with_cluster(B.forecast(spark, sf)), "nation")
 
 
 @query("shifted_timing_p_values")
 def shifted_timing_p_values(spark, sf):
-    return E.shift_p_values(E.shift_control(with_cluster(B.forecast(spark, sf)), "nation", shifts=20))
+    return E.shift_p_values(E.shift_control(with_cluster(B.forecast(spark, sf)), "nation"))
 
 
 @query("paired_brier_bootstrap")
 def paired_brier_bootstrap(spark, sf):
-    return E.paired_bootstrap(with_cluster(B.forecast(spark, sf)).where("ok"), "cluster", reps=200)
+    return E.paired_bootstrap(with_cluster(B.forecast(spark, sf)).where("ok"), "cluster")
 
 
 @query("release_gates")
 def release_gates(spark, sf):
-    return E.gates(with_cluster(B.forecast(spark, sf)), "nation", reps=30, shifts=20)
+    return E.gates(with_cluster(B.forecast(spark, sf)), "nation")
 
 
 @query("bootstrap_region_reports")

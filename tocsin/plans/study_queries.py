@@ -143,7 +143,7 @@ def attached_family_columns(spark, sf):
 def single_family_timing_null(spark, sf):
     """One family's reading judged inside nation and nation-year against its own shifted timing."""
     f = with_cluster(B.forecast(spark, sf)).drop("nation").withColumnRenamed("cluster", "stratum")
-    return E.shift_control(f, "stratum", shifts=10, edge=30, least=100)
+    return E.shift_control(f, "stratum", edge=30, least=100)
 
 
 @query("rolling_recalibration")
