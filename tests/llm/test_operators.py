@@ -472,6 +472,17 @@ def test_surrogates_stay_distinct_where_they_clash(spark):
 
 # token counts
 
+def test_short_surnames_never_run_out(spark):
+    import itertools
+    first = ["".join(x) for x in itertools.product("AEIOU", "bdfgklmnprst", "aeiou", "lnrstm")]
+    people = [("name", f"Mr {x} Li") for x in first] + [("name", f"Господин {a}{b} Цой") for a in "АБВГДЕЖЗИК" for b in "абвгдежзик"]
+    assert len(people) > 1680 + 40
+    got = surrogates.table(spark.createDataFrame(people, "kind string, value string"), "k").collect()
+    assert len(got) == len({r["surrogate"] for r in got}) == len(people)
+    assert not {r["surrogate"] for r in got} & {r["value"] for r in got}
+    assert all(r["surrogate"].split(" ")[0] == r["value"].split(" ")[0] and len(r["surrogate"].split(" ")) == 3 for r in got)
+
+
 def test_rollups(spark, odd, none, tmp_path):
     store = counts.Rollup(spark, f"file://{tmp_path}/store")
     one = counts.VERSIONS["words/1"](F.col("text"))

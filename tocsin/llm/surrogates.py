@@ -4,7 +4,8 @@ Entities are found by one pattern. Each distinct entity gets one surrogate in th
 letters and hex digits change by a keyed stream, the format (lengths, separators, case, country code, key prefix, check sum of card
 numbers, octet range, top-level domain) stays, and names keep their title, gender and script. A surrogate must differ from every
 entity and from every other surrogate of its kind; those that clash are drawn again until none does, so distinct entities stay
-distinct. Only DataFrame functions are used. Equal texts are looked up once; texts without an entity are passed on without a join.
+distinct. From draw WIDEN on, names, e-mails, secrets and phone numbers get one more drawn letter or digit every fourth draw, so a small space
+(short surnames) never runs out; all other kinds have at least 10^9 values by their format. Only DataFrame functions are used. Equal texts are looked up once; texts without an entity are passed on without a join.
 """
 from functools import reduce
 
@@ -34,9 +35,11 @@ NAMES = {
     ("cyrillic", "m"): "Антон Борис Виктор Денис Иван Максим Олег Павел".split(),
 }
 STREAMS = [("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789")]
-LETTERS = {"vowels": "aeiou", "consonants": "bcdfghjklmnpqrstvwxyz", "кириллица": "аеиоу", "согласные": "бвгдзклмнпрст"}
+LETTERS = {"vowels": "aeiou", "consonants": "bcdfghjklmnpqrstvwxyz", "кириллица": "аеиоуыэюяё", "согласные": "бвгджзйклмнпрстфхцчшщ",
+           "accented": "àáâäåèéêëìíîïòóôöùúûü"}
 PATTERN = "|".join(KINDS.values())
 MOST_DRAWS = 64
+WIDEN = 8
 
 
 def kind_of(value: Column) -> Column:
@@ -97,8 +100,13 @@ def _name(value: Column) -> Column:
     return F.concat_ws(" ", F.element_at(parts, 1), first, _spelled(F.element_at(parts, 3)))
 
 
-def surrogate(kind: Column, value: Column) -> Column:
-    """The drawn surrogate of an entity whose keyed digest is in `_digest`."""
+def _more(n: int, letters: str) -> Column:
+    """n drawn characters of a list."""
+    return F.concat(F.lit(""), *[_shift(F.lit(letters[0]), _stream(F.lit(1000 + i)), letters) for i in range(n)])
+
+
+def surrogate(kind: Column, value: Column, more: int = 0) -> Column:
+    """The drawn surrogate of an entity whose keyed digest is in `_digest`; more: characters by which kinds of free length grow."""
     email = F.concat(_mapped(F.regexp_extract(value, r"^(.*)(\.[A-Za-z]+)$", 1)), F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1))
     label = r"^((?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?\"?)(.*)$"
     body = F.regexp_extract(value, label, 2)
@@ -107,15 +115,21 @@ def surrogate(kind: Column, value: Column) -> Column:
     iban = F.concat(F.substring(value, 1, 2), _mapped(F.substring(value, 3, 100)))
     phone = F.concat(F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])", 1), _mapped(F.regexp_replace(value, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])", "")))
     ip = F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (_stream(i) % 254 + 1).cast("string")), ".")
+    if more:
+        low = STREAMS[0][1]
+        email, phone = F.concat(_more(more, low), email), F.concat(phone, _more(more, STREAMS[2][1]))
+        secret = F.concat(secret, F.when(body.rlike("^[0-9a-f]+$"), _more(more, low[:6])).otherwise(_more(more, low)))
+    name = F.concat(_name(value), F.when(value.rlike("[А-Яа-я]"), _more(more, LETTERS["согласные"])).otherwise(_more(more, low))) if more else _name(value)
     return (F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "cloud_key", key).when(kind == "iban", iban)
-            .when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", _card(value)).when(kind == "name", _name(value)).otherwise(_mapped(value)))
+            .when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", _card(value)).when(kind == "name", name).otherwise(_mapped(value)))
 
 
 def table(entities: DataFrame, key: str) -> DataFrame:
     """entities: kind, value, distinct. Returns kind, value, surrogate: distinct ones for distinct entities, none equal to an entity."""
     def draw(rows, n):
+        more = 0 if n < WIDEN else 1 + (n - WIDEN) // 4
         digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "value", F.lit(str(n))), 256)
-        return rows.withColumn("_digest", digest).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"))).select("kind", "value", "surrogate")
+        return rows.withColumn("_digest", digest).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), more)).select("kind", "value", "surrogate")
     entities = keep(entities, "entities")
     drawn = keep(draw(entities, 0), "surrogates")
     for n in range(1, MOST_DRAWS):
