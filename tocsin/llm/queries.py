@@ -3,7 +3,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tocsin.llm import classlm, counts, language, leaks, lines, mixing, near, rules, sharding, surrogates
+from tocsin.llm import classlm, counts, entropy, language, leaks, lines, mixing, near, rules, sharding, surrogates, tries, variants
 from tocsin.llm.oracles import ORACLES
 from tocsin.llm.shared import documents, keep, shared_folder
 
@@ -76,5 +76,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op11_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = entropy.scanned(documents(spark, sf_dir), ["doc_id"])
+    base = entropy.of_kind(F.col("spans"), *entropy.KINDS[:3])
+    counted = {f"n_{k}": F.size(entropy.of_kind(F.col("spans"), k)).cast("long") for k in entropy.KINDS}
+    return rows.withColumns(counted | {"base_sha256": F.sha2(entropy.listed(base), 256), "spans": entropy.listed(F.col("spans"))})
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tries.placed(tries.hashed(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return tries.trie(*tries.rebuilt(turns)).select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mixing, op2_class_bigrams, op3_sharding, op4_language, op5_near, op6_line_quality, op7_leaks, op8_surrogates, op9_rules, op10_token_counts)}
+    op1_mixing, op2_class_bigrams, op3_sharding, op4_language, op5_near, op6_line_quality, op7_leaks, op8_surrogates, op9_rules, op10_token_counts,
+    op11_entropy, op12_variants, op13_trie)}
