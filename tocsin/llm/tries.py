@@ -21,6 +21,7 @@ from tocsin.llm.shared import keep
 BLOCK = 4        # turns of a block
 CHUNK = 1024     # turns of a conversation that are put in a row at a time, a multiple of BLOCK
 ENDS = 12        # bits of a conversation's id inside a part of an end list: 4,096 ids a part
+BUSY = 10_000    # starts that hold this part of all blocks, or more, are sent to the tasks
 RANGE = 256      # blocks of a conversation that one window takes
 FAMILY, MOST_SHARED = 100, 6  # Fixed values of the rebuilding: ids of a family, and the divisor of the checksum
 ID = ["depth", "q1", "q2"]
@@ -203,8 +204,11 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     seen = F.struct(F.size("els").alias("n"), F.element_at("els", -1)["q1"].alias("q1"), F.element_at("els", -1)["q2"].alias("q2"))
     rows = rows.withColumn("seen", F.when(F.size("els") > 0, seen).otherwise(F.struct(F.lit(0).alias("n"), F.col("p1").alias("q1"), F.col("p2").alias("q2"))))
     starts = rows.groupBy("k", "p1", "p2").agg(F.count(F.lit(1)).alias("n"), F.min("conv").alias("start"), F.min("seen").alias("lo"), F.max("seen").alias("hi"))
-    starts = starts.filter(F.col("n") > 1).select("k", "p1", "p2", "n", "start", (F.col("lo") != F.col("hi")).alias("parts"))
-    rows = keep(rows.drop("seen").join(starts, ["k", "p1", "p2"], "left"), "trie-members")
+    starts = keep(starts.filter(F.col("n") > 1).select("k", "p1", "p2", "n", "start", (F.col("lo") != F.col("hi")).alias("parts")), "trie-starts")
+    rows, key = rows.drop("seen"), ["k", "p1", "p2"]
+    busy = F.col("n") * BUSY >= rows.count()  # members of all starts are at most the blocks, so at most BUSY starts are busy
+    often = F.broadcast(starts.filter(busy))
+    rows = keep(rows.join(often, key).unionByName(rows.join(often.select(*key), key, "left_anti").join(starts.filter(~busy), key, "left")), "trie-members")
 
     depth = F.col("k") * BLOCK + F.col("i")
     lone = rows.filter(F.col("n").isNull()).select("conv", "k", F.posexplode("els").alias("i", "e")).select(
