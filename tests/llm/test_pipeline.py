@@ -50,5 +50,5 @@ def test_stages_do_what_they_say(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()

@@ -88,4 +88,57 @@ SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat
 FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLES = {"op1_mixing": OP1, "op5_near": OP5, "op7_leaks": OP7, "op9_rules": OP9, "op10_token_counts": OP10}
+#: crc32 of a list of bytes: a table of 256 sums, then one step a byte.
+CRC = """
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256))::BIGINT AS i)))"""
+
+
+def _crc(bytes_: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295)"
+
+
+OP12 = r"""
+WITH""" + CRC + r""",
+t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+      FROM documents),
+k AS (SELECT doc_id, run, count(*) AS times FROM t GROUP BY doc_id, run),
+h AS (SELECT *, """ + _crc(r"""flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))""") + r""" AS h FROM k, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h),
+v AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+x AS (SELECT word, n, unnest(range(length(word)))::INT AS i FROM v),
+y AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS less FROM x),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM y a JOIN y b ON a.i = b.i AND a.less = b.less AND length(a.word) = length(b.word) AND a.word <> b.word
+      UNION SELECT y.word, v.word, v.n FROM y JOIN v ON y.less = v.word UNION SELECT v.word, y.word, y.n FROM y JOIN v ON y.less = v.word),
+b AS (SELECT word, count(*) AS n_near, list(struct_pack(a := -near_n, b := near) ORDER BY -near_n, near)[1] AS best FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.a >= 2 * v.n THEN best.b END AS form,
+      CASE WHEN -best.a >= 2 * v.n THEN (-best.a)::BIGINT END AS form_n FROM v LEFT JOIN b USING (word))
+SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN (WITH RECURSIVE q AS (SELECT word, word AS root, 0 AS d FROM f
+      UNION ALL SELECT q.word, f.form, d + 1 FROM q JOIN f ON q.root = f.word WHERE f.form IS NOT NULL) SELECT word, arg_max(root, d) AS root FROM q GROUP BY word) z
+      USING (word)
+"""
+
+OP13 = r"""
+WITH""" + CRC + r""",
+a AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(role || chr(0) || text)) AS p, role, text FROM a),
+g AS MATERIALIZED (SELECT c, c - c % 100 AS family, """ + _crc("list_transform(string_split(c::VARCHAR, ''), lambda x: unicode(x)::BIGINT)") + r""" % 6 AS h
+      FROM (SELECT DISTINCT c FROM a), crc),
+b AS (SELECT g.c, 0 AS own, o.p, role, text FROM g JOIN o ON o.c = g.family AND o.p <= h UNION ALL SELECT g.c, 1, o.p, role, text FROM g JOIN o ON o.c = g.c AND o.p > h),
+t AS MATERIALIZED (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, md5(role) || md5(text) AS x, length(text) AS size FROM b),
+q AS MATERIALIZED (SELECT c, d, size, md5(string_agg(x, ',') OVER (PARTITION BY c ORDER BY d)) AS node,
+      coalesce(md5(string_agg(x, ',') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), '') AS up FROM t
+      UNION ALL SELECT c, 0, 0, '', NULL FROM g),
+l AS (SELECT c, max(d) AS turns FROM q GROUP BY c),
+n AS MATERIALIZED (SELECT node, any_value(d) AS d, any_value(up) AS up, min(q.c) AS c, count(*) AS n, any_value(size) AS size,
+      coalesce(string_agg(q.c::VARCHAR, ',' ORDER BY q.c) FILTER (WHERE d = turns), '') AS ends FROM q JOIN l ON l.c = q.c GROUP BY node),
+k AS MATERIALIZED (SELECT up AS node, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT q.node, count(*) FILTER (WHERE kids IS NULL) AS leaves, sum((n.n - 1) * n.size) AS saved
+      FROM n LEFT JOIN k ON k.node = n.node JOIN q ON q.c = n.c AND q.d <= n.d GROUP BY q.node)
+SELECT n.c::BIGINT AS conv_id, n.d::BIGINT AS depth, u.c::BIGINT AS parent_conv_id, n.n::BIGINT AS n_convs, coalesce(kids, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n LEFT JOIN n u ON u.node = n.up LEFT JOIN k ON k.node = n.node JOIN s ON s.node = n.node
+"""
+
+ORACLES = {"op1_mixing": OP1, "op5_near": OP5, "op7_leaks": OP7, "op9_rules": OP9, "op10_token_counts": OP10, "op12_variants": OP12, "op13_trie": OP13}
