@@ -23,9 +23,9 @@ def auc(df: DataFrame, score="p", label="y", by=(), weight=None) -> DataFrame:
     return g.select(*by, F.when(ok, F.col("_u") / (F.col("positives") * F.col("negatives"))).alias("auc"), "positives", "negatives")
 
 
-def within_auc(df: DataFrame, group, score="p", label="y", by=()) -> DataFrame:
+def within_auc(df: DataFrame, group, score="p", label="y", by=(), weight=None) -> DataFrame:
     """Mean of each group's own AUC, weighted by its positives."""
-    a = auc(df, score, label, [*by, group]).where(F.col("auc").isNotNull())
+    a = auc(df, score, label, [*by, group], weight).where(F.col("auc").isNotNull())
     return a.groupBy(*by).agg((F.sum(F.col("auc") * F.col("positives")) / F.sum("positives")).alias("within_auc"),
                               F.count(F.lit(1)).alias("groups"))
 

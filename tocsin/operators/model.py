@@ -1,13 +1,13 @@
-"""Event-probability model on Spark ML: penalised fit with non-negative family weights, base rates, shrinkage, rolling
+"""Event-probability model: penalised fits with non-negative family weights, base rates, shrinkage, rolling
 origin, bootstrap, prediction, recalibration and the market blend."""
-import math
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tocsin.functions import scoring as S
+from tocsin.operators import fits
 from tocsin.operators.lineage import stable
 
 # Fixed values of the published rule.
@@ -19,24 +19,16 @@ GAMMA0, PHI0, P_CAP = 0.6, 0.5, 0.95
 MARKET_CAL, MARKET_WEIGHT, MARKET_VOLUME = (-0.76, 0.90), 0.30, 50000
 
 
-def fit(rows: DataFrame, offsets, history, families, lam, label="y", weight=None):
-    """Coefficients by column name (plus `intercept`). Offsets and history terms are free, family weights are >= 0.
+def ridges(offsets, history, families, lam):
+    """(free, positive): the ridge of every column, by group."""
+    return {**{c: RIDGE_OFFSET for c in offsets}, **{c: RIDGE_HISTORY for c in history}}, {c: float(lam) for c in families}
 
-    Each penalty group has its own ridge: column j is divided by sqrt(penalty_j), one common ridge is applied, and the
-    coefficient is scaled back. Dividing by a positive number leaves the zero bound where it is.
-    """
-    pen = {**{c: RIDGE_OFFSET for c in offsets}, **{c: RIDGE_HISTORY for c in history}, **{c: float(lam) for c in families}}
-    cols = list(pen)
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    x = rows.select(F.col(label).cast("double").alias("label"), w.alias("w"), *[(F.col(c) / math.sqrt(pen[c])).alias(c) for c in cols])
-    x = VectorAssembler(inputCols=cols, outputCol="features").transform(x).select("label", "w", "features").where("w > 0").persist()
-    total = x.agg(F.sum("w")).first()[0]
-    low = [0.0 if c in families else -math.inf for c in cols]
-    lr = LogisticRegression(maxIter=200, tol=1e-8, regParam=1.0 / total, elasticNetParam=0.0, standardization=False, weightCol="w",
-                            lowerBoundsOnCoefficients=DenseMatrix(1, len(cols), low))
-    m = lr.fit(x)
-    x.unpersist()
-    return {"intercept": float(m.intercept), **{c: float(b) / math.sqrt(pen[c]) for c, b in zip(cols, m.coefficients)}}
+
+def fit(rows: DataFrame, offsets, history, families, lam, label="y", weight=None):
+    """Coefficients by column name (plus `intercept`). Offsets and history terms are free, family weights are >= 0."""
+    free, positive = ridges(offsets, history, families, lam)
+    one = fits.Fit("fit", free, positive, F.lit(1.0) if weight is None else F.col(weight), F.col(label))
+    return fits.solve(rows, [one])["fit"].theta
 
 
 def raw_probability(theta, weights=None):
@@ -84,53 +76,100 @@ def shrink_grid(oos: DataFrame, by=(), raw="raw", base="base", y="y") -> DataFra
     return agg.select(*by, F.array_min(rows).alias("_b")).select(*by, "_b.gamma", "_b.phi", "_b.brier")
 
 
-def nested_publish(oos: DataFrame, first_year: int, year="year") -> DataFrame:
-    """Published probability with (gamma, phi) fitted on earlier test years only; the defaults for the first two."""
+def nested_publish(oos: DataFrame, first_year: int, year="year", by=()) -> DataFrame:
+    """Published probability with (gamma, phi) fitted on earlier test years only; the defaults for the first two. `by`: columns of models
+    that are published each on its own."""
+    by = list(by)
     years = oos.select(year).distinct()
     all_years = years.select(F.array_sort(F.collect_set(year))).scalar()  # one number per year
     past = oos.withColumn("_years", all_years).withColumn("target", F.explode(F.filter("_years", lambda t: t > F.col(year)))).drop("_years")
-    fitted = shrink_grid(past, ["target"]).select(F.col("target").alias(year), "gamma", "phi")
-    d = oos.join(fitted, year, "left")
+    fitted = shrink_grid(past, [*by, "target"]).select(*by, F.col("target").alias(year), "gamma", "phi")
+    d = oos.join(fitted, [*by, year], "left")
     own = F.col(year) >= first_year + 2
     g, f = F.when(own, F.col("gamma")).otherwise(GAMMA0), F.when(own, F.col("phi")).otherwise(PHI0)
     return d.withColumn("gamma", g).withColumn("phi", f).withColumn("p", S.shrink(F.col("raw"), F.col("base"), F.col("gamma"), F.col("phi")))
 
 
-def rolling(rows: DataFrame, offsets, history, families, lam, years, key="theatre", weight=None) -> DataFrame:
-    """Out-of-sample raw probability and base rate for each test year, trained on days before it less a 30-day embargo.
+@dataclass(frozen=True)
+class Variant:
+    """A model to be judged out of sample: its columns (families: ridge by column, for all years or by test year), the label, the mark of the
+    rows that train and are judged, and a weight column."""
+    name: str
+    history: tuple
+    families: dict
+    label: str = "y"
+    lab: str = "lab"
+    weight: str = None
+    by_year: bool = False
+
+    def positive(self, year):
+        return self.families[year] if self.by_year else self.families
 
-    rows: key, day, y, lab and the design columns. One distributed fit per year; the results are unioned.
+
+def rolling_many(rows: DataFrame, variants, offsets, years, key="theatre", carry=("eid", "cluster")) -> DataFrame:
+    """Out-of-sample raw probability and base rate of every variant and test year: key, day, y, year, variant, raw, base.
+
+    A year is judged by the fit on the days before it less a 30-day embargo. All fits of all variants and years are solved together, the base
+    rates come from one grouped sum, and the rows are scored in one pass.
     """
-    out = None
-    for yr in years:
-        train = rows.where(F.col("lab") & (F.col("day") < F.date_sub(F.lit(f"{yr}-01-01").cast("date"), EMBARGO)))
-        theta = fit(train, offsets, history, families, lam, weight=weight)
-        test = rows.where(F.col("lab") & (F.year("day") == yr)).join(base_rates(train, key), key)
-        part = test.select(key, "day", "y", F.lit(yr).alias("year"), raw_probability(theta).alias("raw"), "base",
-                           *[c for c in ("eid", "cluster") if c in rows.columns])
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = stable(rows)
+    cuts = {yr: F.date_sub(F.lit(f"{yr}-01-01").cast("date"), EMBARGO) for yr in years}
+    trains = lambda v, yr: F.col(v.lab) & (F.col("day") < cuts[yr])      # noqa: E731
+    all_ = []
+    for v in variants:
+        for yr in years:
+            free = {**{c: RIDGE_OFFSET for c in offsets}, **{c: RIDGE_HISTORY for c in v.history}}
+            w = F.lit(1.0) if v.weight is None else F.col(v.weight).cast("double")
+            all_.append(fits.Fit(f"{v.name}|{yr}", free, v.positive(yr), F.when(trains(v, yr), w).otherwise(0.0), F.col(v.label)))
+    found = fits.solve(rows, all_)
+
+    kinds = list(dict.fromkeys((v.label, v.lab) for v in variants))
+    first = {k: next(v for v in variants if (v.label, v.lab) == k) for k in kinds}
+    cells = [(k, yr, f"{i}_{yr}") for i, k in enumerate(kinds) for yr in years]
+    g = stable(rows.groupBy(key).agg(*[x for k, yr, c in cells for x in (
+        F.sum(F.when(trains(first[k], yr), F.col(k[0]))).alias(f"pos{c}"), F.count_if(trains(first[k], yr)).alias(f"n{c}"))]))
+    total = g.agg(*[F.sum(f"{x}{c}").alias(f"{x}{c}") for _, _, c in cells for x in ("pos", "n")]).first()     # two numbers a cell
+    pooled = {c: (total[f"pos{c}"] or 0) / max(total[f"n{c}"] or 0, 1) for _, _, c in cells}
+    base = g.select(key, F.inline(F.array(*[F.struct(F.lit(kinds.index(k)).alias("_kind"), F.lit(yr).alias("year"), (
+        (F.coalesce(f"pos{c}", F.lit(0)) + BASE_PRIOR * pooled[c]) / (F.col(f"n{c}") + BASE_PRIOR)).alias("base")) for k, yr, c in cells])))
+
+    def score(v):
+        out = F.lit(None).cast("double")
+        for yr in years:
+            out = F.when(F.year("day") == yr, raw_probability(found[f"{v.name}|{yr}"].theta)).otherwise(out)
+        return out
+    test = rows.where(F.year("day").isin(list(years))).select(key, "day", F.year("day").alias("year"), *[c for c in carry if c in rows.columns], F.inline(F.array(*[
+        F.struct(F.lit(v.name).alias("variant"), F.col(v.label).alias("y"), F.col(v.lab).alias("_lab"), F.lit(kinds.index((v.label, v.lab))).alias("_kind"), score(v).alias("raw"))
+        for v in variants])))
+    return test.where("_lab").join(base, [key, "year", "_kind"]).drop("_lab", "_kind")
 
 
-def choose_lambda(rows, offsets, history, families, years, lambdas=LAMBDAS, key="theatre"):
-    """(lambda, Brier, published rows) of the penalty with the best out-of-sample Brier score."""
-    best = None
-    for lam in lambdas:
-        pub = stable(nested_publish(stable(rolling(rows, offsets, history, families, lam, years, key)), years[0]))
-        b = pub.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2))).first()[0]
-        if best is None or b < best[1]:
-            best = (lam, b, pub)
-    return best
+def rolling(rows: DataFrame, offsets, history, families, lam, years, key="theatre", weight=None) -> DataFrame:
+    """`rolling_many` of one model."""
+    return rolling_many(rows, [Variant("model", tuple(history), {c: float(lam) for c in families}, weight=weight)], offsets, years, key).drop("variant")
+
+
+def choose_lambda(rows, offsets, history, families, years, lambdas=LAMBDAS, key="theatre") -> DataFrame:
+    """Out-of-sample Brier score of the published probability under each penalty, and which is chosen (the first of the best):
+    lam, brier, chosen. All penalties and years are fitted together."""
+    v = [Variant(str(lam), tuple(history), {c: float(lam) for c in families}) for lam in lambdas]
+    pub = nested_publish(stable(rolling_many(rows, v, offsets, years, key)), years[0], by=("variant",))
+    b = stable(pub.groupBy(F.col("variant").cast("double").alias("lam")).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")))
+    best = b.agg(F.min(F.struct("brier", "lam")).alias("b")).select("b.lam").scalar()
+    return b.withColumn("chosen", F.col("lam") == best)
 
 
 def bootstrap(rows: DataFrame, offsets, history, families, lam, reps=40, seed=3, cluster="cluster"):
-    """Refits with whole clusters redrawn, as replicate weights on the same rows. Yields one coefficient dict per replicate."""
+    """Refits with whole clusters redrawn, all solved together; every row carries its weights in all replicates. Returns one coefficient dict
+    per replicate."""
     from tocsin.operators import evaluate
-    rows = stable(rows)
-    d = stable(evaluate.draws(rows.select(F.col(cluster).alias("cluster")), reps, seed))
-    for r in range(1, reps + 1):
-        w = d.where(F.col("rep") == r).select(F.col("cluster").alias(cluster), F.col("times").alias("_w"))
-        yield fit(rows.join(w, cluster), offsets, history, families, lam, weight="_w")
+    d = evaluate.draws(rows.select(F.col(cluster).alias("cluster")), reps, seed)
+    times = d.groupBy(F.col("cluster").alias(cluster)).agg(F.map_from_entries(F.collect_list(F.struct("rep", "times"))).alias("_times"))
+    rows = stable(rows.join(times, cluster, "left"))
+    free, positive = ridges(offsets, history, families, lam)
+    found = fits.solve(rows, [fits.Fit(str(r), free, positive, F.coalesce(F.try_element_at("_times", F.lit(r)), F.lit(0)).cast("double"))
+                              for r in range(1, reps + 1)])
+    return [s.theta for s in found.values()]
 
 
 def recency_weight(day, end, half_life):
@@ -210,17 +249,65 @@ def platt(rows: DataFrame, slope=True, p="p", y="y"):
     return u.first()["u"], 1.0
 
 
+def pooled(blocks):
+    """Pools neighbouring blocks (sum, weight, end), in order, until their means rise. What two runs leave may be pooled again together."""
+    out = []
+    for s, n, end in blocks:
+        while out and out[-1][0] * n >= s * out[-1][1]:
+            before = out.pop()
+            s, n = s + before[0], n + before[1]
+        out.append((s, n, end))
+    return out
+
+
+def isotonic_steps(train: DataFrame, p="p", y="y") -> DataFrame:
+    """Rising step function of y on p: upto (largest p of the step), q, n. Equal values of p are one cell.
+
+    Cells are summed first, sorted by ranges of p, and pooled within each range; the ranges' blocks, which are far fewer than the cells, are
+    pooled again in one more pass over rising groups of ranges until one is left. Pooling is the same in whatever order neighbours
+    are merged, so this equals one pass over all cells.
+    """
+    cells = train.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("upto")).agg(
+        F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+
+    def pool(batches):
+        import pyarrow as pa
+        kept = []
+        for b in batches:
+            rows = zip(b.column("s").to_pylist(), b.column("n").to_pylist(), b.column("upto").to_pylist())
+            kept = pooled([*kept, *rows])
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.float64()) for i in range(3)], ["s", "n", "upto"])
+    out = stable(cells.repartitionByRange("upto").sortWithinPartitions("upto").select("s", "n", "upto").mapInArrow(pool, "s double, n double, upto double"))
+    parts = out.rdd.getNumPartitions()
+    while parts > 1:
+        parts = (parts + 7) // 8
+        out = stable(out.repartitionByRange(parts, "upto").sortWithinPartitions("upto").mapInArrow(pool, "s double, n double, upto double"))
+    return out.select("upto", (F.col("s") / F.col("n")).alias("q"), "n")    # at the end one task holds the steps, no more than the distinct p
+
+
 def isotonic(train: DataFrame, test: DataFrame, p="p", y="y") -> DataFrame:
-    """Pooled-adjacent-violators map fitted on `train`, applied to `test` as `q`."""
-    from pyspark.ml.regression import IsotonicRegression
-    m = IsotonicRegression(featuresCol=p, labelCol=y, isotonic=True).fit(train.select(F.col(p).cast("double"), F.col(y).cast("double")))
-    return m.transform(test).withColumnRenamed("prediction", "q")
-
-
-def boosted(train: DataFrame, test: DataFrame, cols, y="y", trees=20, depth=3) -> DataFrame:
-    """Boosted-tree candidate (unconstrained: the built-in learner has no monotone option)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
-    va = VectorAssembler(inputCols=list(cols), outputCol="features")
-    m = GBTClassifier(labelCol=y, maxIter=trees, maxDepth=depth, seed=1).fit(va.transform(train.withColumn(y, F.col(y).cast("double"))))
-    return m.transform(va.transform(test)).withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    """The step function fitted on `train`, applied to `test` as `q`: the first step that reaches p, the last beyond all. Steps and
+    rows meet in one ordered scan by p, so neither side is sent whole."""
+    from tocsin.operators import ranking
+    steps = stable(isotonic_steps(train, p, y))
+    values = test.select(F.col(p).cast("double").alias("upto")).where("upto is not null").distinct()
+    both = values.join(steps.select("upto", "q"), "upto", "full")
+    s = ranking.ordered_scan(both, "upto", {"q": ("min", F.col("q"))}, reverse=True)     # q rises, so the nearest step above has the least q
+    last = steps.agg(F.max_by("q", "upto")).scalar()
+    at = s.select(F.col("upto").alias("_at"), F.coalesce(F.least("q", "q_before"), last).alias("q"))
+    return test.withColumn("_p", F.col(p).cast("double")).join(at, F.col("_p") == F.col("_at"), "left").drop("_p", "_at")
+
+
+def boosted(train: DataFrame, test: DataFrame, cols, rising=(), y="y", **settings) -> DataFrame:
+    """Boosted-tree candidate whose prediction never falls in the `rising` columns, scored on `test` as `raw`."""
+    from tocsin.operators import boosting
+    return boosting.fit(train, cols, rising, y, **settings).predict(test)
+
+
+def raw_probabilities(thetas):
+    """Array of the probabilities under several coefficient sets of the same columns."""
+    names = [c for c in thetas[0] if c != "intercept"]
+    x = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
+    sets = F.array(*[F.array(F.lit(t["intercept"]), *[F.lit(float(t[c])) for c in names]) for t in thetas])
+    return F.transform(sets, lambda t: S.sigmoid(F.aggregate(F.zip_with(t, x, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))

@@ -106,26 +106,48 @@ def group_members(ev: DataFrame, alias: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ weighting schemes and training variants
-def scheme(rows: DataFrame, name, offsets, history, families, lam, year, domains=None, key="theatre") -> DataFrame:
-    """Out-of-sample forecast of one test year under a weighting scheme: all, screened, equal, domain, auc or improper."""
-    cut = F.date_sub(F.lit(f"{year}-01-01").cast("date"), M.EMBARGO)
-    train = stable(rows.where(F.col("lab") & (F.col("day") < cut)))
-    cols = list(families)
-    if name in ("screened", "equal", "auc"):
-        long = train.select(key, "y", F.inline(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f).alias("p")) for f in families])))
-        skill = {r["family"]: r["within_auc"] for r in E.within_auc(long, key, by=["family"]).collect()}      # one row per family
-        cols = [f for f in families if (skill.get(f) or 0) > 0.5] or list(families)
-    d = rows
-    if name == "equal":
-        d, cols = d.withColumn("w_mean", sum((F.col(f) for f in cols), F.lit(0.0)) / len(cols) ** 0.5), ["w_mean"]
-    elif name == "auc":
-        total = sum(skill[f] - 0.5 for f in cols if skill.get(f)) or 1.0
-        d, cols = d.withColumn("w_mean", sum((F.col(f) * ((skill.get(f) or 0.5) - 0.5) / total for f in cols), F.lit(0.0))), ["w_mean"]
-    elif name == "improper":
-        d, cols = d.withColumn("w_mean", sum((F.col(f) for f in families), F.lit(0.0)) / len(families)), ["w_mean"]
-    elif name == "domain":
-        for dom, members in (domains or {}).items():
-            top = F.slice(F.sort_array(F.array(*[F.col(f) for f in members]), False), 1, 3)
-            d = d.withColumn(f"d_{dom}", S.mean(top))
-        cols = [f"d_{dom}" for dom in (domains or {})]
-    return M.rolling(d, offsets, history, cols, lam, [year], key).withColumn("scheme", F.lit(name))
+SUPPORT_MOST = 20.0  # Fixed value: most that a family seen on few positive days is shrunk harder
+
+
+def screening(rows: DataFrame, families, years, key="theatre") -> dict:
+    """(year, family) -> within-theatre AUC and positive days of the training rows of each test year, in one pass: a row trains every year
+    whose cut lies behind it."""
+    cuts = F.array(*[F.struct(F.lit(yr).alias("year"), F.date_sub(F.lit(f"{yr}-01-01").cast("date"), M.EMBARGO).alias("cut")) for yr in years])
+    train = rows.where("lab").withColumn("_t", F.explode(F.filter(cuts, lambda c: F.col("day") < c["cut"])))
+    long = train.select(key, "y", F.col("_t.year").alias("year"), F.inline(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f).alias("p"), F.col(f"seen_{f[2:]}").alias("seen"))
+                                                                             for f in families])))
+    long = stable(long.groupBy(key, "y", "year", "family", "p").agg(F.count(F.lit(1)).alias("_c"), F.count_if("seen").alias("_s")))
+    auc = E.within_auc(long, key, by=["year", "family"], weight="_c")
+    sup = long.where("y = 1").groupBy("year", "family").agg(F.sum("_s").alias("support"))
+    got = sup.join(auc, ["year", "family"], "left").select("year", "family", "within_auc", "support").collect()       # one row per year and family
+    return {(r["year"], r["family"]): (r["within_auc"] or 0.5, r["support"] or 0) for r in got}
+
+
+def schemes(rows: DataFrame, offsets, history, families, lam, years, domains, key="theatre", coverage=30) -> DataFrame:
+    """Out-of-sample forecasts of all test years under each weighting scheme: all, screened, equal, support, domain, auc, improper.
+
+    screened and equal keep the families whose training AUC is above one half, support shrinks families with fewer positive days than the median
+    harder, domain takes the mean of a domain's three strongest families, auc weighs families by their training AUC, improper is the plain mean of
+    the families with at least `coverage` positive days. What is chosen for a year is chosen on its own training rows; a scheme's
+    column is made per year and is 0 in the fits of the others."""
+    skill = screening(rows, families, years, key)
+    at = lambda yr, f: skill.get((yr, f), (0.5, 0))      # noqa: E731
+    kept = {yr: [f for f in families if at(yr, f)[0] > 0.5] or list(families) for yr in years}
+    cols, by = {}, {s: {} for s in ("screened", "equal", "support", "auc", "improper")}
+    for yr in years:
+        by["screened"][yr] = {f: lam for f in kept[yr]}
+        sup = {f: max(at(yr, f)[1], 1) for f in families}
+        mid = sorted(sup.values())
+        mid = (mid[(len(mid) - 1) // 2] + mid[len(mid) // 2]) / 2
+        by["support"][yr] = {f: lam * min(max(mid / sup[f], 1.0), SUPPORT_MOST) for f in families}
+        cols[f"eq_{yr}"] = sum((F.col(f) for f in kept[yr]), F.lit(0.0)) / len(kept[yr]) ** 0.5
+        w = {f: max(at(yr, f)[0] - 0.5, 0.0) * min(1.0, at(yr, f)[1] / 500) for f in families}
+        cols[f"au_{yr}"] = sum((F.col(f) * (w[f] / max(sum(w.values()), 1e-9)) for f in families), F.lit(0.0))
+        covered = [f for f in families if at(yr, f)[1] >= coverage] or list(families)
+        cols[f"im_{yr}"] = sum((F.col(f) for f in covered), F.lit(0.0)) / len(covered)
+        by["equal"][yr], by["auc"][yr], by["improper"][yr] = {f"eq_{yr}": lam}, {f"au_{yr}": lam}, {f"im_{yr}": lam}
+    for dom, members in domains.items():
+        cols[f"d_{dom}"] = S.mean(F.slice(F.sort_array(F.array(*[F.col(f) for f in members]), False), 1, 3))
+    v = [M.Variant("all", tuple(history), {f: lam for f in families}), M.Variant("domain", tuple(history), {f"d_{d}": lam for d in domains})]
+    v += [M.Variant(s, tuple(history), years_, by_year=True) for s, years_ in by.items()]
+    return M.rolling_many(rows.withColumns(cols), v, offsets, years, key).withColumnRenamed("variant", "scheme")

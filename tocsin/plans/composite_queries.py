@@ -308,6 +308,7 @@ def model_rows(spark, sf):
     hist = L.history(days, h, "nation")
     rows = ev.join(lab, ["nation", "day"]).join(hist, ["nation", "day"]).withColumn("theatre", F.col("nation").cast("string"))
     rows = rows.withColumn("lab", ~F.col("excl") & ~F.col("unk")).withColumn("cluster", F.concat_ws("-", "theatre", F.year("day")))
+    rows = rows.withColumns({f"seen_{f}": F.col(f).isNotNull() for f in FAMS})
     return stable(P.design(rows, OFFSETS_T, FAMS))
 
 
@@ -418,13 +419,45 @@ def bootstrap_intervals(spark, sf):
     """Refits with theatre-years redrawn, and the band of the newest day's probability."""
     rows = model_rows(spark, sf)
     newest = rows.where(F.col("day") == rows.agg(F.max("day").alias("d")).scalar())
-    parts = None
-    for theta in M.bootstrap(rows.where("lab"), OFFSETS, HIST, W, 3.0, reps=40):
-        p = newest.select("theatre", M.raw_probability(theta).alias("p"))
-        parts = p if parts is None else parts.unionByName(p)
+    thetas = M.bootstrap(rows.where("lab"), OFFSETS, HIST, W, 3.0, reps=40)
+    parts = newest.select("theatre", F.explode(M.raw_probabilities(thetas)).alias("p"))
     return M.interval(parts, ["theatre"]).select("theatre", *rnd("lo", "hi"))
 
 
+@query("penalty_choice")
+def penalty_choice(spark, sf):
+    """Out-of-sample Brier score of the published probability under each ridge of the families, and the one that is chosen."""
+    rows = model_rows(spark, sf)
+    return M.choose_lambda(rows, OFFSETS, HIST, W, test_years(rows)).select("lam", *rnd("brier"), "chosen")
+
+
+def labelled(rows, spark, sf, kinds, name, horizon=30, after=30):
+    """rows with y_, lab_ and history terms of the events of some kinds."""
+    h = B.hits(spark, sf).where(F.col("kind").isin(list(kinds)))
+    days = rows.select("nation", "day")
+    lab = L.build(days, h, B.through(spark, sf), "nation", horizon, after).select("nation", "day", F.col("y").alias(f"y_{name}"), (~F.col("excl") & ~F.col("unk")).alias(f"lab_{name}"),
+                                                                                     F.col("eid").alias(f"eid_{name}"))
+    hist = L.history(days, h, "nation").select("nation", "day", *[F.col(c).alias(f"{c}_{name}") for c in HIST])
+    return rows.join(lab, ["nation", "day"]).join(hist, ["nation", "day"])
+
+
+@query("shadow_variants")
+def shadow_variants(spark, sf):
+    """The hidden models beside the published one: events of force only, no history terms, and waves seven days ahead. Out of sample, each judged
+    on its own label: skill against the base rate, AUC, and the newest day's mean probability."""
+    rows = labelled(model_rows(spark, sf), spark, sf, ("strike", "raid"), "armed")
+    rows = labelled(rows, spark, sf, ("strike",), "wave", horizon=7, after=7)
+    fam = {c: 3.0 for c in W}
+    v = [M.Variant("published", tuple(HIST), fam), M.Variant("armed", tuple(f"{c}_armed" for c in HIST), fam, "y_armed", "lab_armed"),
+         M.Variant("nohist", (), fam), M.Variant("wave", tuple(f"{c}_wave" for c in HIST), fam, "y_wave", "lab_wave")]
+    years = test_years(rows)
+    pub = stable(M.nested_publish(stable(M.rolling_many(rows, v, OFFSETS, years)), years[0], by=("variant",)))
+    k = pub.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"),
+                                   F.avg(F.pow(F.col("base") - F.col("y"), 2)).alias("_c"), F.max_by("p", F.struct("day", "theatre")).alias("newest"))
+    k = k.withColumn("skill", 1 - F.col("brier") / F.col("_c")).drop("_c")
+    return k.join(E.auc(pub, "p", "y", ["variant"]).select("variant", "auc"), "variant").select("variant", "n", "positives", *rnd("brier", "skill", "newest", "auc"))
+
+
 @query("sub_theatre_offsets")
 def sub_theatre_offsets(spark, sf):
     """One ridge-penalised offset per nation with the rest of the log-odds held fixed."""
@@ -442,10 +475,27 @@ def recalibrated_probability(spark, sf):
     return iso.select("nation", "day", "p", F.round("q", 6).alias("isotonic"), F.round(S.sigmoid(c + b * S.logit(F.col("p"))), 6).alias("platt"))
 
 
+@query("isotonic_recalibration", with_ctes(["forecast"], """
+  SELECT t.nation, t.day, t.p, round(coalesce((SELECT min(s.q) FROM steps s WHERE s.p >= t.p), (SELECT max(q) FROM steps)), 6) AS isotonic
+  FROM ok t WHERE day >= (SELECT d FROM cut)""", [
+    ("ok", "SELECT nation, day, p, y FROM forecast WHERE lab"),
+    ("cut", "SELECT make_date(list_sort(list(DISTINCT year(day)))[-2], 1, 1) AS d FROM ok"),
+    ("cells", "SELECT p, row_number() OVER (ORDER BY p) AS i, sum(s) OVER (ORDER BY p) AS s, sum(n) OVER (ORDER BY p) AS n FROM (SELECT p, sum(y) AS s, count(*) AS n FROM ok WHERE day < (SELECT d FROM cut) GROUP BY 1)"),
+    ("runs", "SELECT b.i AS a, c.i AS b, (c.s - coalesce(z.s, 0)) / (c.n - coalesce(z.n, 0)) AS m FROM cells b JOIN cells c ON c.i >= b.i LEFT JOIN cells z ON z.i = b.i - 1"),
+    ("least", "SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM runs"),
+    ("steps", "SELECT c.p, max(l.m) AS q FROM cells c JOIN least l ON l.i = c.i GROUP BY 1")]))
+def isotonic_recalibration(spark, sf):
+    """Rising step function of the years before the last two, applied to those; its SQL takes the largest over all starts of the least mean over all
+    ends."""
+    f = stable(B.forecast(spark, sf).where("lab").select("nation", "day", "p", "y"))
+    return M.isotonic(*before_and_after(f)).select("nation", "day", "p", F.round("q", 6).alias("isotonic"))
+
+
 @query("boosted_trees_candidate")
 def boosted_trees_candidate(spark, sf):
+    """150 trees of depth three, no leaf under 300 rows, never falling in a family's evidence; judged on the last two test years."""
     rows = model_rows(spark, sf).where("lab")
-    g = M.boosted(*before_and_after(rows), W + HIST)
+    g = M.boosted(*before_and_after(rows), W + HIST, rising=W)
     return g.select("theatre", "day", "y", *rnd("raw"))
 
 

@@ -2,11 +2,11 @@
 from pyspark.sql import functions as F
 
 from tocsin.functions import scoring as S
-from tocsin.operators import evaluate as E, labels as L, panel as P, studies as ST, windows
+from tocsin.operators import evaluate as E, labels as L, panel as P, ranking, studies as ST, windows
 from tocsin.operators.lineage import stable
 from tocsin.plans import bindings as B
 from tocsin.plans.bindings import with_ctes
-from tocsin.plans.composite_queries import HIST, OFFSETS, PANEL, W, evidence, model_rows, test_years
+from tocsin.plans.composite_queries import HIST, OFFSETS, PANEL, W, evidence, labelled, model_rows, test_years
 from tocsin.plans.label_queries import days, with_cluster
 from tocsin.plans.registry import query
 from tocsin.plans.series_queries import ALL_TELLS_SQL, TELL_SRC, all_tells, rnd
@@ -160,34 +160,40 @@ def rolling_recalibration(spark, sf):
 
 @query("weighting_schemes")
 def weighting_schemes(spark, sf):
-    """Brier score of the newest test year under the weighting schemes."""
+    """Published Brier score, skill and AUC over all test years under each weighting scheme."""
+    from tocsin.operators import model as M
     rows = model_rows(spark, sf)
     doms = {}
     for f in B.FAMILIES:
-        doms.setdefault(f[1], []).append(f"w_{f[0]}")
-    year = test_years(rows)[-1]
-    parts = [ST.scheme(rows, s, OFFSETS, HIST, W, 3.0, year, doms) for s in ("all", "screened", "equal", "domain", "auc", "improper")]
-    u = parts[0].select("scheme", "y", "raw")
-    for p in parts[1:]:
-        u = u.unionByName(p.select("scheme", "y", "raw"))
-    return u.groupBy("scheme").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("raw") - F.col("y"), 2)).alias("brier"))
+        if f"w_{f[0]}" in W:
+            doms.setdefault(f[1], []).append(f"w_{f[0]}")
+    years = test_years(rows)
+    oos = stable(ST.schemes(rows, OFFSETS, HIST, W, 3.0, years, doms))
+    u = stable(M.nested_publish(oos, years[0], by=("scheme",)))
+    sq = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))      # noqa: E731
+    k = u.groupBy("scheme").agg(F.count(F.lit(1)).alias("n"), sq("p").alias("brier"), sq("raw").alias("brier_raw"), (1 - sq("p") / sq("base")).alias("skill"))
+    return k.join(E.auc(u, "p", "y", ["scheme"]).select("scheme", "auc"), "scheme")
+
+
+KINDS = {"all": ("strike", "raid", "standoff"), "force": ("strike", "raid"), "strike": ("strike",), "standoff": ("standoff",)}
 
 
 @query("training_by_event_kind")
 def training_by_event_kind(spark, sf):
-    """Trained on all events and on one kind, each judged on both labellings."""
-    rows = model_rows(spark, sf)
-    h = B.hits(spark, sf).where("kind = 'strike'")
-    alt = L.build(rows.select("nation", "day"), h, B.through(spark, sf), "nation").select("nation", "day", F.col("y").alias("y_kind"))
-    rows = stable(rows.join(alt, ["nation", "day"]))
+    """Trained on each of four event lists and judged on each of the four, over all test years, on the days that both lists judge."""
     from tocsin.operators import model as M
-    out = None
-    for name, col in (("all", "y"), ("strike", "y_kind")):
-        r = M.rolling(rows.withColumn("y", F.col(col)), OFFSETS, HIST, W, 3.0, test_years(rows)[-1:]).select("theatre", "day", F.lit(name).alias("trained"), "raw")
-        out = r if out is None else out.unionByName(r)
-    j = out.join(rows.select("theatre", "day", "y", "y_kind"), ["theatre", "day"])
-    j = j.select("trained", "raw", F.inline(F.array(F.struct(F.lit("all").alias("judged"), F.col("y").alias("yy")), F.struct(F.lit("strike").alias("judged"), F.col("y_kind").alias("yy")))))
-    return E.auc(j, "raw", "yy", ["trained", "judged"]).select("trained", "judged", *rnd("auc"), "positives")
+    rows = model_rows(spark, sf)
+    for name, kinds in KINDS.items():
+        rows = labelled(rows, spark, sf, kinds, name)
+    rows, years = stable(rows), test_years(rows)
+    v = [M.Variant(n, tuple(f"{c}_{n}" for c in HIST), {c: 3.0 for c in W}, f"y_{n}", f"lab_{n}") for n in KINDS]
+    pub = M.nested_publish(stable(M.rolling_many(rows, v, OFFSETS, years)), years[0], by=("variant",)).select("theatre", "day", F.col("variant").alias("trained"), "p")
+    judged = rows.select("theatre", "day", F.inline(F.array(*[F.struct(F.lit(n).alias("judged"), F.col(f"y_{n}").alias("yy"), F.col(f"lab_{n}").alias("_lab")) for n in KINDS])))
+    j = stable(pub.join(judged.where("_lab"), ["theatre", "day"]))
+    a = E.auc(j, "p", "yy", ["trained", "judged"]).select("trained", "judged", "auc", "positives")
+    top = ranking.exact_quantiles(j, "p", [0.9], ["trained", "judged"])
+    lift = j.join(top, ["trained", "judged"]).groupBy("trained", "judged").agg((F.avg(F.when(F.col("p") >= F.col("q0"), F.col("yy"))) / F.avg("yy")).alias("lift"))
+    return a.join(lift, ["trained", "judged"]).select("trained", "judged", *rnd("auc", "lift"), "positives")
 
 
 @query("thirty_day_history", with_ctes(["forecast", "ship_daily"], """
