@@ -189,44 +189,9 @@ def routine_cells(det: DataFrame, key="det_id", size=0.01, need=3) -> DataFrame:
 
 
 def cluster_day(det: DataFrame, key="det_id", radius_km=2.0) -> DataFrame:
-    """Greedy clusters: in score order, a detection joins the first seed of its box and day within the radius, else becomes a seed.
-
-    Greedy order is the semantics, so a (box, day) is one group; grid cells that no chain of occupied neighbours connects
-    cannot interact, and are split into separate groups first, which keeps each group to one burning area.
-    """
-    import numpy as np
-    import pandas as pd
-    size = 0.1
-    d = det.withColumn("_gi", geo.cell(F.col("lat"), size)).withColumn("_gj", geo.cell(F.col("lon"), size))
-    cells = d.select("box", "day", "_gi", "_gj").distinct()
-    cid = F.concat_ws("_", "box", F.col("day").cast("string"), "_gi", "_gj")
-    cells = cells.withColumn("node", cid)
-    b = cells.select("box", "day", F.explode(F.array(*[F.struct((F.col("_gi") + a).alias("_gi"), (F.col("_gj") + c).alias("_gj"))
-                                                       for a in (-1, 0, 1) for c in (-1, 0, 1)])).alias("_n"), F.col("node").alias("other"))
-    b = b.select("box", "day", "_n._gi", "_n._gj", "other")
-    e = cells.join(b, ["box", "day", "_gi", "_gj"]).where("node < other").select("node", "other")
-    from tocsin.operators.composite import components
-    area = components(cells.select("node"), e, "node").withColumnRenamed("label", "area")
-    g = d.withColumn("node", cid).join(area, "node").select(key, "lat", "lon", "score", "area")
-
-    def greedy(pdf):
-        pdf = pdf.sort_values(["score", key], ascending=[False, True])
-        lat, lon = pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
-        seeds, out = [], np.empty(len(pdf), dtype=object)
-        ids = pdf[key].to_numpy()
-        for n in range(len(pdf)):
-            hit = None
-            if seeds:
-                s = np.array(seeds)
-                dx = (lon[s] - lon[n]) * np.cos(np.radians((lat[s] + lat[n]) / 2))
-                ok = np.nonzero(111.0 * np.sqrt((lat[s] - lat[n]) ** 2 + dx ** 2) <= radius_km)[0]
-                hit = s[ok[0]] if len(ok) else None
-            if hit is None:
-                seeds.append(n)
-                hit = n
-            out[n] = ids[hit]
-        return pd.DataFrame({key: ids, "cid": out.astype("int64")})
-    return det.join(g.groupBy("area").applyInPandas(greedy, f"{key} bigint, cid bigint"), key)
+    """Greedy clusters by score within a box and day (`greedy.near_clusters`)."""
+    from tocsin.operators import greedy
+    return greedy.near_clusters(det, key, radius_km)
 
 
 def merge_points(points: DataFrame, cell=0.01) -> DataFrame:

@@ -553,3 +553,23 @@ def duplicate_family_pairs(spark, sf):
     pairs = [(a, b) for i, a in enumerate(sorted(FAMS)) for b in sorted(FAMS)[i + 1:]]
     agg = w.agg(*[S.pearson(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return agg.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"`{a}|{b}`"), 6).alias("r")) for a, b in pairs])))
+
+
+@query("merged_families", with_ctes(["points", "catalog", "nat"], """
+  SELECT t.a || '+' || t.b AS family, round(t.r, 6) AS r, count(*) AS n, round(avg(m), 6) AS mean_e FROM (WITH RECURSIVE pick AS (
+      SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b, 9.0::DOUBLE AS r, []::VARCHAR[] AS used, 0 AS k
+      UNION ALL SELECT * FROM (SELECT p.a, p.b, p.r, list_concat(k.used, [p.a, p.b]), k.k + 1 FROM pick k JOIN prs p ON NOT list_contains(k.used, p.a) AND NOT list_contains(k.used, p.b)
+        ORDER BY p.r DESC, p.a DESC, p.b DESC LIMIT 1)) SELECT a, b, r FROM pick WHERE a IS NOT NULL) t
+  JOIN (SELECT nation, day, family, e FROM ev) x ON TRUE JOIN (SELECT nation AS n2, day AS d2, family AS f2, e AS e2 FROM ev) z
+    ON x.nation = n2 AND x.day = d2 AND x.family = t.a AND f2 = t.b, LATERAL (SELECT (e + e2) / 2 AS m) GROUP BY 1, 2""",
+       [*PANEL[:2], ("prs", """SELECT a.family AS a, b.family AS b, round(corr(a.e, b.e), 6) AS r FROM ev a JOIN ev b ON a.nation = b.nation AND a.day = b.day AND a.family < b.family
+          GROUP BY 1, 2 HAVING count(*) >= 200 AND corr(a.e, b.e) > 0.01""")]))
+def merged_families(spark, sf):
+    """Families whose evidence moves together, averaged in pairs, strongest pair first and each used once."""
+    from tocsin.operators import greedy
+    pairs = duplicate_family_pairs(spark, sf).where("r > 0.01")
+    t = stable(greedy.mutual_best(stable(pairs)))
+    ev = stable(evidence(spark, sf))
+    side = lambda c, e: ev.select("theatre", "day", F.col("family").alias(c), F.col("e").alias(e))      # noqa: E731
+    j = t.join(side("a", "ea"), "a").join(side("b", "eb"), ["theatre", "day", "b"])
+    return j.groupBy(F.concat_ws("+", "a", "b").alias("family"), "r").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ea") + F.col("eb")) / 2), 6).alias("mean_e"))

@@ -2,7 +2,7 @@
 from pyspark.sql import Window, functions as F
 
 from tocsin.functions import geo
-from tocsin.operators import spatial as G, trajectory as T
+from tocsin.operators import greedy, histograms as H, spatial as G, trajectory as T
 from tocsin.operators.lineage import stable
 from tocsin.plans import bindings as B
 from tocsin.plans.bindings import with_ctes
@@ -120,14 +120,54 @@ def daily_class_counts(spark, sf):
     return days.join(c, "day", "left").na.fill(0)
 
 
+EXPLAINED = ("seas", "ind", "volc", "off")
+
+
 @query("detection_clusters")
 def detection_clusters(spark, sf):
     """Greedy clusters of unexplained detections by score, same day, within two kilometres."""
-    d = detections(spark, sf).withColumn("box", F.lit("all")).withColumn("score", F.floor("frp"))
+    d = classified(spark, sf).where(~F.col("cls").isin(*EXPLAINED))
     c = G.cluster_day(stable(d), "det_id")
     return c.groupBy("cid").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("frp").alias("max_frp"), F.count(F.lit(1)).alias("n"))
 
 
+@query("merged_fuel_sites")
+def merged_fuel_sites(spark, sf):
+    """Listed points within 400 m of a site's running mean become one site; the newest place of every event's user, tagged by its size."""
+    d = detections(spark, sf).groupBy("lat", "lon").agg(F.min("det_id").alias("id"), F.max("frp").alias("frp"))
+    return greedy.running_sites(d.withColumn("fuel", F.col("frp") > 250)).select("site", *rnd("lat", "lon"), "n", "fuel")
+
+
+HIST_BINS = "[" + ", ".join(f"count(*) FILTER (WHERE {'TRUE' if i == 0 else f'frp >= {e}'}{'' if i + 1 == len(H.POWER_EDGES) else f' AND frp < {H.POWER_EDGES[i + 1]}'})" for i, e in enumerate(H.POWER_EDGES)) + "]"
+
+
+@query("power_quantiles", with_ctes([], f"""
+  SELECT ci, cj, n, round(max(v) FILTER (WHERE q = 0.5), 6) AS p50, round(max(v) FILTER (WHERE q = 0.95), 6) AS p95 FROM (
+    SELECT ci, cj, n, q, arg_min(lo + (hi - lo) * (q * n - (upto - c)) / c, i) AS v FROM (
+      SELECT *, sum(c) OVER (PARTITION BY ci, cj, q ORDER BY i) AS upto FROM (
+        SELECT ci, cj, list_sum(h) AS n, unnest(h) AS c, generate_subscripts(h, 1) AS i, unnest({list(map(float, H.POWER_EDGES))}) AS lo,
+               unnest({list(map(float, (*H.POWER_EDGES[1:], H.POWER_EDGES[-1] * 2)))}) AS hi FROM hists), (VALUES (0.5), (0.95)) t(q)) WHERE upto >= q * n AND c > 0 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""",
+       [DET, ("hists", f"SELECT floor(lat / 0.05)::INT AS ci, floor(lon / 0.05)::INT AS cj, {HIST_BINS} AS h FROM det GROUP BY 1, 2")]))
+def power_quantiles(spark, sf):
+    """Median and 95th percentile of radiant power per cell from fixed bins, each year binned on its own and the years added up."""
+    d = detections(spark, sf).withColumn("ci", geo.cell(F.col("lat"), 0.05)).withColumn("cj", geo.cell(F.col("lon"), 0.05))
+    years = H.by_edges(d.withColumn("year", F.year("day")), ["ci", "cj", "year"], "frp")
+    h = H.merged(years, ["ci", "cj"], len(H.POWER_EDGES))
+    return h.select("ci", "cj", F.aggregate("hist", F.lit(0).cast("long"), lambda a, b: a + b).alias("n"), F.round(H.quantile(F.col("hist"), 0.5), 6).alias("p50"),
+                    F.round(H.quantile(F.col("hist"), 0.95), 6).alias("p95"))
+
+
+@query("count_quantiles", with_ctes([], """
+  SELECT ci, cj, max(k) FILTER (WHERE upto - c < 0.5 * n)::DOUBLE AS p50, max(k) FILTER (WHERE upto - c < 0.95 * n)::DOUBLE AS p95 FROM (
+    SELECT ci, cj, k, count(*) AS c, sum(count(*)) OVER (PARTITION BY ci, cj ORDER BY k) AS upto, sum(count(*)) OVER (PARTITION BY ci, cj) AS n FROM (
+      SELECT ci, cj, least(count(*), 20) AS k FROM (SELECT floor(lat / 0.05)::INT AS ci, floor(lon / 0.05)::INT AS cj, day FROM det) GROUP BY ci, cj, day) GROUP BY 1, 2, 3) GROUP BY 1, 2""", [DET]))
+def count_quantiles(spark, sf):
+    """Median and 95th percentile of detections per burning day and cell, from counts of counts up to 20."""
+    d = detections(spark, sf).groupBy(geo.cell(F.col("lat"), 0.05).alias("ci"), geo.cell(F.col("lon"), 0.05).alias("cj"), "day").agg(F.count(F.lit(1)).alias("k"))
+    h = H.by_count(d, ["ci", "cj"], "k", 20)
+    return h.select("ci", "cj", H.count_quantile(F.col("hist"), 0.5).alias("p50"), H.count_quantile(F.col("hist"), 0.95).alias("p95"))
+
+
 @query("cluster_summary", with_ctes([], """
   SELECT user_id % 20 AS cid, day, min(ts) AS first_ts, max(ts) AS last_ts, max(frp) AS max_frp, arg_max(event_type, frp * 1e6 + det_id * 1e-6) AS best FROM det GROUP BY 1, 2""", [DET]))
 def cluster_summary(spark, sf):
