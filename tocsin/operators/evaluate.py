@@ -3,6 +3,8 @@
 Rank statistics go through the two-level ordered scan, so no unpartitioned window sees panel rows; resampling works on
 compact cluster or cell tables and is seeded by hashes, so results do not change with the partitioning.
 """
+import hashlib
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tocsin.functions import scoring as S, tails
@@ -93,62 +95,98 @@ def _uniform(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def draws(clusters: DataFrame, reps, seed=1, key="cluster") -> DataFrame:
-    """(rep, cluster, times): how often each cluster is drawn when as many as there are get drawn with replacement.
+def draws(clusters: DataFrame, reps, seed=1, key="cluster", by=()) -> DataFrame:
+    """(by..., rep, cluster, times): how often each cluster is drawn when as many as there are (in its `by`) get drawn with replacement.
 
     Every draw picks a dense cluster number by hash; the table is replicates times clusters and never touches panel rows.
     """
-    ids = clusters.select(key).distinct().withColumn("_h", F.xxhash64(key))
-    num = ids.join(ranking.ordered_scan(ids, "_h", {"n": ("sum", F.lit(1))}).select("_h", F.col("n_before").alias("_k")), "_h").drop("_h")
+    by = list(by)
+    ids = clusters.select(*by, key).distinct().withColumn("_h", F.xxhash64(key))
+    num = ids.join(ranking.ordered_scan(ids, "_h", {"n": ("sum", F.lit(1))}, by).select(*by, "_h", F.col("n_before").alias("_k")), [*by, "_h"]).drop("_h")
     num = stable(num)
-    size = num.count()
-    d = (num.select(F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), F.col("_k").alias("_slot"))
+    size = num.count() if not by else F.col("_size")
+    slots = num.join(num.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")), by) if by else num
+    d = (slots.select(*by, *(["_size"] if by else []), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), F.col("_k").alias("_slot"))
          .withColumn("_k", F.floor(_uniform("rep", "_slot", F.lit(seed)) * size)))
-    return d.groupBy("rep", "_k").agg(F.count(F.lit(1)).alias("times")).join(num, "_k").select("rep", key, "times")
+    return d.groupBy(*by, "rep", "_k").agg(F.count(F.lit(1)).alias("times")).join(num, [*by, "_k"]).select(*by, "rep", key, "times")
+
+
+def cluster_bootstrap_auc(df: DataFrame, cluster, reps=500, seed=1, score="p", label="y", lo=0.025, hi=0.975, by=()) -> DataFrame:
+    """Interval of the AUC when whole clusters are redrawn, per `by`."""
+    by = list(by)
+    cells = stable(df.groupBy(*by, F.col(cluster).alias("cluster"), score, label).agg(F.count(F.lit(1)).alias("_c")))
+    d = draws(cells, reps, seed, by=by)
+    r = cells.join(d, [*by, "cluster"]).withColumn("w", F.col("_c") * F.col("times"))
+    a = auc(r, score, label, [*by, "rep"], "w").where(F.col("auc").isNotNull())
+    return a.groupBy(*by).agg(F.percentile("auc", [lo, hi]).alias("_q"), F.count(F.lit(1)).alias("replicates")).select(
+        *by, F.col("_q")[0].alias("auc_lo"), F.col("_q")[1].alias("auc_hi"), "replicates")
 
 
-def cluster_bootstrap_auc(df: DataFrame, cluster, reps=500, seed=1, score="p", label="y", lo=0.025, hi=0.975) -> DataFrame:
-    """Interval of the AUC when whole clusters are redrawn."""
-    cells = stable(df.groupBy(F.col(cluster).alias("cluster"), score, label).agg(F.count(F.lit(1)).alias("_c")))
-    d = draws(cells, reps, seed)
-    r = cells.join(d, "cluster").withColumn("w", F.col("_c") * F.col("times"))
-    a = auc(r, score, label, ["rep"], "w").where(F.col("auc").isNotNull())
-    return a.agg(F.percentile("auc", [lo, hi]).alias("_q"), F.count(F.lit(1)).alias("replicates")).select(
-        F.col("_q")[0].alias("auc_lo"), F.col("_q")[1].alias("auc_hi"), "replicates")
+def _offset(key: str, shift: int, seed: int, n: int, edge: int, least: int) -> int:
+    """How far an entity of n rows is rolled: from the md5 of its name, the shift and the seed, so that SQL draws the same."""
+    if shift == 0 or n <= least:
+        return 0
+    u = int(hashlib.md5(f"{key}|{shift}|{seed}".encode()).hexdigest()[:8], 16) / 2 ** 32
+    return edge + int(u * max(n - 2 * edge, 1))
 
 
-def shift_control(df: DataFrame, key="theatre", shifts=300, seed=2, edge=60, least=200, p="p", y="y", base=None) -> DataFrame:
-    """AUC when each entity's scores are rolled in time against its labels: shift, auc, within_auc (shift 0 = as scored).
+def shift_cells(df: DataFrame, key="theatre", shifts=300, seed=2, edge=60, least=200, p="p", y="y", by=()) -> DataFrame:
+    """Judged rows counted by score and label when each entity's scores are rolled in time against its labels: by..., key, shift, p, pos, neg.
 
-    df: key, day, p, y with `ok` marking the rows that are judged. Rows are numbered per entity once; a shift is an
-    equi-join on (entity, shifted row number).
+    df: key, day, p, y and `ok` marking the rows that are judged. An entity is one row of arrays in the order of its days, which the calendar
+    bounds; they are rolled in place and counted straight away, so the panel is never joined to the shifts.
     """
-    w = Window.partitionBy(key)
-    d = df.where(F.col(p).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy("day")) - 1).withColumn(
-        "_n", F.count(F.lit(1)).over(w))
-    d = stable(d.select(key, "_i", "_n", p, y, "ok"))
-    ids = d.select(key, "_n").distinct().withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts))))
-    span = F.greatest(F.col("_n") - 2 * edge, F.lit(1))
-    off = F.when((F.col("shift") == 0) | (F.col("_n") <= least), 0).otherwise(
-        edge + F.floor(_uniform(F.col(key).cast("string"), "shift", F.lit(seed)) * span))
-    ids = ids.withColumn("_off", off)
-    left = d.where("ok").select(key, "_i", y).join(ids, key).withColumn("_j", F.pmod(F.col("_i") - F.col("_off"), F.col("_n")))
-    rolled = left.join(d.select(key, F.col("_i").alias("_j"), p), [key, "_j"])
-    cells = stable(rolled.groupBy("shift", key, p, y).agg(F.count(F.lit(1)).alias("_c")))
-    a = auc(cells, p, y, ["shift"], "_c")
-    inner = auc(cells, p, y, ["shift", key], "_c").where(F.col("auc").isNotNull()).groupBy("shift").agg(
-        (F.sum(F.col("auc") * F.col("positives")) / F.sum("positives")).alias("within_auc"))
-    return a.join(inner, "shift").select("shift", "auc", "within_auc")
-
-
-def shift_p_values(control: DataFrame) -> DataFrame:
-    """Share of shifted runs that score at least as well as the real one."""
+    by = list(by)
+    rows = df.where(F.col(p).isNotNull()).groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("day", F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y"), "ok"))).alias("a"))
+    names = F.struct(*[F.col(c) for c in by], F.col(key)).alias("id")
+    rows = rows.select(names, F.col(key).cast("string").alias("name"), F.transform("a", lambda x: x["p"]).alias("p"), F.transform("a", lambda x: x["y"]).alias("y"), F.transform("a", lambda x: x["ok"]).alias("ok"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name = batch.column(1)[i].as_py()
+                score, label, ok = (np.asarray(batch.column(c)[i].values.to_numpy(zero_copy_only=False)) for c in (2, 3, 4))
+                values, code = np.unique(score, return_inverse=True)
+                ok = ok.astype(bool)
+                at, event = np.flatnonzero(ok), label[ok].astype(int)
+                for s in range(shifts + 1):
+                    rolled = code[(at - _offset(name, s, seed, len(score), edge, least)) % len(score)]
+                    n = np.bincount(rolled * 2 + event, minlength=2 * len(values)).reshape(-1, 2)
+                    k = np.flatnonzero(n.sum(axis=1))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(k), i))), pa.array(np.full(len(k), s, np.int32)), pa.array(values[k]),
+                                                      pa.array(n[k, 1]), pa.array(n[k, 0])], ["id", "shift", "p", "pos", "neg"])
+    ids = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {ids}, shift int, p double, pos long, neg long").select("id.*", "shift", "p", "pos", "neg")
+
+
+def shift_control(df: DataFrame, key="theatre", shifts=300, seed=2, edge=60, least=200, p="p", y="y", by=()) -> DataFrame:
+    """Per shift (0 = as scored): auc, within_auc (mean of the entities' own, by positives), and the Brier skill against the rate of the judged rows."""
+    by = list(by)
+    cells = stable(shift_cells(df, key, shifts, seed, edge, least, p, y, by))
+
+    def area(rows, keys):
+        s = ranking.ordered_scan(rows, "p", {"pos": ("sum", F.col("pos")), "neg": ("sum", F.col("neg"))}, keys)
+        g = s.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("_u"), F.sum("pos").alias("positives"), F.sum("neg").alias("_n"))
+        return g.select(*keys, F.when((F.col("positives") > 0) & (F.col("_n") > 0), F.col("_u") / F.col("positives") / F.col("_n")).alias("auc"), "positives")
+    total = stable(cells.groupBy(*by, "shift", "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    n, rate = F.sum(F.col("pos") + F.col("neg")), F.sum("pos") / F.sum(F.col("pos") + F.col("neg"))
+    loss = F.sum(F.col("pos") * F.pow(F.col("p") - 1, 2) + F.col("neg") * F.pow(F.col("p"), 2)) / n
+    skill_ = total.groupBy(*by, "shift").agg(F.when(rate * (1 - rate) > 0, 1 - loss / (rate * (1 - rate))).alias("skill"))
+    inner = area(cells, [*by, "shift", key]).where("auc is not null").groupBy(*by, "shift").agg((F.sum(F.col("auc") * F.col("positives")) / F.sum("positives")).alias("within_auc"))
+    return area(total, [*by, "shift"]).drop("positives").join(inner, [*by, "shift"], "left").join(skill_, [*by, "shift"])
+
+
+def shift_p_values(control: DataFrame, by=()) -> DataFrame:
+    """Share of shifted runs that score at least as well as the real one: on the AUC, inside entities, and on Brier skill."""
+    by, names = list(by), ("auc", "within_auc", "skill")
     control = stable(control)
-    real = control.where("shift = 0")
-    c = control.where("shift > 0").withColumn("_a", real.select("auc").scalar()).withColumn("_w", real.select("within_auc").scalar())
-    return c.agg(F.max("_a").alias("auc"), F.max("_w").alias("within_auc"),
-                 F.avg((F.col("auc") >= F.col("_a")).cast("double")).alias("p_auc"),
-                 F.avg((F.col("within_auc") >= F.col("_w")).cast("double")).alias("p_within"))
+    real = F.max(F.when(F.col("shift") == 0, F.struct(*names))).alias("_r")
+    runs = control.groupBy(*by).agg(real, F.collect_list(F.when(F.col("shift") > 0, F.struct(*names))).alias("_s"))     # one row a shift
+    share = lambda c: F.aggregate("_s", F.lit(0.0), lambda n, x: n + F.when(x[c] >= F.col(f"_r.{c}"), 1.0).otherwise(0.0)) / F.size("_s")      # noqa: E731
+    return runs.select(*by, F.col("_r.auc").alias("auc"), F.col("_r.within_auc").alias("within_auc"), share("auc").alias("p_auc"), share("within_auc").alias("p_within"),
+                       F.col("_r.skill").alias("skill_of_rate"), share("skill").alias("p_skill"))
 
 
 def paired_bootstrap(df: DataFrame, cluster, a="p", b="base", y="y", reps=500, seed=3) -> DataFrame:
@@ -162,19 +200,22 @@ def paired_bootstrap(df: DataFrame, cluster, a="p", b="base", y="y", reps=500, s
         F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("mid"), F.col("_q")[2].alias("hi"), "share_better")
 
 
-def gates(df: DataFrame, key="theatre", reps=500, shifts=300) -> DataFrame:
-    """The three release conditions on judged rows: skill above 0, interval above one half, shifted timing beaten.
+def gates(df: DataFrame, key="theatre", reps=500, shifts=300, by=()) -> DataFrame:
+    """The three release conditions on judged rows: skill above 0, interval above one half, shifted timing beaten; per `by` if given, each on its own
+    rows, clusters and shifts. A group without both labels passes none.
 
     df: key, day, p, base, y, ok and cluster.
     """
-    df = stable(df)
+    df, by = stable(df), list(by)
     judged = df.where("ok")
-    s = skill(judged).select("skill")
-    b = cluster_bootstrap_auc(judged, "cluster", reps)
-    c = shift_p_values(shift_control(df, key, shifts))
-    g = s.withColumn("_1", F.lit(1)).join(b.withColumn("_1", F.lit(1)), "_1").join(c.withColumn("_1", F.lit(1)), "_1").drop("_1")
-    return (g.withColumn("skill_positive", F.col("skill") > 0).withColumn("interval_above_half", F.col("auc_lo") > 0.5)
-            .withColumn("beats_shifted", F.col("p_auc") < 0.05)
+    one = [] if by else [F.lit(1).alias("_1")]
+    on = by or ["_1"]
+    s = skill(judged, by).select(*by, *one, "skill")
+    b = cluster_bootstrap_auc(judged, "cluster", reps, by=by).select("*", *one)
+    c = shift_p_values(shift_control(df, key, shifts, by=by), by).select("*", *one)
+    g = s.join(b, on, "left").join(c, on, "left").drop("_1")
+    return (g.withColumn("skill_positive", F.coalesce(F.col("skill") > 0, F.lit(False))).withColumn("interval_above_half", F.coalesce(F.col("auc_lo") > 0.5, F.lit(False)))
+            .withColumn("beats_shifted", F.coalesce(F.col("p_auc") < 0.05, F.lit(False)))
             .withColumn("passes", F.col("skill_positive") & F.col("interval_above_half") & F.col("beats_shifted")))
 
 

@@ -217,14 +217,30 @@ def cluster_bootstrap_auc(spark, sf):
     return E.cluster_bootstrap_auc(with_cluster(B.forecast(spark, sf)).where("ok"), "cluster")
 
 
-@query("shifted_timing_control")
+#: The same rolls in SQL: the offset comes from the md5 of entity, shift and seed.
+SHIFTS = [("num", """SELECT nation, day, p, y, lab, row_number() OVER (PARTITION BY nation ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY nation) AS n FROM forecast"""),
+          ("offs", """SELECT nation, n, s, CASE WHEN s = 0 OR n <= 200 THEN 0 ELSE 60 + floor(('0x' || substr(md5(nation || '|' || s || '|2'), 1, 8))::BIGINT / 4294967296.0 * greatest(n - 120, 1)) END::BIGINT AS o
+             FROM (SELECT DISTINCT nation, n FROM num), (SELECT unnest(range(301)) AS s)"""),
+          ("moved", "SELECT o.s, a.nation, (a.i - o.o + a.n) % a.n AS j, a.y FROM num a JOIN offs o USING (nation) WHERE a.lab"),
+          ("cells", "SELECT a.s, a.nation, b.p, sum(a.y) AS pos, sum(1 - a.y) AS neg FROM moved a JOIN num b ON b.nation = a.nation AND b.i = a.j GROUP BY 1, 2, 3"),
+          ("tot", "SELECT s, p, sum(pos) AS pos, sum(neg) AS neg FROM cells GROUP BY 1, 2"),
+          ("ctl", """SELECT s AS shift, a.auc, w.auc AS within_auc, skill FROM (
+             SELECT s, sum(pos * (coalesce(nb, 0) + neg / 2)) / sum(pos) / sum(neg) AS auc, 1 - sum(pos * (p - 1) ** 2 + neg * p ** 2) / sum(pos + neg) / (sum(pos) / sum(pos + neg) * (1 - sum(pos) / sum(pos + neg))) AS skill
+             FROM (SELECT *, sum(neg) OVER (PARTITION BY s ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb FROM tot) GROUP BY 1) a JOIN (
+             SELECT s, sum(u / g) / sum(pos) AS auc FROM (SELECT s, nation, sum(pos * (coalesce(nb, 0) + neg / 2)) AS u, sum(pos) AS pos, sum(neg) AS g FROM (
+               SELECT *, sum(neg) OVER (PARTITION BY s, nation ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb FROM cells) GROUP BY 1, 2) WHERE pos > 0 AND g > 0 GROUP BY 1) w USING (s)""")]
+
+
+@query("shifted_timing_control", with_ctes(["forecast"], "SELECT shift, round(auc, 6) AS auc, round(within_auc, 6) AS within_auc, round(skill, 6) AS skill FROM ctl", SHIFTS))
 def shifted_timing_control(spark, sf):
-    return E.shift_control(with_cluster(B.forecast(spark, sf)), "nation")
+    return E.shift_control(with_cluster(B.forecast(spark, sf)), "nation").select("shift", *rnd("auc", "within_auc", "skill"))
 
 
-@query("shifted_timing_p_values")
+@query("shifted_timing_p_values", with_ctes(["forecast"], """
+  SELECT round(r.auc, 6) AS auc, round(r.within_auc, 6) AS within_auc, avg((c.auc >= r.auc)::INT) AS p_auc, avg((c.within_auc >= r.within_auc)::INT) AS p_within, round(r.skill, 6) AS skill_of_rate,
+         avg((c.skill >= r.skill)::INT) AS p_skill FROM ctl c, (SELECT * FROM ctl WHERE shift = 0) r WHERE c.shift > 0 GROUP BY r.auc, r.within_auc, r.skill""", SHIFTS))
 def shifted_timing_p_values(spark, sf):
-    return E.shift_p_values(E.shift_control(with_cluster(B.forecast(spark, sf)), "nation"))
+    return E.shift_p_values(E.shift_control(with_cluster(B.forecast(spark, sf)), "nation")).select(*rnd("auc", "within_auc"), "p_auc", "p_within", *rnd("skill_of_rate"), "p_skill")
 
 
 @query("paired_brier_bootstrap")
@@ -237,12 +253,23 @@ def release_gates(spark, sf):
     return E.gates(with_cluster(B.forecast(spark, sf)), "nation")
 
 
-@query("bootstrap_region_reports")
+@query("release_gates_by_region")
+def release_gates_by_region(spark, sf):
+    """The three gates for every region on its own rows."""
+    f = with_cluster(B.forecast(spark, sf)).join(B.nations(spark, sf), "nation")
+    return E.gates(f, "nation", by=["region"])
+
+
+@query("bootstrap_region_reports", with_ctes(["forecast", "nat"], """
+  SELECT region, days, pos, events, round(skill, 6) AS skill, round(u / pos / (days - pos), 6) AS auc FROM (
+    SELECT region, count(*) AS days, sum(y) AS pos, count(DISTINCT eid) AS events, 1 - avg((p - y) ** 2) / avg((base - y) ** 2) AS skill FROM ok GROUP BY 1) JOIN (
+    SELECT region, sum(pos * (coalesce(nb, 0) + neg / 2)) AS u FROM (SELECT *, sum(neg) OVER (PARTITION BY region ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb FROM (
+      SELECT region, p, sum(y) AS pos, sum(1 - y) AS neg FROM ok GROUP BY 1, 2)) GROUP BY 1) USING (region)""", [("ok", "SELECT f.*, region FROM forecast f JOIN nat USING (nation) WHERE lab")]))
 def bootstrap_region_reports(spark, sf):
-    """Per-group days, positives, events and skill, with the group's own AUC."""
+    """Per region the judged days, positives, events, skill and AUC (nothing is resampled; release_gates_by_region does that)."""
     f = stable(judged(spark, sf).join(B.nations(spark, sf), "nation"))
     n = f.groupBy("region").agg(F.count(F.lit(1)).alias("days"), F.sum("y").alias("pos"), F.count_distinct("eid").alias("events"))
-    return n.join(E.skill(f, ["region"]).select("region", "skill"), "region").join(E.auc(f, by=["region"]).select("region", "auc"), "region")
+    return n.join(E.skill(f, ["region"]).select("region", *rnd("skill")), "region").join(E.auc(f, by=["region"]).select("region", *rnd("auc")), "region")
 
 
 # ------------------------------------------------------------------ windows before events against calm windows
