@@ -8,22 +8,38 @@ def digest(prev, body):
     return F.sha2(F.concat(prev, F.lit("|"), body), 256)
 
 
-def chain(rows: DataFrame, order, fields, by=(), start=None) -> DataFrame:
-    """Adds seq, prev_hash and hash: each row's hash covers the one before it.
+def chain(rows: DataFrame, order, fields, by=(), start=None, body=None) -> DataFrame:
+    """Adds seq, prev_hash and hash: each row's hash covers the one before it in its (by) chain.
 
-    Chaining is sequential by nature, so it runs inside one (by) group's small batch: a day's forecasts, one row per
-    entity. start: Column with the last hash already logged (the zero hash where nothing is).
+    Chaining is sequential by nature: a chain's rows are sorted by Spark and streamed through one task, which holds the last hash and nothing else.
+    start: Column with the last hash already logged (the zero hash where nothing is). body: the fields that are hashed, if not all.
     """
-    body = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    packed = F.struct(F.col(order).alias("o"), body.alias("body"), F.struct(*[F.col(f) for f in fields if f not in by]).alias("row"))
-    g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(packed)).alias("a"))
-    start = F.lit(GENESIS) if start is None else start
-    zero = F.struct(start.alias("prev"), F.array().cast("array<struct<p:string,h:string>>").alias("out"))
-    def step(s, x):
-        h = digest(s["prev"], x["body"])
-        return F.struct(h.alias("prev"), F.concat(s["out"], F.array(F.struct(s["prev"].alias("p"), h.alias("h")))).alias("out"))
-    g = g.withColumn("c", F.aggregate("a", zero, step, lambda s: s["out"]))
-    return g.select(*by, F.posexplode(F.arrays_zip("a", "c")).alias("seq", "z")).select(*by, "seq", "z.a.row.*", F.col("z.c.p").alias("prev_hash"), F.col("z.c.h").alias("hash"))
+    import hashlib
+    by, fields = list(by), list(fields)
+    text = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in body or fields])
+    rest = [f for f in fields if f not in by]
+    d = rows.select(*by, *rest, F.col(order).alias("_o"), (F.lit(GENESIS) if start is None else start).alias("_start"), text.alias("_text"))
+    d = (d.repartition(*by) if by else d.repartition(1)).sortWithinPartitions(*by, "_o", "_text").drop("_o")
+    keys = len(by)
+
+    def link(batches):
+        import pyarrow as pa
+        now, seq, last = None, 0, None
+        for b in batches:
+            ids = list(zip(*(b.column(i).to_pylist() for i in range(keys)))) if keys else [()] * b.num_rows
+            seqs, prevs, hashes = [], [], []
+            for key, first, line in zip(ids, b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if now is None or key != now[0]:
+                    now, seq, last = (key,), 0, first
+                seqs.append(seq)
+                prevs.append(last)
+                last = hashlib.sha256(f"{last}|{line}".encode()).hexdigest()
+                hashes.append(last)
+                seq += 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
+                                             [*b.schema.names[:-2], "seq", "prev_hash", "hash"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-2])
+    return d.mapInArrow(link, f"{schema}, seq long, prev_hash string, hash string").select(*by, "seq", *rest, "prev_hash", "hash")
 
 
 def verify(log: DataFrame, fields, by=(), start=GENESIS) -> DataFrame:

@@ -6,7 +6,7 @@ from tocsin.operators.lineage import stable
 from tocsin.plans import bindings as B
 from tocsin.plans.bindings import with_ctes
 from tocsin.plans.registry import query
-from tocsin.streaming import jobs as J
+from tocsin.streaming import jobs as J, ledger, states
 
 END = "(SELECT max(ts) FROM events)"
 
@@ -131,3 +131,45 @@ def hash_chain_verification(spark, sf):
     at = c.where("value > 0 and seq >= 10").groupBy("chain").agg(F.min("seq").alias("_at"))
     t = c.join(at, "chain", "left").withColumn("value", F.when((F.col("chain") % 2 == 1) & (F.col("seq") == F.col("_at")), F.col("value") + 1).otherwise(F.col("value"))).drop("_at")
     return record.verify(t, FIELDS, by=("chain",))
+
+
+# ------------------------------------------------------------------ keyed state with timers
+@query("vessel_tracks_stream", f"""
+  SELECT user_id AS vessel, max(ts)::DATE AS last_day, arg_max(event_type, ts) AS cls, max(ts) + INTERVAL 2 DAY <= {END} - INTERVAL 1 DAY AS expired FROM events GROUP BY 1""")
+def vessel_tracks_stream(spark, sf):
+    """Newest fix, class and expiry of every vessel; the same rows hold its track points."""
+    e = events(spark, sf).select(F.col("user_id").alias("vessel"), "ts", ((30000 + F.col("event_id") * 37 % 1000) / 1000).alias("lat"),
+                                 ((40000 + F.col("event_id") * 53 % 1000) / 1000).alias("lon"), F.col("event_type").alias("cls"))
+    s = J.drain(states.vessel_tracks(e), mode="update")
+    newest = F.max_by(F.struct("s", "cls"), F.when(F.col("kind") == "newest", F.struct("epoch", "s"))).alias("m")
+    s = s.groupBy("vessel").agg(newest, F.bool_or(F.col("kind") == "expired").alias("expired"))
+    return s.select("vessel", F.to_date(F.timestamp_micros((F.col("m.s") * 1000000).cast("long"))).alias("last_day"), F.col("m.cls").alias("cls"), "expired")
+
+
+@query("silent_sources_stream", f"""
+  SELECT user_id AS source, count(*) FILTER (WHERE s = 'ok') AS n_ok, count(*) FILTER (WHERE s = 'late') AS n_late, count(*) FILTER (WHERE s = 'stale') AS n_stale FROM (
+    SELECT user_id, 'ok' AS s FROM events GROUP BY 1 UNION ALL SELECT user_id, 'late' FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 24 HOUR <= {END}
+    UNION ALL SELECT user_id, 'stale' FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 72 HOUR <= {END}) GROUP BY 1""")
+def silent_sources_stream(spark, sf):
+    """Status changes of every source: ok at its first stamp, late and stale when timers find it silent."""
+    s = J.drain(states.silence(events(spark, sf).select(F.col("user_id").alias("source"), "ts")), mode="update")
+    return s.groupBy("source").agg(*[F.count_if(F.col("status") == k).alias(f"n_{k}") for k in ("ok", "late", "stale")])
+
+
+@query("chained_record_stream", """
+  WITH RECURSIVE r AS MATERIALIZED (SELECT event_type, event_id, user_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq FROM events),
+  c AS (SELECT event_type, event_id, user_id, seq, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || '|' || event_type || '|' || event_id || '|' || user_id) AS hash FROM r WHERE seq = 0
+    UNION ALL SELECT r.event_type, r.event_id, r.user_id, r.seq, c.hash, sha256(c.hash || '|' || r.event_type || '|' || r.event_id || '|' || r.user_id) FROM c JOIN r ON r.event_type = c.event_type AND r.seq = c.seq + 1)
+  SELECT * FROM c""")
+def chained_record_stream(spark, sf):
+    """Events logged as one hash chain a type by a stream; every micro-batch is written twice, as a retry does, and the log holds it once."""
+    home = J.shared_folder(spark, f"log-{J.uuid.uuid4().hex}")
+    write = ledger.append_chain(f"{home}/log", "event_id", ["event_type", "event_id", "user_id"], "event_type")
+
+    def twice(batch, number):
+        write(batch, number)
+        write(batch, number)
+    q = events(spark, sf).select("event_type", "event_id", "user_id").writeStream.option("checkpointLocation", f"{home}/checkpoint").foreachBatch(twice).trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = ledger.log(spark, f"{home}/log", "event_type string, event_id long, user_id long, seq long, prev_hash string, hash string")
+    return out.drop("batch")

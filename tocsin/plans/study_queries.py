@@ -197,17 +197,19 @@ def training_by_event_kind(spark, sf):
 
 
 @query("thirty_day_history", with_ctes(["forecast", "ship_daily"], """
-  SELECT f.nation, f.day, round(p / base, 2) AS usual, round(p, 4) AS p,
+  SELECT f.nation, f.day, (20000 * round(p * 1000)::BIGINT + round(base * 10000)::BIGINT * 10) // (20 * round(base * 10000)::BIGINT) / 100.0 AS usual, round(p, 4) AS p,
          CASE WHEN p >= 0.25 THEN 'Critical' WHEN p >= 0.10 THEN 'Elevated' WHEN p >= 0.05 THEN 'Watch' ELSE 'Normal' END AS level, coalesce(lit, '') AS lit
   FROM forecast f LEFT JOIN (SELECT nation, day, string_agg(tell, ',' ORDER BY tell) AS lit FROM ft WHERE fired GROUP BY 1, 2) l ON l.nation = f.nation AND l.day = f.day
   WHERE f.day > (SELECT max(day) FROM forecast) - 30""", [TELL_SRC, ALL_TELLS_SQL]))
 def thirty_day_history(spark, sf):
-    """Per nation and day of the last thirty: the probability, times usual, level, and the rules lit that day."""
+    """Per nation and day of the last thirty: the probability, times usual, level, and the rules lit that day. Times usual is rounded half up in whole
+    numbers (p in thousandths, the base rate in ten-thousandths), so exact halves don't depend on how a fraction is stored."""
+    pk, bk = F.round(F.col("p") * 1000).cast("long"), F.round(F.col("base") * 10000).cast("long")
     f = B.forecast(spark, sf)
     since = F.date_sub(f.agg(F.max("day")).scalar(), 30)
     lit = all_tells(spark, sf).where("fired").groupBy("nation", "day").agg(F.array_join(F.array_sort(F.collect_list("tell")), ",").alias("lit"))
     return f.where(F.col("day") > since).join(lit, ["nation", "day"], "left").select(
-        "nation", "day", F.round(F.col("p") / F.col("base"), 2).alias("usual"), F.round("p", 4).alias("p"), S.level(F.col("p")).alias("level"), F.coalesce("lit", F.lit("")).alias("lit"))
+        "nation", "day", (F.floor((20000 * pk + 10 * bk) / (20 * bk)) / 100).alias("usual"), F.round("p", 4).alias("p"), S.level(F.col("p")).alias("level"), F.coalesce("lit", F.lit("")).alias("lit"))
 
 
 @query("aligned_histories", with_ctes(["facts", "nat"], """
