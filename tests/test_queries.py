@@ -19,7 +19,7 @@ def test_matches_sql(spark, name):
     assert ok, msg
 
 
-@pytest.mark.parametrize("name", ["daily_score_history", "panel_labels", "as_of_state", "archive_cells", "location_and_dyad_sums"])
+@pytest.mark.parametrize("name", ["daily_score_history", "panel_labels", "as_of_state", "archive_cells", "location_and_dyad_sums", "composite_sensitivity"])
 def test_plans_have_no_cross_product(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -219,13 +219,52 @@ def legacy_level(its: DataFrame, by=("theatre",), signal=3.0, watch=2.0) -> Data
     return g.withColumn("basis", F.when(~F.col("level").isin("Warning", "Alert"), "").when(F.col("_f"), "leading and lagging").otherwise("lagging only")).drop("_f")
 
 
-def sensitivity(grp: DataFrame, weights: DataFrame, drop="domain", by=("theatre",)) -> DataFrame:
-    """Recompute the composite with each value of `drop` left out: by..., dropped (NULL = none), zc."""
-    values = stable(grp.select(drop).distinct().withColumnRenamed(drop, "dropped").unionByName(
-        grp.sparkSession.createDataFrame([(None,)], "dropped string")))
-    keep = values.join(grp, (F.col("dropped").isNull()) | (F.col("dropped") != F.col(drop)))
-    return composite(domain_scores(keep.withColumn("dropped", F.coalesce("dropped", F.lit("(none)"))), [*by, "dropped"]),
-                     weights, [*by, "dropped"]).select(*by, "dropped", "zc")
+def _array_composite(doms):
+    """zc of an array of (domain, score, weight); NULL with fewer than two."""
+    total = F.aggregate(doms, F.lit(0.0), lambda n, d: n + d["weight"])
+    mean = F.aggregate(doms, F.lit(0.0), lambda n, d: n + d["weight"] * (100 + 10 * d["score"])) / total
+    var = F.aggregate(doms, F.lit(0.0), lambda n, d: n + d["weight"] * F.pow(100 + 10 * d["score"] - mean, 2)) / total
+    return F.when(F.size(doms) >= 2, (mean + var / mean - 100) / 10)
+
+
+def sensitivity(its: DataFrame, labels: DataFrame, weights: DataFrame, key="theatre") -> DataFrame:
+    """The composite without each signal and without each domain: theatre, kind, dropped, zc (that of all where too little is left), change, rho.
+
+    A signal that goes takes its share out of its redundancy group's mean, or the group with it; the ordered average of its domain is made again from the
+    seven strongest groups, of which six count, so nothing is scored twice. rho is the Spearman correlation of the ranking of all theatres before and after: one
+    theatre that moves k places costs 6 k (k + 1) / (n (n^2 - 1)). Redundancy groups stay as found.
+    """
+    m = stable(its.join(labels, "series_id").select(key, "domain", F.col("label").alias("grp"), "series_id", "ze"))
+    g = m.groupBy(key, "domain", "grp").agg(F.sum("ze").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    g = stable(g.withColumn("z", F.col("_s") / F.col("_n")))
+    entry = lambda z, grp: F.struct((-z).alias("nz"), grp.alias("grp"))      # noqa: E731
+    table = F.array(*[F.array(*[F.lit(x) for x in S.ordered_weights(i)]) for i in range(1, TOP_GROUPS + 1)])
+
+    def average(top):
+        six = F.slice(top, 1, TOP_GROUPS)
+        w = F.get(table, F.size(six) - 1)
+        s = F.aggregate(F.transform(six, lambda x, i: -x["nz"] * F.get(w, i)), F.lit(0.0), lambda a, x: a + x)
+        return F.when(F.size(six) == 0, None).when(F.size(six) == 1, s * LONE).otherwise(s)
+    tops = g.groupBy(key, "domain").agg(F.slice(F.array_sort(F.collect_list(entry(F.col("z"), F.col("grp")))), 1, TOP_GROUPS + 1).alias("top"))
+    tops = stable(tops.join(weights, "domain").withColumn("score", average(F.col("top"))))
+    doms = tops.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("domain", "score", "weight"))).alias("doms"))
+    full = stable(doms.withColumn("full", _array_composite(F.col("doms"))).where("full is not null"))
+    ranking = full.agg(F.array_sort(F.collect_list(F.struct(F.col("full").alias("z"), F.col(key).alias("k")))).alias("r")).scalar()      # one number a theatre
+
+    signals = m.join(g.select(key, "domain", "grp", "_s", "_n"), [key, "domain", "grp"]).join(tops.select(key, "domain", "top"), [key, "domain"]).join(full, key)
+    others = F.filter("top", lambda x: x["grp"] != F.col("grp"))
+    left = F.when(F.col("_n") > 1, F.array(entry((F.col("_s") - F.col("ze")) / (F.col("_n") - 1), F.col("grp")))).otherwise(F.array().cast("array<struct<nz:double,grp:string>>"))
+    signals = signals.withColumn("_score", average(F.array_sort(F.concat(others, left))))
+    swapped = F.filter(F.transform("doms", lambda d: F.when(d["domain"] == F.col("domain"), F.struct(d["domain"].alias("domain"), F.col("_score").alias("score"), d["weight"].alias("weight"))).otherwise(d)),
+                       lambda d: d["score"].isNotNull())
+    a = signals.select(key, F.lit("signal").alias("kind"), F.col("series_id").alias("dropped"), "full", swapped.alias("doms"))
+    b = full.select(key, "full", "doms", F.explode(F.transform("doms", lambda d: d["domain"])).alias("dropped")).select(
+        key, F.lit("domain").alias("kind"), "dropped", "full", F.filter("doms", lambda d: d["domain"] != F.col("dropped")).alias("doms"))
+    out = a.unionByName(b).withColumn("zc", F.coalesce(_array_composite(F.col("doms")), "full")).withColumn("_r", ranking)
+    place = lambda z: F.size(F.filter("_r", lambda x: (x["k"] != F.col(key)) & ((x["z"] < z) | ((x["z"] == z) & (x["k"] < F.col(key))))))      # noqa: E731
+    k, n = F.abs(place(F.col("zc")) - place(F.col("full"))).cast("double"), F.size("_r").cast("double")
+    rho = F.when(n > 2, 1 - 6 * k * (k + 1) / (n * (n * n - 1))).otherwise(1.0)
+    return out.select(key, "kind", "dropped", "zc", (F.col("zc") - F.col("full")).alias("change"), rho.alias("rho"))
 
 
 def compute_composite_score(points: DataFrame, metrics: DataFrame, weights: DataFrame, base_days=None) -> DataFrame:

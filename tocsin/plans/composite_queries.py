@@ -164,10 +164,29 @@ def measured_calm_quantiles(spark, sf):
     return q.select(F.inline(F.array(*[F.struct(F.lit(p).alias("q"), F.round(f"q{i}", 6).alias("z")) for i, p in enumerate((0.5, 0.9, 0.99))])))
 
 
-@query("composite_sensitivity")
+LEFT_OUT = [*ITEMS, ("drops", "SELECT nation, 'signal' AS kind, series_id AS dropped FROM lab UNION ALL SELECT DISTINCT nation, 'domain', domain FROM lab UNION ALL SELECT DISTINCT nation, 'none', '' FROM lab"),
+            ("rest", "SELECT d.kind, d.dropped, l.* FROM drops d JOIN lab l ON l.nation = d.nation AND NOT (d.kind = 'signal' AND l.series_id = d.dropped) AND NOT (d.kind = 'domain' AND l.domain = d.dropped)"),
+            ("doms2", """SELECT nation, kind, dropped, domain, sum(z * CASE WHEN n = 1 THEN 0.7 WHEN rn = 1 THEN 0.7 ELSE 0.3 END) AS score FROM (
+               SELECT *, row_number() OVER (PARTITION BY nation, kind, dropped, domain ORDER BY z DESC, grp) AS rn, count(*) OVER (PARTITION BY nation, kind, dropped, domain) AS n FROM (
+                 SELECT nation, kind, dropped, domain, grp, avg(ze) AS z FROM rest GROUP BY 1, 2, 3, 4, 5)) GROUP BY 1, 2, 3, 4"""),
+            ("comp2", """SELECT nation, kind, dropped, (m + v / m - 100) / 10 AS zc FROM (SELECT nation, kind, dropped, sum(w * x) / sum(w) AS m, sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2 AS v FROM (
+               SELECT *, 100 + 10 * score AS x, CASE domain WHEN 'demand' THEN 0.5 WHEN 'alarm' THEN 0.3 ELSE 0.2 END AS w FROM doms2) GROUP BY 1, 2, 3 HAVING count(*) >= 2)"""),
+            ("whole", "SELECT nation, zc AS f FROM comp2 WHERE kind = 'none'"),
+            ("moved", "SELECT d.nation, kind, dropped, f, coalesce(zc, f) AS z FROM drops d JOIN whole USING (nation) LEFT JOIN comp2 USING (nation, kind, dropped) WHERE kind <> 'none'"),
+            ("ranks", """SELECT m.nation, kind, dropped, count(*) FILTER (WHERE w.f < m.z OR (w.f = m.z AND w.nation < m.nation)) AS r1, count(*) FILTER (WHERE w.f < m.f OR (w.f = m.f AND w.nation < m.nation)) AS r0
+               FROM moved m JOIN whole w ON w.nation <> m.nation GROUP BY 1, 2, 3"""),
+            ("places", """SELECT m.nation, m.kind, m.dropped, m.nation = w.nation AS own, CASE WHEN m.nation = w.nation THEN r0 ELSE rk END AS a,
+               CASE WHEN m.nation = w.nation THEN r1 ELSE rk - (CASE WHEN rk > r0 THEN 1 ELSE 0 END) + (CASE WHEN rk - (CASE WHEN rk > r0 THEN 1 ELSE 0 END) >= r1 THEN 1 ELSE 0 END) END AS b
+               FROM ranks m, (SELECT nation, row_number() OVER (ORDER BY f, nation) - 1 AS rk FROM whole) w""")]
+
+
+@query("composite_sensitivity", with_ctes(NEED, """
+  SELECT m.nation AS theatre, m.kind, m.dropped, round(z, 6) AS zc, round(z - f, 6) AS change, round(rho, 6) AS rho FROM moved m JOIN (
+    SELECT nation, kind, dropped, corr(a, b) AS rho FROM places GROUP BY 1, 2, 3) USING (nation, kind, dropped)""", LEFT_OUT))
 def composite_sensitivity(spark, sf):
-    """Composite with each domain left out in turn."""
-    return C.sensitivity(groups(spark, sf)[1], weights(spark)).select("theatre", "dropped", *rnd("zc"))
+    """Composite with each signal and each domain left out in turn, and what that does to the ranking of all theatres."""
+    its = items(spark, sf)
+    return C.sensitivity(its, C.components(its, edges(spark, sf, its)), weights(spark)).select("theatre", "kind", "dropped", *rnd("zc", "change", "rho"))
 
 
 @query("portfolio_score")
