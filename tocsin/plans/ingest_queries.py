@@ -129,6 +129,29 @@ def html_table_parse(spark, sf):
                     F.size(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("links"))
 
 
+@query("xml_feed_items", with_ctes([], """
+  SELECT conv_id, turn - 1 - min(turn - 1) OVER (PARTITION BY conv_id) AS pos, CASE WHEN turn % 5 <> 4 THEN role || ' & <' || turn || '>' END AS title, CASE WHEN turn % 5 <> 4 THEN trim(substr(text, 1, 20), ' ' || chr(9) || chr(10) || chr(13)) END AS description, turn % 5 = 4 AS broken
+  FROM conversations"""))
+def xml_feed_items(spark, sf):
+    """Feeds of conversation turns through the XML parser: entities in titles, CDATA in descriptions, every fifth item not well formed."""
+    c = T(spark, sf, "conversations")
+    head = F.concat(F.lit("<item><title>"), "role", F.lit(" &amp; &lt;"), F.col("turn").cast("string"), F.lit("&gt;</title><description><![CDATA["), F.substring("text", 1, 20), F.lit("]]>"))
+    item = F.concat(head, F.when(F.col("turn") % 5 == 4, "</item>").otherwise("</description></item>"))
+    feed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("x")))).alias("a"))
+    feed = feed.select("conv_id", F.col("a")[0]["turn"].alias("first"), F.concat(F.lit("<rss><channel>"), F.concat_ws("", F.transform("a", lambda t: t["x"])), F.lit("</channel></rss>")).alias("xml"))
+    x = feeds.xml_items(feed)
+    return x.select("conv_id", F.col("pos").cast("long").alias("pos"), (F.col("first") + F.col("pos")).alias("turn"), "title", "description", F.col("broken").isNotNull().alias("broken")).drop("turn")
+
+
+@query("page_list_cells", with_ctes([], r"""
+  SELECT page_id, r - 1 AS "row", generate_subscripts(cells, 1) - 1 AS col, trim(regexp_replace(replace(regexp_replace(unnest(cells), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM (
+    SELECT page_id, r, regexp_extract_all(u, '(?s)<li>(.*?)</li>', 1) AS cells FROM (
+      SELECT page_id, unnest(us) AS u, generate_subscripts(us, 1) AS r FROM (SELECT page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) AS us FROM pages)))"""))
+def page_list_cells(spark, sf):
+    """Cells of the lists of all pages, read row by row as tables are."""
+    return feeds.html_cells(T(spark, sf, "pages").select("page_id", "html"), row="ul", cell="li").select("page_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text")
+
+
 @query("fixed_layout_text", with_ctes(["daily"], """
   SELECT month, dom, n, month % 5 <> 0 AS agrees FROM (SELECT (year(day) * 12 + month(day))::INT AS month, day(day)::INT AS dom, sum(n)::BIGINT AS n FROM daily GROUP BY 1, 2)"""))
 def fixed_layout_text(spark, sf):

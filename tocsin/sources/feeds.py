@@ -76,6 +76,39 @@ def rss_items(feeds: DataFrame, xml="xml") -> DataFrame:
         F.regexp_extract("_it", r"/([^/<]+)/?</link>", 1).alias("slug"), F.regexp_extract("_it", r"<pubDate>(.*?)</pubDate>", 1).alias("published"))
 
 
+ITEM = "title string, link string, pubDate string, description string, _corrupt string"
+
+
+def xml_items(feeds: DataFrame, xml="xml", schema=ITEM, item="item") -> DataFrame:
+    """Items of feed texts, each read by the XML parser: the other columns, pos (place in its feed), the fields, `broken`. Entities and CDATA are decoded, blanks around a value go;
+    an item that is no well-formed XML keeps its text in `broken`, and its neighbours are read all the same. Null and empty feeds have no items."""
+    parts = F.regexp_extract_all(xml, F.lit(rf"(?s)(<{item}[\s>].*?</{item}>)"), F.lit(1))
+    d = feeds.select(*[c for c in feeds.columns if c != xml], F.posexplode(parts).alias("pos", "_text"))
+    d = d.withColumn("_x", F.from_xml("_text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": item}))
+    names = [f.split()[0] for f in schema.split(", ") if not f.startswith("_corrupt")]
+    return d.select(*[c for c in d.columns if not c.startswith("_")], *[F.col(f"_x.{n}").alias(n) for n in names], F.col("_x._corrupt").alias("broken"))
+
+
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))  # Fixed values; the last is decoded last
+
+
+def plain(html):
+    """Text of a piece of HTML: tags go, the common entities are decoded, runs of blanks become one."""
+    out = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
+    for name, char in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def html_cells(pages: DataFrame, html="html", row="tr", cell="t[dh]") -> DataFrame:
+    """The other columns, row and col (from 0), text: every cell of every row in document order. Cells without a closing tag end at the next cell or row end; comments
+    and scripts are left out first. row and cell are tag patterns, so lists are read the same way."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
+    d = pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.regexp_extract_all(bare, F.lit(rf"(?is)<(?:{row})\b[^>]*>(.*?)(?:</(?:{row})>|(?=<(?:{row})\b)|\z)"), F.lit(1))).alias("row", "_r"))
+    cells = F.regexp_extract_all("_r", F.lit(rf"(?is)<(?:{cell})\b[^>]*>(.*?)(?=</(?:{cell})>|<(?:{cell})\b|\z)"), F.lit(1))
+    return d.select(*[c for c in d.columns if c != "_r"], F.posexplode(cells).alias("col", "_c")).withColumn("text", plain(F.col("_c"))).drop("_c")
+
+
 def fixed_layout(texts: DataFrame, text="text", key="month") -> DataFrame:
     """Lines 'DD n' of a monthly text with its printed 'total N'; months whose sum disagrees are flagged."""
     lines = texts.select(key, F.regexp_extract(text, r"total\s+(\d+)", 1).try_cast("long").alias("total"), F.explode(F.split(text, "\n")).alias("_l"))
