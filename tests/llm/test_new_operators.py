@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import rows_of
-from tocsin.llm import entropy, queries, tries, variants
+from tocsin.llm import counts, entropy, queries, tries, variants
 from tocsin.llm.words import Texts
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -266,3 +266,38 @@ def test_digest_columns_of_the_scan(spark):
         added = sorted(spans + windows_by_hand(r["text"]), key=lambda s: (int(s.split(":")[1]), entropy.KINDS.index(s.split(":")[0])))
         want.append((r["doc_id"], kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(",".join(spans).encode()).hexdigest(), ",".join(added)))
     assert got == sorted(want, key=repr)
+
+
+# token counts
+
+def test_a_compacted_store_knows_its_batches(spark, odd, tmp_path):
+    one = counts.VERSIONS["words/1"](F.col("text"))
+    store = counts.Rollup(spark, f"file://{tmp_path}/store")
+    for name in ("a", "b"):
+        store.commit(name, counts.inserts(odd, "words/1", one))
+    small = store.compact(f"file://{tmp_path}/small")
+    small = small.compact(f"file://{tmp_path}/smaller")
+    before = rows_of(small.totals(), "source", "lang", "version", "n_docs", "n_tokens")
+    small.commit("b", counts.inserts(odd, "words/1", one))  # a late retry
+    assert rows_of(small.totals(), "source", "lang", "version", "n_docs", "n_tokens") == before
+    small.commit("c", counts.inserts(odd, "words/1", one))
+    assert sum(r["n_docs"] for r in small.totals().collect()) == 3 * odd.count()
+    assert {r["batch"] for r in small.committed().collect()} == {"a", "b", "c"}
+
+
+def test_deleted_copies_are_those_found_by_hand(odd, none):
+    rows = odd.select("doc_id", "source", "lang", F.md5("text").alias("same"), counts.VERSIONS["words/2"](F.col("text")).alias("two"))
+    known = [r for r in rows.collect() if r["same"] is not None and r["doc_id"] is not None]
+    first, want = {}, defaultdict(lambda: [0, 0])
+    for r in known:
+        first[r["same"]] = min(first.get(r["same"], r["doc_id"]), r["doc_id"])
+    for r in known:
+        if r["doc_id"] != first[r["same"]]:
+            want[r["source"], r["lang"]][0] -= 1
+            want[r["source"], r["lang"]][1] -= r["two"]
+    got = defaultdict(lambda: [0, 0])
+    for r in counts.copies(rows, "words/2").collect():
+        got[r["source"], r["lang"]][0] += r["n_docs"]
+        got[r["source"], r["lang"]][1] += r["n_tokens"]
+    assert dict(got) == dict(want) and want
+    assert counts.copies(none.select("doc_id", "source", "lang", F.md5("text").alias("same"), F.lit(1).alias("two")), "words/2").count() == 0

@@ -69,9 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.commit(f"load-{part}", counts.inserts(rows.filter(mine), "words/1", F.col("one")))
     recount = counts.revisions(rows, "words/1", F.col("one"), "words/2", F.col("two"))
     store.commit("recount", recount)
-    kept = rows.groupBy("same").agg(F.min("doc_id").alias("first"))
-    copies = rows.join(kept, "same").filter(F.col("doc_id") > F.col("first"))
-    store.commit("copies", counts.deletes(copies, "words/2", F.col("two")))
+    store.commit("copies", counts.copies(rows, "words/2"))
     store.commit("recount", recount)
     return store.totals()
 
