@@ -115,8 +115,8 @@ def heat_detection_classes(spark, sf):
 @query("daily_class_counts")
 def daily_class_counts(spark, sf):
     """Classes per day over the archive's calendar, zero where a class was not seen."""
-    c = classified(spark, sf).groupBy("day").agg(*[F.count_if(F.col("cls") == k).alias(k) for k in ("anom", "hot", "unex", "seas", "ind", "volc", "off")])
-    days = stable(c).agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("day"))
+    c = stable(classified(spark, sf).groupBy("day").agg(*[F.count_if(F.col("cls") == k).alias(k) for k in ("anom", "hot", "unex", "seas", "ind", "volc", "off")]))
+    days = c.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("day"))
     return days.join(c, "day", "left").na.fill(0)
 
 
