@@ -328,6 +328,32 @@ def test_words_that_are_not_held_are_clustered_alike(odd, monkeypatch):
     assert [x[1] for x in a] == pytest.approx([x[1] for x in b])
 
 
+def test_parts_and_early_merges_change_nothing(odd, monkeypatch):
+    monkeypatch.setattr(classlm, "LISTED", 20)
+    train = odd.filter(classlm.training(odd, 2, 7))
+    a = classlm.fit(train)[0]
+    monkeypatch.setattr(classlm, "PART", 4)
+    monkeypatch.setattr(classlm, "MERGE_AT", 64)
+    b = classlm.fit(train.repartition(5))[0]
+    assert (a.held == b.held).all() and (a.kind == b.kind).all() and (a.step == b.step).all()
+
+
+def test_neighbour_lists_hold_every_pair(odd):
+    import collections
+    import numpy as np
+    docs = odd.filter("doc_id between 20 and 40")
+    held, count, _ = classlm.frequent_words(classlm.word_counts(docs))
+    kind = np.where(count >= 3, classlm.CLASSES, -1)
+    g = classlm.class_pairs(classlm.contexts(docs, held, count, kind, False), held, kind, None, None)
+    want = collections.Counter()
+    texts = [low(r["text"] or "").split() for r in docs.collect()]
+    seen = collections.Counter(w for t in texts for w in t)
+    for t in texts:
+        k = [classlm.CLASSES + 1, *[classlm.CLASSES for _ in t], classlm.CLASSES + 1]
+        want.update(zip(k, k[1:]))
+    assert {(i, j): g[i, j] for i, j in zip(*np.nonzero(g))} == want and (count >= 3).sum() == sum(c >= 3 for c in seen.values())
+
+
 def test_a_word_moves_to_its_best_class():
     import numpy as np
     r = np.random.default_rng(3)

@@ -2,8 +2,9 @@
 
 Words are counted over all training texts. Every word seen at least SEEN times is put into one of CLASSES classes, so their number grows with the
 corpus. The LISTED most frequent of them start from an exchange clustering on the driver: each word in turn moves to the class that raises the
-likelihood of the class bigrams most, until no sweep gains enough. Then sweeps over all words follow in the cluster (`spread`): the tasks sum, for
-each word, the classes before and after it, and move it to its best class under the class bigrams of the sweep's start. Words seen less often are
+likelihood of the class bigrams most, until no sweep gains enough. Then sweeps over all words follow in the cluster (`spread`): one table, written
+once, lists the words before and after each word; a sweep reads it without an exchange, sums each word's neighbours by their present classes, and
+moves it to its best class under the class bigrams of the sweep's start. Words seen less often are
 one more class, the tail, which also stands for unknown words, and the end of a text is one. A text's probability is the product, over its words
 and its end, of P(class | class before) from smoothed class bigrams and P(word | class) from counts; in the tail, counts are discounted and
 what that frees goes to unknown words as one type.
@@ -30,6 +31,10 @@ SEEN = 3                  # words seen less often are the tail
 SPREAD, SPREAD_GAIN = 4, 1e-4  # sweeps over all words at most
 KAPPA = 20.0              # weight of the class unigram in a class bigram
 MERGE_AT = 1 << 20        # hashes gathered in a task before they are merged
+PART, PART_BITS = 1 << 18, 8  # occurrences of a word for each part its neighbours are cut into, and bits of the number of a part
+PARTS = 1 << PART_BITS
+SHIFT = (2 * HELD + 4).bit_length()  # bits of a neighbour's number and side
+MASK = (1 << SHIFT) - 1
 
 
 def training(docs: DataFrame, fold: int, of: int):
@@ -217,6 +222,7 @@ class _Neighbours:
 
 
 ROWS = "w long, k long, s long, c long"
+LISTS = "g long, near array<long>"
 
 
 def _far_id(h: np.ndarray) -> np.ndarray:
@@ -242,30 +248,96 @@ def far_pairs(train: DataFrame, held: np.ndarray) -> DataFrame:
     return train.select("text").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
-def neighbours(train: DataFrame, held: np.ndarray, kind: np.ndarray, pairs: DataFrame | None, far: DataFrame | None, by_class=False) -> DataFrame:
-    """w, k, near: how often each clustered word (number w, class k) has which neighbours (s, c); with by_class, the sums k, s, c of classes alone.
-    The tail is the word len(held), the end the next one.
+def _grouped(key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """Rows g, near from distinct sorted keys g << SHIFT | o with counts: one list of c << SHIFT | o for each g."""
+    g = key >> SHIFT
+    first = np.flatnonzero(np.diff(g, prepend=-1))
+    near = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(c << SHIFT | key & MASK))
+    return pa.RecordBatch.from_arrays([pa.array(g[first]), near], ["g", "near"])
 
-    kind: classes of held words. pairs, far: far_pairs and the far words (w, k) if there are any."""
-    shared = train.sparkSession.sparkContext.broadcast((held, kind))
-    tail, several = len(held), pairs is not None
 
-    def near(batches):
-        held, kind = shared.value
-        number = np.concatenate([np.where(kind < 0, tail, np.arange(tail)), [-1 if several else tail]])
-        kinds = np.concatenate([kind, [CLASSES, CLASSES + 1]])
-        out = _Neighbours(by_class)
+def contexts(train: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.ndarray, several: bool) -> DataFrame:
+    """g, near: the neighbours of every clustered held word, from one pass over the texts and one exchange.
+
+    g is the word's number and a part, numbers of neighbours being spread over 1 + count / PART parts (PARTS at most), so that no list grows with
+    the corpus. near holds c << SHIFT | 2 * neighbour (+ 1 where it stands before the word). The tail (number len(held)) and the end (the next one)
+    keep only what they have with each other, as all else stands with the word they meet. A word is its own neighbour once, as the one after it.
+    several: words that aren't held may be clustered, so their pairs are left to far_pairs."""
+    parts = np.append(np.minimum(1 + count // PART, PARTS), [1, 1])
+    shared = train.sparkSession.sparkContext.broadcast((held, kind < 0, parts))
+    tail = len(held)
+
+    def run(batches):
+        held, rare, parts = shared.value
+        number = np.append(np.where(rare, tail, np.arange(tail)), -1 if several else tail)
+        keys, counts = [], []
+
+        def lists(pair, c):
+            a, b = pair // (tail + 2), pair % (tail + 2)
+            after, before = (a < tail) | (b >= tail), (b < tail) & (a != b)
+            w, other = np.concatenate([a[after], b[before]]), np.concatenate([b[after], a[before]])
+            o = 2 * other + np.repeat([0, 1], [after.sum(), before.sum()])
+            key = ((w << PART_BITS | other % parts[w]) << SHIFT) | o
+            order = np.argsort(key)
+            return _grouped(key[order], np.concatenate([c[after], c[before]])[order])
+
         for _, t in slices(batches):
             w = words(t, NOT_SPACE)
             a, b = _sequence(number[_number(held, w.hash)], w.at, tail + 1)
-            a, b = a[both := (a >= 0) & (b >= 0)], b[both]
-            out.add(a, b, kinds[a], kinds[b], np.ones(len(a), np.int64))
-            if out.full() and (batch := out.merged()) is not None:
-                yield batch
-        yield from out.rest()
+            both = (a >= 0) & (b >= 0)
+            pair, c = np.unique(a[both] * (tail + 2) + b[both], return_counts=True)
+            keys.append(pair)
+            counts.append(c)
+            if sum(map(len, keys)) >= MERGE_AT:
+                pair, c = _merged(keys, counts)
+                keys, counts = [pair], [c]
+                if len(pair) >= MERGE_AT // 2:
+                    yield lists(pair, c)
+                    keys, counts = [], []
+        if keys:
+            yield lists(*_merged(keys, counts))
+
+    def together(batches):
+        key, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def summed(key, c):
+            order = np.argsort(key, kind="stable")
+            key, c = key[order], c[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            return key[first], np.add.reduceat(c, first) if len(first) else c
+
+        for batch in batches:
+            near = batch.column("near")
+            code = near.flatten().to_numpy()
+            g = np.repeat(batch.column("g").to_numpy(), np.diff(near.offsets.to_numpy()))
+            key, c = summed(np.concatenate([key, g << SHIFT | code & MASK]), np.concatenate([c, code >> SHIFT]))
+            if len(key):  # the last list may go on in the next batch
+                done = int(np.searchsorted(key, key[-1] >> SHIFT << SHIFT))
+                if done:
+                    yield _grouped(key[:done], c[:done])
+                key, c = key[done:], c[done:]
+        if len(key):
+            yield _grouped(key, c)
+    rows = train.select("text").mapInArrow(run, LISTS)
+    return keep(rows.repartition("g").sortWithinPartitions("g").mapInArrow(together, LISTS), "lm-contexts")
+
+
+def _classes(batch: pa.RecordBatch, kinds: np.ndarray):
+    """w of each row of contexts; and of each entry the row, the neighbour, its class, whether it stands before the word, and the count."""
+    near = batch.column("near")
+    code = near.flatten().to_numpy()
+    other = (code & MASK) >> 1
+    at = np.repeat(np.arange(len(batch)), np.diff(near.offsets.to_numpy()))
+    return batch.column("g").to_numpy() >> PART_BITS, at, other, kinds[other], (code & 1).astype(bool), code >> SHIFT
+
+
+def far_rows(pairs: DataFrame, far: DataFrame, held: np.ndarray, kind: np.ndarray, by_class: bool = False) -> DataFrame:
+    """w, k, s, c: the neighbours that words have in far_pairs (number w, class k); with by_class, the class pairs."""
+    shared = pairs.sparkSession.sparkContext.broadcast(np.append(kind, [CLASSES, CLASSES + 1]))
+    tail = len(held)
 
     def joined(batches):
-        kinds = np.concatenate([shared.value[1], [CLASSES, CLASSES + 1]])
+        kinds = shared.value
         out = _Neighbours(by_class)
         for batch in batches:
             a, b, c, ka, kb = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "c", "ka", "kb"))
@@ -274,22 +346,32 @@ def neighbours(train: DataFrame, held: np.ndarray, kind: np.ndarray, pairs: Data
             if out.full() and (batch := out.merged()) is not None:
                 yield batch
         yield from out.rest()
-    rows = train.select("text").mapInArrow(near, ROWS)
-    if several:
-        of = [far.select(F.col("w").alias(x), F.col("k").alias(f"k{x}")) for x in "ab"]
-        wide = pairs.join(of[0], "a", "left").join(of[1], "b", "left").select("a", "b", "c", *[F.coalesce(x, F.lit(-1)).cast("long").alias(x) for x in ("ka", "kb")])
-        rows = rows.unionByName(wide.mapInArrow(joined, ROWS))
-    if by_class:
-        return rows.groupBy("k", "s").agg(F.sum("c").alias("c"))
-    sums = rows.repartition("w").groupBy("w", "k", "s").agg(F.sum("c").alias("c"))  # one exchange, at most OWN + 1 rows a word
-    return sums.groupBy("w", "k").agg(F.collect_list(F.struct("s", "c")).alias("near"))
-
-
-def _square(rows: DataFrame) -> np.ndarray:
-    """Class bigrams from k, s, c, where s is the class after, or OWN."""
-    g = np.zeros((CLASSES + 2, CLASSES + 2))
-    for r in rows.collect():
-        g[r["k"], r["k"] if r["s"] == OWN else r["s"]] += r["c"]
+    of = [far.select(F.col("w").alias(x), F.col("k").alias(f"k{x}")) for x in "ab"]
+    wide = pairs.join(of[0], "a", "left").join(of[1], "b", "left").select("a", "b", "c", *[F.coalesce(x, F.lit(-1)).cast("long").alias(x) for x in ("ka", "kb")])
+    return wide.mapInArrow(joined, ROWS)
+
+
+def class_pairs(near: DataFrame, held: np.ndarray, kind: np.ndarray, pairs: DataFrame | None, far: DataFrame | None) -> np.ndarray:
+    """Class bigrams under the present classes: each task sums its lists to one square."""
+    shared = near.sparkSession.sparkContext.broadcast(np.append(kind, [CLASSES, CLASSES + 1]))
+    tail, m = len(held), CLASSES + 2
+
+    def run(batches):
+        kinds, total = shared.value, np.zeros(m * m)
+        for batch in batches:
+            w, at, other, k, before, c = _classes(batch, kinds)
+            own = kinds[w][at]
+            use = ~before | (other >= tail)  # pairs of two clustered words stand in the list of the first
+            total += np.bincount(np.where(before, k * m + own, own * m + k)[use], c[use], minlength=m * m)
+        got = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(got // m), pa.array(got % m), pa.array(total[got].astype(np.int64))], ["k", "s", "c"])
+    rows = near.mapInArrow(run, "k long, s long, c long")
+    if pairs is not None:
+        rows = rows.unionByName(far_rows(pairs, far, held, kind, by_class=True).select("k", "s", "c"))
+    g = np.zeros((m, m))
+    for r in rows.groupBy("k", "s").agg(F.sum("c").alias("c")).collect():
+        g[r["k"], r["s"]] = r["c"]
+    shared.unpersist()
     return g
 
 
@@ -322,13 +404,43 @@ def best(at: np.ndarray, k: np.ndarray, s: np.ndarray, c: np.ndarray, g: np.ndar
     return np.argmax(gain[:, :CLASSES], axis=1)
 
 
-def moves(sums: DataFrame, held: np.ndarray, g: np.ndarray, sweep: int) -> DataFrame:
-    """w, k of every word after a sweep. In the first one the words outside the classes move in; later, one half of the words moves at a time."""
-    shared = sums.sparkSession.sparkContext.broadcast((held, g))
-    n = len(held)
+def _goes(w: np.ndarray, k: np.ndarray, held: np.ndarray, sweep: int) -> np.ndarray:
+    """In the first sweep the words outside the classes move in; later, one half of the words moves at a time."""
+    if sweep == 0:
+        return k == CLASSES
+    bits = np.where(w < 0, -1 - w, (held[np.maximum(w, 0)] >> np.uint64(1)).astype(np.int64))
+    return (bits >> 7 & 1) == sweep % 2
+
+
+def moves(near: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.ndarray, pairs: DataFrame | None, far: DataFrame | None, g: np.ndarray, sweep: int) -> DataFrame:
+    """w, k of words that a sweep may move, and of all far words.
+
+    One pass over the lists of contexts without an exchange; only words of several parts, and all if there are far words, are summed by word first."""
+    shared = near.sparkSession.sparkContext.broadcast((held, count >= PART, np.append(kind, [CLASSES, CLASSES + 1]), g))
+    tail, several = len(held), pairs is not None
 
     def run(batches):
-        held, g = shared.value
+        held, parted, kinds, g = shared.value
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                w, at, other, k, before, c = _classes(batch.slice(i, 4096), kinds)
+                word = w < tail
+                go = word.copy()
+                go[word] = _goes(w[word], kinds[w[word]], held, sweep)
+                s = np.where(before, IN + k, np.where(other == w[at], OWN, k))
+                dense = np.bincount((at * (OWN + 1) + s)[go[at]], c[go[at]], minlength=len(w) * (OWN + 1)).reshape(len(w), -1)
+                open_ = go & (np.append(parted, [False, False])[w] | several)
+                ready = np.flatnonzero(go & ~open_)
+                if len(ready):
+                    j, s = np.nonzero(dense[ready])
+                    new = best(j, kinds[w[ready]], s, dense[ready][j, s], g)
+                    yield _rows(w[ready], new, np.full(len(ready), -1), np.zeros(len(ready), np.int64))
+                if open_.any():
+                    j, s = np.nonzero(dense * open_[:, None])
+                    yield _rows(w[j], kinds[w[j]], s, dense[j, s].astype(np.int64))
+
+    def rest(batches):
+        held, _, _, g = shared.value
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
@@ -336,30 +448,37 @@ def moves(sums: DataFrame, held: np.ndarray, g: np.ndarray, sweep: int) -> DataF
                 near = part.column("near")
                 at = np.repeat(np.arange(len(w)), np.diff(near.offsets.to_numpy()))
                 s, c = (near.flatten().field(x).to_numpy().astype(np.int64) for x in ("s", "c"))
-                half = np.where(w < 0, -1 - w, (held[np.maximum(w, 0)] >> np.uint64(1)).astype(np.int64)) >> 7 & 1
-                go = k == CLASSES if sweep == 0 else half == sweep % 2
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.where(go, best(at, k, s, c, g), k))], ["w", "k"])
-    return sums.filter(~F.col("w").isin(n, n + 1)).mapInArrow(run, "w long, k long")
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.where(_goes(w, k, held, sweep), best(at, k, s, c, g), k))], ["w", "k"])
+    rows = keep(near.mapInArrow(run, ROWS), "lm-rows")
+    sums = rows.filter("s >= 0")
+    if several:
+        sums = sums.unionByName(far_rows(pairs, far, held, kind).filter(~F.col("w").isin(tail, tail + 1)))
+    sums = sums.groupBy("w", "k", "s").agg(F.sum("c").alias("c")).groupBy("w", "k").agg(F.collect_list(F.struct("s", "c")).alias("near"))  # at most OWN + 1 rows a word
+    return keep(rows.filter("s < 0").select("w", "k").unionByName(sums.mapInArrow(rest, "w long, k long")), "lm-moves")
+
+
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["w", "k", "s", "c"])
 
 
-def spread(train: DataFrame, held: np.ndarray, kind: np.ndarray, far: DataFrame | None) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+def spread(train: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.ndarray, far: DataFrame | None) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
     """Classes of held words (-1: the tail) and of far words (w, k), and the class bigrams. kind: CLASSES for words that are in no class yet."""
     pairs = keep(far_pairs(train, held), "lm-pairs") if far is not None else None
+    near = contexts(train, held, count, kind, far is not None)
     last = None
     for sweep in range(SPREAD):
-        sums = keep(neighbours(train, held, kind, pairs, far), "lm-neighbours")
-        g = _square(sums.select("k", F.inline("near")).filter((F.col("s") < IN) | (F.col("s") == OWN)).groupBy("k", "s").agg(F.sum("c").alias("c")))
+        g = class_pairs(near, held, kind, pairs, far)
         if sweep > 1 and _value(g) < _value(last[2]):
             return last
         if sweep > 1 and _value(g) - _value(last[2]) < SPREAD_GAIN * abs(_value(last[2])):
             return kind, far, g
         last = kind, far, g
-        new = keep(moves(sums, held, g, sweep), "lm-moves")
+        new = moves(near, held, count, kind, pairs, far, g, sweep)
         mine = new.filter("w >= 0").toArrow()
         kind = kind.copy()
         kind[mine.column("w").to_numpy()] = mine.column("k").to_numpy()
         far = new.filter("w < 0") if far is not None else None
-    g = _square(neighbours(train, held, kind, pairs, far, by_class=True))
+    g = class_pairs(near, held, kind, pairs, far)
     return last if SPREAD > 1 and _value(g) < _value(last[2]) else (kind, far, g)
 
 
@@ -393,7 +512,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, int]:
         kind[top] = exchange(pair_counts(train, held[top]))[:-2]
     number = -1 - F.shiftrightunsigned("w", 1)
     far = rare.filter(F.col("c") >= SEEN).select(number.alias("w"), F.lit(CLASSES).cast("long").alias("k")) if sums["least"] > SEEN else None
-    kind, far, by_class = spread(train, held, kind, far)
+    kind, far, by_class = spread(train, held, c, kind, far)
     k = CLASSES + 2
     right = by_class.sum(0)
     unigram = (right + 1) / (right.sum() + k)
