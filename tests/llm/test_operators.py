@@ -344,7 +344,7 @@ def test_neighbour_lists_hold_every_pair(odd):
     docs = odd.filter("doc_id between 20 and 40")
     held, count, _ = classlm.frequent_words(classlm.word_counts(docs))
     kind = np.where(count >= 3, classlm.CLASSES, -1)
-    g = classlm.class_pairs(classlm.contexts(docs, held, count, kind, False), held, kind, None, None)
+    g = classlm.class_pairs(classlm.contexts(docs, held, count, kind, False), kind, None)
     want = collections.Counter()
     texts = [low(r["text"] or "").split() for r in docs.collect()]
     seen = collections.Counter(w for t in texts for w in t)

@@ -25,14 +25,15 @@ from tocsin.llm.shared import keep
 from tocsin.llm.words import NOT_SPACE, signed, slices, words
 
 LISTED, CLASSES = 1024, 48
-HELD = 1_000_000          # words with counts sent to the tasks at most (16 bytes each)
+HELD = 4_000_000          # words sent to the tasks at most (25 bytes each in the largest table; a sweep takes 2)
 SWEEPS, LEAST_GAIN = 12, 1e-6
 SEEN = 3                  # words seen less often are the tail
 SPREAD, SPREAD_GAIN = 4, 1e-4  # sweeps over all words at most
 KAPPA = 20.0              # weight of the class unigram in a class bigram
-MERGE_AT = 1 << 20        # hashes gathered in a task before they are merged
+MERGE_AT = 1 << 19        # hashes gathered in a task before they are merged
 PART, PART_BITS = 1 << 18, 8  # occurrences of a word for each part its neighbours are cut into, and bits of the number of a part
 PARTS = 1 << PART_BITS
+SLICE = 1 << 20           # bytes of text taken at a time
 SHIFT = (2 * HELD + 4).bit_length()  # bits of a neighbour's number and side
 MASK = (1 << SHIFT) - 1
 
@@ -51,7 +52,7 @@ def word_counts(train: DataFrame) -> DataFrame:
             w, at = np.unique(np.concatenate(held), return_inverse=True)
             return w, np.bincount(at, np.concatenate(counts)).astype(np.int64)
 
-        for _, t in slices(batches):
+        for _, t in slices(batches, most=SLICE):
             w, c = np.unique(words(t, NOT_SPACE).hash, return_counts=True)
             held.append(w)
             counts.append(c.astype(np.int64))
@@ -88,7 +89,7 @@ def pair_counts(train: DataFrame, listed: np.ndarray) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(n * n, np.int64)
-        for _, t in slices(batches):
+        for _, t in slices(batches, most=SLICE):
             w = words(t, NOT_SPACE)
             now, then = _sequence(_number(shared.value, w.hash), w.at, n - 1)
             total += np.bincount(now * n + then, minlength=n * n)
@@ -236,7 +237,7 @@ def far_pairs(train: DataFrame, held: np.ndarray) -> DataFrame:
 
     def run(batches):
         n = len(shared.value)
-        for _, t in slices(batches):
+        for _, t in slices(batches, most=SLICE):
             w = words(t, NOT_SPACE)
             at = _number(shared.value, w.hash)
             a, b = _sequence(np.where(at < n, at, _far_id(w.hash)), w.at, n + 1)
@@ -263,13 +264,13 @@ def contexts(train: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.nda
     the corpus. near holds c << SHIFT | 2 * neighbour (+ 1 where it stands before the word). The tail (number len(held)) and the end (the next one)
     keep only what they have with each other, as all else stands with the word they meet. A word is its own neighbour once, as the one after it.
     several: words that aren't held may be clustered, so their pairs are left to far_pairs."""
-    parts = np.append(np.minimum(1 + count // PART, PARTS), [1, 1])
+    parts = np.append(np.minimum(1 + count // PART, PARTS), [1, 1]).astype(np.int16)
     shared = train.sparkSession.sparkContext.broadcast((held, kind < 0, parts))
     tail = len(held)
 
     def run(batches):
         held, rare, parts = shared.value
-        number = np.append(np.where(rare, tail, np.arange(tail)), -1 if several else tail)
+        number = np.append(np.where(rare, tail, np.arange(tail)), -1 if several else tail).astype(np.int32)
         keys, counts = [], []
 
         def lists(pair, c):
@@ -281,9 +282,9 @@ def contexts(train: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.nda
             order = np.argsort(key)
             return _grouped(key[order], np.concatenate([c[after], c[before]])[order])
 
-        for _, t in slices(batches):
+        for _, t in slices(batches, most=SLICE):
             w = words(t, NOT_SPACE)
-            a, b = _sequence(number[_number(held, w.hash)], w.at, tail + 1)
+            a, b = _sequence(number[_number(held, w.hash)].astype(np.int64), w.at, tail + 1)
             both = (a >= 0) & (b >= 0)
             pair, c = np.unique(a[both] * (tail + 2) + b[both], return_counts=True)
             keys.append(pair)
@@ -328,16 +329,25 @@ def _classes(batch: pa.RecordBatch, kinds: np.ndarray):
     code = near.flatten().to_numpy()
     other = (code & MASK) >> 1
     at = np.repeat(np.arange(len(batch)), np.diff(near.offsets.to_numpy()))
-    return batch.column("g").to_numpy() >> PART_BITS, at, other, kinds[other], (code & 1).astype(bool), code >> SHIFT
+    return batch.column("g").to_numpy() >> PART_BITS, at, other, kinds[other].astype(np.int64), (code & 1).astype(bool), code >> SHIFT
 
 
-def far_rows(pairs: DataFrame, far: DataFrame, held: np.ndarray, kind: np.ndarray, by_class: bool = False) -> DataFrame:
-    """w, k, s, c: the neighbours that words have in far_pairs (number w, class k); with by_class, the class pairs."""
-    shared = pairs.sparkSession.sparkContext.broadcast(np.append(kind, [CLASSES, CLASSES + 1]))
-    tail = len(held)
+def with_classes(pairs: DataFrame | None, far: DataFrame | None) -> DataFrame | None:
+    """far_pairs with the present classes ka, kb of far words, -1 for all others; one table a sweep."""
+    if pairs is None:
+        return None
+    of = [far.select(F.col("w").alias(x), F.col("k").alias(f"k{x}")) for x in "ab"]
+    wide = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return keep(wide.select("a", "b", "c", *[F.coalesce(x, F.lit(-1)).cast("long").alias(x) for x in ("ka", "kb")]), "lm-wide")
+
+
+def far_rows(wide: DataFrame, kind: np.ndarray, by_class: bool = False) -> DataFrame:
+    """w, k, s, c: the neighbours that words have in with_classes (number w, class k); with by_class, the class pairs."""
+    shared = wide.sparkSession.sparkContext.broadcast(_kinds(kind))
+    tail = len(kind)
 
     def joined(batches):
-        kinds = shared.value
+        kinds = shared.value.astype(np.int64)
         out = _Neighbours(by_class)
         for batch in batches:
             a, b, c, ka, kb = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "c", "ka", "kb"))
@@ -346,28 +356,31 @@ def far_rows(pairs: DataFrame, far: DataFrame, held: np.ndarray, kind: np.ndarra
             if out.full() and (batch := out.merged()) is not None:
                 yield batch
         yield from out.rest()
-    of = [far.select(F.col("w").alias(x), F.col("k").alias(f"k{x}")) for x in "ab"]
-    wide = pairs.join(of[0], "a", "left").join(of[1], "b", "left").select("a", "b", "c", *[F.coalesce(x, F.lit(-1)).cast("long").alias(x) for x in ("ka", "kb")])
     return wide.mapInArrow(joined, ROWS)
 
 
-def class_pairs(near: DataFrame, held: np.ndarray, kind: np.ndarray, pairs: DataFrame | None, far: DataFrame | None) -> np.ndarray:
+def _kinds(kind: np.ndarray) -> np.ndarray:
+    """Classes by number, one byte each: held words, the tail, the end."""
+    return np.append(kind, [CLASSES, CLASSES + 1]).astype(np.int8)
+
+
+def class_pairs(near: DataFrame, kind: np.ndarray, wide: DataFrame | None) -> np.ndarray:
     """Class bigrams under the present classes: each task sums its lists to one square."""
-    shared = near.sparkSession.sparkContext.broadcast(np.append(kind, [CLASSES, CLASSES + 1]))
-    tail, m = len(held), CLASSES + 2
+    shared = near.sparkSession.sparkContext.broadcast(_kinds(kind))
+    tail, m = len(kind), CLASSES + 2
 
     def run(batches):
         kinds, total = shared.value, np.zeros(m * m)
         for batch in batches:
             w, at, other, k, before, c = _classes(batch, kinds)
-            own = kinds[w][at]
+            own = kinds[w].astype(np.int64)[at]
             use = ~before | (other >= tail)  # pairs of two clustered words stand in the list of the first
             total += np.bincount(np.where(before, k * m + own, own * m + k)[use], c[use], minlength=m * m)
         got = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(got // m), pa.array(got % m), pa.array(total[got].astype(np.int64))], ["k", "s", "c"])
     rows = near.mapInArrow(run, "k long, s long, c long")
-    if pairs is not None:
-        rows = rows.unionByName(far_rows(pairs, far, held, kind, by_class=True).select("k", "s", "c"))
+    if wide is not None:
+        rows = rows.unionByName(far_rows(wide, kind, by_class=True).select("k", "s", "c"))
     g = np.zeros((m, m))
     for r in rows.groupBy("k", "s").agg(F.sum("c").alias("c")).collect():
         g[r["k"], r["s"]] = r["c"]
@@ -404,32 +417,35 @@ def best(at: np.ndarray, k: np.ndarray, s: np.ndarray, c: np.ndarray, g: np.ndar
     return np.argmax(gain[:, :CLASSES], axis=1)
 
 
-def _goes(w: np.ndarray, k: np.ndarray, held: np.ndarray, sweep: int) -> np.ndarray:
+def _half(h: np.ndarray) -> np.ndarray:
+    """Halves of the words by a bit of their hashes without the last place."""
+    return h >> np.asarray(7, h.dtype) & np.asarray(1, h.dtype) == 1
+
+
+def _goes(k: np.ndarray, half: np.ndarray, sweep: int) -> np.ndarray:
     """In the first sweep the words outside the classes move in; later, one half of the words moves at a time."""
-    if sweep == 0:
-        return k == CLASSES
-    bits = np.where(w < 0, -1 - w, (held[np.maximum(w, 0)] >> np.uint64(1)).astype(np.int64))
-    return (bits >> 7 & 1) == sweep % 2
+    return k == CLASSES if sweep == 0 else half == bool(sweep % 2)
 
 
-def moves(near: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.ndarray, pairs: DataFrame | None, far: DataFrame | None, g: np.ndarray, sweep: int) -> DataFrame:
+def moves(near: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.ndarray, wide: DataFrame | None, g: np.ndarray, sweep: int) -> DataFrame:
     """w, k of words that a sweep may move, and of all far words.
 
     One pass over the lists of contexts without an exchange; only words of several parts, and all if there are far words, are summed by word first."""
-    shared = near.sparkSession.sparkContext.broadcast((held, count >= PART, np.append(kind, [CLASSES, CLASSES + 1]), g))
-    tail, several = len(held), pairs is not None
+    tail, several = len(held), wide is not None
+    half, parted = _half(held >> np.uint64(1)), np.append(count >= PART, [False, False])
+    shared = near.sparkSession.sparkContext.broadcast((half, parted, _kinds(kind), g))
 
     def run(batches):
-        held, parted, kinds, g = shared.value
+        half, parted, kinds, g = shared.value
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 w, at, other, k, before, c = _classes(batch.slice(i, 4096), kinds)
                 word = w < tail
                 go = word.copy()
-                go[word] = _goes(w[word], kinds[w[word]], held, sweep)
+                go[word] = _goes(kinds[w[word]], half[w[word]], sweep)
                 s = np.where(before, IN + k, np.where(other == w[at], OWN, k))
                 dense = np.bincount((at * (OWN + 1) + s)[go[at]], c[go[at]], minlength=len(w) * (OWN + 1)).reshape(len(w), -1)
-                open_ = go & (np.append(parted, [False, False])[w] | several)
+                open_ = go & (parted[w] | several)
                 ready = np.flatnonzero(go & ~open_)
                 if len(ready):
                     j, s = np.nonzero(dense[ready])
@@ -440,7 +456,7 @@ def moves(near: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.ndarray
                     yield _rows(w[j], kinds[w[j]], s, dense[j, s].astype(np.int64))
 
     def rest(batches):
-        held, _, _, g = shared.value
+        halves, _, _, g = shared.value
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
@@ -448,11 +464,13 @@ def moves(near: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.ndarray
                 near = part.column("near")
                 at = np.repeat(np.arange(len(w)), np.diff(near.offsets.to_numpy()))
                 s, c = (near.flatten().field(x).to_numpy().astype(np.int64) for x in ("s", "c"))
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.where(_goes(w, k, held, sweep), best(at, k, s, c, g), k))], ["w", "k"])
+                half = np.zeros(len(w), bool)
+                half[w >= 0], half[w < 0] = halves[w[w >= 0]], _half(-1 - w[w < 0])
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.where(_goes(k, half, sweep), best(at, k, s, c, g), k))], ["w", "k"])
     rows = keep(near.mapInArrow(run, ROWS), "lm-rows")
     sums = rows.filter("s >= 0")
     if several:
-        sums = sums.unionByName(far_rows(pairs, far, held, kind).filter(~F.col("w").isin(tail, tail + 1)))
+        sums = sums.unionByName(far_rows(wide, kind).filter(~F.col("w").isin(tail, tail + 1)))
     sums = sums.groupBy("w", "k", "s").agg(F.sum("c").alias("c")).groupBy("w", "k").agg(F.collect_list(F.struct("s", "c")).alias("near"))  # at most OWN + 1 rows a word
     return keep(rows.filter("s < 0").select("w", "k").unionByName(sums.mapInArrow(rest, "w long, k long")), "lm-moves")
 
@@ -467,18 +485,19 @@ def spread(train: DataFrame, held: np.ndarray, count: np.ndarray, kind: np.ndarr
     near = contexts(train, held, count, kind, far is not None)
     last = None
     for sweep in range(SPREAD):
-        g = class_pairs(near, held, kind, pairs, far)
+        wide = with_classes(pairs, far)
+        g = class_pairs(near, kind, wide)
         if sweep > 1 and _value(g) < _value(last[2]):
             return last
         if sweep > 1 and _value(g) - _value(last[2]) < SPREAD_GAIN * abs(_value(last[2])):
             return kind, far, g
         last = kind, far, g
-        new = moves(near, held, count, kind, pairs, far, g, sweep)
+        new = moves(near, held, count, kind, wide, g, sweep)
         mine = new.filter("w >= 0").toArrow()
         kind = kind.copy()
         kind[mine.column("w").to_numpy()] = mine.column("k").to_numpy()
         far = new.filter("w < 0") if far is not None else None
-    g = class_pairs(near, held, kind, pairs, far)
+    g = class_pairs(near, kind, with_classes(pairs, far))
     return last if SPREAD > 1 and _value(g) < _value(last[2]) else (kind, far, g)
 
 
@@ -527,7 +546,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, int]:
         rare = rare.withColumn("e", F.when(F.col("k").isNotNull(), F.log10(F.col("c") / inner)))
     else:
         rare = rare.select("w", "c", F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("e"))
-    model = Model(held, c, np.where(kind < 0, CLASSES, kind), emission, step, sums["least"], discount, tail_tokens,
+    model = Model(held, c, np.where(kind < 0, CLASSES, kind).astype(np.int8), emission, step, sums["least"], discount, tail_tokens,
                   float(np.log10((discount * tail_types + 1) / (tail_tokens + 1))), sums["tokens"] + texts, sums["types"] + (texts > 0), far is not None)
     return model, rare, texts
 
@@ -540,16 +559,19 @@ def scored(docs: DataFrame, model: Model, rare: DataFrame, texts: int) -> DataFr
     def run(batches):
         m, row = shared.value, TaskContext.get().partitionId() << 40
         last = len(m.step) - 1
-        for batch, t in slices(batches):
+        for batch, t in slices(batches, most=SLICE):
             w = words(t, NOT_SPACE)
             at = _number(m.held, w.hash)
             found = at < len(m.held)
-            kind = np.concatenate([m.kind, [CLASSES]])[at]
+            kind = np.full(len(at), CLASSES)
+            kind[found] = m.kind[at[found]]
+            log, plain = np.zeros(len(at)), np.zeros(len(at))
+            log[found], plain[found] = m.emission[at[found]], np.log10((m.count[at[found]] + 1) / whole)
             of_word = np.repeat(np.arange(len(t)), np.diff(w.at))
-            score = np.bincount(of_word, np.concatenate([m.emission, [0.0]])[at], minlength=len(t))
+            score = np.bincount(of_word, log, minlength=len(t))
             if not m.far:
                 score += _steps(m.step, kind, w.at, last)
-            base = np.bincount(of_word, np.concatenate([np.log10((m.count + 1) / whole), [0.0]])[at], minlength=len(t)) + np.log10((texts + 1) / whole)
+            base = np.bincount(of_word, plain, minlength=len(t)) + np.log10((texts + 1) / whole)
             known = np.bincount(of_word[found], minlength=len(t)) + (texts > 0)
             rest_at = np.concatenate([[0], np.cumsum(~found)])[w.at].astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(rest_at), pa.array(signed(w.hash[~found])))
