@@ -488,6 +488,18 @@ def test_surrogates(spark, none):
     assert rows_of(surrogates.replaced(df), "doc_id", "text") == rows_of(surrogates.replaced(df.repartition(3)), "doc_id", "text")
 
 
+def test_surrogates_of_odd_rows(odd):
+    docs = odd.selectExpr("*", "'n' AS _new", "'s' AS _same", "'r' AS _row", "'a' AS `_found.x`", "7 AS N_PII")
+    docs = docs.unionByName(docs.filter("doc_id = 7").withColumn("text", F.lit("write to ann@mail.example.com")))
+    out = surrogates.replaced(docs)
+    assert out.columns == [c for c in docs.columns if c != "N_PII"] + ["n_pii", "pii_kinds"]
+    got = out.collect()
+    assert len(got) == docs.count() and {(r["_new"], r["_same"], r["_row"], r["_found.x"]) for r in got} == {("n", "s", "r", "a")}
+    changed = [r["text"] for r in got if r["n_pii"]]
+    assert len(changed) == 1 and changed[0].startswith("write to ") and "ann@" not in changed[0]
+    assert sorted(r["text"] or "" for r in got if not r["n_pii"]) == sorted(r["text"] or "" for r in odd.collect())
+
+
 def test_surrogates_stay_distinct_where_they_clash(spark):
     # one octet range of 254 values to the fourth is wide, cards with few free digits aren't: social numbers of one prefix clash often
     df = spark.createDataFrame([("phone", f"+1 {a} {b}") for a in range(10, 30) for b in range(10, 45)], "kind string, value string")

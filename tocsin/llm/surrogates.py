@@ -154,8 +154,10 @@ def _may_hold(text: Column) -> Column:
 
 def replaced(docs: DataFrame, key: str = "corpus") -> DataFrame:
     """All columns of docs with text replaced, plus n_pii and pii_kinds (sorted). Null and empty texts stay as they are with 0; an empty
-    table gives no rows; equal texts get equal results; a column named n_pii or pii_kinds is taken over by the new one."""
+    table gives no rows; equal texts get equal results; a column named n_pii or pii_kinds is taken over by the new one; all other columns travel in
+one struct, so that no name clashes."""
     names = [c for c in docs.columns if c.lower() not in ("n_pii", "pii_kinds")]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
     may = F.coalesce(_may_hold(F.col("text")), F.lit(False))
     found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     texts = docs.filter(may).groupBy(F.md5("text").alias("_same")).agg(F.first("text").alias("_text")).withColumn("text", F.col("_text"))
@@ -165,13 +167,12 @@ def replaced(docs: DataFrame, key: str = "corpus") -> DataFrame:
     maps = mentions.join(drawn, ["kind", "value"]).groupBy("_same").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "surrogate"))), lambda x: x["surrogate"]).alias("_new"), F.array_sort(F.collect_set("kind")).alias("_kinds"))
     # texts without an entity are told apart by the join alone, so the patterns run once to find and once to cut
-    hit = docs.filter(may).select(*[F.col(f"`{c}`") for c in names]).withColumn("_same", F.md5("text")).join(maps, "_same", "left")
+    hit = docs.filter(may).withColumn("_same", F.md5("text")).join(maps, "_same", "left")
     parts = F.split("text", PATTERN, -1)
     new = F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size("_new")), F.col("_new"), lambda a, b: F.concat(a, b)), ""), F.element_at(parts, -1))
     text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(new)
     none = F.array().cast("array<string>")
-    hit = hit.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
-                     F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_pii"), F.coalesce("_kinds", none).alias("pii_kinds"))
+    hit = hit.select("_row", text.alias("text"), F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_pii"), F.coalesce("_kinds", none).alias("pii_kinds"))
     hit = hit.withColumn("n_pii", F.greatest("n_pii", F.lit(0).cast("long")))
-    clean = docs.filter(~may).select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias("n_pii"), none.alias("pii_kinds"))
-    return hit.unionByName(clean)
+    clean = docs.filter(~may).select("_row", "text", F.lit(0).cast("long").alias("n_pii"), none.alias("pii_kinds"))
+    return hit.unionByName(clean).select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in names], "n_pii", "pii_kinds")
