@@ -1,9 +1,11 @@
 """Queries on ingestion, merging, aggregation, set operations and text."""
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from tocsin.functions import scoring as S, text as X
 from tocsin.operators import windows
-from tocsin.operators.lineage import stable
+from tocsin.operators.lineage import shared_folder, stable
 from tocsin.plans import bindings as B
 from tocsin.plans.bindings import with_ctes
 from tocsin.plans.registry import query
@@ -43,28 +45,46 @@ def event_root_counts(spark, sf):
     return feeds.root_counts(e)
 
 
-WIDE = ("we", "SELECT l_shipdate::DATE AS day, s_nationkey AS country, c_nationkey AS actor1, s_nationkey AS actor2, l_linenumber AS quad, l_quantity AS tone FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey")
+CODES = ["138", "1383", "152", "154", "161", "172", "190"]
+WIDE = ("we", """SELECT l_shipdate::DATE AS day, s_nationkey AS country, c_nationkey AS actor1, s_nationkey AS actor2, l_linenumber AS quad, l_quantity::DOUBLE AS gold, l_returnflag = 'R' AS armed,
+  CASE l_linenumber WHEN 1 THEN '138' WHEN 2 THEN '1383' WHEN 3 THEN '152' WHEN 4 THEN '154' WHEN 5 THEN '161' WHEN 6 THEN '172' ELSE '190' END AS code
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey""")
+BY_PLACE = {"loc_all": "true", "loc_q3": "quad = 3", "loc_q4": "quad = 4", "loc_mil138": "code LIKE '138%'", "loc_mob": "code IN ('152', '153', '154')", "loc_coerce": "code[1:2] IN ('16', '17')"}
+BY_PAIR = {"dy_all": "true", "dy_q34": "quad IN (3, 4)", "dy_force": "code LIKE '138%' OR code[1:2] IN ('15', '17')"}
 
 
-def _side(side, theatre, source):
-    return (f"SELECT {theatre} AS theatre, day, count(*) AS {side}_all, count(*) FILTER (WHERE quad = 3) AS {side}_q3, "
-            f"count(*) FILTER (WHERE quad = 4) AS {side}_q4, sum(tone) AS {side}_tone FROM {source} GROUP BY 1, 2")
+def _side(counts, gold, theatre, source):
+    return f"SELECT {theatre} AS theatre, day, sum(gold) AS {gold}, " + ", ".join(f"count(*) FILTER (WHERE {rule}) AS {name}" for name, rule in counts.items()) + f" FROM {source} GROUP BY 1, 2"
 
 
 @query("location_and_dyad_sums", with_ctes(["nat"], "SELECT coalesce(l.theatre, d.theatre) AS theatre, coalesce(l.day, d.day) AS day, " + ", ".join(
-    f"coalesce({s}_{c}, 0) AS {s}_{c}" for s in ("loc", "dyad") for c in ("all", "q3", "q4", "tone")) + f""" FROM
-   ({_side('loc', 'region', 'we JOIN nat ON nation = country')}) l FULL JOIN
-   ({_side('dyad', 'least(actor1, actor2) % 5', 'we WHERE abs(actor1 - actor2) = 1')}) d ON l.theatre = d.theatre AND l.day = d.day""", [WIDE]))
+    f"coalesce({c}, 0) AS {c}" for c in (*BY_PLACE, "loc_gold", *BY_PAIR, "dy_gold")) + f""" FROM
+   ({_side(BY_PLACE, 'loc_gold', 'region', 'we JOIN nat ON nation = country')}) l FULL JOIN
+   ({_side(BY_PAIR, 'dy_gold', 'least(actor1, actor2) % 5', 'we WHERE abs(actor1 - actor2) = 1 AND (armed OR least(actor1, actor2) % 2 = 0)')}) d ON l.theatre = d.theatre AND l.day = d.day""", [WIDE]))
 def location_and_dyad_sums(spark, sf):
     l = T(spark, sf, "lineitem").join(T(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(T(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    l = l.join(T(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.to_date("l_shipdate").alias("day"), F.col("s_nationkey").alias("country"),
-                                                                                          F.col("c_nationkey").alias("actor1"), F.col("s_nationkey").alias("actor2"), F.col("l_linenumber").alias("quad"), F.col("l_quantity").alias("tone"))
+    l = l.join(T(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.to_date("l_shipdate").alias("day"), F.col("s_nationkey").alias("country"), F.col("c_nationkey").alias("actor1"), F.col("s_nationkey").alias("actor2"), F.col("l_linenumber").alias("quad"),
+        F.col("l_quantity").cast("double").alias("gold"), (F.col("l_returnflag") == "R").alias("armed"), F.element_at(F.array(*[F.lit(c) for c in CODES]), F.col("l_linenumber").cast("int")).alias("code"))
     n = B.nations(spark, sf)
     places = n.select(F.col("nation").alias("country"), F.col("region").alias("theatre"))
-    dyads = n.where("nation < 24").select(F.col("nation").alias("a"), (F.col("nation") + 1).alias("b"), (F.col("nation") % 5).alias("theatre"))
+    dyads = n.where("nation < 24").select(F.col("nation").alias("a"), (F.col("nation") + 1).alias("b"), (F.col("nation") % 5).alias("theatre"), (F.col("nation") % 2 == 1).alias("armed_only"))
     return feeds.theatre_sums(l, places, dyads)
 
 
+@query("root_history_scan", with_ctes([], """
+  WITH e AS (SELECT c_nationkey::VARCHAR AS country, o_orderdate::DATE AS day, o_orderpriority AS root FROM orders JOIN customer ON o_custkey = c_custkey),
+  every AS (SELECT country, root, day, count(*)::DOUBLE AS n FROM (SELECT country, day, root FROM e UNION ALL SELECT country, day, 'all' FROM e) GROUP BY 1, 2, 3)
+  SELECT country, root, day, CASE WHEN day < DATE '1997-01-01' THEN n ELSE n + 1000 END AS n FROM every"""))
+def root_history_scan(spark, sf):
+    """Counts up to 1996 are written as a compressed history and read back; live counts (told apart by 1000 more) follow its last day."""
+    e = B.order_facts(spark, sf).select(F.col("nation").cast("string").alias("country"), "day", F.col("o_orderpriority").alias("root"))
+    every = feeds.root_counts(e).withColumn("n", F.col("n").cast("double"))
+    path = shared_folder(spark, f"root-history-{uuid.uuid4().hex}")
+    feeds.write_root_history(every.where("day < '1997-01-01'"), path)
+    return feeds.history_then_live(feeds.read_root_history(spark, path), every.withColumn("n", F.col("n") + 1000))
+
+
 @query("jsonstat_cube_decode", with_ctes([], """
   SELECT nation, priority, status, count(*)::DOUBLE AS value FROM (SELECT c_nationkey AS nation, (substr(o_orderpriority, 1, 1)::INT - 1) AS priority, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS status
     FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1, 2, 3"""))

@@ -15,23 +15,51 @@ def root_counts(events: DataFrame, keys=("day", "country")) -> DataFrame:
     return e.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_root_history(spark: SparkSession, path: str) -> DataFrame:
+    """Compressed history without a header: day, country, root, n. Lines whose day or count can't be read are left out."""
+    raw = spark.read.schema("day STRING, country STRING, root STRING, n STRING").csv(path)
+    typed = raw.select("country", "root", F.col("day").try_cast("date").alias("day"), F.col("n").try_cast("double").alias("n"))
+    return typed.filter("day IS NOT NULL AND n IS NOT NULL")
+
+
+def write_root_history(counts: DataFrame, path: str) -> None:
+    counts.select(F.date_format("day", "yyyy-MM-dd"), "country", "root", "n").write.mode("overwrite").option("compression", "gzip").csv(path)
+
+
+def history_then_live(history: DataFrame, live: DataFrame) -> DataFrame:
+    """History, then the live rows of days after the last one it holds (all of them if it is empty)."""
+    last = history.agg(F.max("day")).scalar()
+    later = live.filter(last.isNull() | (F.col("day") > last))
+    columns = ["country", "root", "day", "n"]
+    return history.select(*columns).unionByName(later.select(*columns))
+
+
 def theatre_sums(events: DataFrame, places: DataFrame, dyads: DataFrame) -> DataFrame:
-    """Conditional sums per theatre by where the event was and, separately, by who the two actors were: events, those of quad class 3 and
-    4, and tone.
+    """Eleven sums per theatre and day, by where the event was (loc_) and by who the two actors were (dy_).
 
-    places: (country, theatre); dyads: (a, b, theatre), unordered and stored with a <= b. The events are reduced once to (day, country, actors,
-    quad), and both sides read that.
+    events: day, country, actor1, actor2, code, quad, gold (null: 0), armed (one of the actors is); the root is the start of the code.
+    places: (country, theatre). dyads: (a, b, theatre, armed_only), a <= b; armed_only pairs count armed events only. Both are small tables of the
+    catalogue; an event goes to each of its theatres in one expand, and one aggregation sums both sides. Null actors match no pair.
     """
-    each = events.groupBy("day", "country", F.least("actor1", "actor2").alias("a"), F.greatest("actor1", "actor2").alias("b"), "quad").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("tone").alias("tone"))
-
-    def sums(joined, side):
-        n = F.col("n")
-        return joined.groupBy("theatre", "day").agg(
-            F.sum(n).alias(f"{side}_all"), F.sum(F.when(F.col("quad") == 3, n).otherwise(0)).alias(f"{side}_q3"),
-            F.sum(F.when(F.col("quad") == 4, n).otherwise(0)).alias(f"{side}_q4"), F.sum("tone").alias(f"{side}_tone"))
-    loc, dy = sums(each.join(places, "country"), "loc"), sums(each.join(dyads, ["a", "b"]), "dyad")
-    return loc.join(dy, ["theatre", "day"], "full").na.fill(0)
+    at = places.groupBy("country").agg(F.collect_set("theatre").alias("_at"))
+    by = dyads.groupBy("a", "b").agg(F.collect_set(F.struct("theatre", "armed_only")).alias("_by"))
+    both = F.col("actor1").isNotNull() & F.col("actor2").isNotNull()
+    e = events.withColumn("a", F.when(both, F.least("actor1", "actor2"))).withColumn("b", F.when(both, F.greatest("actor1", "actor2")))
+    e = e.join(at, "country", "left").join(by, ["a", "b"], "left")
+    here = F.transform("_at", lambda t: F.struct(t.alias("theatre"), F.lit(True).alias("here")))
+    between = F.filter("_by", lambda d: ~d["armed_only"] | F.coalesce(F.col("armed"), F.lit(False)))
+    between = F.transform(F.array_distinct(F.transform(between, lambda d: d["theatre"])), lambda t: F.struct(t.alias("theatre"), F.lit(False).alias("here")))
+    e = e.select("day", "code", "quad", F.coalesce("gold", F.lit(0.0)).alias("gold"), F.inline(F.flatten(F.array_compact(F.array(here, between)))))
+    root = F.substring("code", 1, 2)
+    forces = F.startswith("code", F.lit("138"))
+    n = lambda side, rule: F.count(F.when(side & rule, 1))
+    loc, dy, any_ = F.col("here"), ~F.col("here"), F.lit(True)
+    return e.groupBy("theatre", "day").agg(
+        n(loc, any_).alias("loc_all"), n(loc, F.col("quad") == 3).alias("loc_q3"), n(loc, F.col("quad") == 4).alias("loc_q4"),
+        F.sum(F.when(loc, F.col("gold")).otherwise(0.0)).alias("loc_gold"), n(loc, forces).alias("loc_mil138"),
+        n(loc, F.col("code").isin("152", "153", "154")).alias("loc_mob"), n(loc, root.isin("16", "17")).alias("loc_coerce"),
+        n(dy, any_).alias("dy_all"), n(dy, F.col("quad").isin(3, 4)).alias("dy_q34"), F.sum(F.when(dy, F.col("gold")).otherwise(0.0)).alias("dy_gold"),
+        n(dy, forces | root.isin("15", "17")).alias("dy_force"))
 
 
 def jsonstat(cubes: DataFrame, cube="cube") -> DataFrame:
