@@ -28,6 +28,7 @@ WORDS, PERCENT = 5, 75
 KEYS = 8                  # pairs of least re-hashed shingles of the easy rounds
 EASY_ROUNDS = 2           # of them; more only save work later
 COLUMN_ROUNDS = 1         # of the same kind over prefix columns
+SLICE = 1 << 20           # bytes of text whose words are held at a time in a task; a longer text stands alone
 PARITY_BITS = 2048        # places of the parity bound, in longs of 64
 FOLDED = [f"f{k}" for k in range(8)]  # the same bound on 512 places, carried by the cells of the product
 PART = 8                  # frequent shingles are looked for in one of so many texts
@@ -62,7 +63,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def frequent(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of shingles that stand in many texts, from one of PART texts."""
     def run(batches):
-        for _, t in slices(batches):
+        for _, t in slices(batches, most=SLICE):
             found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(t)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n.astype(np.int64))], ["s", "n"])
     part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == 0).select("text").mapInArrow(run, "s long, n long")
@@ -80,7 +81,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     salts = mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64))
 
     def run(batches):
-        for batch, t in slices(batches):
+        for batch, t in slices(batches, most=SLICE):
             found = _sets(t)
             keys, bits = [], []
             for s in found:
@@ -101,7 +102,7 @@ def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
 
     def run(batches):
         often = shared.value
-        for batch, t in slices(batches):
+        for batch, t in slices(batches, most=SLICE):
             found = _sets(t)
             first = []
             for s in found:
@@ -140,7 +141,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted, ids = Filter(nodes.select("node"), count), Filter(nodes.select(F.xxhash64("least").alias("i")), count)
 
     def run(batches):
-        for batch, t in slices(batches):
+        for batch, t in slices(batches, most=SLICE):
             may = ids.may_hold(batch.column(1).to_numpy())
             found = _sets(t, may)
             node = np.array([_identity(s) for s in found], np.uint64).view(np.int64)
@@ -220,22 +221,36 @@ def _labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
     return cells.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def product_pairs(cells: DataFrame) -> DataFrame:
+def _may_link() -> Column:
+    """Whether one common shingle at its places in both prefixes leaves a link possible: it has at most min(i, j) common ones before it and the
+    shorter rest from it on."""
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return (F.col("label_a") != F.col("label_b")) & _near(F.col("n_a"), F.col("n_b")) & (
+        (100 + PERCENT) * (F.least("at_a", "at_b") + rest) >= PERCENT * (F.col("n_a") + F.col("n_b")))
+
+
+def product_pairs(cells: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of nodes of different labels that the product of the cells leaves possible.
 
-    A common shingle at places i and j leaves room for at most min(i, j) common ones before it and for the shorter rest from it on; the count over
-    all common ones of both prefixes plus the rest after the last is the second bound. The folded parities bound each pair before it is made."""
-    a = cells.select("s", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "at", *FOLDED)])
-    b = cells.select("s", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "at", *FOLDED)])
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    need = PERCENT * (F.col("n_a") + F.col("n_b"))
+    Columns of two cells, which are most, are one pair each and need no join. In the others the parities, folded to fewer places, bound each pair
+    before it is made. Over both, the count of common ones of two prefixes plus the rest after the last is a last bound."""
+    own = ("node", "label", "n", "at")
+    size = cells.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*own)).alias("_a"), F.max(F.struct(*own)).alias("_b"))
+    two = size.filter("m = 2").select(*[F.col(f"_a.{c}").alias(f"{c}_a") for c in own], *[F.col(f"_b.{c}").alias(f"{c}_b") for c in own]).filter(_may_link())
+    wide = keep(cells.join(cells.groupBy("s").count().filter("count > 2").select("s"), "s", "left_semi"), "near-wide")
+    longs = len(FOLDED)
+    fold = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("bits", F.lit(k + longs * j)) for j in range(PARITY_BITS // 64 // longs)]).alias(f) for k, f in enumerate(FOLDED)]
+    wide = wide.join(classes.select("node", *fold), "node")
+    a = wide.select("s", *[F.col(c).alias(f"{c}_a") for c in (*own, *FOLDED)])
+    b = wide.select("s", *[F.col(c).alias(f"{c}_b") for c in (*own, *FOLDED)])
     differ = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in FOLDED), F.lit(0))
-    met = a.join(b, "s").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _near(F.col("n_a"), F.col("n_b"))
-                                & ((100 + PERCENT) * (F.least("at_a", "at_b") + rest) >= need)
-                                & ((100 + PERCENT) * (F.col("n_a") + F.col("n_b") - differ) >= 2 * need))
-    pairs = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"),
-                                                 F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return pairs.filter((100 + PERCENT) * (F.col("c") + rest - 1) >= need).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    met = a.join(b, "s").filter((F.col("node_a") < F.col("node_b")) & _may_link()
+                                & ((100 + PERCENT) * (F.col("n_a") + F.col("n_b") - differ) >= 2 * PERCENT * (F.col("n_a") + F.col("n_b"))))
+    pairs = met.select(two.columns).union(two).groupBy("node_a", "node_b").agg(
+        F.count(F.lit(1)).alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return pairs.filter((100 + PERCENT) * (F.col("c") + rest - 1) >= PERCENT * (F.col("n_a") + F.col("n_b"))).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def other_links(docs: DataFrame, columns: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -252,10 +267,7 @@ def other_links(docs: DataFrame, columns: DataFrame, classes: DataFrame, links:
         cells = keep(_labelled(cells, components(links)), "near-cells")
         several = cells.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("s")
         cells = keep(cells.join(several, "s", "left_semi"), "near-cells")
-    words = len(FOLDED)
-    fold = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("bits", F.lit(k + words * j)) for j in range(PARITY_BITS // 64 // words)]).alias(f) for k, f in enumerate(FOLDED)]
-    cells = cells.join(classes.select("node", *fold), "node")
-    return keep(links.union(checked(product_pairs(cells))), "near-links")
+    return keep(links.union(checked(product_pairs(cells, classes))), "near-links")
 
 
 def near(docs: DataFrame) -> DataFrame:
