@@ -53,3 +53,11 @@ def test_theatre_sums(spark):
     assert pick("t1", "loc_all", "loc_q3", "loc_q4", "loc_gold", "loc_mil138", "loc_mob", "loc_coerce", "dy_all", "dy_gold") == (3, 1, 1, -1.0, 1, 1, 1, 0, 0.0)
     assert pick("t2", "loc_all", "dy_all", "dy_q34", "dy_gold", "dy_force") == (2, 1, 1, 0.0, 1)
     assert pick("t3", "loc_all", "dy_all", "dy_q34", "dy_gold", "dy_force") == (0, 1, 1, 5.0, 0)
+
+
+def test_failing_sources(spark):
+    rows = [(1, "wire: timed  out"), (2, "wire b: timed out."), (3, "wire: Refused (404)"), (4, None), (5, "odd: "), (6, "no name"), (7, "no name"), (8, "lost")]
+    df = spark.createDataFrame(rows, "at long, text string")
+    out = {(r.source, r.why, r.first, r.n_reports) for r in feeds.failing_sources(df, {"wire b": "wire"}).collect()}
+    assert out == {("wire", "Timed out. Refused (404)", 1, 3), ("", "No name.", 6, 2), ("", "Lost.", 8, 1)}
+    assert feeds.failing_sources(df.limit(0)).count() == 0

@@ -231,6 +231,14 @@ def missing_days_plan(spark, sf):
     return series.missing_days(have, B.nations(spark, sf).select(F.col("nation").alias("series_id")), B.bounds(spark, sf))
 
 
+@query("newest_missing_days", with_ctes(["facts", "bounds", "cal"], """
+  SELECT c.day, count(DISTINCT f.nation) AS have, 25 AS want FROM cal c LEFT JOIN facts f USING (day) GROUP BY 1 HAVING count(DISTINCT f.nation) < 25 ORDER BY c.day DESC LIMIT 30"""))
+def newest_missing_days(spark, sf):
+    """What one run fetches: the 30 latest days that any nation lacks."""
+    have = B.order_facts(spark, sf).select(F.col("nation").alias("series_id"), "day")
+    return series.missing_days(have, B.nations(spark, sf).select(F.col("nation").alias("series_id")), B.bounds(spark, sf), newest=30)
+
+
 @query("change_log_daily_counts", with_ctes(["daily"], "SELECT day, sum(urgent)::BIGINT AS n FROM daily GROUP BY 1"))
 def change_log_daily_counts(spark, sf):
     """Zero-filled daily counts of dated changes."""
@@ -408,6 +416,21 @@ def source_health(spark, sf):
     return T(spark, sf, "events").groupBy(st.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("sources"), F.to_date(F.max("ts")).alias("newest"))
 
 
+@query("failing_sources", with_ctes([], r"""
+  SELECT source, string_agg(why, ' ' ORDER BY first, why) AS why, min(first) AS first, sum(n)::BIGINT AS n_reports FROM (
+    SELECT source, why, min(t) AS first, count(*) AS n FROM (
+      SELECT event_id AS t, CASE WHEN event_id % 11 = 0 THEN '' WHEN user_id % 50 IN (3, 48, 49) THEN 'feed 3' ELSE 'feed ' || (user_id % 50) END AS source,
+             'Answered ' || (400 + event_id % 7) || CASE WHEN event_id % 7 = 6 THEN '!' ELSE '.' END AS why
+      FROM events WHERE event_type = 'error' AND event_id % 13 <> 0) GROUP BY 1, 2) GROUP BY source, CASE WHEN source = '' THEN why END"""))
+def failing_sources(spark, sf):
+    """Problems of a run merged by source; two feeds are other names of a third, some texts name none, some are null."""
+    e = T(spark, sf, "events").where(F.col("event_type") == "error")
+    said = F.concat(F.lit("answered   "), (400 + F.col("event_id") % 7).cast("string"), F.when(F.col("event_id") % 7 == 6, "!").otherwise("\n"))
+    text = F.when(F.col("event_id") % 11 == 0, said).otherwise(F.concat(F.lit("feed "), (F.col("user_id") % 50).cast("string"), F.lit(": "), said))
+    errors = e.select(F.col("event_id").alias("at"), F.when(F.col("event_id") % 13 != 0, text).alias("text"))
+    return feeds.failing_sources(errors, {"feed 48": "feed 3", "feed 49": "feed 3"})
+
+
 # ------------------------------------------------------------------ filters, set operations, feeds
 @query("address_block_lookup", with_ctes([], "SELECT user_id, event_id, CASE WHEN event_id * 131 % 65536 BETWEEN 4096 AND 16383 THEN 'AA' WHEN event_id * 131 % 65536 BETWEEN 16384 AND 40959 THEN 'BB' END AS country FROM events"))
 def address_block_lookup(spark, sf):

@@ -170,3 +170,22 @@ def notices(feeds: list) -> DataFrame:
         u = part if u is None else u.unionByName(part)
     best = u.groupBy("day").agg(F.min("priority").alias("priority"))
     return u.join(best, ["day", "priority"])
+
+
+def failing_sources(errors: DataFrame, same: dict[str, str] | None = None) -> DataFrame:
+    """Reported problems (at, text = "source: reason") as one row a source: source, why, first, n_reports.
+
+    Names in `same` count as the source they map to. Reasons become sentences with single spaces; equal ones are said once, in the order in
+    which they first came. A text without a source has the source '' and a row of its own for each reason; null and empty reasons are left out."""
+    cut = F.instr("text", ": ")
+    name = F.when(cut > 0, F.trim(F.substring("text", F.lit(1), cut - 1))).otherwise("")
+    said = F.trim(F.regexp_replace(F.when(cut > 0, F.substring("text", cut + 2, F.length("text"))).otherwise(F.col("text")), r"\s+", " "))
+    for old, new in (same or {}).items():
+        name = F.when(name == old, new).otherwise(name)
+    whole = F.concat(F.upper(F.substring("_said", 1, 1)), F.substring("_said", F.lit(2), F.length("_said")), F.when(F.col("_said").rlike("[.!?)]$"), "").otherwise("."))
+    rows = errors.select("at", name.alias("source"), said.alias("_said")).where(F.col("_said") != "").withColumn("why", whole)
+    once = rows.groupBy("source", "why").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n_reports"))
+    alone = F.when(F.col("source") == "", F.col("why"))
+    out = once.groupBy("source", alone.alias("_alone")).agg(F.sort_array(F.collect_list(F.struct("first", "why"))).alias("_why"), F.min("first").alias("first"),
+                                                            F.sum("n_reports").alias("n_reports"))
+    return out.select("source", F.array_join("_why.why", " ").alias("why"), "first", "n_reports")

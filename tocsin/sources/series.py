@@ -80,13 +80,14 @@ def restate(stored: DataFrame, recount: DataFrame, today, days, keys) -> DataFra
     return stored.where(F.col("day") < cut).unionByName(recount.where(F.col("day") >= cut))
 
 
-def missing_days(have: DataFrame, watched: DataFrame, bounds: DataFrame, key="series_id") -> DataFrame:
-    """Days on which any watched key lacks a row, newest first: (day, have, want)."""
+def missing_days(have: DataFrame, watched: DataFrame, bounds: DataFrame, key="series_id", newest=None) -> DataFrame:
+    """Days on which any watched key lacks a row: (day, have, want); with `newest`, the plan of one run, so many of the latest such days."""
     want = watched.agg(F.count_distinct(key).alias("n")).scalar()
     cal = bounds.select(F.explode(F.sequence("lo", "hi")).alias("day"))
     n = have.join(watched.select(key).distinct(), key, "left_semi").groupBy("day").agg(F.count_distinct(key).alias("have"))
     d = cal.join(n, "day", "left").withColumn("have", F.coalesce("have", F.lit(0))).withColumn("want", want)
-    return d.where(F.col("have") < F.col("want"))
+    d = d.where(F.col("have") < F.col("want"))
+    return d if newest is None else d.orderBy(F.desc("day")).limit(newest)
 
 
 def all_or_nothing(members: DataFrame, keys) -> DataFrame:
