@@ -146,3 +146,14 @@ def test_heading_by_great_circle(spark):
     d = spark.createDataFrame([(1, 0.0, 0.0, 90.0), (2, 0.0, 0.0, 0.0), (3, 0.0, 9.9, 90.0)], "k int, lat double, lon double, track double")
     got = {r.k: r.base for r in G.heading_base(d, [("e", 0.0, 10.0), ("far", 0.0, 20.0), ("n", 40.0, 0.0)]).collect()}
     assert got == {1: "e", 2: None, 3: "far"}  # 40 degrees north is 2,400 miles; 0.1 degrees are 6
+
+
+def test_boxes_by_priority_and_quality(spark):
+    boxes = [("b", 2, 0.0, 2.0, 0.0, 2.0), ("a", 1, 1.0, 3.0, 1.0, 3.0)]
+    df = spark.createDataFrame([(1, 1.5, 1.5, 4.0, True), (1, 1.5, 1.5, 4.0, True), (2, 0.5, 0.5, 2.0, False), (3, 9.0, 9.0, 1.0, True), (4, None, 1.0, 1.0, True), (5, 2.0, 2.0, 8.0, None)],
+                               "k long, lat double, lon double, value double, good boolean")
+    assert sorted((r.k, r.box) for r in G.first_box(df, boxes).collect() if r.box) == [(1, "a"), (1, "a"), (2, "b"), (5, "a")]
+    assert G.first_box(df, boxes).count() == 6 and G.first_box(df, []).where("box is null").count() == 6
+    sides = spark.createDataFrame(boxes, "box string, priority int, lat_min double, lat_max double, lon_min double, lon_max double")
+    got = {r.box: (r.n, r.good_mean, round(r.good_share, 4)) for r in G.box_quality(df.selectExpr("*", "date'2020-01-01' day"), sides, df.good).collect()}
+    assert got == {"a": (3, 4.0, 0.6667), "b": (4, 4.0, 0.5)}

@@ -1,7 +1,7 @@
 """Spatial joins on grids, heat-detection classing against an archive, scene scoring and site states."""
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tocsin.functions import geo, scoring as S
 
@@ -11,10 +11,17 @@ def in_boxes(points: DataFrame, boxes: DataFrame, lat="lat", lon="lon") -> DataF
     return points.join(boxes, F.col(lat).between(F.col("lat_min"), F.col("lat_max")) & F.col(lon).between(F.col("lon_min"), F.col("lon_max")))
 
 
-def first_box(points: DataFrame, boxes: DataFrame, key) -> DataFrame:
-    """The first matching box by priority, NULL when none."""
-    hit = in_boxes(points, boxes).groupBy(key).agg(F.min_by("box", "priority").alias("box"))
-    return points.join(hit, key, "left")
+def first_box(points: DataFrame, boxes: list[tuple], lat="lat", lon="lon") -> DataFrame:
+    """The first matching box by priority, NULL when none. boxes: (box, priority, lat_min, lat_max, lon_min, lon_max), a fixed list, so it is one
+    expression on each row: no join, no shuffle, and rows that repeat stay as they are."""
+    inside = [F.when(geo.in_box(F.col(lat), F.col(lon), *bounds), box) for box, _, *bounds in sorted(boxes, key=lambda b: b[1])]
+    return points.withColumn("box", F.coalesce(*inside, F.lit(None).cast("string")))
+
+
+def box_quality(cells: DataFrame, boxes: DataFrame, good: Column, value="value") -> DataFrame:
+    """Per box and day: n cells, the mean of the good ones (NULL without any) and their share. Cells in several boxes count in each."""
+    g = in_boxes(cells.withColumn("_good", F.coalesce(good, F.lit(False))), boxes).groupBy("box", "day")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("_good"), F.col(value))).alias("good_mean"), F.avg(F.col("_good").cast("int")).alias("good_share"))
 
 
 def neighbours(df: DataFrame, size, radius_km, lat="lat", lon="lon") -> DataFrame:

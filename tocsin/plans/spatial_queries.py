@@ -51,7 +51,15 @@ def points_in_boxes(spark, sf):
 @query("first_matching_box", with_ctes([], """
   SELECT det_id, arg_min(box, priority) AS box FROM det LEFT JOIN boxes ON lat BETWEEN la0 AND la1 AND lon BETWEEN lo0 AND lo1 GROUP BY 1""", [DET, BOX]))
 def first_matching_box(spark, sf):
-    return G.first_box(detections(spark, sf), boxes(spark), "det_id").select("det_id", "box")
+    return G.first_box(detections(spark, sf), BOXES).select("det_id", "box")
+
+
+@query("box_day_quality", with_ctes([], """
+  SELECT box, day, count(*) AS n, round(avg(frp) FILTER (WHERE type < 18), 6) AS good_mean, round(avg((type < 18)::INT), 6) AS good_share
+  FROM det JOIN boxes ON lat BETWEEN la0 AND la1 AND lon BETWEEN lo0 AND lo1 GROUP BY 1, 2""", [DET, BOX]))
+def box_day_quality(spark, sf):
+    """Mean and share of the cells with a good flag, by place box and day."""
+    return G.box_quality(detections(spark, sf), boxes(spark), F.col("type") < 18, "frp").select("box", "day", "n", *rnd("good_mean", "good_share"))
 
 
 @query("nearest_site", with_ctes([], f"""
