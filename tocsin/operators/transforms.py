@@ -57,6 +57,11 @@ def drop_newest(points: DataFrame, keys, n) -> DataFrame:
     return points.withColumn("_rn", rn).where(F.col("_rn") > n).drop("_rn")
 
 
+def drop_partial_day(points: DataFrame, now) -> DataFrame:
+    """Leave out the day of `now` (a timestamp column or literal), which is not over, and any later one; days are those of the session's time zone."""
+    return points.where(F.col("day") < F.to_date(now))
+
+
 def newest(points: DataFrame, keys, n) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("day")))
     return points.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")

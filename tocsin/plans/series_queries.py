@@ -539,6 +539,15 @@ def without_newest_points(spark, sf):
     return transforms.drop_newest(B.raw_points(spark, sf), ["nation"], 2).select("nation", "day", *rnd("value"))
 
 
+@query("complete_event_days", with_ctes([], """
+  SELECT user_id, ts::DATE AS day, count(*) AS n FROM events WHERE ts::DATE < (SELECT max(ts)::DATE FROM events) GROUP BY 1, 2"""))
+def complete_event_days(spark, sf):
+    """Events per user and day without the day of the newest event, which is not over."""
+    e = B.table(spark, sf, "events")
+    days = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return transforms.drop_partial_day(days, e.agg(F.max("ts")).scalar())
+
+
 @query("newest_points", with_ctes(["raw_points"], """
   SELECT nation, day, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY day DESC) AS rn FROM raw_points) WHERE rn <= 30"""))
 def newest_points(spark, sf):
