@@ -157,3 +157,14 @@ def test_boxes_by_priority_and_quality(spark):
     sides = spark.createDataFrame(boxes, "box string, priority int, lat_min double, lat_max double, lon_min double, lon_max double")
     got = {r.box: (r.n, r.good_mean, round(r.good_share, 4)) for r in G.box_quality(df.selectExpr("*", "date'2020-01-01' day"), sides, df.good).collect()}
     assert got == {"a": (3, 4.0, 0.6667), "b": (4, 4.0, 0.5)}
+
+
+def test_copies_for_neighbouring_cells_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(i, 30 + i / 1000, 40.0, "p", dt.date(2024, 1, 1)) for i in range(40)], "k int, lat double, lon double, pass_id string, day date").write.parquet(str(tmp_path / "p"))
+    pts = spark.read.parquet(str(tmp_path / "p"))   # files have a small planned size
+    listed, sites = pts.where("k < 3").select("lat", "lon", "day"), pts.select(F.col("k").alias("site_id"), "lat", "lon")
+    for df in (G.same_pass_counts(pts, "k"), G.near_listed(pts, listed, "k"), G.nearest(pts, sites, "k", 2.0, 0.05)):
+        joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line and "_ci" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+    got = {r.k: r.near_n for r in G.same_pass_counts(pts, "k").collect()}
+    assert got == {i: sum(km((30 + i / 1000, 40.0), (30 + j / 1000, 40.0)) <= 2 for j in range(40)) for i in range(40)}

@@ -27,14 +27,15 @@ def box_quality(cells: DataFrame, boxes: DataFrame, good: Column, value="value")
 def neighbours(df: DataFrame, size, radius_km, lat="lat", lon="lon") -> DataFrame:
     """Each row copied to every grid cell that its radius can reach, as join keys _ci, _cj.
 
-    Degrees of longitude shrink with the cosine of the latitude, taken at the poleward edge of the reach; cells close round the globe."""
+    Degrees of longitude shrink with the cosine of the latitude, taken at the poleward edge of the reach; cells close round the globe.
+    The planner's size of the result leaves out the copies, so it is never broadcast: the hint asks for a sort-merge join."""
     ring = round(360 / size)
     edge = F.abs(F.col(lat)) + radius_km / geo.KM_PER_DEGREE
     wide = F.when(edge >= 89.9, ring).otherwise(F.ceil(radius_km / (geo.KM_PER_DEGREE * size * F.cos(F.radians(edge)))))
     reach = F.least(wide, F.lit((ring - 1) // 2)).cast("int")
     up = math.ceil(radius_km / (geo.KM_PER_DEGREE * size))
     return (df.withColumn("_a", F.explode(F.sequence(F.lit(-up), F.lit(up)))).withColumn("_b", F.explode(F.sequence(-reach, reach)))
-            .withColumn("_ci", geo.cell(F.col(lat), size) + F.col("_a")).withColumn("_cj", geo.ring_cell(F.col(lon), size, F.col("_b"))).drop("_a", "_b"))
+            .withColumn("_ci", geo.cell(F.col(lat), size) + F.col("_a")).withColumn("_cj", geo.ring_cell(F.col(lon), size, F.col("_b"))).drop("_a", "_b").hint("merge"))
 
 
 def in_cells(df: DataFrame, size, lat="lat", lon="lon") -> DataFrame:
