@@ -156,7 +156,7 @@ def detection_features(det: DataFrame, cells: DataFrame, months: DataFrame, site
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     d = det.withColumn("i", geo.fine_cell(F.col("lat"))).withColumn("j", geo.fine_cell(F.col("lon"))).withColumn("yr", F.year("day"))
     d = d.withColumn("ci", geo.fine_cell(F.col("lat"), 0.1)).withColumn("cj", geo.fine_cell(F.col("lon"), 0.1)).withColumn("bits", season_bits(F.col("day")))
-    c = cells.withColumn("_n", F.explode(near)).withColumn("i", F.col("i") + F.col("_n.a")).withColumn("j", F.col("j") + F.col("_n.b")).drop("_n")
+    c = cells.withColumn("_n", F.explode(near)).withColumn("i", F.col("i") + F.col("_n.a")).withColumn("j", F.col("j") + F.col("_n.b")).drop("_n").hint("merge")
     asks = d.select("i", "j", "yr").distinct().join(c, ["i", "j"])
     def days_in(lo, hi):
         return F.aggregate(F.filter(F.map_entries("days"), lambda e: (e["key"] >= F.col("yr") - lo) & (e["key"] < F.col("yr") - hi)),
@@ -170,7 +170,7 @@ def detection_features(det: DataFrame, cells: DataFrame, months: DataFrame, site
         F.coalesce(F.max(F.when(F.col("_stat"), F.col("frp95"))), F.max("frp95")).alias("frp95"),
         F.coalesce(F.max(F.when(F.col("_stat"), F.col("n95"))), F.max("n95")).alias("n95"), F.bit_count(F.bit_or("_m")).alias("spot_years"))
     m = months.withColumn("_n", F.explode(near)).withColumn("ci", F.col("ci") + F.col("_n.a")).withColumn("cj", F.col("cj") + F.col("_n.b")).drop("_n")
-    m = m.groupBy("ci", "cj", F.col("yr").alias("y0")).agg(F.bit_or("months").alias("months"))
+    m = m.groupBy("ci", "cj", F.col("yr").alias("y0")).agg(F.bit_or("months").alias("months")).hint("merge")
     seas = d.select("ci", "cj", "yr", "bits").distinct().join(m, ["ci", "cj"]).where("y0 < yr")
     seas = seas.groupBy("ci", "cj", "yr", "bits").agg(F.count_if(F.expr("(months & bits) <> 0")).alias("_hit"))
     span = months.agg(F.min("yr").alias("a")).scalar()
