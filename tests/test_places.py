@@ -168,3 +168,13 @@ def test_copies_for_neighbouring_cells_are_never_broadcast(spark, tmp_path):
         assert joins and all("SortMergeJoin" in line for line in joins)
     got = {r.k: r.near_n for r in G.same_pass_counts(pts, "k").collect()}
     assert got == {i: sum(km((30 + i / 1000, 40.0), (30 + j / 1000, 40.0)) <= 2 for j in range(40)) for i in range(40)}
+
+
+def test_nearest_joins_each_place_once(spark):
+    pts = spark.createDataFrame([(1, 30.0, 40.0), (1, 31.0, 40.0), (2, 30.0, 40.0), (3, None, 40.0), (4, 50.0, 40.0)], "k int, lat double, lon double")
+    sites = spark.createDataFrame([(9, 30.001, 40.0), (7, 30.001, 40.0), (8, 30.002, 40.0), (5, 31.0, 40.0), (6, 31.0, 40.0)], "site_id int, lat double, lon double")
+    got = G.nearest(pts, sites, "k", 2.0, 0.05)
+    assert sorted((r.k, r.lat or 0, r.site_id, round(r.km or 0, 3)) for r in got.collect()) == [
+        (1, 30.0, 7, 0.111), (1, 31.0, 5, 0.0), (2, 30.0, 7, 0.111), (3, 0, None, 0), (4, 50.0, None, 0)]
+    pairs = G.nearest(*(df.crossJoin(spark.range(200)).drop("id") for df in (pts, sites)), "k", 2.0, 0.05)
+    assert pairs.count() == 1000

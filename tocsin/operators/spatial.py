@@ -44,12 +44,15 @@ def in_cells(df: DataFrame, size, lat="lat", lon="lon") -> DataFrame:
 
 
 def nearest(points: DataFrame, sites: DataFrame, key, radius_km, size, tie="site_id") -> DataFrame:
-    """Nearest site within `radius_km` of each point (left join), at any latitude. Sites are copied to the cells they reach and the
-    large side only gets a cell id, so a busy cell stays splittable."""
-    s = neighbours(sites.withColumnRenamed("lat", "s_lat").withColumnRenamed("lon", "s_lon"), size, radius_km, "s_lat", "s_lon")
-    j = in_cells(points, size).join(s, ["_ci", "_cj"]).withColumn("km", geo.flat_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
-    best = j.where(F.col("km") <= radius_km).groupBy(key).agg(F.min(F.struct("km", tie)).alias("_b"))
-    return points.join(best, key, "left").select(*points.columns, F.col(f"_b.{tie}").alias(tie), F.col("_b.km").alias("km"))
+    """Nearest site within `radius_km` of each point (left join), at any latitude.
+
+    Sites of one place count as the one of smallest `tie`, and points of one place share their answer, whatever their `key`: distinct places meet
+    on cells, to which the sites are copied, so copies on either side never multiply."""
+    spots = sites.groupBy(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).agg(F.min(tie).alias(tie))
+    places = in_cells(points.select("lat", "lon").distinct(), size)
+    j = places.join(neighbours(spots, size, radius_km, "s_lat", "s_lon"), ["_ci", "_cj"]).withColumn("km", geo.flat_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
+    best = j.where(F.col("km") <= radius_km).groupBy("lat", "lon").agg(F.min(F.struct("km", tie)).alias("_b"))
+    return points.join(best, ["lat", "lon"], "left").select(*points.columns, F.col(f"_b.{tie}").alias(tie), F.col("_b.km").alias("km"))
 
 
 def heading_base(tracks: DataFrame, bases, within=20, least_nm=25, most_nm=1400) -> DataFrame:
