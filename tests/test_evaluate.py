@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tocsin.functions import scoring as S, tails
-from tocsin.operators import composite as C, evaluate as E, model as M, ranking
+from tocsin.operators import composite as C, evaluate as E, model as M, ranking, studies as ST
 
 
 def brute_auc(s, y):
@@ -173,3 +173,20 @@ def test_registered_resampling_takes_the_reference_counts(spark, monkeypatch):
     for name in ("cluster_bootstrap_auc", "paired_brier_bootstrap", "shifted_timing_control", "shifted_timing_p_values", "release_gates", "single_family_timing_null"):
         q[name](spark, sf)
     assert seen == {"reps": [500] * 3, "shifts": [300] * 4}
+
+
+def test_stratified_tables_without_a_contrast(spark):
+    schema = "g int, a long, b long, c long, d long"
+    quiet = E.mantel_haenszel(spark.createDataFrame([(1, 0, 4, 0, 9), (2, 0, 3, 0, 7)], schema)).first()
+    assert math.isnan(quiet.odds_ratio) and quiet.chi2 == math.inf
+    apart = E.mantel_haenszel(spark.createDataFrame([(1, 4, 0, 0, 9)], schema)).first()
+    assert apart.odds_ratio == math.inf and apart.chi2 == pytest.approx((4 - 16 / 13 - 0.5) ** 2 / (4 * 9 * 4 * 9 / (13 * 13 * 12)))
+    plain = E.mantel_haenszel(spark.createDataFrame([(1, 4, 2, 3, 9)], schema)).first()
+    assert plain.odds_ratio == pytest.approx(6.0)
+
+
+def test_flagged_months_with_every_month_flagged_or_none_calm(spark):
+    all_flagged = ST.flagged_months(spark.createDataFrame([("x", True, True), ("x", True, False), ("y", True, False)], "theatre string, flag boolean, event boolean")).first()
+    assert (all_flagged.n, all_flagged.k, all_flagged.calm_rate, all_flagged.p_value) == (1, 1, 1.0, 1.0) and math.isnan(all_flagged.odds_ratio)
+    no_calm = ST.flagged_months(spark.createDataFrame([("x", True, True), ("x", False, True), ("y", False, True), ("y", False, True)], "theatre string, flag boolean, event boolean")).first()
+    assert (no_calm.n, no_calm.k, no_calm.p_value) == (4, 1, None) and math.isnan(no_calm.calm_rate) and math.isnan(no_calm.odds_ratio)

@@ -77,14 +77,16 @@ def sliding_skill(forward: DataFrame, length=365, step=90, key="theatre") -> Dat
 
 
 def flagged_months(months: DataFrame, key="theatre") -> DataFrame:
-    """Flag rate in event months against calm months over all theatres, with the stratified test. months: key, flag, event."""
+    """Flag rate in event months against calm months over all theatres, with the stratified test. months: key, flag, event.
+
+    Without a calm month its rate is NaN and there is no p."""
     t = months.groupBy(key).agg(F.count_if(F.col("flag") & F.col("event")).alias("a"), F.count_if(F.col("flag") & ~F.col("event")).alias("b"),
                                 F.count_if(~F.col("flag") & F.col("event")).alias("c"), F.count_if(~F.col("flag") & ~F.col("event")).alias("d"))
     t = stable(t)
     s = t.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.sum("d").alias("d"))
-    s = s.select((F.col("a") + F.col("c")).alias("n"), F.col("a").alias("k"), (F.col("b") / (F.col("b") + F.col("d"))).alias("calm_rate"), F.lit(1).alias("_1"))
+    s = s.select((F.col("a") + F.col("c")).alias("n"), F.col("a").alias("k"), E.quotient(F.col("b"), F.col("b") + F.col("d")).alias("calm_rate"), F.lit(1).alias("_1"))
     from tocsin.functions import tails
-    s = s.withColumn("p_value", tails.binomial_tail(F.col("k"), F.col("n"), F.col("calm_rate")))
+    s = s.withColumn("p_value", F.when(~F.isnan("calm_rate"), tails.binomial_tail(F.col("k"), F.col("n"), F.col("calm_rate"))))
     return s.join(E.mantel_haenszel(t).withColumn("_1", F.lit(1)), "_1").drop("_1")
 
 
