@@ -178,3 +178,15 @@ def test_nearest_joins_each_place_once(spark):
         (1, 30.0, 7, 0.111), (1, 31.0, 5, 0.0), (2, 30.0, 7, 0.111), (3, 0, None, 0), (4, 50.0, None, 0)]
     pairs = G.nearest(*(df.crossJoin(spark.range(200)).drop("id") for df in (pts, sites)), "k", 2.0, 0.05)
     assert pairs.count() == 1000
+
+
+def test_legs_with_points_of_one_second(spark):
+    flight = [(0, 0.0, True, "", "P")] + air(60, 6) + [(900, 0.0, True, "", "Q")]
+    twice = flight + flight[1:2] + flight[6:7]      # the first and the last point in the air are heard twice
+    for rows in (twice, twice[::-1]):
+        assert [(x.dep, x.arr, x.points) for x in T.legs(leg_rows(spark, rows)).collect()] == [("P", "Q", 8)]
+    # a ground point of the same second as one in the air: the order given decides
+    both = flight[:4] + [(flight[3][0], 0.0, True, "", "Q")]
+    d = leg_rows(spark, both).withColumn("n", F.when(F.col("on_ground"), 0).otherwise(1))
+    assert [x.points for x in T.legs(d, least_s=0, least_n=1, ties=("n",)).orderBy("leg").collect()] == [2, 1]
+    assert [x.points for x in T.legs(d, least_s=0, least_n=1, ties=("on_ground",)).orderBy("leg").collect()] == [3]

@@ -13,23 +13,25 @@ BLOCK_S = 86400
 GATE_KM = 30
 
 
-def legs(trace: DataFrame, key="icao", gap=GAP_S, max_gap=MAX_GAP_S, least_s=MIN_AIR_S, least_n=MIN_POINTS) -> DataFrame:
+def legs(trace: DataFrame, key="icao", gap=GAP_S, max_gap=MAX_GAP_S, least_s=MIN_AIR_S, least_n=MIN_POINTS,
+         ties=("on_ground", "call", "near", "low", "lat", "lon")) -> DataFrame:
     """Airborne legs of each aircraft: (key, leg, t0, t1, points, call, dep, arr, gap).
 
     trace: key, t (seconds), lat, lon, alt, on_ground, call, near (airport within reach of the point, NULL if none), low
     (true when low enough there to stand for a take-off or landing out of view). A leg ends on ground contact, on a new
     callsign, on a gap when the point before was low near an airport, or on any very long gap. Every rule needs only the
     point before and the callsign carried so far, so boundaries are flags and a running sum. One aircraft is one partition;
-    its points are bounded by one transponder's report rate.
+    its points are bounded by one transponder's report rate. Points of one time are taken in the order of `ties`; a leg departs with the first
+    and arrives with the last of its points in that order.
     """
-    w = Window.partitionBy(key).orderBy("t")
+    w = Window.partitionBy(key).orderBy("t", *ties)
     low_at, call = F.when(F.col("low"), F.col("near")), F.nullif(F.col("call"), F.lit(""))
     d = trace.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     d = d.withColumn("_dt", F.col("t") - F.lag("t").over(w)).withColumn("_pg", F.lag("on_ground").over(w)).withColumn("_pnear", F.lag("near").over(w))
     d = d.withColumn("_cut", F.coalesce((F.col("_dt") > gap) & (F.lag(low_at).over(w).isNotNull() | (F.col("_dt") > max_gap)), F.lit(False)))
     # the callsign a point leaves behind: the last one heard since the ground or a cut, none after the ground
     d = d.withColumn("_seg", F.sum(F.when(F.coalesce("_pg", F.lit(True)) | F.col("_cut"), 1).otherwise(0)).over(w))
-    heard = F.last(call, ignorenulls=True).over(Window.partitionBy(key, "_seg").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    heard = F.last(call, ignorenulls=True).over(Window.partitionBy(key, "_seg").orderBy("t", *ties).rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("_heard", F.when(~F.col("on_ground"), heard))
     d = d.withColumn("_new", F.coalesce(F.lag("_heard").over(w) != call, F.lit(False)))
     start = ~F.col("on_ground") & (F.coalesce("_pg", F.lit(True)) | F.col("_new") | F.col("_cut"))
@@ -37,12 +39,12 @@ def legs(trace: DataFrame, key="icao", gap=GAP_S, max_gap=MAX_GAP_S, least_s=MIN
     nxt = {c: F.lead(c).over(w) for c in ("_new", "_cut", "on_ground", "near")}
     arr = (F.when(F.coalesce(nxt["_new"], F.lit(False)), F.lit(None)).when(F.coalesce(nxt["_cut"], F.lit(False)), low_at)
            .when(F.coalesce(nxt["on_ground"], F.lit(False)), nxt["near"]).otherwise(low_at))
-    d = d.withColumn("_arr", arr)
+    d = d.withColumn("_arr", arr).withColumn("_i", F.row_number().over(w))
     air = d.where(~F.col("on_ground"))
     dep, arr = F.when(F.col("_pg") & (F.col("_dt") <= gap), F.col("_pnear")).otherwise(low_at), F.col("_arr")
     g = air.groupBy(key, "leg").agg(
         F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("points"), F.mode(F.nullif(F.col("call"), F.lit("")), True).alias("call"),
-        F.min_by(dep, "t").alias("dep"), F.max_by(arr, "t").alias("arr"), F.coalesce(F.max(F.when(~F.col("_start"), F.col("_dt"))), F.lit(0)).alias("gap"))
+        F.min_by(dep, "_i").alias("dep"), F.max_by(arr, "_i").alias("arr"), F.coalesce(F.max(F.when(~F.col("_start"), F.col("_dt"))), F.lit(0)).alias("gap"))
     return g.where((F.col("t1") - F.col("t0") >= least_s) & (F.col("points") >= least_n))
 
 
