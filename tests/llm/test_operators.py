@@ -143,6 +143,25 @@ def test_near_copies_in_chains_and_with_shared_passages(spark):
     assert rows_of(near.near(df), "doc_id", "n_shingles", "component_id") == near_by_hand(df.collect())
 
 
+def test_product_meets_all_links_and_no_pair_whose_first_common_shingle_comes_late(spark):
+    import random
+    r = random.Random(3)
+    sets = [sorted(r.sample(range(1000), 20) + list(range(1000, 1080))) for _ in range(12)]  # 20 own shingles, then a passage: 80 of 120 at most
+    for _ in range(80):  # sets about the limit, of several sizes
+        base = r.sample(range(2000, 2060), 40)
+        sets += [sorted({*r.sample(base, r.randint(30, 40)), *r.sample(range(2060, 2090), r.randint(0, 6))}) for _ in range(3)]
+    rows = [(s, i, i // 2, len(x), at) for i, x in enumerate(sets) for at, s in enumerate(x[:near.prefix(len(x))])]
+    cells = spark.createDataFrame(rows, "s long, node long, label long, n long, at long")
+    classes = spark.createDataFrame([(i, [0] * (near.PARITY_BITS // 64)) for i in range(len(sets))], "node long, bits array<long>")
+    got = {tuple(p) for p in near.product_pairs(cells, classes).collect()}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if i // 2 != j // 2
+             and 100 * len({*sets[i]} & {*sets[j]}) >= 75 * len({*sets[i]} | {*sets[j]})}
+    assert len(links) > 20 and links <= got
+    both = lambda x: cells.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "at")])
+    met = both("a").filter("node_a < 12").join(both("b").filter("node_b < 12"), "s").filter(F.col("at_a") >= 15).filter(F.col("at_b") >= 15)
+    assert met.count() > 100 and met.filter(near._may_link()).count() == 0
+
+
 def test_one_row_of_each_group_stays(odd):
     out = near.representatives(odd)
     want = [(i, n) for i, n, c in near_by_hand(odd.collect()) if n == 0 or i == c]

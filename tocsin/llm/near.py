@@ -222,18 +222,18 @@ def _labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _may_link() -> Column:
-    """Whether one common shingle at its places in both prefixes leaves a link possible: it has at most min(i, j) common ones before it and the
-    shorter rest from it on."""
+    """Whether a link is possible if this common shingle is the first one of both sets: all common ones are then in the shorter rest from it on.
+
+    The first common one of a link always passes, and whatever passes stands before what doesn't, as places rise together."""
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    return (F.col("label_a") != F.col("label_b")) & _near(F.col("n_a"), F.col("n_b")) & (
-        (100 + PERCENT) * (F.least("at_a", "at_b") + rest) >= PERCENT * (F.col("n_a") + F.col("n_b")))
+    return (F.col("label_a") != F.col("label_b")) & _near(F.col("n_a"), F.col("n_b")) & ((100 + PERCENT) * rest >= PERCENT * (F.col("n_a") + F.col("n_b")))
 
 
 def product_pairs(cells: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of nodes of different labels that the product of the cells leaves possible.
 
     Columns of two cells, which are most, are one pair each and need no join. In the others the parities, folded to fewer places, bound each pair
-    before it is made. Over both, the count of common ones of two prefixes plus the rest after the last is a last bound."""
+    before it is made. Over both, the count of common ones met plus the rest after the last is a last bound."""
     own = ("node", "label", "n", "at")
     size = cells.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*own)).alias("_a"), F.max(F.struct(*own)).alias("_b"))
     two = size.filter("m = 2").select(*[F.col(f"_a.{c}").alias(f"{c}_a") for c in own], *[F.col(f"_b.{c}").alias(f"{c}_b") for c in own]).filter(_may_link())
