@@ -170,6 +170,14 @@ def test_one_row_of_each_group_stays(odd):
     assert out.columns == odd.columns
 
 
+def test_only_texts_that_may_go_are_moved(odd):
+    """What the join that drops the copies reads, beside the rows that stay where they are."""
+    drop = odd.sparkSession.createDataFrame([(5,), (101,), (None,)], "doc_id long")
+    stay, rest = near.parted(odd, drop)
+    assert rows_of(stay.union(rest), "doc_id", "text") == rows_of(odd, "doc_id", "text") and stay.columns == odd.columns
+    assert {None, 5, 101} <= {r["doc_id"] for r in rest.collect()} and rest.count() < 8
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 400):
         for m in range(n, 400):

@@ -290,17 +290,29 @@ def near(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose doc_id is surely none of ids, and the rest: those that are, and the few others that a filter lets pass."""
+    held = Filter(ids.select(F.xxhash64("doc_id").alias("i")), ids.count())
+
+    @F.arrow_udf("boolean")
+    def may(hashed: pa.Array) -> pa.Array:
+        return pa.array(held.may_hold(hashed.to_numpy(zero_copy_only=False)))
+    passes = may(F.xxhash64("doc_id"))
+    return docs.filter(~passes), docs.filter(passes)
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """One whole row of each component, that of the least doc_id; texts without words all stay.
 
-    Of rows equal in id and text one stays: only ids that repeat are looked at a second time."""
+    Of rows equal in id and text one stays: only ids that repeat are looked at a second time. Rows that neither concerns stay
+    where they are; only the others' texts are moved."""
     found = keep(near(docs), "near-found")
     alone, stands = F.col("n_shingles") == 0, F.col("component_id").eqNullSafe(F.col("doc_id"))
-    drop = found.filter(~alone & ~stands).select("doc_id").join(found.filter(alone | stands).select("doc_id"), "doc_id", "left_anti").distinct()
-    left = docs.join(drop, "doc_id", "left_anti")
-    twice = found.filter(~alone).groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = keep(twice, "near-twice")
+    drop = keep(found.filter(~alone & ~stands).select("doc_id").join(found.filter(alone | stands).select("doc_id"), "doc_id", "left_anti").distinct(), "near-drop")
+    twice = keep(found.filter(~alone).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-twice")
+    stay, rest = parted(docs, drop.union(twice))
+    left = rest.join(drop, "doc_id", "left_anti")
     if twice.isEmpty():
-        return left
+        return stay.unionByName(left)
     same = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(same)
+    return stay.unionByName(left.join(twice, "doc_id", "left_anti")).unionByName(same)
