@@ -193,6 +193,36 @@ def test_components(spark):
     assert graph.components(links.limit(0)).count() == 0
 
 
+def test_labels_widened_by_more_links_are_those_of_all_links(spark):
+    import random
+    r = random.Random(4)
+    turns = [[(r.randrange(200), r.randrange(200)) for _ in range(40)] for _ in range(3)] + [[(1, 1), (500, 501), (501, 502)], []]
+    df = lambda x: spark.createDataFrame(x, "a long, b long")
+    labels, so_far = graph.components(df(turns[0])), turns[0]
+    for more in turns[1:]:
+        labels, so_far = graph.widened(labels, df(more)), so_far + more
+        assert {k: v for k, v in rows_of(labels, "node", "label") if k != 1} == {k: v for k, v in rows_of(graph.components(df(so_far)), "node", "label") if k != 1}
+
+
+def test_a_filter_is_fetched_by_a_few_jobs_whatever_the_partitions(spark):
+    values = spark.range(0, 4_000_000, 40).select(F.xxhash64("id").alias("v"))
+    held = [spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")]
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.sparkContext.setJobGroup("filter", "a filter")
+        made = near.Filter(values, 100_000)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("filter")
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
+        spark.conf.set("spark.sql.shuffle.partitions", held[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held[1])
+    assert 1 <= len(jobs) <= 4
+    assert made.may_hold(values.toArrow().column(0).to_numpy()).all()
+    other = spark.range(1, 4_000_000, 40).select(F.xxhash64("id")).toArrow().column(0).to_numpy()
+    assert made.may_hold(other).mean() < 0.1
+
+
 # leaks
 
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -16,3 +16,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if step.filter(F.col("_old") != F.col("label")).isEmpty():
             return labels
+
+
+def widened(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """What components returns, for the links that gave labels and these together: only labels that these join are worked on."""
+    if links.isEmpty():
+        return labels
+    own = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"_{x}"))
+    ends = links.select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    of = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b"))
+    every = labels.union(of.select("node", F.col("node").alias("label"))).distinct()  # a label is a node with itself as label
+    new = every.join(of.select(F.col("node").alias("label"), F.col("label").alias("_new")), "label", "left")
+    return keep(new.select("node", F.coalesce("_new", "label").alias("label")), "graph-labels")

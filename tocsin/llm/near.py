@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tocsin.llm.graph import components
+from tocsin.llm.graph import components, widened
 from tocsin.llm.shared import keep
 from tocsin.llm.words import NOT_SPACE, Texts, mix, signed, slices, windows, words
 
@@ -124,9 +124,10 @@ class Filter:
         place = F.pmod(F.col(column), F.lit(self.bits)) + 1
         maps = values.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
         packed = np.zeros(self.bits // 8, np.uint8)
-        for r in maps.toLocalIterator():  # at most 2**FILTER_BITS[1] bits
-            at = (r["k"] - 1) * 4096
-            packed[at:at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)[:len(packed) - at]
+        got = maps.toArrow()  # one job, however many partitions; at most 2**FILTER_BITS[1] bits
+        for k, m in zip(got.column("k").to_pylist(), got.column("m").to_pylist()):
+            at = (k - 1) * 4096
+            packed[at:at + 4096] = np.frombuffer(m, np.uint8)[:len(packed) - at]
         self.shared = values.sparkSession.sparkContext.broadcast(packed)
 
     def may_hold(self, values: np.ndarray) -> np.ndarray:
@@ -172,21 +173,19 @@ def compared(pairs: DataFrame, s: DataFrame) -> DataFrame:
         100 * F.col("_c") >= PERCENT * (F.col("_n") - F.col("_c"))).select("a", "b").distinct()
 
 
-def easy_links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links found by shared keys in a few rounds, and the labels of their components."""
+def easy_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The labels of the components of the links found by shared keys in a few rounds."""
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > 1).select("key")
     keyed = keep(keyed.join(often, "key").withColumn("label", F.col("node")), "near-keys")
     nodes = keyed.select("node").distinct().join(classes.select("node", "least"), "node")
     s = keep(sets_of(docs, keep(nodes, "near-nodes")), "near-sets")
-    links = keyed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = None
     for turn in range(EASY_ROUNDS):
-        pairs = drawn_pairs(_labelled(keyed, labels), "key", turn)
+        pairs = drawn_pairs(keyed if labels is None else _labelled(keyed, labels), "key", turn)
         new = keep(compared(possible(pairs, classes), s), "near-links")
-        links = keep(links.union(new), "near-links")
-        labels = components(links)
-    return links, labels
+        labels = components(new) if labels is None else widened(labels, new)
+    return labels
 
 
 def prefix_cells(rows: DataFrame) -> DataFrame:
@@ -253,8 +252,8 @@ def product_pairs(cells: DataFrame, classes: DataFrame) -> DataFrame:
         F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def other_links(docs: DataFrame, columns: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """links, and links between all nodes of different labels: first along drawn centres of the prefix columns, to join what is still
+def other_labels(docs: DataFrame, columns: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels after all links between nodes of different labels: first along drawn centres of the prefix columns, to join what is still
     apart at the cost of one row a cell, then by the product of the columns that still hold several labels."""
     cells = prefix_cells(columns)
 
@@ -263,11 +262,11 @@ def other_links(docs: DataFrame, columns: DataFrame, classes: DataFrame, links:
         nodes = pairs.select(F.col("a").alias("node"), F.col("_ia").alias("least")).union(pairs.select("b", "_ib")).distinct()
         return keep(compared(pairs, sets_of(docs, keep(nodes, "near-nodes"))), "near-links")
     for turn in range(COLUMN_ROUNDS):
-        links = keep(links.union(checked(drawn_pairs(cells, "s", turn))), "near-links")
-        cells = keep(_labelled(cells, components(links)), "near-cells")
+        labels = widened(labels, checked(drawn_pairs(cells, "s", turn)))
+        cells = keep(_labelled(cells, labels), "near-cells")
         several = cells.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("s")
         cells = keep(cells.join(several, "s", "left_semi"), "near-cells")
-    return keep(links.union(checked(product_pairs(cells, classes))), "near-links")
+    return widened(labels, checked(product_pairs(cells, classes)))
 
 
 def near(docs: DataFrame) -> DataFrame:
@@ -278,11 +277,11 @@ def near(docs: DataFrame) -> DataFrame:
     empty table gives no rows."""
     rows = keep(sketches(docs), "near-rows")
     classes = keep(rows.filter("n > 0").groupBy("node").agg(*[F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")]]), "near-classes")
-    links, labels = easy_links(docs, classes)
+    labels = easy_labels(docs, classes)
     labelled = classes.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label"))
     first = prefixes(docs, frequent(docs)).withColumnRenamed("node", "_node")
     columns = labelled.join(first, (F.col("node") == F.col("_node")) & F.col("least").eqNullSafe(F.col("doc_id"))).select("node", "label", "n", "prefix")
-    labels = components(other_links(docs, keep(columns, "near-prefixes"), classes, links))
+    labels = other_labels(docs, keep(columns, "near-prefixes"), classes, labels)
     of = classes.select("node", "least").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     of = of.select("node", F.col("label")).join(of.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     one = rows.select("doc_id", "n", "node").filter("n > 0").join(of, "node")
