@@ -278,6 +278,33 @@ def test_leak_spans_are_the_hit_words(spark, odd):
     assert cut == " ".join(rows[10].split()[500:530])
 
 
+def test_words_of_a_shard_are_held_in_parts(monkeypatch):
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from tocsin.llm.words import texts
+    r = random.Random(6)
+    rows = ["", None, "é a"] + [" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 60))) for _ in range(300)]
+    items = [(str(k), " ".join(rows[10 * k + 5].split()[3:16])) for k in range(20)] + [("short", "b a d")]
+    found = []
+    for part in (1, 40, 1 << 20):
+        monkeypatch.setattr(leaks, "PART", part)
+        found.append([np.asarray(x).tolist() for x in leaks.search(texts(pa.array(rows, pa.large_string())), leaks.phrases(items))])
+    at, hit, pairs = found[0]
+    assert found[1] == found[2] == found[0] and len(pairs) > 20
+    want = leaks_by_hand([{"doc_id": k, "text": t} for k, t in enumerate(rows)], items)
+    assert sorted((k, at[k + 1] - at[k], sum(hit[at[k]:at[k + 1]]), sum(i == k for i, _ in pairs)) for k in range(len(rows))) == sorted(x[:4] for x in want)
+    monkeypatch.undo()
+    long_ = texts(pa.array([" ".join(str(r.randrange(10**5)) for _ in range(1000)) for _ in range(2000)], pa.large_string()))
+    tracemalloc.start()
+    leaks.search(long_, leaks.phrases(items))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5 * len(long_.data)
+
+
 def test_index_finds_every_occurrence():
     import numpy as np
     g = np.random.default_rng(3)

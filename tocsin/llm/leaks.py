@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 A shard is a run of whole texts of one task, of about SHARD bytes. Words that no item holds can't be part of a match, so they and runs too
-short for any window are left out; the rest, joined by separators, is indexed: suffix array, Burrows-Wheeler transform, wavelet
+short for any window are left out, PART bytes of text at a time; the rest, joined by separators, is indexed: suffix array, Burrows-Wheeler transform, wavelet
 matrix with rank tables, and every SAMPLE-th suffix position. All windows of all items are searched backwards at once; their
 occurrences are found by walking to the next sampled position; overlapping occurrences merge to spans.
 
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tocsin.llm.shared import Carried
-from tocsin.llm.words import LETTER_OR_DIGIT, Texts, slices, texts, words
+from tocsin.llm.words import LETTER_OR_DIGIT, Texts, parts, slices, texts, words
 
 WINDOW = 10
 SHARD = 16 << 20
+PART = 1 << 20     # bytes of a shard's text whose words are held at a time; a longer text stands alone
 SAMPLE = 16
 BLOCK = 4_000_000  # item words sent to the tasks at a time (8 bytes each)
 FOUND = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
@@ -129,32 +130,43 @@ def phrases(items: list[tuple[str, str]]) -> Phrases:
     return Phrases(vocabulary, by_length, names)
 
 
-def search(t: Texts, p: Phrases):
-    """Words of the shard's texts, which of them are hit, and the distinct (row, item number) pairs."""
-    w = words(t, LETTER_OR_DIGIT)
-    hit, none = np.zeros(len(w.hash), bool), np.zeros((0, 2), np.int64)
-    if not len(w.hash) or not p.by_length:
-        return w, hit, none
-    place = np.minimum(np.searchsorted(p.vocabulary, w.hash), len(p.vocabulary) - 1)
-    known = p.vocabulary[place] == w.hash
-    # runs of known words inside one text, long enough for the shortest window
-    starts = np.zeros(len(known), bool)
-    starts[w.at[:-1][w.at[:-1] < len(known)]] = True
-    first = np.flatnonzero(known & (starts | ~np.concatenate([[False], known[:-1]])))
-    last = np.flatnonzero(known & np.concatenate([starts[1:] | ~known[1:], [True]]))
-    long_ = last - first + 1 >= p.by_length[0][0].shape[1]
-    first, last = first[long_], last[long_]
-    if not len(first):
-        return w, hit, none
-    size = last - first + 1
-    at = np.concatenate([[0], np.cumsum(size + 1)])
-    run = np.repeat(np.arange(len(size)), size)
-    word_at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[run]
-    t_at = word_at - first[run] + at[run]
-    line, back = np.ones(at[-1] + 1, np.int64), np.zeros(at[-1] + 1, np.int64)
-    line[t_at], back[t_at], line[-1] = place[word_at] + 2, word_at, 0
+def known_runs(t: Texts, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n + 1 bounds of each row's words; the line of the runs of known words, long enough for the shortest window and each inside one text,
+    that ends with its only 0; the word each place of the line stands for. Words of PART bytes of text are held at a time."""
+    least = p.by_length[0][0].shape[1] if p.by_length else 0
+    counts, lines, backs, done = [np.zeros(1, np.int64)], [], [], 0
+    for _, _, part in parts(t, PART):
+        w = words(part, LETTER_OR_DIGIT)
+        counts.append(w.at[1:] + done)
+        if least and len(w.hash):
+            place = np.minimum(np.searchsorted(p.vocabulary, w.hash), len(p.vocabulary) - 1)
+            known = p.vocabulary[place] == w.hash
+            starts = np.zeros(len(known), bool)
+            starts[w.at[:-1][w.at[:-1] < len(known)]] = True
+            first = np.flatnonzero(known & (starts | ~np.concatenate([[False], known[:-1]])))
+            last = np.flatnonzero(known & np.concatenate([starts[1:] | ~known[1:], [True]]))
+            long_ = last - first + 1 >= least
+            first, size = first[long_], (last - first + 1)[long_]
+            at = np.concatenate([[0], np.cumsum(size + 1)])
+            word_at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+            t_at = word_at + np.repeat(at[:-1] - first, size)
+            line, back = np.ones(at[-1], np.int64), np.zeros(at[-1], np.int64)
+            line[t_at], back[t_at] = place[word_at] + 2, word_at + done
+            lines.append(line)
+            backs.append(back)
+        done += len(w.hash)
+    end = [np.zeros(1, np.int64)]
+    return np.concatenate(counts), np.concatenate(lines + end), np.concatenate(backs + end)
+
+
+def search(t: Texts, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n + 1 bounds of each row's words, which of all words are hit, and the distinct (row, item number) pairs."""
+    at, line, back = known_runs(t, p)
+    hit, none = np.zeros(at[-1], bool), np.zeros((0, 2), np.int64)
+    if len(line) == 1:
+        return at, hit, none
     index, pairs = Index(line), [none]
-    edge = np.zeros(len(hit) + 1, np.int64)
+    edge = np.zeros(len(hit) + 1, np.int32)
     for windows, held_at, held in p.by_length:
         lo, hi = index.search(windows)
         n = hi - lo
@@ -163,12 +175,12 @@ def search(t: Texts, p: Phrases):
         begin = back[index.locate(rows)]
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + windows.shape[1], -1)
-        doc = np.searchsorted(w.at, begin, "right") - 1
+        doc = np.searchsorted(at, begin, "right") - 1
         seen = np.unique(np.stack([doc, which], 1), axis=0) if len(doc) else none
         many = held_at[seen[:, 1] + 1] - held_at[seen[:, 1]]
         item = np.repeat(held_at[seen[:, 1]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         pairs.append(np.stack([np.repeat(seen[:, 0], many), held[item]], 1))
-    return w, np.cumsum(edge)[:-1] > 0, np.unique(np.concatenate(pairs), axis=0)
+    return at, np.cumsum(edge, dtype=np.int32)[:-1] > 0, np.unique(np.concatenate(pairs), axis=0)
 
 
 def blocks(benchmark: DataFrame) -> list[Phrases]:
@@ -185,11 +197,12 @@ def blocks(benchmark: DataFrame) -> list[Phrases]:
     return [*out, phrases(block)]
 
 
-def _spans(w, hit: np.ndarray, row: int) -> np.ndarray:
-    """Bytes start and end of the merged hits of a row, within its text."""
-    a, b = w.at[row], w.at[row + 1]
-    own = np.concatenate([[False], hit[a:b], [False]])
-    first, last = np.flatnonzero(own[1:-1] & ~own[:-2]) + a, np.flatnonzero(own[1:-1] & ~own[2:]) + a
+def _spans(t: Texts, row: int, hit: np.ndarray) -> np.ndarray:
+    """Bytes start and end of the merged hits of a row, within its text, whose words are found again."""
+    lo, hi = t.at[row], t.at[row + 1]
+    w = words(Texts(t.data[lo:hi], np.array([0, hi - lo]), t.null[row:row + 1]), LETTER_OR_DIGIT)
+    own = np.concatenate([[False], hit, [False]])
+    first, last = np.flatnonzero(own[1:-1] & ~own[:-2]), np.flatnonzero(own[1:-1] & ~own[2:])
     return np.stack([w.start[first], w.end[last]], 1)
 
 
@@ -203,24 +216,24 @@ def _searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], keep_te
         def run(batches, shared=shared, k=k, last=last):
             p = shared.value
             for batch, t in slices(batches, "t", SHARD):
-                w, hit, pairs = search(t, p)
+                at, hit, pairs = search(t, p)
                 names = [[] for _ in range(len(t))]
                 for row, item in pairs.tolist():
                     names[row].append(p.names[item])
                 if k:  # hits of the passes before
                     names = [sorted({*a, *b}) for a, b in zip(names, batch.column(n + 2).to_pylist())]
                     for row, bits in enumerate(batch.column(n + 1).to_pylist()):
-                        own_hits = hit[w.at[row]:w.at[row + 1]]
+                        own_hits = hit[at[row]:at[row + 1]]
                         own_hits |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own_hits)).astype(bool)
                 head, heads = batch.columns[:n], batch.schema.names[:n]
                 if not last:
-                    bits = [np.packbits(hit[w.at[i]:w.at[i + 1]]).tobytes() for i in range(len(t))]
+                    bits = [np.packbits(hit[at[i]:at[i + 1]]).tobytes() for i in range(len(t))]
                     yield pa.RecordBatch.from_arrays([*head, batch.column(n), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))],
                                                      [*heads, "t", "hit", "names"])
                     continue
-                count = np.diff(np.concatenate([[0], np.cumsum(hit)])[w.at])
-                where = [_spans(w, hit, i) - t.at[i] if count[i] else [] for i in range(len(t))]
-                cols = [pa.array(np.diff(w.at)), pa.array(count.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()),
+                count = np.diff(np.concatenate([[0], np.cumsum(hit)])[at])
+                where = [_spans(t, i, hit[at[i]:at[i + 1]]) if count[i] else [] for i in range(len(t))]
+                cols = [pa.array(np.diff(at)), pa.array(count.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()),
                         pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names], pa.string()), pa.array(count > 0),
                         pa.array([[{"start": int(a), "end": int(b)} for a, b in x] for x in where],
                                  pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]

@@ -75,16 +75,21 @@ def texts(column: pa.Array) -> Texts:
     return Texts(data, at - at[0], null)
 
 
+def parts(t: Texts, most: int) -> Iterator[tuple[int, int, Texts]]:
+    """Rows i..j-1 and their texts, at most `most` bytes at a time (a longer row stands alone)."""
+    i = 0
+    while i < len(t):
+        j = max(i + 1, int(np.searchsorted(t.at, t.at[i] + most, "right")) - 1)
+        lo, hi = t.at[i], t.at[j]
+        yield i, j, Texts(t.data[lo:hi], t.at[i:j + 1] - lo, t.null[i:j])
+        i = j
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Cuts batches into parts of at most `most` bytes of text (a longer row stands alone)."""
     for batch in batches:
-        whole = texts(batch.column(batch.schema.get_field_index(column)))
-        i = 0
-        while i < len(whole):
-            j = max(i + 1, int(np.searchsorted(whole.at, whole.at[i] + most, "right")) - 1)
-            lo, hi = whole.at[i], whole.at[j]
-            yield batch.slice(i, j - i), Texts(whole.data[lo:hi], whole.at[i:j + 1] - lo, whole.null[i:j])
-            i = j
+        for i, j, t in parts(texts(batch.column(batch.schema.get_field_index(column))), most):
+            yield batch.slice(i, j - i), t
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
