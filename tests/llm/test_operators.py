@@ -535,6 +535,33 @@ def test_quality(spark, odd, none):
     assert all(r["score"] == 0.5 for r in lines.scored(odd.select("doc_id", "text"), nothing, ["doc_id"]).collect())
 
 
+def test_quality_holds_the_lines_of_a_part_of_a_batch():
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    r = random.Random(8)
+    texts_ = [None, ""] + ["\n".join(" ".join(str(r.randrange(10**6)) for _ in range(12)) for _ in range(r.randint(1, 80))) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts_))), pa.array(texts_, pa.string())], ["i", "t"])
+    g = np.random.default_rng(2)
+    field = lines.Field(np.sort(g.random((len(lines.NAMES), lines.BINS - 1)) * 3, 1), g.normal(size=(3, len(lines.NAMES), lines.BINS)), 0.1, g.normal(size=(2, 2)), (0.1, 1.2))
+    tracemalloc.start()
+    found = [(part.column(0).to_pylist(), p) for part, p in lines.probabilities(iter([batch]), field, "t")]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 7e6 and most < 40e6
+    assert [i for ids, _ in found for i in ids] == list(range(len(texts_)))
+    whole = lines.probability(lines.lines(lines_texts(texts_)), field)
+    assert np.abs(np.concatenate([p for _, p in found]) - whole).max() < 1e-9
+
+
+def lines_texts(values):
+    import pyarrow as pa
+    from tocsin.llm.words import texts
+    return texts(pa.array(values, pa.large_string()))
+
+
 def test_held_out_quality_is_right(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

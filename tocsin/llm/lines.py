@@ -18,6 +18,7 @@ from tocsin.llm.shared import Carried
 from tocsin.llm.words import NOT_SPACE, slices, words
 
 MOST_TEXTS, MOST_LINES = 3000, 400
+SLICE = 1 << 20  # bytes of text whose words and lines are held at a time in a task; a longer text stands alone
 BINS, STEPS, RATE, RIDGE = 8, 120, 0.3, 1e-3
 NAMES = ["symbols", "upper", "digits", "bars", "marks", "other", "word_length", "short_words", "repeats", "length", "copied"]
 
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, of: int = 5) -> Field
     few = known.filter(place < part)
 
     def run(batches):
-        for batch, t in slices(batches):
+        for batch, t in slices(batches, most=SLICE):
             x = lines(t)
             use = [i for i in range(len(t)) if 0 < x.at[i + 1] - x.at[i] <= MOST_LINES]
             yield pa.RecordBatch.from_arrays(
@@ -216,6 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, of: int = 5) -> Field
     return fit_field(x, got.column("quality").to_numpy().astype(float))
 
 
+def probabilities(batches, f: Field, column: str):
+    """Parts of the batches, each with the probabilities of its texts."""
+    for batch, t in slices(batches, column, SLICE):
+        yield batch, probability(lines(t), f)
+
+
 def scored(docs: DataFrame, field: Field, columns: list[str], least: float | None = None) -> DataFrame:
     """The named columns of every row with score; with `least`, only rows that reach it, without the score.
 
@@ -225,8 +232,7 @@ def scored(docs: DataFrame, field: Field, columns: list[str], least: float | Non
     own = Carried(docs, columns)
 
     def run(batches):
-        for batch, t in slices(batches, "t"):
-            p = probability(lines(t), shared.value)
+        for batch, p in probabilities(batches, shared.value, "t"):
             if least is None:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "score"])
             else:
