@@ -167,6 +167,15 @@ def test_variants_of_nothing_and_of_odd_rows(odd, none):
     assert rows_of(variants.variants(odd), *COLUMNS) == variants_by_hand([(r["doc_id"], r["text"]) for r in odd.collect()])
 
 
+def test_no_join_of_words_is_broadcast(spark, misspelt, monkeypatch):
+    # before: 28 rows for every word were broadcast, as Spark took the size of the words in their files for them
+    plans, write = [], variants.keep
+    monkeypatch.setattr(variants, "keep", lambda df, name: plans.append(df) or write(df, name))
+    plans.append(variants.variants(misspelt))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_near_words_always_share_a_signature():
     r = random.Random(1)
     for _ in range(300):

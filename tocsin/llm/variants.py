@@ -128,7 +128,8 @@ def signatures(words: list[str], left_out: int, parts: int = PARTS) -> np.ndarra
 
 
 def signed(words: DataFrame, left_out: int, longer: int = 0) -> DataFrame:
-    """word, n and one row for every signature (_sig) of the words. Signatures hold the length, taken as `longer` letters more."""
+    """word, n and one row for every signature (_sig) of the words. Signatures hold the length, taken as `longer` letters more. Joins of them
+    are hinted to merge: Spark's size of these rows is that of the words, so that it would broadcast 28 rows for every word."""
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
@@ -138,7 +139,7 @@ def signed(words: DataFrame, left_out: int, longer: int = 0) -> DataFrame:
                 again = pa.array(np.repeat(np.arange(len(strings)), sig.shape[1]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(again), part.column(1).take(again), pa.array(sig.ravel().view(np.int64))],
                                                  ["word", "n", "_sig"])
-    return words.select("word", "n").mapInArrow(run, "word string, n long, _sig long")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, _sig long").hint("merge")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -154,10 +155,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def roots(forms: DataFrame) -> DataFrame:
     """word, root: where following the forms ends. forms: word, form, both not null; counts at least double on every step, so chains are
-    short and have no cycle. Every round doubles the steps taken."""
+    short and have no cycle. Every round doubles the steps taken. Joins are hinted to merge, here and in `grouped`: files of words are a
+    twentieth of what a broadcast of them holds."""
     at = keep(forms.select("word", F.col("form").alias("root")), "variant-roots")
     while True:
-        ahead = at.select(F.col("word").alias("root"), F.col("root").alias("_far"))
+        ahead = at.select(F.col("word").alias("root"), F.col("root").alias("_far")).hint("merge")
         step = keep(at.join(ahead, "root", "left").select("word", F.coalesce("_far", "root").alias("root"), F.col("_far").isNotNull().alias("_moved")),
                     "variant-roots")
         at = step.select("word", "root")
@@ -171,12 +173,12 @@ def grouped(words: DataFrame, pairs: DataFrame, ratio: int = LEAST_RATIO) -> Dat
     both = pairs.select(F.col("a").alias("word"), F.struct((-F.col("n_b")).alias("less"), F.col("b").alias("form")).alias("near")).union(
         pairs.select(F.col("b"), F.struct((-F.col("n_a")).alias("less"), F.col("a").alias("form"))))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min("near").alias("near"))
-    rows = words.join(best, "word", "left")
+    rows = words.join(best.hint("merge"), "word", "left")
     good = -F.col("near.less") >= ratio * F.col("n")
     rows = keep(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(good, F.col("near.form")).alias("form"),
                             F.when(good, -F.col("near.less")).alias("form_n")), "variant-forms")
     ends = roots(rows.filter(F.col("form").isNotNull()))
-    return rows.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return rows.join(ends.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame, key: str = "doc_id") -> DataFrame:
